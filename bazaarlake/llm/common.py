@@ -45,6 +45,11 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts travel to Python in batches of at most so many rows (Spark's own default is 10,000), which bounds the memory of a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -1,6 +1,10 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from bazaarlake.llm.decontaminate import op8_decontaminate
+from bazaarlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from bazaarlake.llm.lm_score import op9_lm_scores
+from bazaarlake.llm.mixing import op7_mixing
 from bazaarlake.llm.ngram_jaccard import op1_ngram_jaccard
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op7_mixing, op8_decontaminate, op9_lm_scores)}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
