@@ -2,9 +2,15 @@
 
 from bazaarlake.llm.decontaminate import op8_decontaminate
 from bazaarlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from bazaarlake.llm.license_scan import op10_license_scan
 from bazaarlake.llm.lm_score import op9_lm_scores
 from bazaarlake.llm.mixing import op7_mixing
 from bazaarlake.llm.ngram_jaccard import op1_ngram_jaccard
+from bazaarlake.llm.toxicity import op3_toxicity
+from bazaarlake.llm.url_rules import OP6_SQL, op6_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op7_mixing, op8_decontaminate, op9_lm_scores)}
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan)
+}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_url_rules": OP6_SQL}
