@@ -8,9 +8,10 @@ from bazaarlake.llm.mixing import op7_mixing
 from bazaarlake.llm.ngram_jaccard import op1_ngram_jaccard
 from bazaarlake.llm.toxicity import op3_toxicity
 from bazaarlake.llm.url_rules import OP6_SQL, op6_url_rules
+from bazaarlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan)
+    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan)
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_url_rules": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op6_url_rules": OP6_SQL}
