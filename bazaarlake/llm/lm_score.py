@@ -7,6 +7,10 @@ the sum over all segmentations, by a forward recursion in log space. Weights sta
 vocabulary's own scores (which rank the pieces) and take expected piece counts from the training
 documents (one step of expectation maximisation over the lattice: forward and backward).
 
+Words seen in training have an arc of their own besides: absolute discounting takes DISCOUNT
+from each word's count and gives that mass to the lattice, P(w) = (c - D) / N + D V / N * lattice(w).
+Without it (word_arcs=False) the score is the lattice's alone.
+
 The recursion runs once for each distinct word of the corpus, not once for each occurrence:
 word counts are combined in the tasks before the shuffle. HEAD words of the highest counts are
 broadcast (a fixed bound); occurrences of the others, few by Zipf's law, meet the word
@@ -32,6 +36,8 @@ HEAD = 1 << 19
 FLUSH = 400_000
 #: The vocabulary's own weights count as this many pieces.
 PRIOR = 10_000.0
+#: Taken from each word's count, for words that the counts don't have.
+DISCOUNT = 0.5
 #: Words of a batch of the recursion: cells of its tables.
 CELLS = 1 << 20
 _MARK = "▁".encode()
@@ -208,13 +214,20 @@ def _expect(shared):
     return run
 
 
-def _weigh(shared):
+def _weigh(shared, n_words: int, n_types: int):
+    """(hash, word, count) -> hash, count, log10 of the word's probability; n_words 0: by the lattice alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for rows, words in _by_length(batch.column(1)):
                 out[rows] = lattice.forward(words)
+            if n_words:
+                c = batch.column(2).to_numpy()
+                with np.errstate(divide="ignore"):
+                    own = np.log(np.maximum(c - DISCOUNT, 0) / n_words)
+                out = np.logaddexp(own, math.log(DISCOUNT * n_types / n_words) + out)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out / math.log(10))], ["h", "c", "lp"])
 
     return run
@@ -251,7 +264,7 @@ def _score(head, end_c: int, n_train: int, n_types: int, end_lp: float):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, word_arcs: bool = True) -> DataFrame:
     """Log10 probability of every text under the subword lattice, and under smoothed word counts.
 
     `held_out`: name of a boolean column; such rows are scored but not learnt from. Returns one
@@ -278,9 +291,10 @@ def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_i
     learnt = weight * PRIOR
     for piece, total in uses.groupBy("piece").agg(F.sum("uses")).collect():  # a row for each piece of the vocabulary at most
         learnt[piece] += total
-    end_p = (n_docs + 1) / (n_docs + 1 + learnt.sum())
-    fitted = spark.sparkContext.broadcast((pieces, spare, np.log(learnt / learnt.sum() * (1 - end_p))))
-    weighed = cut(words.select("h", "word", "c").mapInArrow(_weigh(fitted), "h long, c long, lp double"), "weighed")
+    fitted = spark.sparkContext.broadcast((pieces, spare, np.log(learnt / learnt.sum())))
+    weighed = words.select("h", "word", "c").mapInArrow(_weigh(fitted, seen[0] if word_arcs else 0, seen[1]), "h long, c long, lp double")
+    end_p = (n_docs + 1) / (n_train + 2)  # after each word, the text ends or goes on
+    weighed = cut(weighed.withColumn("lp", F.col("lp") + math.log10(1 - end_p)), "weighed")
 
     top = weighed.filter("c > 0").orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
