@@ -2,6 +2,7 @@
 
 from bazaarlake.llm.decontaminate import op8_decontaminate
 from bazaarlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from bazaarlake.llm.html_main import op4_html_main
 from bazaarlake.llm.license_scan import op10_license_scan
 from bazaarlake.llm.lm_score import op9_lm_scores
 from bazaarlake.llm.mixing import op7_mixing
@@ -12,6 +13,6 @@ from bazaarlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan)
+    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op4_html_main, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op6_url_rules": OP6_SQL}

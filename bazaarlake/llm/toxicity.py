@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bazaarlake.llm.common import _BYTE, ALNUM, Slice, _power, cut, fold, mix, slices, small_batches
 
@@ -158,6 +159,16 @@ def _score(shared):
     return run
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, id_col: str, text_col: str):
+    """The broadcast parts of a model learnt from the labels outside of the held-out fold."""
+    kept = fold(F.col(id_col), folds) != held_out
+    mine = labels.filter(kept & F.col("toxic").isNotNull())
+    counts = mine.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
+    prior = (counts[1] or 0) / counts[0] if counts[0] else 0.0
+    model = train(docs.filter(kept), mine.filter("toxic = 1"), prior, id_col, text_col)
+    return docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, model.constant))
+
+
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", score: DataFrame | None = None
 ) -> DataFrame:
@@ -170,16 +181,27 @@ def toxicity_scores(
     gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    kept = fold(F.col(id_col), folds) != held_out
-    mine = labels.filter(kept & F.col("toxic").isNotNull())
-    counts = mine.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
-    prior = (counts[1] or 0) / counts[0] if counts[0] else 0.0
-    model = train(docs.filter(kept), mine.filter("toxic = 1"), prior, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, model.constant))
+    model = _fitted(docs, labels, folds, held_out, id_col, text_col)
     rows = (docs if score is None else score).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_score(model), "id long, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
+    """The rows of `docs` that aren't predicted to be toxic, all columns as they are; scored and filtered in one pass, without a shuffle of texts."""
+    small_batches(docs.sparkSession)
+    model = _fitted(docs, labels, folds, held_out, "doc_id", "text")
+    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*model.value)
+        for batch in batches:
+            scores = [own.score(part) for part in slices(batch.column(names.index("text")), ALNUM)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, "_score"])
+
+    return docs.mapInArrow(run, schema).filter(F.col("_score") < threshold).drop("_score")
+
+
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
