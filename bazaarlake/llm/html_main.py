@@ -115,7 +115,7 @@ def block_features(blocks: list[tuple[tuple, str, int]]) -> list[list[str]]:
         words = text.count(" ") + 1
         own = path[-1][0] if path else "-"
         f = ["bias", f"own:{own}", f"words:{min(words, 64).bit_length()}", f"links:{round(4 * min(1.0, linked / max(1, len(text))))}"]
-        f += [f"ends:{text[-1] in '.!?…'}", f"stops:{min(3, len(re.findall(r'[.!?]', text)))}", f"first:{place == 0}", f"last:{place == len(blocks) - 1}"]
+        f += [f"ends:{text[-1] in '.!?…'}", f"stops:{min(3, len(re.findall(r'[.!?]', text)))}", "place:" + ("only" if len(blocks) == 1 else "first" if not place else "last" if place == len(blocks) - 1 else "inner")]
         seen = {f"in:{tag}" for tag, _ in path[:-1]} | {f"in:{own}"} | {f"name:{x}" for _, names in path for x in names}
         out.append(f + sorted(seen))
     return out

@@ -109,6 +109,9 @@ def labelled_page(seed: int) -> tuple[str, list[tuple[str, bool]]]:
                 page.tag(rng.choice(region[name][0]), region[name][1])
 
     def body() -> None:
+        if rng.random() < 0.1:  # nothing but the article, or what there is of a page that is cut off
+            page.tag(rng.choice(_ARTICLE[:-1]), page.article)
+            return
         some("notice", share=0.3)
         some("header", "menu", share=0.7)
         some("ad", "form", "side", share=0.35)
