@@ -232,7 +232,7 @@ def fill_template(lines: DataFrame, resolved: DataFrame, effects: DataFrame) ->
 
 
 def resolve_item_names(texts: DataFrame, blessings: DataFrame, egos: DataFrame, items: DataFrame, prefixes: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """texts (id, text) of words: leading blessing (70) and ego word (70) are dropped, the longest item that matches a run of words at the end (60) is taken, and the words before it are split into prefix and suffix with the best sum of ratios (60 each), compared letter by letter. The other tables: (name)."""
+    """texts (id, text) of words: leading blessing (70) and ego word (70) are dropped, the item that best matches a run of words at the end (60, ties to the longest run) is taken, and the words before it are split into prefix and suffix with the best sum of ratios (60 each), compared letter by letter. The other tables: (name)."""
 
     def near(rows: DataFrame, column: str, dictionary: DataFrame, cutoff: float, found: str) -> DataFrame:
         letters = rows.select(F.col(column).alias("w")).filter("w <> ''").distinct().select("w", jamo(F.col("w")).alias("l"))
@@ -246,7 +246,7 @@ def resolve_item_names(texts: DataFrame, blessings: DataFrame, egos: DataFrame,
         rows = rows.join(near(rows.filter("first is not null"), "first", dictionary, 70, name).drop(f"{name}_score"), "first", "left")
         rows = rows.withColumn("words", F.when(F.col(name).isNotNull(), F.slice("words", 2, F.size("words") - 1)).otherwise(F.col("words"))).drop("first")
     ends = rows.select("id", "words", "blessing", "ego", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("n")).withColumn("end", F.array_join(F.slice("words", -F.col("n"), F.col("n")), " "))
-    named = ends.join(near(ends, "end", items, 60, "item"), "end").groupBy("id").agg(F.min_by(F.struct("item", "n", "words"), F.struct((-F.col("n")).alias("a"), (-F.col("item_score")).alias("b"))).alias("x")).select("id", "x.*")
+    named = ends.join(near(ends, "end", items, 60, "item"), "end").groupBy("id").agg(F.min_by(F.struct("item", "n", "words"), F.struct((-F.col("item_score")).alias("a"), (-F.col("n")).alias("b"))).alias("x")).select("id", "x.*")
     left = named.withColumn("before", F.slice("words", F.lit(1), F.size("words") - F.col("n")))
     splits = left.select("id", "before", F.explode(F.sequence(F.lit(0), F.size("before"))).alias("k")).select("id", F.array_join(F.slice("before", F.lit(1), F.col("k")), " ").alias("p"), F.array_join(F.slice("before", F.col("k") + 1, F.size("before")), " ").alias("s"))
     splits = splits.join(near(splits, "p", prefixes, 60, "prefix"), "p", "left").join(near(splits, "s", suffixes, 60, "suffix"), "s", "left")
