@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import SPACED, cut, fold, slices, small_batches
@@ -296,9 +296,13 @@ def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_i
     end_p = (n_docs + 1) / (n_train + 2)  # after each word, the text ends or goes on
     weighed = cut(weighed.withColumn("lp", F.col("lp") + math.log10(1 - end_p)), "weighed")
 
-    top = weighed.filter("c > 0").orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
+    # words above the least count of which there are no more than HEAD words: found from the counts' histogram, so no task gathers the words themselves
+    histogram = weighed.filter("c > 0").groupBy("c").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
+    least = histogram.withColumn("upto", upto).filter(F.col("upto") <= HEAD).agg(F.min("c")).first()[0]
+    top = weighed.filter(F.col("c") >= (least or 1 << 62)).toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
+    order = np.argsort(h)  # as unsigned numbers
     head = spark.sparkContext.broadcast((h[order], top.column("c").to_numpy()[order], top.column("lp").to_numpy()[order]))
     schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>"
     end_lp = math.log10(end_p)
