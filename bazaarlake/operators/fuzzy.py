@@ -83,8 +83,9 @@ def apply_corrections(lines: DataFrame, dictionary: DataFrame, is_bullet: Column
 
 def match_headers(headers: DataFrame, patterns: DataFrame, cutoff: float = 50) -> DataFrame:
     """headers (text) with the section of the pattern (section, pattern) of the best partial ratio, null below the cutoff. The patterns are a fixed list of section titles."""
-    texts = headers.select("text").filter("text is not null").distinct().withColumn("k", F.lit(0))
-    pairs = texts.join(patterns.withColumn("k", F.lit(0)), "k").withColumn("score", partial_ratio(F.col("text"), F.col("pattern")))
+    texts = headers.select("text").filter("text is not null").distinct()
+    listed = patterns.agg(F.collect_set(F.struct("section", "pattern")).alias("listed"))  # one row
+    pairs = texts.join(F.broadcast(listed)).select("text", F.explode("listed").alias("p")).select("text", "p.*").withColumn("score", partial_ratio(F.col("text"), F.col("pattern")))
     best = pairs.filter(F.col("score") >= cutoff).groupBy("text").agg(F.min_by("section", F.struct((-F.col("score")).alias("s"), "pattern")).alias("section"))
     return headers.join(best, "text", "left")
 

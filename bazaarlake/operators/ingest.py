@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaarlake.sources.scratch import scratch_table
+
 
 def explode_effects(records: DataFrame, key: str = "id", effects: str = "effects") -> tuple[DataFrame, DataFrame]:
     """Parent rows, and a row per nested (condition, effect) with a 1-based effect_order and raw_text."""
@@ -165,10 +167,7 @@ def pair_truth(files: DataFrame, truths: DataFrame, forms: Sequence[str]) -> Dat
 
 
 def image_label_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """images (path, width, height), labels (path, text), paired by name without folder and ending; without empty labels and empty images; numbered from 1 by name.
-
-    Numbers follow from a count per range of names, not from one sorted task.
-    """
+    """images (path, width, height), labels (path, text), paired by name without folder and ending; without empty labels and empty images; numbered from 1 by name."""
     stem = lambda c: F.regexp_extract(c, r"([^/]+?)(?:\.[^./]*)?$", 1)
     good = images.filter("width > 0 and height > 0").select(stem("path").alias("name"), F.col("path").alias("image"))
     rows = good.join(labels.filter(F.trim("text") != "").select(stem("path").alias("name"), F.trim("text").alias("label")), "name")
@@ -176,9 +175,14 @@ def image_label_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def number_rows(rows: DataFrame, order: str, start: int = 1, name: str = "number") -> DataFrame:
-    """Consecutive numbers in order: each bucket of the key's first characters is numbered by itself, and shifted by the sizes of those before it."""
-    rows = rows.withColumn("bucket", F.substring(F.col(order).cast("string"), 1, 3))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy(order))
-    return rows.join(F.broadcast(sizes.select("bucket", before.alias("before"))), "bucket").withColumn(name, own + F.col("before") + (start - 1)).drop("bucket", "before")
+    """Consecutive numbers in order. Rows are range-partitioned and sorted; each partition numbers its own, and is shifted by the sizes of those before it (a row per partition is broadcast)."""
+    spark = rows.sparkSession
+    place = F.monotonically_increasing_id()  # partition in the upper bits, row of the partition in the lower 33
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).withColumn("_place", place)
+    path = scratch_table(spark, "numbered")
+    dealt.write.parquet(path)
+    kept = spark.read.schema(dealt.schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = kept.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return shifted.withColumn(name, F.col("_place").bitwiseAND((1 << 33) - 1) + F.col("_before") + start).drop("_part", "_place", "_before")

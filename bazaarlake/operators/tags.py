@@ -36,11 +36,9 @@ def add_auto_tags(attached: DataFrame, auto: DataFrame) -> DataFrame:
 
 
 def bulk_attach(names: DataFrame, targets: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every name with every target (a request of both lists), and per name how many are created and how many were there.
-
-    The request is joined to the list of names, which is broadcast only if it is small.
-    """
-    wanted = targets.withColumn("k", F.lit(1)).join(names.withColumn("k", F.lit(1)), "k").drop("k")
+    """Every name with every target (a request lists both), and per name how many are created and how many were there."""
+    listed = names.agg(F.array_sort(F.collect_set("name")).alias("listed"))  # one row: the names of a request
+    wanted = targets.join(F.broadcast(listed)).withColumn("name", F.explode("listed")).drop("listed")
     there = existing.select("name", "target_type", "target_id", F.lit(True).alias("there")).distinct()
     marked = wanted.join(there, ["name", "target_type", "target_id"], "left")
     counts = marked.groupBy("name").agg(F.count(F.when(F.col("there").isNull(), 1)).alias("created"), F.count("there").alias("duplicates"))
