@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import ALNUM, cut, slices, small_batches
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 #: Windows that are broadcast at once: at most 100,000 x window x 8 bytes, 8 MB for windows of 10.
 BLOCK_WINDOWS = 100_000
 #: Candidate positions that are held at once.
-CANDIDATES = 1_000_000
+CANDIDATES = 300_000
 
 _INDEX = "ids binary, known binary, n_words binary, terms binary, starts binary, positions binary"
 
@@ -187,8 +187,8 @@ def _search(block, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, lengths = block.value
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row)
+            for i in range(batch.num_rows):
+                shard = Shard(batch.slice(i, 1).to_pylist()[0])
                 n = len(shard.ids)
                 cover = np.zeros(shard.first[-1] + 1, np.int64)
                 pairs = []

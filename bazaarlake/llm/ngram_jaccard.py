@@ -5,18 +5,18 @@ How it works
 1. Documents with equal shingle sets become one class (partial aggregation, so a group of
    thousands of copies shrinks before the shuffle). Only class representatives go on.
 2. Product over the lowest quarter of the hash range. The incidence entries (shingle, class)
-   of that range are packed, dealt out in blocks of the hash range, and in each block the
-   classes that share a shingle of at most HOT classes get an overlap count. Summed over the
-   blocks, a count bounds the full overlap from above: the part outside of the range and the
-   frequent shingles count as shared. Pairs whose bound is below what their sizes need go.
-   By the prefix filter principle (order: frequent shingles last, then by hash) every pair
-   that can reach the threshold is found here, unless both classes have too few infrequent
-   shingles in the range.
-3. Those classes (large families of near copies, short texts) get a second product: their own
+   of that range are packed and dealt out in blocks of the hash range. A first pass counts each
+   class's frequent shingles (of more than HOT classes); in the second, the classes that share
+   an infrequent one get an overlap count in each block. Summed over the blocks, a count bounds
+   the full overlap from above: the part outside of the range and the frequent shingles count as
+   shared. Pairs whose bound is below what their sizes need go. By the prefix filter principle
+   (order: frequent shingles last, then by hash) every pair that can reach the threshold is
+   found here, unless both classes are scarce: have too few infrequent shingles in the range.
+3. Scarce classes (large families of near copies, short texts) get a second product: their own
    document frequencies order the shingles, and the rarest n - ceil(t n) + 1 of each are the keys.
-   A large key group is compared with its smallest member (a star) instead of within itself;
-   members that differ from that one are compared with those whose distance to it allows a link
-   (Jaccard distance is a metric), unless they are known to be connected.
+   A key group of over SMALL classes is compared with its smallest member (a star) instead of within itself;
+   members that differ from that one are compared with those whose distance to it (Jaccard
+   distance is a metric), size and position of the key allow a link, unless they are known to be connected.
 4. Every remaining pair is verified on the full shingle sets of the whole texts. First each
    class meets its smallest partner, then only pairs that are not connected yet are compared:
    links within a component change nothing.
@@ -33,19 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import SPACED, cut, mix, shingles, slices
+from bazaarlake.llm.common import SPACED, cut, mix, shingles, slices, small_batches
 from bazaarlake.llm.components import connected_components
 
 #: A shingle of more classes than this is frequent: it is put last in the order.
 HOT = 32
+#: Key groups of the second product up to this size are compared within themselves.
+SMALL = 4
 #: Share of the hash range of the first product.
 RANGE = 0.25
 #: Entries that a task packs at once, and aims at in a block.
-FLUSH, BLOCK = 1_500_000, 1_500_000
+FLUSH, BLOCK = 500_000, 1_000_000
 #: Stars per large group before the remaining members are compared by distance.
 STARS = 2
-#: Salts by which the members around one pivot are spread.
-SALTS = 16
+#: Members that meet one copy of their pivot, about; a pivot of more is copied, and its members are spread by salt.
+AROUND = 256
 
 
 def _sets(width: int):
@@ -66,35 +68,36 @@ def _sets(width: int):
     return run
 
 
+_ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4")])
+#: Marks in the place of n: this shingle is frequent; (added to n) this class is scarce.
+_FREQUENT, _SCARCE = -1, 1 << 30
+
+
 def _pack(n_blocks: int):
-    """Incidence entries of many classes, packed by block of the hash range; shingles frequent in this batch become a mark and a count for each class."""
+    """(id, n, hashes) -> incidence entries of many classes, packed by block of the hash range; a shingle frequent in this batch becomes one mark, and a count for each class."""
     width = int(RANGE * 2**64) // n_blocks + 1
-    kind = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4")])
 
     def flush(held: list[tuple[int, int, np.ndarray]]):
-        h = np.concatenate([x[2] for x in held])
         sizes = [len(x[2]) for x in held]
-        rows = np.empty(len(h), kind)
-        rows["h"], rows["id"], rows["n"] = h, np.repeat([x[0] for x in held], sizes), np.repeat([x[1] for x in held], sizes)
-        rows = rows[np.argsort(h, kind="stable")]
-        starts = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]]))
-        length = np.diff(np.append(starts, len(rows)))
-        hot = np.repeat(length > HOT, length)
+        rows = np.empty(sum(sizes), _ENTRY)
+        rows["h"], rows["id"], rows["n"] = np.concatenate([x[2] for x in held]), np.repeat([x[0] for x in held], sizes), np.repeat([x[1] for x in held], sizes)
+        rows = rows[np.argsort(rows["h"], kind="stable")]
+        length = _runs(rows["h"])
+        hot = length > HOT
         ids, count = np.unique(rows["id"][hot], return_counts=True)
-        marks = rows[starts[length > HOT]].copy()
-        marks["n"] = -1
+        marks = rows[hot & np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])[: len(rows)]].copy()
+        marks["n"] = _FREQUENT
         rows = np.concatenate([rows[~hot], marks])
         block = (rows["h"] // np.uint64(width)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         rows, block = rows[order], block[order]
         at = np.searchsorted(block, np.arange(n_blocks + 1))
-        full = [b for b in range(n_blocks) if at[b] < at[b + 1]]
-        blocks, blobs = list(full), [rows[at[b] : at[b + 1]].tobytes() for b in full]
-        frequent = [b""] * len(full)
-        for b in range(n_blocks if len(ids) else 0):
-            mine = mix(ids.astype(np.uint64)) % np.uint64(n_blocks) == np.uint64(b)
-            if mine.any():
-                blocks.append(b), blobs.append(b""), frequent.append(np.stack([ids[mine], count[mine]], 1).astype("<i8").tobytes())
+        full = np.unique(block).tolist()
+        blocks, blobs, frequent = list(full), [rows[at[b] : at[b + 1]].tobytes() for b in full], [b""] * len(full)
+        place = (mix(ids.astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
+        for b in np.unique(place).tolist():
+            mine = place == b
+            blocks.append(b), blobs.append(b""), frequent.append(np.stack([ids[mine], count[mine]], 1).astype("<i8").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary()), pa.array(frequent, pa.binary())], ["block", "rows", "frequent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +110,7 @@ def _pack(n_blocks: int):
                 if size >= FLUSH:
                     yield flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield flush(held)
 
     return run
@@ -120,29 +123,40 @@ def _runs(h: np.ndarray) -> np.ndarray:
     return np.repeat(length, length)
 
 
+def _block(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one block in order of the shingles, and which of them are of frequent ones."""
+    rows = np.frombuffer(b"".join(frame["rows"]), _ENTRY)
+    rows = rows[np.argsort(rows["h"], kind="stable")]
+    hot = _runs(rows["h"]) > HOT
+    mark = rows["n"] == _FREQUENT
+    if mark.any():
+        hot |= np.isin(rows["h"], rows["h"][mark])
+    return rows[~mark], hot[~mark]
+
+
+def _count_frequent(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Frequent shingles of each class in one block."""
+    rows, hot = _block(frame)
+    known = np.frombuffer(b"".join(frame["frequent"]), "<i8").reshape(-1, 2)
+    ids, count = np.unique(rows["id"][hot], return_counts=True)
+    return pd.DataFrame({"id": np.concatenate([known[:, 0], ids]), "hot": np.concatenate([known[:, 1], count])}).astype("int64")
+
+
 def _multiply(percent: int):
-    """One block of the product: pairs of classes with the number of shared infrequent shingles, and each class's number of frequent ones."""
-    kind = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4")])
+    """One block of the product: pairs of classes (not both scarce) with the number of infrequent shingles that they share."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(frame["rows"]), kind)
-        known = np.frombuffer(b"".join(frame["frequent"]), "<i8").reshape(-1, 2)
-        order = np.argsort(rows["h"], kind="stable")
-        h, ids, n = rows["h"][order], rows["id"][order], rows["n"][order]
-        length = _runs(h)
-        mark = n < 0
-        hot = length > HOT
-        if mark.any():
-            hot |= np.isin(h, h[mark])
-        more, count = np.unique(ids[hot & ~mark], return_counts=True)
-        frequent = pd.DataFrame({"a": np.concatenate([known[:, 0], more]), "b": np.int64(-1), "shared": np.concatenate([known[:, 1], count])})
-        keep = ~hot & (length > 1)
-        h, ids, n, length = h[keep], ids[keep], n[keep].astype(np.int64), length[keep]
+        rows, hot = _block(frame)
+        rows = rows[~hot]
+        length = _runs(rows["h"])
+        rows, length = rows[length > 1], length[length > 1]
+        h, ids, scarce = rows["h"], rows["id"], rows["n"] >= _SCARCE
+        n = rows["n"].astype(np.int64) % _SCARCE
         left, right = [], []
         for step in range(1, HOT):
             if len(h) <= step:
                 break
-            i = np.flatnonzero((length[:-step] > step) & (h[:-step] == h[step:]))
+            i = np.flatnonzero((length[:-step] > step) & (h[:-step] == h[step:]) & ~(scarce[:-step] & scarce[step:]))
             i = i[100 * np.minimum(n[i], n[i + step]) >= percent * np.maximum(n[i], n[i + step])]
             left.append(np.minimum(ids[i], ids[i + step]))
             right.append(np.maximum(ids[i], ids[i + step]))
@@ -151,8 +165,7 @@ def _multiply(percent: int):
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        pairs = pd.DataFrame({"a": a[first], "b": b[first], "shared": np.diff(np.append(first, len(a)))})
-        return pd.concat([pairs, frequent]).astype("int64")
+        return pd.DataFrame({"a": a[first], "b": b[first], "shared": np.diff(np.append(first, len(a)))}).astype("int64")
 
     return run
 
@@ -176,14 +189,16 @@ class _Texts:
         return likely.select("id", "text").join(wanted, "id")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) -> a, b, na, nb, shared: exact. Members (a) travel to their pivot (b); a pivot of many members is copied to SALTS places."""
+        """(a, b) -> a, b, na, nb, shared: exact. Members (a) travel to their pivot (b); a pivot of many members is copied, and they are spread by salt."""
+        pivots = pairs.groupBy("b").agg(F.ceil(F.count("*") / AROUND).cast("int").alias("salts"))
+        to = F.struct(F.col("b").alias("to"), F.pmod(F.hash("a"), F.col("salts")).alias("salt"))
         places = (
-            pairs.groupBy("a").agg(F.collect_set("b").alias("pivots")).select(F.col("a").alias("id"), "pivots", F.lit(False).alias("pivot"))
-            .unionByName(pairs.select(F.col("b").alias("id")).distinct().select("id", F.array("id").alias("pivots"), F.lit(True).alias("pivot")))
-            .groupBy("id").agg(F.flatten(F.collect_list(F.when(~F.col("pivot"), F.col("pivots")))).alias("pivots"), F.max("pivot").alias("pivot"))
+            pairs.join(pivots, "b").groupBy(F.col("a").alias("id")).agg(F.collect_set(to).alias("places"), F.lit(0).alias("salts"))
+            .unionByName(pivots.select(F.col("b").alias("id"), F.expr("cast(array() as array<struct<to: bigint, salt: int>>)").alias("places"), "salts"))
+            .groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("salts").alias("salts"))
         )
         schema = "to long, salt int, member int, id long, s binary"
-        sent = self.of(places).select("id", "text", "pivots", "pivot").mapInArrow(_send(self.width), schema)
+        sent = self.of(places).select("id", "text", "places.to", "places.salt", "salts").mapInArrow(_send(self.width), schema)
         n = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
         met = sent.repartition(n, "to", "salt").sortWithinPartitions("to", "salt", "member")
         return met.select("to", "salt", "member", "id", "s").mapInArrow(_meet, "a long, b long, na long, nb long, shared long")
@@ -192,12 +207,12 @@ class _Texts:
 def _send(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, pivots, is_pivot = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            ids, tos, salts, copies = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             for part in slices(batch.column(1), SPACED):
                 out: list[list] = [[], [], [], [], []]
                 for d, s in enumerate(shingles(part, width)):
                     i, blob = part.lo + d, s.tobytes()
-                    rows = [(p, ids[i] % SALTS, 1) for p in pivots[i] or ()] + ([(ids[i], x, 0) for x in range(SALTS)] if is_pivot[i] else [])
+                    rows = [(to, salt, 1) for to, salt in zip(tos[i], salts[i], strict=True)] + [(ids[i], salt, 0) for salt in range(copies[i])]
                     for to, salt, member in rows:
                         for column, value in zip(out, (to, salt, member, ids[i], blob), strict=True):
                             column.append(value)
@@ -246,6 +261,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document (an id must not stand for two texts); ties and repeated texts are one class; an empty table gives an empty result;
     other columns are ignored, whatever their names. Null ids are left out.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     texts = _Texts(docs, width, percent)
     sets = cut(docs.mapInArrow(_sets(width), "id long, n long, k1 long, k2 long, low binary"), "sets")
@@ -259,38 +275,39 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = sets.agg(F.sum(F.length("low")) / 8).first()[0] or 0
     n_blocks = max(4, int(total // BLOCK) + 1)
     packed = entries.mapInArrow(_pack(n_blocks), "block int, rows binary, frequent binary")
-    product = cut(packed.groupBy("block").applyInPandas(_multiply(percent), "a long, b long, shared long"), "product")
-    frequent = product.filter("b < 0").groupBy(F.col("a").alias("id")).agg(F.sum("shared").alias("hot"))
-    size = cut(
-        reps.join(sets.select("id", "n", (F.length("low") / 8).cast("long").alias("low")).dropDuplicates(["id"]), "id")
-        .join(frequent, "id", "left").select("id", "n", "low", F.coalesce("hot", F.lit(0)).alias("hot")),
-        "size",
-    )
-    counts = product.filter("b >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    sa, sb = (size.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"low{x}"), F.col("hot").alias(f"hot{x}")) for x in "ab")
-    bound = "shared + least(hota, hotb) + least(na - lowa, nb - lowb)"
+    frequent = packed.groupBy("block").applyInPandas(_count_frequent, "id long, hot long").groupBy("id").agg(F.sum("hot").alias("hot"))
+    prefix = f"n - ceil({percent} * n / 100) + 1"
+    size = reps.join(sets.select("id", "n", (F.length("low") / 8).cast("long").alias("low")).dropDuplicates(["id"]), "id").join(frequent, "id", "left")
+    size = cut(size.select("id", "n", "low", F.coalesce("hot", F.lit(0)).alias("hot")).withColumn("scarce", F.expr(f"low - hot < {prefix}")), "size")
+    # of each class the entries up to its prefix's end: that of its first `used` hashes, the frequent ones among them not counted
+    size = size.withColumn("used", F.expr(f"least(low, {prefix} + hot)"))
+    flags = size.select("id", "used", F.expr(f"cast(n + if(scarce, {_SCARCE}, 0) as long)").alias("n"))
+    flagged = sets.select("id", "low").join(flags, "id").dropDuplicates(["id"]).select("id", "n", F.expr("substring(low, 1, cast(8 * used as int))").alias("low"))
+    packed = flagged.mapInArrow(_pack(n_blocks), "block int, rows binary, frequent binary")
+    counts = packed.groupBy("block").applyInPandas(_multiply(percent), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    sa, sb = (size.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("used").alias(f"used{x}"), F.col("hot").alias(f"hot{x}")) for x in "ab")
+    # behind the hash at which one of the two ends, no more can be shared than that one has there
+    bound = "shared + least(hota, hotb) + greatest(na - useda, nb - usedb)"
     pairs = counts.join(sa, "a").join(sb, "b").filter(f"(100 + {percent}) * ({bound}) >= {percent} * (na + nb)").select("a", "b")
 
-    # 3. second product, for classes with few infrequent shingles in the range
-    prefix = f"n - ceil({percent} * n / 100) + 1"
-    scarce = size.filter(f"low - hot < {prefix}").select("id")
-    own = texts.of(scarce).mapInArrow(_incidence(width), "id long, n long, h long")
-    own = cut(own, "incidence")
+    # 3. second product, for scarce classes
+    own = cut(texts.of(size.filter("scarce").select("id")).mapInArrow(_incidence(width), "id long, n long, h long"), "incidence")
     often = own.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
     ranked = own.join(often, "h", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("s"))
-    keys = ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), F.expr(prefix).cast("int"))).alias("x")).select("id", "n", "x.h", "x.c").filter("c > 1")
-    keys = cut(keys, "keys")
+    keys = ranked.select("id", "n", F.posexplode(F.slice("s", F.lit(1), F.expr(prefix).cast("int"))).alias("pos", "x")).filter("x.c > 1")
+    keys = cut(keys.select("id", "n", "pos", "x.h"), "keys")
     group = keys.groupBy("h").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).filter("members > 1")
     met = keys.join(group, "h")
-    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    small = met.filter(f"members <= {HOT}").groupBy("h").agg(F.collect_list(F.struct("id", "n")).alias("m"))
+    # sizes, and positions: what stands before the first shared key isn't shared
+    near = f"(100 + {percent}) * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
+    small = met.filter(f"members <= {SMALL}").groupBy("h").agg(F.collect_list(F.struct("id", "n", "pos")).alias("m"))
     small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).filter(f"x.id < y.id and {near}").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    large = cut(met.filter(f"members > {HOT}").select("pivot", "id", "n").distinct(), "large")
+    large = cut(met.filter(f"members > {SMALL}").select("h", "pivot", "id", "n", "pos"), "large")
     pairs = cut(pairs.unionByName(small).distinct(), "pairs")
 
     # 4. verification: stars first, then what they leave apart
     stars = pairs.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    stars = stars.unionByName(large.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))).distinct()
+    stars = stars.unionByName(large.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()).distinct()
     checked = cut(texts.compare(stars), "checked")
     links = checked.filter(_linked(percent)).select("a", "b")
     for _ in range(STARS):
@@ -306,20 +323,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = rest.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     label = connected_components(links)
     rest = _apart(pairs, label)
-    # members of large groups that are apart from their pivot, against those that can be within reach
-    far = checked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"), F.col("na").alias("n"))
-    far = far.join(large.select("id", "pivot"), ["id", "pivot"], "left_semi")
+    # in large groups, members that are apart from their pivot and those that can be within reach of them
+    far = checked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
+    far = large.join(far.dropDuplicates(["id", "pivot"]), ["id", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     far = far.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     home = label.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
     far = cut(far.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")), "far")
     reach = (100 - percent) / 100 + 1e-9
     x, y = far.filter("component <> home").alias("x"), far.alias("y")
-    # those that are apart are bucketed by distance, so that only neighbouring buckets meet
-    step = F.floor(F.col("d") / reach)
-    x = far.filter("component <> home").withColumn("step", F.explode(F.array(step - 1, step, step + 1))).alias("x")
-    y = far.withColumn("step", step).alias("y")
-    within = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.step") == F.col("y.step")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
+    within = (F.col("x.h") == F.col("y.h")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
     rest = rest.unionByName(x.join(y, within).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
+    rest = rest.join(checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     last = texts.compare(cut(rest, "rest"))
     links = links.unionByName(last.filter(_linked(percent)).select("a", "b"))
 
@@ -345,4 +359,16 @@ def _incidence(width: int):
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85)
+    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
