@@ -283,6 +283,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = size.withColumn("used", F.expr(f"least(low, {prefix} + hot)"))
     flags = size.select("id", "used", F.expr(f"cast(n + if(scarce, {_SCARCE}, 0) as long)").alias("n"))
     flagged = sets.select("id", "low").join(flags, "id").dropDuplicates(["id"]).select("id", "n", F.expr("substring(low, 1, cast(8 * used as int))").alias("low"))
+    n_blocks = max(4, int((size.agg(F.sum("used")).first()[0] or 0) // BLOCK) + 1)  # fewer entries, fewer blocks that a pair's counts come from
     packed = flagged.mapInArrow(_pack(n_blocks), "block int, rows binary, frequent binary")
     counts = packed.groupBy("block").applyInPandas(_multiply(percent), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     sa, sb = (size.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("used").alias(f"used{x}"), F.col("hot").alias(f"hot{x}")) for x in "ab")
