@@ -45,9 +45,10 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts travel to Python in batches of at most so many rows (Spark's own default is 10,000), which bounds the memory of a worker."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Texts travel to Python in batches of at most so many rows and bytes (Spark's own defaults are 10,000 rows and 64 MB), which bounds the memory of a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
