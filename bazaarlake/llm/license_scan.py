@@ -94,14 +94,19 @@ def license_scan(
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    norms = rows.withColumn("norm", spaced(F.col("text")))
+    # as a generated row, the normalised text is computed once, however many expressions use it
+    norms = rows.select("id", "text", F.explode(F.array(spaced(F.col("text")))).alias("norm"))
 
     # base
-    words = words_of(F.col("norm"))
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-    places = [F.when(F.contains(padded, F.lit(f" {p} ")), _places(words, p)).otherwise(F.array().cast("array<int>")) for p, _ in phrases]
-    base_labels = F.filter(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(label)) for p, label in phrases]), lambda x: x.isNotNull())
-    base = norms.select(
+    holds = F.explode(F.array(F.array(*[F.contains(F.col("norm"), F.lit(p)) & F.contains(padded, F.lit(f" {p} ")) for p, _ in phrases]))).alias("holds")
+    some = F.exists("holds", lambda h: h)
+    # the words of a text with phrases are a generated column too: inside a lambda an expression would be computed for each element
+    norms_held = norms.select("id", "norm", holds).select("id", "norm", "holds", F.explode(F.array(F.when(some, words_of(F.col("norm"))))).alias("words"))
+    has = [F.col("holds")[i] for i in range(len(phrases))]
+    places = [F.when(h, _places(F.col("words"), p)).otherwise(F.array().cast("array<int>")) for h, (p, _) in zip(has, phrases, strict=True)]
+    base_labels = F.filter(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, phrases, strict=True)]), lambda x: x.isNotNull())
+    base = norms_held.select(
         "id", F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " "))).cast("long").alias("n_words"), F.flatten(F.array(*places)).alias("places"), F.array_sort(F.array_distinct(base_labels)).alias("base_list")
     )
 
@@ -126,3 +131,23 @@ def license_scan(
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+phrases(phrase, label, size) AS (VALUES {", ".join(f"('{p}', '{x}', {len(p.split())})" for p, x in PHRASES)}),
+spot AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d), phrases WHERE array_to_string(ws[i + 1:i + size], ' ') = phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM spot GROUP BY 1),
+templates(no, token, size, label) AS (VALUES {", ".join(f"({n}, '{t}', {len(set(text.split()))}, '{x}')" for n, (text, x) in enumerate(TEMPLATES) for t in sorted(set(text.split())))}),
+lines AS (SELECT doc_id, row_number() OVER () AS line, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+tokens AS (SELECT DISTINCT doc_id, line, unnest(ws) AS token FROM lines),
+found AS (SELECT doc_id, label, count(*) / size AS containment FROM tokens JOIN templates USING (token) GROUP BY doc_id, line, no, label, size HAVING count(*) >= ceil(0.9 * size)),
+best AS (SELECT doc_id, max(containment) AS containment FROM found GROUP BY 1),
+b AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spot GROUP BY 1),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM spot UNION SELECT doc_id, label FROM found) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+ CASE WHEN n_base > 0 THEN 1 ELSE coalesce(containment, 0) END::DOUBLE AS score
+FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id
+"""
