@@ -60,7 +60,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """(text, toxic) -> documents of both kinds that hold each term."""
     for batch in batches:
         kind = np.asarray(batch.column(1).to_pylist(), np.int64)
-        for part in slices(batch.column(0), ALNUM, 8 << 20):
+        for part in slices(batch.column(0), ALNUM):
             doc, term = _terms(part)
             _, first = np.unique(mix(term + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
             doc, term = doc[first], term[first]
@@ -129,10 +129,15 @@ def fit_nnpu(features: list[np.ndarray], positive: np.ndarray, n_features: int,
 
 def train(docs: DataFrame, toxic: DataFrame, prior: float, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """docs: unlabelled text; toxic: ids of confirmed toxic examples among them."""
-    by_hash = (F.xxhash64("id"), F.col("id"))
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        """The first ids by hash; those that can't be among them go before any are gathered."""
+        share = min(1.0, 4 * (most + 100) / max(rows.count(), 1))
+        return rows.filter(F.xxhash64("id") <= int(share * 2**64) - 2**63 - 1).orderBy(F.xxhash64("id"), "id").limit(most)
+
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    toxic = toxic.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct().orderBy(*by_hash).limit(POSITIVES)
-    plain = ids.select("id").orderBy(*by_hash).limit(UNLABELLED)
+    toxic = toxic.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    toxic, plain = first(toxic, POSITIVES), first(ids.select("id"), UNLABELLED)
     sample = toxic.withColumn("toxic", F.lit(1)).unionByName(plain.withColumn("toxic", F.lit(0)))
     rows = cut(ids.join(F.broadcast(sample), "id").select("id", "text", "toxic"), "sample")  # POSITIVES + UNLABELLED ids at most
     n_p, n_u = rows.filter("toxic = 1").count(), rows.filter("toxic = 0").count()
