@@ -91,9 +91,13 @@ _EFFECTS = """SELECT entry, effect_no, CASE WHEN effect_no % 3 = 0 THEN name ||
 _SLOTS = "SELECT DISTINCT line_id % 50 AS session, line_id % 2 AS slot, CASE (line_id % 50) % 3 WHEN 0 THEN 'Brand#' || (line_id % 50 % 25 + 1) WHEN 1 THEN 'Brond#' || (line_id % 50 % 25 + 1) ELSE 'xy' END AS header FROM noisy_lines"
 
 
-def _scores(t):
+# fz_effect_scores keeps to its SQL: the first six effects of an entry. The other queries have all of them.
+_ALL_EFFECTS = _EFFECTS.removesuffix(" WHERE effect_no <= 6")
+
+
+def _scores(t, effects=_ALL_EFFECTS):
     mine = t.sql(_LINES).join(t.sql(_ENTRIES), "slot")
-    return Z.effect_scores(mine, t.sql(_EFFECTS), ["entry"], 50.0)
+    return Z.effect_scores(mine, t.sql(effects), ["entry"], 50.0)
 
 
 @query(f"""WITH RECURSIVE ln AS ({_LINES}), en AS ({_ENTRIES}), ef AS ({_EFFECTS}), m AS (SELECT DISTINCT text, effect, coalesce(condition || ' ', '') || effect AS whole FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry),
@@ -101,7 +105,7 @@ pairs AS (SELECT DISTINCT text AS a, effect AS b FROM m UNION SELECT DISTINCT te
 SELECT session, ln.slot, line_no, en.entry, effect_no, greatest(x.score, y.score) AS score FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry
  JOIN ratios x ON x.a = text AND x.b = effect JOIN ratios y ON y.a = text AND y.b = coalesce(condition || ' ', '') || effect WHERE greatest(x.score, y.score) >= 70""")
 def fz_effect_scores(t):
-    return _scores(t).filter("score >= 70").select("session", "slot", "line_no", "entry", "effect_no", "score")
+    return _scores(t, _EFFECTS).filter("score >= 70").select("session", "slot", "line_no", "entry", "effect_no", "score")
 
 
 @query()
@@ -111,12 +115,12 @@ def fz_assign_greedy(t):
 
 @query()
 def fz_effect_correct(t):
-    pairs = Z.assign_greedy(_scores(t), ["session", "slot", "entry"]).join(t.sql(_LINES), ["session", "slot", "line_no"]).join(t.sql(_EFFECTS), ["entry", "effect_no"])
+    pairs = Z.assign_greedy(_scores(t), ["session", "slot", "entry"]).join(t.sql(_LINES), ["session", "slot", "line_no"]).join(t.sql(_ALL_EFFECTS), ["entry", "effect_no"])
     return pairs.select("session", "slot", "entry", "line_no", Z.effect_text(F.col("text"), F.col("effect"), F.col("effect").contains("~")).alias("corrected"))
 
 
 def _evidence(t):
-    return Z.resolve_by_evidence(t.sql(_SLOTS), t.sql(_LINES), t.sql(_ENTRIES), t.sql(_EFFECTS))
+    return Z.resolve_by_evidence(t.sql(_SLOTS), t.sql(_LINES), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
 
 
 @query()
@@ -126,7 +130,7 @@ def er_evidence(t):
 
 @query()
 def er_by_effects(t):
-    return Z.resolve_by_effects(t.sql(_LINES), t.sql(_ENTRIES), t.sql(_EFFECTS))
+    return Z.resolve_by_effects(t.sql(_LINES), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
 
 
 def _resolved(t):
@@ -145,7 +149,7 @@ def er_priority(t):
 @query()
 def er_template_effects(t):
     resolved = _evidence(t).filter("entry is not null")
-    return Z.fill_template(t.sql(_LINES), resolved, t.sql(_EFFECTS)).select("session", "slot", "entry", "effect_no", "line_no", "text")
+    return Z.fill_template(t.sql(_LINES), resolved, t.sql(_ALL_EFFECTS)).select("session", "slot", "entry", "effect_no", "line_no", "text")
 
 
 @query()
