@@ -100,12 +100,11 @@ def lookup_names(queries: DataFrame, entries: DataFrame, cutoff: float = 85) ->
 
 
 def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
-    """lines (on, line_no, text) x effects (on, effect_no, effect, condition) -> score: the better of the effect alone and with its condition."""
+    """lines (on, line_no, text) x effects (on, effect_no, effect, condition) -> score, `floor` at least: the better of the effect alone and with its condition. Equal texts are scored once."""
     whole = F.concat_ws(" ", "condition", "effect")
-    pairs = lines.join(effects, list(on)).withColumn("whole", whole)
-    if floor:
-        pairs = pairs.filter(can_reach(F.col("text"), F.col("effect"), floor) | can_reach(F.col("text"), F.col("whole"), floor))
-    return pairs.withColumn("score", F.greatest(indel_ratio(F.col("text"), F.col("effect")), indel_ratio(F.col("text"), F.col("whole")))).drop("whole")
+    pairs = lines.select(*on, "text").filter("text is not null").distinct().join(effects.withColumn("whole", whole), list(on))
+    scored = pairs.withColumn("score", F.greatest(indel_ratio(F.col("text"), F.col("effect")), indel_ratio(F.col("text"), F.col("whole")))).drop("whole")
+    return lines.join(scored.filter(F.col("score") >= floor), [*on, "text"])
 
 
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
@@ -147,6 +146,12 @@ def assign_greedy(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return _grouped(scores, by, _greedy)
 
 
+def with_unmatched(pairs: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Assigned pairs (by, line_no, effect_no, score), and the lines (by, line_no) without one with effect_no -1 and score 0."""
+    left = lines.select(*by, "line_no").join(pairs, [*by, "line_no"], "left_anti")
+    return pairs.unionByName(left.withColumns({"effect_no": F.lit(-1).cast(pairs.schema["effect_no"].dataType), "score": F.lit(0.0)}))
+
+
 def assign_in_turn(scores: DataFrame, by: Sequence[str], floor: float = 0.0) -> DataFrame:
     """1:1 pairs, line after line; another assignment than assign_greedy."""
     return _grouped(scores, by, _in_turn(floor))

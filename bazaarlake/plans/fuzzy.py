@@ -95,9 +95,8 @@ _SLOTS = "SELECT DISTINCT line_id % 50 AS session, line_id % 2 AS slot, CASE (li
 _ALL_EFFECTS = _EFFECTS.removesuffix(" WHERE effect_no <= 6")
 
 
-def _scores(t, effects=_ALL_EFFECTS):
-    mine = t.sql(_LINES).join(t.sql(_ENTRIES), "slot")
-    return Z.effect_scores(mine, t.sql(effects), ["entry"], 50.0)
+def _candidates(t):
+    return t.sql(_LINES).join(t.sql(_ENTRIES), "slot")
 
 
 @query(f"""WITH RECURSIVE ln AS ({_LINES}), en AS ({_ENTRIES}), ef AS ({_EFFECTS}), m AS (SELECT DISTINCT text, effect, coalesce(condition || ' ', '') || effect AS whole FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry),
@@ -105,17 +104,21 @@ pairs AS (SELECT DISTINCT text AS a, effect AS b FROM m UNION SELECT DISTINCT te
 SELECT session, ln.slot, line_no, en.entry, effect_no, greatest(x.score, y.score) AS score FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry
  JOIN ratios x ON x.a = text AND x.b = effect JOIN ratios y ON y.a = text AND y.b = coalesce(condition || ' ', '') || effect WHERE greatest(x.score, y.score) >= 70""")
 def fz_effect_scores(t):
-    return _scores(t, _EFFECTS).filter("score >= 70").select("session", "slot", "line_no", "entry", "effect_no", "score")
+    return Z.effect_scores(_candidates(t), t.sql(_EFFECTS), ["entry"], 70.0).select("session", "slot", "line_no", "entry", "effect_no", "score")
+
+
+def _assigned(t):
+    return Z.assign_greedy(Z.effect_scores(_candidates(t), t.sql(_ALL_EFFECTS), ["entry"]), ["session", "slot", "entry"])
 
 
 @query()
 def fz_assign_greedy(t):
-    return Z.assign_greedy(_scores(t), ["session", "slot", "entry"])
+    return Z.with_unmatched(_assigned(t), _candidates(t), ["session", "slot", "entry"])
 
 
 @query()
 def fz_effect_correct(t):
-    pairs = Z.assign_greedy(_scores(t), ["session", "slot", "entry"]).join(t.sql(_LINES), ["session", "slot", "line_no"]).join(t.sql(_ALL_EFFECTS), ["entry", "effect_no"])
+    pairs = _assigned(t).join(t.sql(_LINES), ["session", "slot", "line_no"]).join(t.sql(_ALL_EFFECTS), ["entry", "effect_no"])
     return pairs.select("session", "slot", "entry", "line_no", Z.effect_text(F.col("text"), F.col("effect"), F.col("effect").contains("~")).alias("corrected"))
 
 

@@ -24,3 +24,35 @@ def test_all_effects_of_an_entry(spark, parts):
     names = {r["corrected"] for r in QUERIES["fz_effect_correct"](spark, parts).collect()}
     assert {"blue bow", "grim gauntlet", "holy halberd"} <= names
     assert {r["effect_no"] for r in QUERIES["er_template_effects"](spark, parts).collect()} == set(range(1, 10))
+
+
+def test_greedy_is_whole(spark, parts):
+    """Every line has one row for each entry: pairs of any score above 0 from the best down, and (-1, 0) without one."""
+    from bazaarlake.functions.similarity import ratio
+    from bazaarlake.plans.fuzzy import _ALL_EFFECTS, _ENTRIES, _LINES
+    from bazaarlake.sources.tables import Tables
+
+    t = Tables(spark, parts)
+    want = []
+    lines = t.sql(_LINES).collect()
+    for entry in t.sql(_ENTRIES).collect():
+        effects = [e for e in t.sql(_ALL_EFFECTS).collect() if e["entry"] == entry["entry"]]
+        for session, slot in {(x["session"], x["slot"]) for x in lines if x["slot"] == entry["slot"]}:
+            mine = [x for x in lines if (x["session"], x["slot"]) == (session, slot)]
+            pairs = [(max(ratio(x["text"], e["effect"]), ratio(x["text"], f"{e['condition'] or ''} {e['effect']}".strip())), x["line_no"], e["effect_no"]) for x in mine for e in effects]
+            found = {}
+            for score, line, effect in sorted(pairs, reverse=True):
+                if score > 0 and line not in found and effect not in {f for f, _ in found.values()}:
+                    found[line] = (effect, score)
+            want += [(session, slot, entry["entry"], x["line_no"], *found.get(x["line_no"], (-1, 0.0))) for x in mine]
+    got = [tuple(r) for r in QUERIES["fz_assign_greedy"](spark, parts).select("session", "slot", "entry", "line_no", "effect_no", "score").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_unmatched_lines(spark):
+    from bazaarlake.operators.fuzzy import assign_greedy, with_unmatched
+
+    rows = [(1, 1, 1, 30.0), (1, 2, 1, 20.0), (1, 3, 1, 0.0)]
+    scores = spark.createDataFrame(rows, "session int, line_no int, effect_no int, score double")
+    lines = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "session int, line_no int")
+    assert sorted(map(tuple, with_unmatched(assign_greedy(scores, ["session"]), lines, ["session"]).collect())) == [(1, 1, 1, 30.0), (1, 2, -1, 0.0), (1, 3, -1, 0.0), (2, 1, -1, 0.0)]
