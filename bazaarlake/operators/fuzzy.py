@@ -135,7 +135,7 @@ def _in_turn(floor: float):
 
 
 def _grouped(scores: DataFrame, by: Sequence[str], f) -> DataFrame:
-    """A group is a slot's lines against one entry's effects: a few dozen rows."""
+    """A group is a slot's lines times one entry's effects, in a task's memory: sessions must be of bounded size."""
     columns = [*by, "line_no", "effect_no", "score"]
     rows = scores.select(*columns)
     return rows.groupBy(*by).applyInPandas(f, rows.schema)

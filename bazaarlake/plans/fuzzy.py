@@ -88,15 +88,21 @@ _LINES = "SELECT file_id AS session, line_id % 2 AS slot, line_id AS line_no, te
 _ENTRIES = "SELECT CAST(id AS BIGINT) AS entry, CAST(id % 2 AS BIGINT) AS slot, name FROM tags"
 _EFFECTS = """SELECT entry, effect_no, CASE WHEN effect_no % 3 = 0 THEN name || ' 2 ~ ' || (entry + 2) ELSE name END AS effect, CASE WHEN effect_no % 4 = 0 THEN 'if' END AS condition
  FROM (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS entry, p_name AS name, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) AS effect_no FROM part GROUP BY p_brand, p_name) WHERE effect_no <= 6"""
-_SLOTS = "SELECT DISTINCT line_id % 50 AS session, line_id % 2 AS slot, CASE (line_id % 50) % 3 WHEN 0 THEN 'Brand#' || (line_id % 50 % 25 + 1) WHEN 1 THEN 'Brond#' || (line_id % 50 % 25 + 1) ELSE 'xy' END AS header FROM noisy_lines"
+# Sessions of 40 line numbers at every size; fz_effect_scores keeps to its SQL: a session is a file, of which there are 50.
+_SESSION_LINES = "SELECT line_id div 40 AS session, line_id % 2 AS slot, line_id AS line_no, text, gt FROM noisy_lines"
+_SLOTS = f"SELECT DISTINCT session, slot, CASE session % 3 WHEN 0 THEN 'Brand#' || (session % 25 + 1) WHEN 1 THEN 'Brond#' || (session % 25 + 1) ELSE 'xy' END AS header FROM ({_SESSION_LINES})"
 
 
 # fz_effect_scores keeps to its SQL: the first six effects of an entry. The other queries have all of them.
 _ALL_EFFECTS = _EFFECTS.removesuffix(" WHERE effect_no <= 6")
 
 
-def _candidates(t):
-    return t.sql(_LINES).join(t.sql(_ENTRIES), "slot")
+def _lines(t):
+    return t.sql(_SESSION_LINES).drop("gt")
+
+
+def _candidates(t, lines=None):
+    return (lines or _lines(t)).join(t.sql(_ENTRIES), "slot")
 
 
 @query(f"""WITH RECURSIVE ln AS ({_LINES}), en AS ({_ENTRIES}), ef AS ({_EFFECTS}), m AS (SELECT DISTINCT text, effect, coalesce(condition || ' ', '') || effect AS whole FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry),
@@ -104,7 +110,7 @@ pairs AS (SELECT DISTINCT text AS a, effect AS b FROM m UNION SELECT DISTINCT te
 SELECT session, ln.slot, line_no, en.entry, effect_no, greatest(x.score, y.score) AS score FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry
  JOIN ratios x ON x.a = text AND x.b = effect JOIN ratios y ON y.a = text AND y.b = coalesce(condition || ' ', '') || effect WHERE greatest(x.score, y.score) >= 70""")
 def fz_effect_scores(t):
-    return Z.effect_scores(_candidates(t), t.sql(_EFFECTS), ["entry"], 70.0).select("session", "slot", "line_no", "entry", "effect_no", "score")
+    return Z.effect_scores(_candidates(t, t.sql(_LINES)), t.sql(_EFFECTS), ["entry"], 70.0).select("session", "slot", "line_no", "entry", "effect_no", "score")
 
 
 def _assigned(t):
@@ -118,12 +124,12 @@ def fz_assign_greedy(t):
 
 @query()
 def fz_effect_correct(t):
-    pairs = _assigned(t).join(t.sql(_LINES), ["session", "slot", "line_no"]).join(t.sql(_ALL_EFFECTS), ["entry", "effect_no"])
+    pairs = _assigned(t).join(_lines(t), ["session", "slot", "line_no"]).join(t.sql(_ALL_EFFECTS), ["entry", "effect_no"])
     return pairs.select("session", "slot", "entry", "line_no", Z.effect_text(F.col("text"), F.col("effect"), F.col("effect").contains("~")).alias("corrected"))
 
 
 def _evidence(t):
-    return Z.resolve_by_evidence(t.sql(_SLOTS), t.sql(_LINES), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
+    return Z.resolve_by_evidence(t.sql(_SLOTS), _lines(t), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
 
 
 @query()
@@ -133,14 +139,14 @@ def er_evidence(t):
 
 @query()
 def er_by_effects(t):
-    return Z.resolve_by_effects(t.sql(_LINES), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
+    return Z.resolve_by_effects(_lines(t), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
 
 
 def _resolved(t):
     entries = t.sql(_ENTRIES)
     by_evidence = _evidence(t).join(entries.select("entry", "name"), "entry").select("session", "slot", "name")
     raw = t.sql(_SLOTS).select("session", "slot", F.col("header").alias("name"))
-    item = t.sql("SELECT file_id AS session, line_id % 2 AS slot, min(CASE WHEN file_id % 7 = 0 THEN 'Brand#' || (file_id % 5 + 1) ELSE gt END) AS name FROM noisy_lines GROUP BY 1, 2")
+    item = t.sql(f"SELECT session, slot, min(CASE WHEN session % 7 = 0 THEN 'Brand#' || (session % 5 + 1) ELSE gt END) AS name FROM ({_SESSION_LINES}) GROUP BY 1, 2")
     return Z.resolve_by_priority([("item_name", item), ("header", raw), ("evidence", by_evidence)], t.sql(_SLOTS).select("session", "slot"), entries)
 
 
@@ -152,7 +158,7 @@ def er_priority(t):
 @query()
 def er_template_effects(t):
     resolved = _evidence(t).filter("entry is not null")
-    return Z.fill_template(t.sql(_LINES), resolved, t.sql(_ALL_EFFECTS)).select("session", "slot", "entry", "effect_no", "line_no", "text")
+    return Z.fill_template(_lines(t), resolved, t.sql(_ALL_EFFECTS)).select("session", "slot", "entry", "effect_no", "line_no", "text")
 
 
 @query()

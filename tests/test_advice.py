@@ -10,9 +10,9 @@ NAMES = ("amber axe", "blue bow", "cold club", "dark dart", "elder epee", "fine
 
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
-    """Folder with a table part of two brands: nine names each, line 4 k has a name as it is."""
+    """Folder with a table part of two brands: nine names each, those of brand 1 backwards."""
     folder = str(tmp_path_factory.mktemp("parts"))
-    rows = [(4 * i + 4, name, f"Brand#{brand}", "SMALL", i + 1, 1.0) for brand in (1, 2) for i, name in enumerate(NAMES, 9 * brand - 9)]
+    rows = [(4 * i + 4, name[:: 1 if brand == 2 else -1], f"Brand#{brand}", "SMALL", i + 1, 1.0) for brand in (1, 2) for i, name in enumerate(NAMES, 9 * brand - 9)]
     spark.createDataFrame(rows, SCHEMAS["part"]).write.parquet(f"{folder}/part.parquet")
     return folder
 
@@ -29,12 +29,12 @@ def test_all_effects_of_an_entry(spark, parts):
 def test_greedy_is_whole(spark, parts):
     """Every line has one row for each entry: pairs of any score above 0 from the best down, and (-1, 0) without one."""
     from bazaarlake.functions.similarity import ratio
-    from bazaarlake.plans.fuzzy import _ALL_EFFECTS, _ENTRIES, _LINES
+    from bazaarlake.plans.fuzzy import _ALL_EFFECTS, _ENTRIES, _lines
     from bazaarlake.sources.tables import Tables
 
     t = Tables(spark, parts)
     want = []
-    lines = t.sql(_LINES).collect()
+    lines = _lines(t).collect()
     for entry in t.sql(_ENTRIES).collect():
         effects = [e for e in t.sql(_ALL_EFFECTS).collect() if e["entry"] == entry["entry"]]
         for session, slot in {(x["session"], x["slot"]) for x in lines if x["slot"] == entry["slot"]}:
@@ -47,6 +47,7 @@ def test_greedy_is_whole(spark, parts):
             want += [(session, slot, entry["entry"], x["line_no"], *found.get(x["line_no"], (-1, 0.0))) for x in mine]
     got = [tuple(r) for r in QUERIES["fz_assign_greedy"](spark, parts).select("session", "slot", "entry", "line_no", "effect_no", "score").collect()]
     assert sorted(got) == sorted(want)
+    assert any(0 < r[5] < 50 for r in got)
 
 
 def test_unmatched_lines(spark):
@@ -56,3 +57,12 @@ def test_unmatched_lines(spark):
     scores = spark.createDataFrame(rows, "session int, line_no int, effect_no int, score double")
     lines = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "session int, line_no int")
     assert sorted(map(tuple, with_unmatched(assign_greedy(scores, ["session"]), lines, ["session"]).collect())) == [(1, 1, 1, 30.0), (1, 2, -1, 0.0), (1, 3, -1, 0.0), (2, 1, -1, 0.0)]
+
+
+def test_sessions_are_bounded(spark, tmp_path):
+    """However large part gets, a session has 40 lines at most."""
+    rows = [(i, NAMES[i % 3], "Brand#2", "SMALL", 1, 1.0) for i in range(1, 2501)]
+    spark.createDataFrame(rows, SCHEMAS["part"]).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["fz_assign_greedy"](spark, str(tmp_path)).groupBy("session").count().collect()
+    assert max(r["count"] for r in got) <= 40 and sum(r["count"] for r in got) == 1250
+    assert QUERIES["er_evidence"](spark, str(tmp_path)).count() == 2 * 63
