@@ -24,9 +24,12 @@ from bazaarlake.llm.layouts import labelled_pages
 #: Pages that the field is trained on, steps of training, weight decay.
 PAGES, STEPS, DECAY = 500, 150, 1e-3
 #: Tags whose content is no text of the page.
-_HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas select textarea".split())
+_HIDDEN = frozenset("script style head title noscript template svg iframe object canvas select textarea annotation annotation-xml".split())
 #: Tags that don't end a block.
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
+_MATH = frozenset("math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror maction semantics annotation annotation-xml".split())
+_INLINE = _MATH | frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br input".split())
+#: Tags that can stand in a head; any other ends it.
+_HEAD = frozenset("base link meta title style script noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end an open one of the same kind without an end tag, and where the search for it stops.
 _CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
@@ -50,7 +53,18 @@ class _Blocks(HTMLParser):
             self.blocks.append((tuple(x for x in self.open if x[0] not in _INLINE), text, self.linked))
         self.text, self.linked = [], 0
 
+    def end_head(self, anywhere: bool = False) -> None:
+        """Ends an open head; unless anywhere, only one whose own content this is."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "head":
+                self.close(i)
+                break
+            if not anywhere:
+                break
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _HEAD:
+            self.end_head(tag == "body")
         if tag == "br":
             self.text.append("\n")
         if tag not in _INLINE:
@@ -96,6 +110,8 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
             if self.links:
