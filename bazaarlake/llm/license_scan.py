@@ -1,12 +1,14 @@
 """License scans, in DataFrame functions only.
 
 Base: places where a license phrase's words stand consecutively. The method: an exact
-set-similarity join of text blocks (the lines of a text) with license templates. The tokens of
+set-similarity join of text blocks with license templates. A block of a template is any run of
+twice its words in the normalised text, wherever lines end. The tokens of
 the templates are ordered by their document frequency in the whole corpus, rarest first. A block that
 holds at least c of a template's t tokens holds one of its t - ceil(c t) + 1 rarest, so the equi-join
-is on those (prefix filter); blocks with fewer distinct tokens than ceil(c t) go (length
-filter), and so do those whose first shared token stands so late in the order that the rest
-can't reach ceil(c t) (positional filter). What is left is counted exactly.
+is on the places of those in the text (prefix filter); surroundings with fewer words than ceil(c t) go (length
+filter), and so do those whose token stands so late in the order that the rest
+can't reach ceil(c t) (positional filter), and those that don't hold ceil(c t) of the tokens. In what
+is left, all blocks around the place are counted exactly.
 """
 
 from __future__ import annotations
@@ -70,26 +72,26 @@ def token_order(norms: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
 
 
 def _template_table(spark, frequency: dict[str, int], templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """A row for each prefix token of each template: token, its place, tokens (in order), least overlap, label."""
+    """A row for each prefix token of each template: token, its place, tokens (in order), least overlap, words of a block, label."""
     rows = []
     for no, (text, label) in enumerate(templates):
         tokens = sorted(set(text.split(" ")), key=lambda t: (frequency.get(t, 0), t))
         least = -int(-threshold * len(tokens) // 1)
-        rows += [(no, tokens[i], i, tokens, least, label) for i in range(len(tokens) - least + 1)]
-    return spark.createDataFrame(rows, "template int, token string, place int, tokens array<string>, least int, label string")
+        rows += [(no, tokens[i], i, tokens, least, 2 * len(text.split(" ")), label) for i in range(len(tokens) - least + 1)]
+    return spark.createDataFrame(rows, "template int, token string, place int, tokens array<string>, least int, width int, label string")
 
 
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.9
 ) -> DataFrame:
-    """License phrases of whole texts, and labels of template matches in their lines.
+    """License phrases of whole texts, and labels of template matches in runs of their words.
 
     Returns one row per row of `docs`: the id, n_words, n_base (all places of all phrases),
     first_word and last_word (smallest and largest start; null without places), base_labels, labels
     (base and template labels, distinct, sorted, comma-joined), score (1 if a phrase is there, else
     the largest containment of a template, 0 if none reaches the threshold). Defined cases: null
-    and empty texts have no words, no places and empty labels; texts and lines of any length are used
-    whole; overlapping places all count; rows repeated with one id share their template labels; a
+    and empty texts have no words, no places and empty labels; texts of any length are used
+    whole; line ends are gaps like others; overlapping places all count; rows repeated with one id share their template labels; a
     null id has none of these; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -113,13 +115,21 @@ def license_scan(
     # templates
     frequency = token_order(norms, {t for text, _ in templates for t in text.split(" ")})
     table = _template_table(spark, frequency, templates, threshold)
-    prefix = F.array(*[F.lit(r["token"]) for r in table.select("token").distinct().orderBy("token").collect()])  # of the templates alone
-    held = norms.filter(F.arrays_overlap(F.split("norm", " "), prefix)).select("id", F.explode(F.split("text", "\n")).alias("line"))
-    blocks = held.select("id", F.array_distinct(F.split(spaced(F.col("line")), " ")).alias("have"))
-    keyed = blocks.select("id", "have", F.explode(F.array_intersect("have", prefix)).alias("token"))
-    met = keyed.join(F.broadcast(table), "token").filter("size(have) >= least and size(tokens) - place >= least")
-    shared = F.size(F.array_intersect("have", "tokens"))
-    matches = met.withColumn("shared", shared).filter("shared >= least")
+    listed = [r["token"] for r in table.select("token").distinct().orderBy("token").collect()]  # of the templates alone
+    prefix = F.array(*[F.lit(t) for t in listed])
+    held = norms.filter(F.arrays_overlap(F.split("norm", " "), prefix)).select("id", F.explode(F.array(F.split("norm", " "))).alias("words"))
+    most = 2 * max(len(text.split(" ")) for text, _ in templates)
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(listed))
+    around = lambda i: F.struct(F.get("words", i).alias("token"), F.least(i, F.lit(most - 1)).alias("before"), F.slice("words", F.greatest(i + 2 - most, F.lit(1)), F.least(i, F.lit(most - 1)) + most).alias("near"))
+    spots = held.select("id", F.explode(F.array_distinct(F.transform(at, around))).alias("x")).select("id", "x.*")
+    met = spots.join(F.broadcast(table), "token").filter("size(near) >= least and size(tokens) - place >= least")
+    # all of a template's blocks that hold the place
+    left = F.least("before", F.col("width") - 1)
+    near = F.slice("near", F.col("before") - left + 1, left + F.col("width"))
+    close = met.select("id", "tokens", "least", "width", "label", near.alias("near")).filter(F.size(F.array_intersect("near", "tokens")) >= F.col("least"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
+    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("width")), F.col("tokens")))))
+    matches = close.withColumn("shared", shared).filter("shared >= least")
     found = matches.groupBy("id").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("tokens")).alias("containment"))
     joined = base.join(found, "id", "left")
     labels = F.array_sort(F.array_union("base_list", F.coalesce("more", F.array().cast("array<string>"))))

@@ -1,6 +1,20 @@
 """Cases of the review: corpus operators."""
 
 
+def test_license_over_line_ends(spark):
+    """Notices in the line breaks they are published with; words scattered over a long line are none."""
+    from bazaarlake.llm.license_scan import license_scan
+
+    texts = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+        "mpl": "x\n" * 300 + "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "": "released " + "a b c d " * 9 + "under " + "e f g h " * 9 + "the mit " + "i j k l " * 9 + "license",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan(docs).collect()} == {label: label for label in texts}
+
+
 def test_open_head_and_math():
     from bazaarlake.llm.html_main import page_blocks
 
