@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new local one only where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a new local one in local mode (as in tests), and an error on a cluster."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bazaarlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -154,17 +156,19 @@ def slices(column: pa.Array, word_bytes: np.ndarray, limit: int = SLICE_BYTES):
         lo = hi
 
 
-_WEIGHTS = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3)]
+def _weights(width: int) -> np.ndarray:
+    """An odd 64-bit number for each place of a shingle."""
+    return mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(part: Slice, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document; fewer words than `width` make one shingle, none make none."""
-    words, n = part.hashes(), part.counts()
+    words, n, weights = part.hashes(), part.counts(), _weights(width)
     first = np.concatenate([[0], np.cumsum(n)])
     if len(words) >= width:
         whole = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
-            whole += words[i : len(whole) + i] * _WEIGHTS[i]
+            whole += words[i : len(whole) + i] * weights[i]
         whole = mix(whole)
     out = []
     for d in range(part.n_docs):
@@ -175,7 +179,7 @@ def shingles(part: Slice, width: int) -> list[np.ndarray]:
         elif b > a:
             x = int(b - a)
             for i in range(a, b):
-                x = (x * _BASE + int(words[i]) * int(_WEIGHTS[i - a])) % (1 << 64)
+                x = (x * _BASE + int(words[i]) * int(weights[i - a])) % (1 << 64)
             out.append(mix(np.array([x], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -7,7 +7,8 @@ How it works
 2. Product over the lowest quarter of the hash range. The incidence entries (shingle, class)
    of that range are packed and dealt out in blocks of the hash range. A first pass counts each
    class's frequent shingles (of more than HOT classes); in the second, the classes that share
-   an infrequent one get an overlap count in each block. Summed over the blocks, a count bounds
+   an infrequent one get an overlap count in each block, unless their sizes and its places in their
+   sorted shingles already rule a link out. Summed over the blocks, a count bounds
    the full overlap from above: the part outside of the range and the frequent shingles count as
    shared. Pairs whose bound is below what their sizes need go. By the prefix filter principle
    (order: frequent shingles last, then by hash) every pair that can reach the threshold is
@@ -16,7 +17,8 @@ How it works
    document frequencies order the shingles, and the rarest n - ceil(t n) + 1 of each are the keys.
    A key group of over SMALL classes is compared with its smallest member (a star) instead of within itself;
    members that differ from that one are compared with those whose distance to it (Jaccard
-   distance is a metric), size and position of the key allow a link, unless they are known to be connected.
+   distance is a metric; groups are split into rings of the threshold's width, and a ring meets its neighbours),
+   size and position of the key allow a link, unless they are known to be connected.
 4. Every remaining pair is verified on the full shingle sets of the whole texts. First each
    class meets its smallest partner, then only pairs that are not connected yet are compared:
    links within a component change nothing.
@@ -37,7 +39,7 @@ from bazaarlake.llm.common import SPACED, cut, mix, shingles, slices, small_batc
 from bazaarlake.llm.components import connected_components
 
 #: A shingle of more classes than this is frequent: it is put last in the order.
-HOT = 32
+HOT = 8
 #: Key groups of the second product up to this size are compared within themselves.
 SMALL = 4
 #: Share of the hash range of the first product.
@@ -68,7 +70,7 @@ def _sets(width: int):
     return run
 
 
-_ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4")])
+_ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 #: Marks in the place of n: this shingle is frequent; (added to n) this class is scarce.
 _FREQUENT, _SCARCE = -1, 1 << 30
 
@@ -81,6 +83,7 @@ def _pack(n_blocks: int):
         sizes = [len(x[2]) for x in held]
         rows = np.empty(sum(sizes), _ENTRY)
         rows["h"], rows["id"], rows["n"] = np.concatenate([x[2] for x in held]), np.repeat([x[0] for x in held], sizes), np.repeat([x[1] for x in held], sizes)
+        rows["pos"] = np.concatenate([np.arange(size) for size in sizes])
         rows = rows[np.argsort(rows["h"], kind="stable")]
         length = _runs(rows["h"])
         hot = length > HOT
@@ -151,13 +154,16 @@ def _multiply(percent: int):
         length = _runs(rows["h"])
         rows, length = rows[length > 1], length[length > 1]
         h, ids, scarce = rows["h"], rows["id"], rows["n"] >= _SCARCE
-        n = rows["n"].astype(np.int64) % _SCARCE
+        n, pos = rows["n"].astype(np.int64) % _SCARCE, rows["pos"].astype(np.int64)
         left, right = [], []
         for step in range(1, HOT):
             if len(h) <= step:
                 break
             i = np.flatnonzero((length[:-step] > step) & (h[:-step] == h[step:]) & ~(scarce[:-step] & scarce[step:]))
-            i = i[100 * np.minimum(n[i], n[i + step]) >= percent * np.maximum(n[i], n[i + step])]
+            # what stands before a shared shingle in both orders, and what stands behind it, bound the overlap
+            j = i + step
+            most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+            i = i[(100 + percent) * most >= percent * (n[i] + n[j])]
             left.append(np.minimum(ids[i], ids[i + step]))
             right.append(np.maximum(ids[i], ids[i + step]))
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -259,15 +265,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blank texts have an empty set and link with nothing (their own class and component); fewer
     words than `width` make one shingle; rows repeated with the same id and text are one
     document (an id must not stand for two texts); ties and repeated texts are one class; an empty table gives an empty result;
-    other columns are ignored, whatever their names. Null ids are left out.
+    other columns are ignored, whatever their names. A row with a null id belongs to the class of its
+    set if a document with an id has the same one (else class and component are null), and links nothing itself.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    texts = _Texts(docs, width, percent)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = _Texts(docs.filter("id is not null"), width, percent)
     sets = cut(docs.mapInArrow(_sets(width), "id long, n long, k1 long, k2 long, low binary"), "sets")
 
     # 1. classes
-    classes = cut(sets.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
+    classes = cut(sets.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id"))
     entries = sets.filter("n > 0").select("id", "n", "low").join(reps, "id", "left_semi").dropDuplicates(["id"])
 
@@ -331,8 +338,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     home = label.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
     far = cut(far.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")), "far")
     reach = (100 - percent) / 100 + 1e-9
-    x, y = far.filter("component <> home").alias("x"), far.alias("y")
-    within = (F.col("x.h") == F.col("y.h")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
+    ring = F.floor(F.col("d") / reach)
+    x = far.filter("component <> home").withColumn("ring", F.explode(F.array(ring - 1, ring, ring + 1))).alias("x")
+    y = far.withColumn("ring", ring).alias("y")
+    within = (F.col("x.h") == F.col("y.h")) & (F.col("x.ring") == F.col("y.ring")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
     rest = rest.unionByName(x.join(y, within).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
     rest = rest.join(checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     last = texts.compare(cut(rest, "rest"))

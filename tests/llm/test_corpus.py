@@ -90,6 +90,36 @@ def test_ngram_jaccard(docs, texts, empty, width, percent):
         assert ngram_jaccard_join(empty).count() == 0
 
 
+def test_ngram_jaccard_odd_rows(spark):
+    """Repeated rows, null ids, and shingles wider than the usual ones."""
+    from bazaarlake.llm.ngram_jaccard import ngram_jaccard_join
+
+    text = made_up(random.Random(4), 50)
+    rows = [(5, text), (5, text), (2, text + " more"), (None, text), (None, "no copy of this text is there"), (9, "else"), (None, None)]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=7, percent=90).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(5, 44, 2), (5, 44, 2), (2, 45, 2), (None, 44, 2), (None, 1, None), (9, 1, 9), (None, 0, None)], key=str)
+
+
+def test_ngram_jaccard_emits_few_counts(spark):
+    """A shared passage and a family of near copies give partial counts in proportion to the documents."""
+    from bazaarlake.llm import ngram_jaccard as J
+
+    rng = random.Random(6)
+    passage, family = made_up(rng, 40), made_up(rng, 150).split()
+
+    def counts(n: int) -> int:
+        texts = [f"{made_up(rng, 80, 9000)} {passage}" for _ in range(n)]
+        for i in range(n):
+            w = list(family)
+            w[rng.randrange(150)] = f"edit{i}"
+            texts.append(" ".join(w))
+        frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        packed = frame.mapInArrow(J._sets(5), "id long, n long, k1 long, k2 long, low binary").select("id", "n", "low").mapInArrow(J._pack(4), "block int, rows binary, frequent binary")
+        return packed.groupBy("block").applyInPandas(J._multiply(80), "a long, b long, shared long").count()
+
+    assert counts(200) <= 200 and counts(1000) <= 1000
+
+
 def test_exact_dedup(docs, texts, empty):
     from bazaarlake.llm.exact_dedup import exact_dedup
 
