@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_table(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where that is unset, a local one in local mode (as in tests), and an error on a cluster."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bazaarlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
