@@ -4,23 +4,28 @@ The index is sharded by document: a task packs its documents into shards of abou
 SHARD_WORDS words and stores, for each term of a shard, the sorted list of its positions.
 Nothing is gathered by term, so frequent terms are no hot keys. A search looks up the
 windows of the test items in every shard: from the term with the shortest list, the
-offset-adjusted lists of the others are intersected in order of their length. Test windows
-are broadcast in blocks of at most BLOCK_WINDOWS.
+offset-adjusted lists of the others are intersected in order of their length. The windows are a
+table in the shared folder, in blocks of about BLOCK_WINDOWS; a task reads one block after
+another for each of its shards, so neither the driver nor a task holds the whole benchmark,
+and the index is read once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlake.llm.common import ALNUM, cut, slices, small_batches
+from bazaarlake.llm.common import ALNUM, cut, new_dir, slices, small_batches
 
 SHARD_WORDS = 400_000
-#: Windows that are broadcast at once: at most 100,000 x window x 8 bytes, 8 MB for windows of 10.
+#: Windows of a block, about: x window x 8 bytes, 8 MB for windows of 10.
 BLOCK_WINDOWS = 100_000
 #: Candidate positions that are held at once.
 CANDIDATES = 300_000
@@ -183,21 +188,39 @@ class Shard:
 _FOUND = "id long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
-def _search(block, slop: int | None):
+def _read_block(folder: str, b: int) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """Item names of a block of windows, and for each window length (places in the names, hashes)."""
+    store, path = fs.FileSystem.from_uri(f"{folder}/block={b}")
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return [], []
+    table = pq.read_table(path, filesystem=store)
+    items, words = table.column("item").to_pylist(), table.column("words").to_pylist()
+    names = sorted(set(items))
+    place = {x: i for i, x in enumerate(names)}
+    lengths: dict[int, tuple[list, list]] = {}
+    for item, w in zip(items, words, strict=True):
+        both = lengths.setdefault(len(w) // 8, ([], []))
+        both[0].append(place[item]), both[1].append(w)
+    return names, [(np.array(a, np.int64), np.frombuffer(b"".join(w), np.uint64).reshape(-1, size)) for size, (a, w) in sorted(lengths.items())]
+
+
+def _search(folder: str, n_blocks: int, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, lengths = block.value
+        block = lru_cache(maxsize=2)(lambda b: _read_block(folder, b))
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(batch.slice(i, 1).to_pylist()[0])
                 n = len(shard.ids)
                 cover = np.zeros(shard.first[-1] + 1, np.int64)
-                pairs = []
-                for names, windows in lengths:
-                    which, start = shard.phrases(windows) if slop is None else shard.near(windows, slop)
-                    end = start + windows.shape[1] if slop is None else np.minimum(start + windows.shape[1] + slop, shard.first[shard.doc(start) + 1])
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, end, -1)
-                    pairs.append(np.unique(shard.doc(start) * len(items) + names[which]))
+                pairs: set[tuple[int, str]] = set()
+                for b in range(n_blocks):
+                    items, lengths = block(b)
+                    for names, windows in lengths:
+                        which, start = shard.phrases(windows) if slop is None else shard.near(windows, slop)
+                        end = start + windows.shape[1] if slop is None else np.minimum(start + windows.shape[1] + slop, shard.first[shard.doc(start) + 1])
+                        np.add.at(cover, start, 1)
+                        np.add.at(cover, end, -1)
+                        pairs |= {(int(x) // len(items), items[int(x) % len(items)]) for x in np.unique(shard.doc(start) * len(items) + names[which])}
                 # places of hit words, cut at documents' borders
                 hit = np.cumsum(cover[:-1]) > 0
                 prior = np.concatenate([[False], hit[:-1]])
@@ -210,9 +233,9 @@ def _search(block, slop: int | None):
                 at = np.searchsorted(doc, np.arange(n + 1))
                 base = shard.first[doc]
                 lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x - base, pa.int64())) for x in (starts, ends)]
-                pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-                at = np.searchsorted(pair // max(len(items), 1), np.arange(n + 1))
-                names = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([items[i] for i in pair % max(len(items), 1)], pa.string()))
+                found = sorted(pairs)
+                at = np.searchsorted(np.array([d for d, _ in found], np.int64), np.arange(n + 1))
+                names = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([x for _, x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(shard.ids, mask=shard.known == 0), pa.array(shard.n_words), *lists, names], ["id", "n_words", "starts", "ends", "items"])
 
     return run
@@ -223,30 +246,15 @@ def search_index(index: DataFrame, items: DataFrame, item_col: str = "item_id",
 
     slop None: exact phrases; a number: places where a window's words stand in any order
     within so many more words (proximity). Returns one row per document: id, n_words, spans
-    (start and end of hit words, disjoint within a block of windows) and items (ids as strings).
+    (start and end of hit words, disjoint and in order) and items (ids as strings, sorted).
     """
     spark = index.sparkSession
-    found = items.filter(f"{item_col} is not null").select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    found = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     windows = cut(found.mapInArrow(_windows(width), "item string, words binary").distinct(), "windows")
     n_blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
-    out = None
-    for b in range(n_blocks):
-        # a block holds about BLOCK_WINDOWS windows, whatever the size of the benchmark
-        mine = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == b).orderBy("item", "words").toArrow()
-        names = sorted(set(mine.column("item").to_pylist()))
-        place = {x: i for i, x in enumerate(names)}
-        lengths: dict[int, tuple[list, list]] = {}
-        for item, words in zip(mine.column("item").to_pylist(), mine.column("words").to_pylist(), strict=True):
-            both = lengths.setdefault(len(words) // 8, ([], []))
-            both[0].append(place[item]), both[1].append(words)
-        packed = [(np.array(a, np.int64), np.frombuffer(b"".join(w), np.uint64).reshape(-1, size)) for size, (a, w) in lengths.items()]
-        part = index.mapInArrow(_search(spark.sparkContext.broadcast((names, packed)), slop), _FOUND)
-        out = part if out is None else out.unionByName(part)
-    spans = F.arrays_zip("starts", "ends")
-    if n_blocks == 1:
-        return out.select("id", "n_words", spans.alias("spans"), "items")
-    merged = out.groupBy("id", "n_words").agg(F.flatten(F.collect_list(spans)).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged
+    folder = new_dir(spark, "blocks")
+    windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    return index.mapInArrow(_search(folder, n_blocks, slop), _FOUND).select("id", "n_words", F.arrays_zip("starts", "ends").alias("spans"), "items")
 
 
 def decontaminate(
@@ -259,12 +267,12 @@ def decontaminate(
     n_words, n_hit, n_items, items_sha256 (of the ids of items found, sorted as strings,
     comma-joined), contaminated, spans, items. Defined cases: null and empty texts have no words
     and no hits; items without words or with a null id are ignored; repeated items count once;
-    windows don't cross documents; a null id is kept; an empty benchmark hits nothing; ids are
-    unique; other columns are ignored, whatever their names.
+    windows don't cross documents; rows with a null or a repeated id are judged each; an empty benchmark
+    hits nothing; other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     found = search_index(build_index(docs, id_col, text_col), benchmark, item_col, item_text_col, width, slop)
-    covered = F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'to', 0L), (a, x) -> named_struct('n', a.n + greatest(0L, x.ends - greatest(x.starts, a.to)), 'to', greatest(a.to, x.ends)), a -> a.n)")
+    covered = F.expr("aggregate(spans, 0L, (n, x) -> n + x.ends - x.starts)")
     return found.select(
         F.col("id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "spans", "items"
     ).withColumn("contaminated", F.col("n_hit") > 0)

@@ -45,7 +45,7 @@ SMALL = 4
 #: Share of the hash range of the first product.
 RANGE = 0.25
 #: Entries that a task packs at once, and aims at in a block.
-FLUSH, BLOCK = 500_000, 1_000_000
+FLUSH, BLOCK = 300_000, 600_000
 #: Stars per large group before the remaining members are compared by distance.
 STARS = 2
 #: Members that meet one copy of their pivot, about; a pivot of more is copied, and its members are spread by salt.

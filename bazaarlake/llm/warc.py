@@ -103,15 +103,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Writes a record for each page; returns the table of archives (path, bytes, records).
 
     Of pages with equal payloads of at least LEAST bytes, that with the largest id is stored as
-    response (ids are unique; a null id is never that, and is stored itself), others are revisits of it.
+    response, others are revisits of it. Rows repeated with that id and payload are all responses; a null
+    id is never the largest, and its page is stored itself.
     """
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size"))
     large = rows.filter((F.col("size") >= LEAST) & F.col("page").isNotNull()).select("page", "digest")
     stored = large.groupBy("digest").agg(F.max("page").alias("stored"), F.count("*").alias("n")).filter("n > 1")
-    # the texts stay where they are: only (page, stored) of the repeated pages is joined to them
-    revisits = large.join(stored, "digest").filter("page <> stored").select("page", F.col("stored").alias("refers_to")).distinct()
-    linked = rows.select("page", "url", "html").join(revisits, "page", "left").select("page", "url", "html", "refers_to")
+    # (page, digest) of the repeated pages is joined to the texts: one id may stand for several payloads
+    revisits = large.join(stored, "digest").filter("page <> stored").select("page", "digest", F.col("stored").alias("refers_to")).distinct()
+    linked = rows.join(revisits, ["page", "digest"], "left").select("page", "url", "html", "refers_to")
     return cut(linked.mapInArrow(_write(folder), "path string, bytes long, records long"), "archives")
 
 
@@ -119,34 +120,37 @@ class _Source:
     """A file, read forward from some place in chunks."""
 
     def __init__(self, handle, at: int):
-        self.handle, self.at, self.buffer = handle, at, b""
+        self.handle, self.at, self.buffer = handle, at, bytearray()
         handle.seek(at)
 
     def fill(self, n: int) -> bool:
         """Tries to have n bytes at self.at; False if the file ends before."""
-        parts, have = [self.buffer], len(self.buffer)
-        while have < n:
-            chunk = self.handle.read(max(CHUNK, n - have))
+        while len(self.buffer) < n:
+            chunk = self.handle.read(max(CHUNK, n - len(self.buffer)))
             if not chunk:
-                break
-            parts.append(chunk)
-            have += len(chunk)
-        self.buffer = b"".join(parts)
-        return have >= n
+                return False
+            self.buffer += chunk
+        return True
 
     def skip(self, n: int) -> None:
-        self.buffer = self.buffer[n:]
+        del self.buffer[:n]
         self.at += n
 
 
 def _member(source: _Source) -> tuple[bytes, int] | None:
-    """The record of the gzip member at the source's place and the member's size; None if there is none. It is given up as soon as what it decodes to can't be a WARC header."""
+    """The record of the gzip member at the source's place and the member's size; None if there is none.
+
+    It is given up as soon as what it decodes to can't be a WARC header. A member that begins as a
+    record and then breaks off or doesn't decode is an error: nothing that was written is skipped.
+    """
     packer, out, used, checked = zlib.decompressobj(31), [], 0, False
     try:
         while not packer.eof:
             if not source.fill(used + 1):
+                if checked:
+                    raise ValueError(f"the record at byte {source.at} is cut off")
                 return None
-            piece = source.buffer[used : used + CHUNK]
+            piece = bytes(source.buffer[used : used + CHUNK])
             used += len(piece)
             out.append(packer.decompress(piece))
             if not checked:
@@ -154,7 +158,9 @@ def _member(source: _Source) -> tuple[bytes, int] | None:
                 if not b"WARC/1."[: len(head)] == head[:7]:
                     return None
                 checked = len(head) >= 7
-    except zlib.error:
+    except zlib.error as e:
+        if checked:
+            raise ValueError(f"the record at byte {source.at} is broken") from e
         return None
     return b"".join(out), used - len(packer.unused_data)
 
@@ -222,8 +228,9 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     Columns: page_id, url (percent-encoded), payload_bytes and payload_digest (SHA-1 in lower-case
     hex; both of the full payload), record_type, refers_to, payload (null for revisits). Defined
     cases: null html is an empty payload, a null url an empty one; payloads of any length are
-    stored whole, those under LEAST bytes always; repeated rows have a record each; a null id is kept;
-    an empty table gives an empty result; other columns are ignored.
+    stored whole, those under LEAST bytes always; repeated rows have a record each, and so have
+    several payloads under one id; a null id is kept; an archive that is cut off is an error; an empty table gives an empty
+    result; other columns are ignored.
     """
     small_batches(pages.sparkSession)
     folder = new_dir(pages.sparkSession, "warc")

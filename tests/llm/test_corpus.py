@@ -206,6 +206,23 @@ def test_warc_round_trip(spark, split):
     assert warc_round_trip(rows.limit(0)).count() == 0
 
 
+def test_warc_clashing_ids_and_cut_archives(spark, tmp_path):
+    """One id with two payloads, null ids, repeated rows; an archive that breaks off is an error."""
+    import io
+
+    from bazaarlake.llm.warc import encode, records_of_range, warc_round_trip
+
+    a, b = "a" * 2000, "b" * 2000
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a), (None, a), (None, b), (2, a)], "page_id long, html string").withColumn("url", F.lit("http://x/"))
+    got = [(r["page_id"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"]).decode()) for r in warc_round_trip(rows).collect()]
+    want = [(1, "revisit", 2, None), (1, "response", None, b), (2, "response", None, a), (2, "response", None, a), (None, "response", None, a), (None, "response", None, b)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    record = encode(1, "http://x/", random.Random(1).randbytes(50_000), None)
+    assert len(list(records_of_range(io.BytesIO(record * 3), 0, 3 * len(record)))) == 3
+    with pytest.raises(ValueError, match="cut off"):
+        list(records_of_range(io.BytesIO((record * 3)[:-100]), 0, 3 * len(record)))
+
+
 def test_url_rules(spark):
     from bazaarlake.llm.url_rules import RULES, judge_urls, rule_table
 
@@ -296,6 +313,11 @@ def test_decontaminate(spark, docs, texts, empty):
         assert {r["doc_id"]: tuple(r[c] for c in columns) for r in D.decontaminate(docs, benchmark).collect()} == want
     finally:
         D.BLOCK_WINDOWS = whole
+    odd = spark.createDataFrame([(None, texts[12]), (None, "none"), (3, texts[12]), (3, texts[13]), (3, texts[12])], "doc_id long, text string")
+    for D.BLOCK_WINDOWS in (whole, 3):  # rows with null and repeated ids, whatever the number of blocks
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in D.decontaminate(odd, benchmark).collect())
+        assert got == [("3", 120, 0), ("3", 120, 120), ("3", 120, 120), ("None", 1, 0), ("None", 120, 120)]
+    D.BLOCK_WINDOWS = whole
     near = {r["doc_id"] for r in D.decontaminate(spark.createDataFrame([(1, "x d z c b a y"), (2, "a b c"), (3, "a q q q b q q q c q d")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d")], "item_id long, text string"), width=4, slop=1).filter("contaminated").collect()}
     assert near == {1}
     assert D.decontaminate(empty, benchmark).count() == 0 and not D.decontaminate(docs, benchmark.limit(0)).filter("contaminated").count()
