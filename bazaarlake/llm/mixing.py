@@ -1,11 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
-Each source has two moment constraints: the words it contributes, and the documents in the
-same proportion. Among all document rates that meet them, those closest to 1 in relative
-entropy have the form exp(l0 + l1 * size): exponentially tilted. The multipliers are found by
-Newton's method on the convex dual. The documents are first reduced to counts by (source,
-size), which are sufficient, so an iteration is a small join and aggregation; its state is one
-row for each source. The rates are then rounded into whole copies: within strata of a source
+Each source has one moment constraint: the words that it contributes. Among all document rates
+between 0 and the cap that meet it, those closest to 1 in relative entropy (sum of r log r - r + 1) are
+exponentially tilted by size: r = min(cap, exp(tilt * size / mean size)). The tilt solves the convex
+dual, whose slope is the words at this tilt less the target; Newton's method finds it, kept inside
+the interval that is known to hold the solution. The documents are first reduced to counts by
+(source, size), which are sufficient, so an iteration is a small join and aggregation; its state is
+one row for each source. The rates are then rounded into whole copies: within strata of a source
 (by hash of the id, of bounded size) documents go from the largest to the smallest, and the
 words that rounding gives or takes are carried to the next, as far as those left can make up
 for them. So the words taken end next to the target, and reruns agree.
@@ -13,18 +14,21 @@ for them. So the words taken end next to the target, and reruns agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import SPACED, cut, slices, small_batches
+from bazaarlake.operators.ingest import number_rows
 
 #: Documents of a stratum, about.
-STRATUM = 20_000
-NEWTON_STEPS, TOLERANCE = 25, 1e-10
+STRATUM = 2_000
+#: Iterations before the solution is given up as an error (some ten are enough), and the share of a target that may be missed.
+NEWTON_STEPS, TOLERANCE = 200, 1e-10
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,25 +38,54 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """(source, source_size, n) -> also target: `share` of all sizes by repeating weights in code point order (null last), none above `cap` times its size.
+    """(key, source_size, n) -> also target: `share` of all sizes by repeating weights in the order of the keys, none above `cap` times its size.
 
-    Resharing the excess until none is above its cap ends where target = min(cap, level * weight)
-    with one level for all, found here by cumulative sums. One row per source: a small table.
+    The excess of capped sources is reshared by weight until none is above its cap: target =
+    min(cap, level * weight), with one level for all. Each round is an aggregation to one row.
     """
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
+    rows = number_rows(sources, "key", 0)
     pattern = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sources.withColumn("weight", F.element_at(pattern, ((F.row_number().over(ordered) - 1) % len(weights) + 1).cast("int"))).withColumn("cap", cap * F.col("source_size"))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    rows = rows.withColumns(
-        {
-            "capped": F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
-            "left": F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)),
-            "total": share * F.sum("source_size").over(everything),
-        }
-    ).withColumn("level", (F.col("total") - F.col("capped")) / F.col("left"))
-    level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)["level"]
-    return rows.withColumn("target", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).select("source", "key", "source_size", "n", "target")
+    rows = cut(rows.withColumn("weight", F.get(pattern, (F.col("number") % len(weights)).cast("int"))).withColumn("most", cap * F.col("source_size")).drop("number"), "weights")
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    level, n_capped = 0.0, -1
+    while True:
+        over = F.col("most") < level * F.col("weight")
+        capped, free, n = rows.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.sum(F.when(~over, F.col("weight"))), F.count(F.when(over, 1))).first()
+        if n == n_capped or not free:
+            break
+        level, n_capped = (total - capped) / free, n
+    target = F.least("most", level * F.col("weight")) if free else F.col("most")
+    return rows.withColumn("target", target).drop("most", "weight")
+
+
+def fit_tilts(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """counts (key, size, n), targets (key, source_size, n, target) -> key, mean, tilt for each source with words.
+
+    A target of all that the cap allows has no finite tilt: there it is null, and all rates are the cap.
+    """
+    wanted = targets.filter("source_size > 0 and target > 0").select("key", F.col("n").alias("docs"), (F.col("target") / F.col("source_size")).alias("ratio"), (F.col("source_size") / F.col("n")).alias("mean"))
+    full = F.col("ratio") >= cap * (1 - 1e-12)
+    state = cut(wanted.withColumns({"tilt": F.when(~full, F.lit(0.0)), "low": F.lit(float("-inf")), "high": F.lit(float("inf")), "off": F.when(~full, F.lit(1.0))}), "state")
+    for _ in range(NEWTON_STEPS):
+        if state.filter(F.col("off") > TOLERANCE).isEmpty():
+            break
+        at = counts.join(state.filter("tilt is not null"), "key").withColumn("x", F.col("size") / F.col("mean"))
+        at = at.withColumn("rate", tilted(F.col("tilt") * F.col("x"), cap))
+        sums = at.groupBy("key").agg(F.sum(F.expr("n * x * rate")).alias("words"), F.sum(F.when(F.col("rate") < cap, F.expr("n * x * x * rate")).otherwise(0.0)).alias("slope"))
+        joined = state.join(sums, "key", "left").withColumn("miss", F.expr("docs * ratio - words"))
+        joined = joined.withColumns({"low": F.when(F.col("miss") > 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(F.col("miss") <= 0, F.col("tilt")).otherwise(F.col("high")), "off": F.abs("miss") / (F.col("docs") * F.col("ratio"))})
+        newton = F.col("tilt") + F.col("miss") / F.col("slope")
+        inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
+        beyond = F.when(F.col("high") == float("inf"), F.greatest(2 * F.col("tilt"), F.lit(1.0))).when(F.col("low") == float("-inf"), F.least(2 * F.col("tilt"), F.lit(-1.0))).otherwise((F.col("low") + F.col("high")) / 2)
+        tilt = F.when(F.col("off") <= TOLERANCE, F.col("tilt")).when(inside, newton).otherwise(beyond)
+        state = cut(joined.withColumn("tilt", tilt).select(*state.columns), "state")
+    else:
+        raise RuntimeError("entropy balancing did not converge")
+    return state.select("key", "mean", "tilt")
+
+
+def tilted(exponent, cap: float):
+    return F.when(exponent >= math.log(cap), F.lit(float(cap))).otherwise(F.exp(exponent))
 
 
 def _round(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -85,35 +118,23 @@ def mix_sources(
     taken (words the mix takes, repeats counted), copies, rate. Defined cases: null and empty
     texts have size 0 and no copies; a null source is a source of its own, sorted last; sources
     without words have target 0; repeated ids are separate rows; an empty table gives an empty
-    result; other columns are ignored. No document is taken more than `cap` times.
+    result; other columns are ignored. No document is taken more than `cap` (at least 1) times; `rate` is
+    what the copies are rounded from.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_sizes, "id long, source string, size long").withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    # keys sort as the sources do by code point, with null last
+    rows = rows.mapInArrow(_sizes, "id long, source string, size long").withColumn("key", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")))
     rows = cut(rows, "sizes")
-    counts = cut(rows.groupBy("key", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")), "counts")
-    sources = counts.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
+    counts = cut(rows.groupBy("key", "size").agg(F.count("*").alias("n")), "counts")
+    sources = counts.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n"))
     targets = cut(source_targets(sources, weights, share, cap), "targets")
 
-    # constraints: sum(rate * x) = target with x = size / mean size, and sum(rate) = n * target / source_size, both over n documents
-    ratio, mean = F.col("target") / F.col("source_size"), F.col("source_size") / F.col("n")
-    state = cut(targets.filter("source_size > 0 and target > 0").select("key", ratio.alias("ratio"), mean.alias("mean"), F.lit(0.0).alias("l0"), F.lit(0.0).alias("l1")), "state")
-    x = F.col("size") / F.col("mean")
-    rate = F.exp(F.col("l0") + F.col("l1") * x)
-    for _ in range(NEWTON_STEPS):
-        moments = counts.join(state, "key").withColumns({"x": x, "w": F.col("n") * rate}).groupBy("key", "ratio", "mean", "l0", "l1")
-        moments = moments.agg(F.sum("n").alias("n"), F.sum("w").alias("s0"), F.sum(F.expr("w * x")).alias("s1"), F.sum(F.expr("w * x * x")).alias("s2"))
-        moments = moments.withColumns({"g0": F.expr("n * ratio - s0"), "g1": F.expr("n * ratio - s1"), "det": F.expr("s0 * s2 - s1 * s1")})
-        flat = F.expr("det <= 1e-9 * s0 * s2")  # all documents are of one size: the second multiplier has nothing to do
-        d0 = F.when(flat, F.expr("g0 / s0")).otherwise(F.expr("(g0 * s2 - g1 * s1) / det"))
-        d1 = F.when(flat, F.lit(0.0)).otherwise(F.expr("(g1 * s0 - g0 * s1) / det"))
-        state = cut(moments.select("key", "ratio", "mean", (F.col("l0") + d0).alias("l0"), (F.col("l1") + d1).alias("l1"), F.expr("greatest(abs(g0), abs(g1)) / (n * ratio)").alias("off")), "state")
-        off = state.agg(F.max("off")).first()[0]
-        if off is None or off <= TOLERANCE:
-            break
-    joined = rows.join(targets.select("key", "n", "source_size", "target"), "key").join(state.select("key", "mean", "l0", "l1"), "key", "left")
-    joined = joined.withColumn("rate", F.coalesce(F.round(F.least(rate, F.lit(float(cap))), 9), F.lit(0.0)))
-    stratum = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / STRATUM))
+    tilts = fit_tilts(counts, targets, cap)
+    joined = rows.join(targets.select("key", "n", "source_size", "target"), "key").join(tilts, "key", "left")
+    rate = F.when(F.col("mean").isNull() | (F.col("size") == 0), F.lit(0.0)).when(F.col("tilt").isNull(), F.lit(float(cap))).otherwise(tilted(F.col("tilt") * F.col("size") / F.col("mean"), cap))
+    joined = joined.withColumn("rate", F.round(rate, 9))
+    stratum = F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("n") / STRATUM))
     dealt = joined.select("id", "key", "size", "rate", stratum.alias("stratum"), F.lit(cap).alias("most"))
     rounded = dealt.groupBy("key", "stratum").applyInPandas(_round, "id long, key string, size long, rate double, copies long")
     return rounded.join(targets.select("key", "source_size", "target"), "key").select(

@@ -282,6 +282,37 @@ def test_mixing(docs, texts, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_mixing_rates(spark):
+    """The tilted rates against a bisection, and against other rates that meet the target."""
+    import numpy as np
+
+    from bazaarlake.llm.mixing import mix_sources
+
+    rng = np.random.default_rng(3)
+    size = np.concatenate([rng.integers(1, 400, 300), [5000, 0, 7, 7]])
+    source = ["p"] * 100 + ["q"] * 100 + ["r"] * 104
+    docs = spark.createDataFrame([(i, "w " * int(n), s) for i, (n, s) in enumerate(zip(size, source, strict=True))], "doc_id long, text string, source string").withColumn("key", F.lit("clash"))
+    for share in (0.4, 1.5):  # fewer words than there are, and more
+        got = {r["doc_id"]: r for r in mix_sources(docs, share=share).collect()}
+        for name in "pqr":
+            ids = [i for i, s in enumerate(source) if s == name]
+            x, target = size[ids].astype(float), got[ids[0]]["target"]
+            rate = np.array([got[i]["rate"] for i in ids])
+            if target < 2 * x.sum() * (1 - 1e-9):
+                low, high = -1e3, 1e3
+                for _ in range(200):
+                    t = (low + high) / 2
+                    r = np.minimum(2, np.exp(np.minimum(t * x / x.mean(), 5)))
+                    low, high = (t, high) if (r * x).sum() < target else (low, t)
+                assert np.allclose(rate[x > 0], r[x > 0], rtol=1e-7, atol=1e-8) and len(set(rate[x > 0])) > 10
+                entropy = lambda r: (r * np.log(r) - r + 1).sum()
+                flat = np.full(len(x), target / x.sum())
+                assert entropy(r[x > 0]) <= entropy(flat[x > 0]) + 1e-9
+            else:
+                assert (rate[x > 0] == 2).all()
+            assert abs(sum(got[i]["taken"] for i in ids) - target) <= 0.02 * target + 5
+
+
 def test_decontaminate(spark, docs, texts, empty):
     from bazaarlake.llm import decontaminate as D
 
