@@ -7,10 +7,6 @@ the sum over all segmentations, by a forward recursion in log space. Weights sta
 vocabulary's own scores (which rank the pieces) and take expected piece counts from the training
 documents (one step of expectation maximisation over the lattice: forward and backward).
 
-Words seen in training have an arc of their own besides: absolute discounting takes DISCOUNT
-from each word's count and gives that mass to the lattice, P(w) = (c - D) / N + D V / N * lattice(w).
-Without it (word_arcs=False) the score is the lattice's alone.
-
 The recursion runs once for each distinct word of the corpus, not once for each occurrence:
 word counts are combined in the tasks before the shuffle. HEAD words of the highest counts are
 broadcast (a fixed bound); occurrences of the others, few by Zipf's law, meet the word
@@ -36,12 +32,13 @@ HEAD = 1 << 19
 FLUSH = 400_000
 #: The vocabulary's own weights count as this many pieces.
 PRIOR = 10_000.0
-#: Taken from each word's count, for words that the counts don't have.
-DISCOUNT = 0.5
 #: Words of a batch of the recursion: cells of its tables.
 CELLS = 1 << 20
+#: Fewer words than this of one length are taken one by one, from place to place; places of such a word whose pieces are held at once.
+FEW, PLACES = 64, 1 << 16
 _MARK = "▁".encode()
-_MAX_PIECE = 32
+_BASE = 0x100000001B3
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 # --- words ------------------------------------------------------------------------------
@@ -106,23 +103,22 @@ class Lattice:
     def _key(rows: np.ndarray) -> np.ndarray:
         h = np.zeros(len(rows), np.uint64)
         for j in range(rows.shape[1]):
-            h = h * np.uint64(0x100000001B3) + rows[:, j] + np.uint64(1)
+            h = h * np.uint64(_BASE) + rows[:, j] + np.uint64(1)
         return h
 
     def edges(self, words: np.ndarray):
         """words: a matrix of bytes, all of one length -> for each end: (size, rows that have a piece there, the pieces)."""
         n, length = words.shape
-        base = np.uint64(0x100000001B3)
-        power = np.ones(_MAX_PIECE + 1, np.uint64)
-        power[1:] = np.multiply.accumulate(np.full(_MAX_PIECE, base, np.uint64))
+        base = np.uint64(_BASE)
+        power = np.ones(length + 1, np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(length, base, np.uint64))
         prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
             prefix[j + 1] = prefix[j] * base + words[:, j] + np.uint64(1)
         for end in range(1, length + 1):
             yield end, 1, None, self.spare[words[:, end - 1]]
-            for size in range(1, min(end, _MAX_PIECE) + 1):
-                if size in self.tables:
-                    keys, ids = self.tables[size]
+            for size, (keys, ids) in self.tables.items():
+                if size <= end:
                     key = prefix[end] - prefix[end - size] * power[size]
                     at = np.searchsorted(keys, key)
                     at[at == len(keys)] = 0
@@ -130,8 +126,53 @@ class Lattice:
                     if len(rows):
                         yield end, size, rows, ids[at[rows]]
 
+    def word_edges(self, word: np.ndarray, backward: bool = False):
+        """The pieces in one word of any length, PLACES ends at a time: (ends, starts, pieces) in order of the ends."""
+        n = len(word)
+        power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _BASE, np.uint64)))
+        inverse = np.multiply.accumulate(np.full(n, _BASE_INVERSE, np.uint64))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((word + np.uint64(1)) * inverse, out=total[1:])
+        blocks = range(1, n + 1, PLACES)
+        for lo in reversed(blocks) if backward else blocks:
+            ends = np.arange(lo, min(lo + PLACES, n + 1))
+            found = [(ends, ends - 1, self.spare[word[ends - 1]])]
+            for size, (keys, ids) in self.tables.items():
+                mine = ends[ends >= size]
+                key = (total[mine] - total[mine - size]) * power[mine]
+                at = np.searchsorted(keys, key)
+                at[at == len(keys)] = 0
+                hit = np.flatnonzero(keys[at] == key)
+                found.append((mine[hit], mine[hit] - size, ids[at[hit]]))
+            end, start, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(end, kind="stable")
+            yield end[order], start[order], piece[order]
+
+    def word_alpha(self, word: np.ndarray) -> list[float]:
+        """Log of the summed probability of all segmentations of word[:i], for each i."""
+        alpha = [0.0] + [-math.inf] * len(word)
+        for ends, starts, pieces in self.word_edges(word):
+            for end, start, p in zip(ends.tolist(), starts.tolist(), self.log_p[pieces].tolist(), strict=True):
+                alpha[end] = _log_add(alpha[end], alpha[start] + p)
+        return alpha
+
+    def word_expected(self, word: np.ndarray, count: float, total: np.ndarray) -> None:
+        """Adds the expected uses of each piece in one word to the totals."""
+        alpha = self.word_alpha(word)
+        whole = alpha[-1]
+        beta = [-math.inf] * len(word) + [0.0]
+        for ends, starts, pieces in self.word_edges(word, backward=True):
+            uses = []
+            for end, start, p in zip(ends[::-1].tolist(), starts[::-1].tolist(), self.log_p[pieces][::-1].tolist(), strict=True):
+                through = p + beta[end]
+                beta[start] = _log_add(beta[start], through)
+                uses.append(math.exp(alpha[start] + through - whole))
+            total += np.bincount(pieces[::-1], np.array(uses) * count, len(total))
+
     def forward(self, words: np.ndarray) -> np.ndarray:
-        """Log of the summed probability of all segmentations."""
+        """Log of the summed probability of all segmentations of each word."""
+        if len(words) < FEW:
+            return np.array([self.word_alpha(w)[-1] for w in words])
         return self._alpha(words, list(self.edges(words)))[-1]
 
     def _alpha(self, words: np.ndarray, edges: list) -> np.ndarray:
@@ -146,6 +187,11 @@ class Lattice:
 
     def expected(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in these words, each counted so many times."""
+        if len(words) < FEW:
+            total = np.zeros(len(self.log_p))
+            for word, count in zip(words, counts.tolist(), strict=True):
+                self.word_expected(word, count, total)
+            return total
         edges = list(self.edges(words))
         alpha = self._alpha(words, edges)
         beta = np.full(alpha.shape, -np.inf)
@@ -159,6 +205,12 @@ class Lattice:
         return total
 
 
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
 def _by_length(words: pa.Array):
     """Batches of words of one length: (indices, matrix of bytes with the word mark in front)."""
     data, at = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
@@ -214,8 +266,8 @@ def _expect(shared):
     return run
 
 
-def _weigh(shared, n_words: int, n_types: int):
-    """(hash, word, count) -> hash, count, log10 of the word's probability; n_words 0: by the lattice alone."""
+def _weigh(shared):
+    """(hash, word, count) -> hash, count, log10 of the word's marginal probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
@@ -223,11 +275,6 @@ def _weigh(shared, n_words: int, n_types: int):
             out = np.zeros(batch.num_rows)
             for rows, words in _by_length(batch.column(1)):
                 out[rows] = lattice.forward(words)
-            if n_words:
-                c = batch.column(2).to_numpy()
-                with np.errstate(divide="ignore"):
-                    own = np.log(np.maximum(c - DISCOUNT, 0) / n_words)
-                out = np.logaddexp(own, math.log(DISCOUNT * n_types / n_words) + out)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out / math.log(10))], ["h", "c", "lp"])
 
     return run
@@ -264,13 +311,13 @@ def _score(head, end_c: int, n_train: int, n_types: int, end_lp: float):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, word_arcs: bool = True) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Log10 probability of every text under the subword lattice, and under smoothed word counts.
 
     `held_out`: name of a boolean column; such rows are scored but not learnt from. Returns one
     row per row of `docs`: the id, held_out, n_tokens (words and one end), n_known (seen in
     training), train_tokens, base_score, score. Defined cases: null, empty and blank texts have only
-    the end token; a word of any length is segmented whole; bytes without a piece have single-byte
+    the end token; a word of any length is segmented whole, in time that grows as its length; bytes without a piece have single-byte
     pieces, so every score is finite; repeated rows are scored each (their words count each); null
     ids are kept; without training rows all counts are 0 and the vocabulary's own weights hold; an
     empty table gives an empty result; other columns are ignored. Words are told apart by 64-bit hashes.
@@ -292,7 +339,7 @@ def lm_scores(docs: DataFrame, held_out: str | None = None, id_col: str = "doc_i
     for piece, total in uses.groupBy("piece").agg(F.sum("uses")).collect():  # a row for each piece of the vocabulary at most
         learnt[piece] += total
     fitted = spark.sparkContext.broadcast((pieces, spare, np.log(learnt / learnt.sum())))
-    weighed = words.select("h", "word", "c").mapInArrow(_weigh(fitted, seen[0] if word_arcs else 0, seen[1]), "h long, c long, lp double")
+    weighed = words.select("h", "word", "c").mapInArrow(_weigh(fitted), "h long, c long, lp double")
     end_p = (n_docs + 1) / (n_train + 2)  # after each word, the text ends or goes on
     weighed = cut(weighed.withColumn("lp", F.col("lp") + math.log10(1 - end_p)), "weighed")
 

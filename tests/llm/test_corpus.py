@@ -386,6 +386,43 @@ def test_lm_scores(docs, texts, empty):
 
     for word in ("▁the".encode(), "▁then".encode(), b"\xff\xfea", "▁日é".encode()):
         assert math.isclose(float(lattice.forward(np.frombuffer(word, np.uint8)[None])[0]), math.log(total_of(word)), rel_tol=1e-9)
+    # the scores themselves: nothing is learnt, so the vocabulary's own weights hold, and each word and the end have a half
+    some = [("the then", 1), ("É the", 2), (None, 3)]
+    rows = docs.sparkSession.createDataFrame(some, "text string, doc_id long").withColumns({"unseen": F.lit(True), "score": F.lit("clash")})
+    for r in lm_scores(rows, "unseen").collect():
+        ws = words(some[r["doc_id"] - 1][0])
+        want = sum(math.log10(total_of("▁".encode() + w) / 2) for w in ws) + math.log10(0.5)
+        assert math.isclose(r["score"], want, rel_tol=1e-9), r
+
+
+def test_lattice_paths():
+    """Many words at once and word by word, forward and expected uses; expected uses against finite differences; a very long word."""
+    import time
+
+    import numpy as np
+
+    from bazaarlake.llm import lm_score as L
+
+    rng = np.random.default_rng(5)
+    pieces = [b"a", b"ab", b"b", b"ba", b"abab", b"c" * 40, *[b""] * 256]
+    weight = rng.uniform(0.5, 1.0, len(pieces))
+    log_p = np.log(weight / weight.sum())
+    lattice = L.Lattice(pieces, np.arange(6, 262), log_p)
+    words = rng.integers(97, 100, (200, 45)).astype(np.uint8)
+    words[0] = 99
+    counts = rng.uniform(0, 3, 200)
+    one_by_one = np.array([lattice.word_alpha(w)[-1] for w in words])
+    assert np.allclose(lattice.forward(words), one_by_one, rtol=1e-12)
+    uses = sum(lattice.expected(words[i : i + 40], counts[i : i + 40]) for i in range(0, 200, 40))
+    assert np.allclose(lattice.expected(words, counts), uses, rtol=1e-9, atol=1e-12)
+    for piece in (0, 3, 4, 5, 6 + 97):
+        up = log_p.copy()
+        up[piece] += 1e-6
+        slope = ((L.Lattice(pieces, np.arange(6, 262), up).forward(words) - lattice.forward(words)) * counts).sum() / 1e-6
+        assert math.isclose(slope, uses[piece], rel_tol=1e-4, abs_tol=1e-4)
+    long = rng.integers(97, 99, 200_000).astype(np.uint8)
+    start = time.time()
+    assert math.isfinite(lattice.forward(long[None])[0]) and time.time() - start < 20
 
 
 def test_license_scan(spark, empty):
