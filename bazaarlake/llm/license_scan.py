@@ -2,22 +2,27 @@
 
 Base: places where a license phrase's words stand consecutively. The method: an exact
 set-similarity join of text blocks with license templates. A block of a template is any run of
-twice its words in the normalised text, wherever lines end. The tokens of
-the templates are ordered by their document frequency in the whole corpus, rarest first. A block that
-holds at least c of a template's t tokens holds one of its t - ceil(c t) + 1 rarest, so the equi-join
-is on the places of those in the text (prefix filter); surroundings with fewer words than ceil(c t) go (length
-filter), and so do those whose token stands so late in the order that the rest
-can't reach ceil(c t) (positional filter), and those that don't hold ceil(c t) of the tokens. In what
-is left, all blocks around the place are counted exactly.
+twice its words in the normalised text, wherever lines end. Blocks are seen through the templates'
+vocabulary: one pass over the texts stores, for each, the places of these words (and the base).
+The vocabulary is ordered by document frequency in the whole corpus, rarest first, and so are
+the words of templates and blocks. A block that holds at least c of a template's t words holds one
+of its t - ceil(c t) + 1 rarest, so the equi-join is on the places of those (prefix filter);
+surroundings with fewer than ceil(c t) words of the vocabulary go (length filter), and so do those
+in which the words behind the matched one, in the template's order or in the block's, are too few
+(positional filter). In what is left, all blocks around the place are counted exactly.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlake.llm.common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Not in a word (of lower-cased text).
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,7 +30,7 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the base.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Templates of the method, and their labels: the sentences by which works usually name their license.
+#: Templates of the method, and their labels: the sentences by which works name their license, and paragraphs of the public license texts. Fixed values.
 TEMPLATES = (
     ("licensed under the apache license version 2 0", "apache"),
     ("you may not use this file except in compliance with the license", "apache"),
@@ -39,7 +44,57 @@ TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
+    (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "apache",
+    ),
+    (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "bsd",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "gpl",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies.",
+        "isc",
+    ),
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software.",
+        "mit",
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/.",
+        "mpl",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "unlicense",
+    ),
 )
+#: Places of the vocabulary that are looked at together.
+CHUNK = 1_024
+
+
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
+def least_overlap(text: str, threshold: float) -> int:
+    return math.ceil(round(threshold * len(set(template_words(text))), 9))
 
 
 def spaced(text: Column) -> Column:
@@ -47,10 +102,6 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP, " "))
 
 
-def words_of(norm: Column) -> Column:
-    return F.filter(F.split(norm, " "), lambda w: w != "")
-
-
 def _places(words: Column, phrase: str) -> Column:
     """Where the phrase's words start."""
     first, *rest = phrase.split(" ")
@@ -64,21 +115,59 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)
 
 
-def token_order(norms: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
-    """Document frequency over the whole corpus of each template token (a row for each token at most)."""
-    vocabulary = F.array(*[F.lit(t) for t in sorted(tokens)])
-    found = norms.select(F.explode(F.array_intersect(F.split("norm", " "), vocabulary)).alias("token")).groupBy("token").count()
-    return {r["token"]: r["count"] for r in found.collect()}
-
-
 def _template_table(spark, frequency: dict[str, int], templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
-    """A row for each prefix token of each template: token, its place, tokens (in order), least overlap, words of a block, label."""
+    """A row for each prefix token of each template: token, its place, tokens (in order), least overlap, words of a block, label, and what is rarer in the vocabulary."""
+    rank = lambda t: (frequency.get(t, 0), t)
+    vocabulary = sorted({t for text, _ in templates for t in template_words(text)}, key=rank)
     rows = []
-    for no, (text, label) in enumerate(templates):
-        tokens = sorted(set(text.split(" ")), key=lambda t: (frequency.get(t, 0), t))
-        least = -int(-threshold * len(tokens) // 1)
-        rows += [(no, tokens[i], i, tokens, least, 2 * len(text.split(" ")), label) for i in range(len(tokens) - least + 1)]
-    return spark.createDataFrame(rows, "template int, token string, place int, tokens array<string>, least int, width int, label string")
+    for text, label in templates:
+        tokens, least = sorted(set(template_words(text)), key=rank), least_overlap(text, threshold)
+        rows += [(t, i, tokens, least, 2 * len(template_words(text)), label, vocabulary[: vocabulary.index(t)]) for i, t in enumerate(tokens[: len(tokens) - least + 1])]
+    return spark.createDataFrame(rows, "token string, place int, tokens array<string>, least int, width int, label string, rarer array<string>")
+
+
+def _scanned(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[tuple[str, str]], vocabulary: Sequence[str]) -> DataFrame:
+    """One pass over the texts: row number, id, n_words, places and labels of the phrases, and spots: the places of the vocabulary's words."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # as generated rows, the normalised text and its words are computed once, however many expressions use them
+    norms = rows.select("id", F.explode(F.array(spaced(F.col("text")))).alias("norm"))
+    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
+    holds = F.explode(F.array(F.array(*[F.contains(F.col("norm"), F.lit(p)) & F.contains(padded, F.lit(f" {p} ")) for p, _ in phrases]))).alias("holds")
+    words = F.explode(F.array(F.when(F.col("norm") == "", F.array().cast("array<string>")).otherwise(F.split("norm", " ")))).alias("words")
+    held = norms.select("id", "norm", holds).select("id", "holds", words)
+    has = [F.col("holds")[i] for i in range(len(phrases))]
+    places = [F.when(h, _places(F.col("words"), p)).otherwise(F.array().cast("array<int>")) for h, (p, _) in zip(has, phrases, strict=True)]
+    labels = F.filter(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, phrases, strict=True)]), lambda x: x.isNotNull())
+    spot = lambda w, i: F.when(w.isin(*vocabulary), F.struct(i.alias("pos"), w.alias("token")))
+    return held.select(
+        F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), F.flatten(F.array(*places)).alias("places"), F.array_sort(F.array_distinct(labels)).alias("base_list"),
+        F.filter(F.transform("words", spot), lambda s: s.isNotNull()).alias("spots"),
+    )
+
+
+def _matches(scanned: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """(row, label, containment) of the templates that some block of a text meets. most: words of the largest block."""
+    listed = [r["token"] for r in table.select("token").distinct().orderBy("token").collect()]  # of the templates alone
+    some = scanned.filter(F.exists("spots", lambda s: s["token"].isin(listed))).select("row", "spots")
+    # long texts go on in chunks, which overlap by the largest block on both sides
+    first = lambda c: F.greatest(c - most, F.lit(0))
+    chunk = lambda c: F.struct((c - first(c)).alias("at"), F.slice("spots", first(c) + 1, c - first(c) + CHUNK + most).alias("spots"))
+    chunks = some.select("row", F.explode(F.transform(F.sequence(F.lit(0), F.size("spots") - 1, F.lit(CHUNK)), chunk)).alias("c")).select("row", "c.*")
+    mine = F.filter(F.sequence(F.col("at"), F.least(F.col("at") + CHUNK, F.size("spots")) - 1), lambda i: F.get("spots", i)["token"].isin(listed))
+    around = lambda i: F.struct(F.get("spots", i).alias("spot"), F.slice("spots", F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most)) + most).alias("near"))
+    near = chunks.select("row", F.explode(F.transform(mine, around)).alias("x")).select("row", "x.spot.token", "x.spot.pos", "x.near")
+    met = near.join(F.broadcast(table), "token")  # a row for each prefix word of the given templates
+    met = met.withColumn("near", F.explode(F.array(F.filter("near", lambda s: F.abs(s["pos"] - F.col("pos")) < F.col("width")))))
+    met = met.withColumn("block", F.explode(F.array(F.array_distinct(F.transform("near", lambda s: s["token"])))))
+    behind = F.size("block") - F.size(F.array_intersect("block", "rarer"))  # the matched word, and those after it in the block's order
+    met = met.filter((F.size("block") >= F.col("least")) & (F.least(F.size("tokens") - F.col("place"), behind) >= F.col("least")))
+    met = met.filter(F.size(F.array_intersect("block", "tokens")) >= F.col("least"))
+    # all blocks that start at a template's word and hold the place
+    met = met.withColumn("near", F.explode(F.array(F.filter("near", lambda s: F.array_contains("tokens", s["token"])))))
+    starts = F.filter("near", lambda s: s["pos"] <= F.col("pos"))
+    inside = lambda b: F.filter("near", lambda s: (s["pos"] >= b["pos"]) & (s["pos"] < b["pos"] + F.col("width")))
+    shared = F.array_max(F.transform(starts, lambda b: F.size(F.array_distinct(F.transform(inside(b), lambda s: s["token"])))))
+    return met.withColumn("shared", shared).filter("shared >= least").select("row", "label", (F.col("shared") / F.size("tokens")).alias("containment"))
 
 
 def license_scan(
@@ -91,47 +180,18 @@ def license_scan(
     (base and template labels, distinct, sorted, comma-joined), score (1 if a phrase is there, else
     the largest containment of a template, 0 if none reaches the threshold). Defined cases: null
     and empty texts have no words, no places and empty labels; texts of any length are used
-    whole; line ends are gaps like others; overlapping places all count; rows repeated with one id share their template labels; a
-    null id has none of these; an empty table gives an empty result; other columns are ignored.
+    whole; line ends are gaps like others; overlapping places all count; rows with a null or a
+    repeated id are judged each; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # as a generated row, the normalised text is computed once, however many expressions use it
-    norms = rows.select("id", "text", F.explode(F.array(spaced(F.col("text")))).alias("norm"))
-
-    # base
-    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-    holds = F.explode(F.array(F.array(*[F.contains(F.col("norm"), F.lit(p)) & F.contains(padded, F.lit(f" {p} ")) for p, _ in phrases]))).alias("holds")
-    some = F.exists("holds", lambda h: h)
-    # the words of a text with phrases are a generated column too: inside a lambda an expression would be computed for each element
-    norms_held = norms.select("id", "norm", holds).select("id", "norm", "holds", F.explode(F.array(F.when(some, words_of(F.col("norm"))))).alias("words"))
-    has = [F.col("holds")[i] for i in range(len(phrases))]
-    places = [F.when(h, _places(F.col("words"), p)).otherwise(F.array().cast("array<int>")) for h, (p, _) in zip(has, phrases, strict=True)]
-    base_labels = F.filter(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, phrases, strict=True)]), lambda x: x.isNotNull())
-    base = norms_held.select(
-        "id", F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " "))).cast("long").alias("n_words"), F.flatten(F.array(*places)).alias("places"), F.array_sort(F.array_distinct(base_labels)).alias("base_list")
-    )
-
-    # templates
-    frequency = token_order(norms, {t for text, _ in templates for t in text.split(" ")})
-    table = _template_table(spark, frequency, templates, threshold)
-    listed = [r["token"] for r in table.select("token").distinct().orderBy("token").collect()]  # of the templates alone
-    prefix = F.array(*[F.lit(t) for t in listed])
-    held = norms.filter(F.arrays_overlap(F.split("norm", " "), prefix)).select("id", F.explode(F.array(F.split("norm", " "))).alias("words"))
-    most = 2 * max(len(text.split(" ")) for text, _ in templates)
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(listed))
-    around = lambda i: F.struct(F.get("words", i).alias("token"), F.least(i, F.lit(most - 1)).alias("before"), F.slice("words", F.greatest(i + 2 - most, F.lit(1)), F.least(i, F.lit(most - 1)) + most).alias("near"))
-    spots = held.select("id", F.explode(F.array_distinct(F.transform(at, around))).alias("x")).select("id", "x.*")
-    met = spots.join(F.broadcast(table), "token").filter("size(near) >= least and size(tokens) - place >= least")
-    # all of a template's blocks that hold the place
-    left = F.least("before", F.col("width") - 1)
-    near = F.slice("near", F.col("before") - left + 1, left + F.col("width"))
-    close = met.select("id", "tokens", "least", "width", "label", near.alias("near")).filter(F.size(F.array_intersect("near", "tokens")) >= F.col("least"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1)))
-    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("width")), F.col("tokens")))))
-    matches = close.withColumn("shared", shared).filter("shared >= least")
-    found = matches.groupBy("id").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.size("tokens")).alias("containment"))
-    joined = base.join(found, "id", "left")
+    vocabulary = sorted({t for text, _ in templates for t in template_words(text)})
+    scanned = cut(_scanned(docs, id_col, text_col, phrases, vocabulary), "scanned")
+    # document frequency over the whole corpus: a row for each word of the templates at most
+    found = scanned.select(F.explode(F.array_distinct(F.transform("spots", lambda s: s["token"]))).alias("token")).groupBy("token").count()
+    frequency = {r["token"]: r["count"] for r in found.collect()}
+    table = _template_table(docs.sparkSession, frequency, templates, threshold)
+    matches = _matches(scanned, table, 2 * max(len(template_words(text)) for text, _ in templates))
+    found = matches.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    joined = scanned.drop("spots").join(found, "row", "left")
     labels = F.array_sort(F.array_union("base_list", F.coalesce("more", F.array().cast("array<string>"))))
     return joined.select(
         F.col("id").alias(id_col), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
@@ -150,10 +210,12 @@ WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM docum
 phrases(phrase, label, size) AS (VALUES {", ".join(f"('{p}', '{x}', {len(p.split())})" for p, x in PHRASES)}),
 spot AS (SELECT doc_id, label, i FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS i FROM d), phrases WHERE array_to_string(ws[i + 1:i + size], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM spot GROUP BY 1),
-templates(no, token, size, label) AS (VALUES {", ".join(f"({n}, '{t}', {len(set(text.split()))}, '{x}')" for n, (text, x) in enumerate(TEMPLATES) for t in sorted(set(text.split())))}),
-lines AS (SELECT doc_id, row_number() OVER () AS line, {_WORDS.format("line")} AS ws FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-tokens AS (SELECT DISTINCT doc_id, line, unnest(ws) AS token FROM lines),
-found AS (SELECT doc_id, label, count(*) / size AS containment FROM tokens JOIN templates USING (token) GROUP BY doc_id, line, no, label, size HAVING count(*) >= ceil(0.9 * size)),
+templates(no, token, size, least, width, label) AS (VALUES {", ".join(f"({n}, '{t}', {len(set(template_words(text)))}, {least_overlap(text, 0.9)}, {2 * len(template_words(text))}, '{x}')" for n, (text, x) in enumerate(TEMPLATES) for t in sorted(set(template_words(text))))}),
+hits AS (SELECT doc_id, no, i, token, size, least, width, label FROM (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS i FROM d) JOIN templates USING (token)),
+likely AS (SELECT doc_id, no FROM hits GROUP BY doc_id, no, least HAVING count(DISTINCT token) >= least),
+h AS (SELECT hits.* FROM hits JOIN likely USING (doc_id, no)),
+found AS (SELECT a.doc_id, a.label, count(DISTINCT b.token) / a.size AS containment FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.no = a.no AND b.i >= a.i AND b.i < a.i + a.width
+  GROUP BY a.doc_id, a.no, a.i, a.label, a.size, a.least HAVING count(DISTINCT b.token) >= a.least),
 best AS (SELECT doc_id, max(containment) AS containment FROM found GROUP BY 1),
 b AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spot GROUP BY 1),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM spot UNION SELECT doc_id, label FROM found) GROUP BY 1)

@@ -426,12 +426,23 @@ def test_lattice_paths():
 
 
 def test_license_scan(spark, empty):
-    from bazaarlake.llm.license_scan import PHRASES, TEMPLATES, license_scan
+    import textwrap
 
+    from bazaarlake.llm.license_scan import PHRASES, TEMPLATES, least_overlap, license_scan, template_words
+
+    rng = random.Random(12)
     texts = [None, "", "MIT License mit\tlicense", "the MIT-License!", "mit licenses", "cc  BY 4.0\nReleased under the mit license.", "gnu general public license gnu general public license", "apache\nlicense",
-             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files.", "Mozilla public", "É mit license É " + "x " * 3000, "licensed under CC BY-NC 4.0"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"id": F.lit("clash"), "norm": F.lit("clash")})
-    for r in license_scan(docs).collect():
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files.", "Mozilla public", "É mit license É " + "x " * 3000, "licensed under CC BY-NC 4.0",
+             "released " + "a b c d " * 9 + "under " + "e f g h " * 9 + "the mit " + "i j k l " * 9 + "license", "the of and to " * 700 + TEMPLATES[16][0] + " the of and to" * 700, "license license " * 2000]
+    for text, _ in TEMPLATES:  # wrapped, with words left out, replaced and put in
+        w = text.split()
+        texts.append("some words before\n" + "\n".join(textwrap.wrap(" ".join(w), 60)) + "\nand some after")
+        texts += [" ".join(x for x in w if rng.random() > share) for share in (0.05, 0.15)]
+        texts.append(" ".join(x if rng.random() > 0.3 else f"{x} {rng.choice(['the', 'of', 'software', 'zzz'])}" for x in w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"id": F.lit("clash"), "norm": F.lit("clash"), "row": F.lit(1)})
+    got = license_scan(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
         t = texts[r["doc_id"]]
         w, places, labels = words(t, ALNUM), [], set()
         for phrase, label in PHRASES:
@@ -440,17 +451,19 @@ def test_license_scan(spark, empty):
             places += mine
             labels |= {label} if mine else set()
         more, best = set(), 0.0
-        for line in (t or "").split("\n"):
-            have = set(words(line, ALNUM))
-            for template, label in TEMPLATES:
-                want = set(template.encode().split())
-                if len(have & want) >= math.ceil(0.9 * len(want) - 1e-9):
-                    more.add(label)
-                    best = max(best, len(have & want) / len(want))
+        for template, label in TEMPLATES:
+            want, width = {x.encode() for x in template_words(template)}, 2 * len(template_words(template))
+            spots = [i for i, x in enumerate(w) if x in want]
+            shared = max((len({w[j] for j in spots if i <= j < i + width}) for i in spots), default=0) if len(want & set(w)) >= least_overlap(template, 0.9) else 0
+            if shared >= least_overlap(template, 0.9):
+                more.add(label)
+                best = max(best, shared / len(want))
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None)), t
-        assert (r["base_labels"], r["labels"]) == (",".join(sorted(labels)), ",".join(sorted(labels | more)))
+        assert (r["base_labels"], r["labels"]) == (",".join(sorted(labels)), ",".join(sorted(labels | more))), t
         assert math.isclose(r["score"], 1.0 if places else best)
     assert license_scan(empty).count() == 0
+    odd = spark.createDataFrame([(None, TEMPLATES[2][0]), (None, "none"), (1, TEMPLATES[11][0]), (1, TEMPLATES[2][0])], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["labels"]) for r in license_scan(odd).collect()) == [("1", "bsd"), ("1", "mpl"), ("None", ""), ("None", "bsd")]
 
 
 def test_components(spark):
