@@ -2,13 +2,15 @@
 
 A host's labels, reversed and each ended by a separator that sorts below every label byte,
 form its key: a rule's host and all its subdomains are exactly the keys that begin with the
-rule's key, one interval. The intervals of the rules are nested or disjoint, so a sweep over
-keys in order needs a stack of active rules. The stack at the start of each interval depends on
+rule's key, one interval. The intervals of hosts with rules are nested or disjoint, so a sweep over
+keys in order needs a stack of active hosts. The stack at the start of each interval depends on
 the rules alone and is computed once; in the sorted sweep (a window that carries the last
-interval start forward) every url finds the stack at its place, drops what has ended, and
-keeps the longest rule whose path its own path begins with.
+interval start forward) every url finds the stack at its place and drops what has ended. A second
+sweep of the same kind goes over (host of the rules, path): a rule's path is the interval of all paths that
+begin with it, and a stack holds the nested rules of one host alone. So a row carries as
+many hosts as its own has labels, and as many rules as are nested at one path, however many a host has.
 
-The sweep runs in blocks: urls are dealt evenly by a hash of host and row, so a host with a
+The sweeps run in blocks: urls are dealt evenly by a hash of host and row, so a host with a
 third of all rows is no hot key, and each block gets the rules (a table of rules, small
 beside the pages).
 """
@@ -41,17 +43,32 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _SEP), F.lit(_SEP))
 
 
-def _with_stacks(rules: DataFrame) -> DataFrame:
-    """One row per rule host: its key and all rules of hosts whose interval holds it.
+def _host_stacks(rules: DataFrame) -> DataFrame:
+    """One row per rule host: its key, and the keys of all rule hosts whose interval holds it.
 
-    A host's enclosing intervals are those of its own suffixes, so the rules meet themselves by an
+    A host's enclosing intervals are those of its own suffixes, so the hosts meet themselves by an
     equi-join on suffix keys (as many as a host has labels), not by comparing all with all.
     """
-    labels = F.split("key", _SEP)
     own = rules.select("key").distinct()
-    suffixes = own.withColumn("parts", labels).select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.concat(F.array_join(F.slice("parts", F.lit(1), i), _SEP), F.lit(_SEP)))).alias("outer"))
-    outer = rules.select(F.col("key").alias("outer"), F.struct("key", "host", "path", "verdict").alias("rule"))
-    return suffixes.join(outer, "outer").groupBy("key").agg(F.sort_array(F.collect_set("rule")).alias("stack"))
+    part = lambda i: F.concat(F.array_join(F.slice("parts", F.lit(1), i), _SEP), F.lit(_SEP))
+    suffixes = own.withColumn("parts", F.split("key", _SEP)).select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), part)).alias("outer"))
+    return suffixes.join(own.withColumnRenamed("key", "outer"), "outer").groupBy("key").agg(F.sort_array(F.collect_set("outer")).alias("stack"))
+
+
+def _path_stacks(rules: DataFrame) -> DataFrame:
+    """One row per (host key, path) of the rules: the host's rules whose path it begins with (an equi-join on its beginnings)."""
+    own = rules.select(F.col("key").alias("outer"), "path").distinct()
+    beginnings = own.select("outer", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring("path", F.lit(1), i))).alias("beginning"))
+    inner = rules.select(F.col("key").alias("outer"), F.col("path").alias("beginning"), F.struct("key", "host", "path", "verdict").alias("rule"))
+    return beginnings.join(inner, ["outer", "beginning"]).groupBy("outer", "path").agg(F.sort_array(F.collect_set("rule")).alias("stack"))
+
+
+def _sweep(urls: DataFrame, starts: DataFrame, n_blocks: int, *order: str) -> DataFrame:
+    """Adds `active` to the urls: the stack of the last start before each, in their block."""
+    everywhere = starts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("is_url", F.lit(0))
+    events = urls.withColumn("is_url", F.lit(1)).unionByName(everywhere, allowMissingColumns=True)
+    window = Window.partitionBy("block").orderBy(*order, "is_url").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("active", F.last("stack", ignorenulls=True).over(window)).filter("is_url = 1").drop("stack", "is_url")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -70,15 +87,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules = rules.withColumn("key", host_key(F.col("host")))
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("block", F.pmod(F.xxhash64("id", "host", "path"), F.lit(n_blocks)).cast("int"))
-    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("is_url", F.lit(1))
-    starts = _with_stacks(rules).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("is_url", F.lit(0))
-    events = urls.unionByName(starts, allowMissingColumns=True)
-    sweep = Window.partitionBy("block").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).filter("is_url = 1")
-    fits = F.filter("active", lambda r: (F.col("key") >= r["key"]) & F.col("key").startswith(r["key"]) & F.col("path").startswith(r["path"]))
+    urls = urls.withColumns({"key": host_key(F.col("host")), "row": F.monotonically_increasing_id()})
+    hosts = _sweep(urls, _host_stacks(rules), n_blocks, "key")
+    hosts = hosts.withColumn("outer", F.explode_outer(F.filter("active", lambda k: F.col("key").startswith(k)))).drop("active")
+    swept = _sweep(hosts, _path_stacks(rules), n_blocks, "outer", "path")
+    fits = F.filter("active", lambda r: (r["key"] == F.col("outer")) & F.col("path").startswith(r["path"]))
     ranked = F.transform(fits, lambda r: F.struct((-(F.length(r["host"]) + F.length(r["path"]))).alias("a"), (-F.length(r["host"])).alias("b"), F.concat(r["host"], r["path"]).alias("rule"), F.when(r["verdict"] == "block", 0).otherwise(1).alias("c"), r["verdict"].alias("verdict")))
-    best = F.array_min(ranked)
-    return swept.withColumn("best", best).select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = swept.withColumn("best", F.array_min(ranked)).groupBy("block", "row").agg(*[F.first(c).alias(c) for c in ("id", "host", "path")], F.min("best").alias("best"))
+    return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
