@@ -10,7 +10,9 @@ in the tasks, each page on its own.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,23 +40,47 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Blocks(HTMLParser):
-    """Collects blocks: (open tags with names, text, characters in links)."""
+    """Collects blocks: (own tag, features of the open tags, text, characters in links).
 
-    def __init__(self):
+    The features of the open block-level tags ("in:" tag, "name:" class, id or role) are counted as tags
+    open and close, so a block costs as many steps as it has different ones, however deep it stands.
+    """
+
+    def __init__(self, known: frozenset[str] | None = None):
+        """known: the features that are wanted; None: all."""
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[tuple[str, tuple[str, ...]], ...], str, int]] = []
+        self.own: list[str] = []
+        self.tags: Counter[str] = Counter()
+        self.around: dict[str, int] = {}
+        self.blocks: list[tuple[str, tuple[str, ...], str, int]] = []
         self.text: list[str] = []
         self.linked = self.hidden = self.links = 0
 
     def end_block(self) -> None:
-        text = _WHITE.sub(" ", "".join(self.text)).strip()
-        if text:
-            self.blocks.append((tuple(x for x in self.open if x[0] not in _INLINE), text, self.linked))
+        if self.text:
+            text = _WHITE.sub(" ", "".join(self.text)).strip()
+            if text:
+                own = self.own[-1] if self.own else "-"
+                self.blocks.append((own, tuple(sorted(self.around)) if self.own else ("in:-",), text, self.linked))
         self.text, self.linked = [], 0
 
+    def start(self, tag: str, names: tuple[str, ...]) -> None:
+        features = () if tag in _INLINE else tuple(x for x in {f"in:{tag}", *(f"name:{x}" for x in names)} if self.known is None or x in self.known)
+        self.open.append((tag, features))
+        self.tags[tag] += 1
+        self.hidden += tag in _HIDDEN
+        self.links += tag == "a"
+        if tag not in _INLINE:
+            self.own.append(tag)
+        for x in features:
+            self.around[x] = self.around.get(x, 0) + 1
+
     def end_head(self, anywhere: bool = False) -> None:
         """Ends an open head; unless anywhere, only one whose own content this is."""
+        if not self.tags["head"]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == "head":
                 self.close(i)
@@ -84,9 +110,7 @@ class _Blocks(HTMLParser):
                         break
         if tag not in _VOID:
             names = tuple(x for k, v in attrs if k in ("class", "id", "role") and v for x in re.findall(r"[a-z]+", v.lower()))
-            self.open.append((tag, names))
-            self.hidden += tag in _HIDDEN
-            self.links += tag == "a"
+            self.start(tag, names)
 
     def close(self, i: int | None = None) -> None:
         """Ends the open tags from the i-th on; without i, ends the page."""
@@ -94,14 +118,23 @@ class _Blocks(HTMLParser):
             super().close()
             self.end_block()
             return
-        for tag, _ in self.open[i:]:
+        for tag, features in self.open[i:]:
+            self.tags[tag] -= 1
             self.hidden -= tag in _HIDDEN
             self.links -= tag == "a"
+            if tag not in _INLINE:
+                self.own.pop()
+            for x in features:
+                self.around[x] -= 1
+                if not self.around[x]:
+                    del self.around[x]
         del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in _INLINE:
             self.end_block()
+        if not self.tags[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self.close(i)
@@ -118,22 +151,20 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def page_blocks(html: str) -> list[tuple[tuple, str, int]]:
-    parser = _Blocks()
+def page_blocks(html: str, known: frozenset[str] | None = None) -> list[tuple[str, tuple[str, ...], str, int]]:
+    parser = _Blocks(known)
     parser.feed(html)
     parser.close()
     return parser.blocks
 
 
-def block_features(blocks: list[tuple[tuple, str, int]]) -> list[list[str]]:
+def block_features(blocks: list[tuple[str, tuple[str, ...], str, int]]) -> list[list[str]]:
     out = []
-    for place, (path, text, linked) in enumerate(blocks):
+    for place, (own, around, text, linked) in enumerate(blocks):
         words = text.count(" ") + 1
-        own = path[-1][0] if path else "-"
         f = ["bias", f"own:{own}", f"words:{min(words, 64).bit_length()}", f"links:{round(4 * min(1.0, linked / max(1, len(text))))}"]
         f += [f"ends:{text[-1] in '.!?…'}", f"stops:{min(3, len(re.findall(r'[.!?]', text)))}", "place:" + ("only" if len(blocks) == 1 else "first" if not place else "last" if place == len(blocks) - 1 else "inner")]
-        seen = {f"in:{tag}" for tag, _ in path[:-1]} | {f"in:{own}"} | {f"name:{x}" for _, names in path for x in names}
-        out.append(f + sorted(seen))
+        out.append(f + list(around))
     return out
 
 
@@ -161,46 +192,60 @@ class Field:
         return labels[::-1]
 
 
-def train_field(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, decay: float = DECAY) -> Field:
-    """Maximum likelihood by gradient ascent (Adam); the forward and backward recursions run over all pages at once, padded."""
-    pages = [p for p in pages if p[1]]
-    names = {x: i for i, x in enumerate(sorted({x for f, _ in pages for row in f for x in row}))}
-    n, longest = len(pages), max(len(y) for _, y in pages)
-    size = np.array([len(y) for _, y in pages])
-    labels = np.zeros((n, longest), np.int64)
-    rows, columns = [], []
-    for p, (features, y) in enumerate(pages):
-        labels[p, : len(y)] = y
-        for t, f in enumerate(features):
-            rows += [p * longest + t] * len(f)
-            columns += [names[x] for x in f]
-    rows, columns = np.array(rows), np.array(columns)
-    here = np.arange(longest) < size[:, None]
-    truth = np.eye(2)[labels] * here[..., None]
-    pairs = here[:, 1:]
-    true_moves = np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:])
-    w = [np.zeros((len(names), 2)), np.zeros((2, 2))]
-    m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-    for step in range(1, steps + 1):
-        score = np.stack([np.bincount(rows, w[0][columns, k], n * longest).reshape(n, longest) for k in (0, 1)], -1)
+class _Examples:
+    """Labelled pages, padded to the longest, with the truth in numbers."""
+
+    def __init__(self, pages: list[tuple[list[list[str]], list[int]]]):
+        pages = [p for p in pages if p[1]]
+        self.names = {x: i for i, x in enumerate(sorted({x for f, _ in pages for row in f for x in row}))}
+        self.n, self.longest = len(pages), max(len(y) for _, y in pages)
+        self.size = np.array([len(y) for _, y in pages])
+        labels = np.zeros((self.n, self.longest), np.int64)
+        rows, columns = [], []
+        for p, (features, y) in enumerate(pages):
+            labels[p, : len(y)] = y
+            for t, f in enumerate(features):
+                rows += [p * self.longest + t] * len(f)
+                columns += [self.names[x] for x in f]
+        self.rows, self.columns = np.array(rows), np.array(columns)
+        self.here = np.arange(self.longest) < self.size[:, None]
+        self.truth = np.eye(2)[labels] * self.here[..., None]
+        self.moves = np.einsum("pti,ptj->ij", self.truth[:, :-1], self.truth[:, 1:])
+
+    def likelihood(self, emit: np.ndarray, move: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Mean log likelihood of the pages, its gradients, and the marginals of the labels; the forward and backward recursions run over all pages at once."""
+        n, longest, here = self.n, self.longest, self.here
+        score = np.stack([np.bincount(self.rows, emit[self.columns, k], n * longest).reshape(n, longest) for k in (0, 1)], -1)
         alpha, beta = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         alpha[:, 0] = score[:, 0]
         for t in range(1, longest):
-            new = np.logaddexp(alpha[:, t - 1, 0, None] + w[1][0], alpha[:, t - 1, 1, None] + w[1][1]) + score[:, t]
+            new = np.logaddexp(alpha[:, t - 1, 0, None] + move[0], alpha[:, t - 1, 1, None] + move[1]) + score[:, t]
             alpha[:, t] = np.where(here[:, t, None], new, alpha[:, t - 1])
         for t in range(longest - 2, -1, -1):
             after = score[:, t + 1] + beta[:, t + 1]
-            new = np.logaddexp(w[1][:, 0] + after[:, 0, None], w[1][:, 1] + after[:, 1, None])
+            new = np.logaddexp(move[:, 0] + after[:, 0, None], move[:, 1] + after[:, 1, None])
             beta[:, t] = np.where(here[:, t + 1, None], new, 0)
-        total = np.logaddexp(*alpha[np.arange(n), size - 1].T)
+        total = np.logaddexp(*alpha[np.arange(n), self.size - 1].T)
         belief = np.exp(alpha + beta - total[:, None, None]) * here[..., None]
-        moves = np.exp(alpha[:, :-1, :, None] + w[1] + (score + beta)[:, 1:, None, :] - total[:, None, None, None]) * pairs[..., None, None]
-        off = ((truth - belief) / n).reshape(-1, 2)
-        grads = [np.stack([np.bincount(columns, off[rows, k], len(names)) for k in (0, 1)], 1) - decay * w[0], (true_moves - moves.sum((0, 1))) / n - decay * w[1]]
+        moves = np.exp(alpha[:, :-1, :, None] + move + (score + beta)[:, 1:, None, :] - total[:, None, None, None]) * here[:, 1:, None, None]
+        off = ((self.truth - belief) / n).reshape(-1, 2)
+        of_emit = np.stack([np.bincount(self.columns, off[self.rows, k], len(self.names)) for k in (0, 1)], 1)
+        mean = ((self.truth * score).sum() + (self.moves * move).sum() - total.sum()) / n
+        return float(mean), of_emit, (self.moves - moves.sum((0, 1))) / n, belief
+
+
+def train_field(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, decay: float = DECAY) -> Field:
+    """Maximum likelihood by gradient ascent (Adam)."""
+    examples = _Examples(pages)
+    w = [np.zeros((len(examples.names), 2)), np.zeros((2, 2))]
+    m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    for step in range(1, steps + 1):
+        _, *grads, _ = examples.likelihood(*w)
         for i, g in enumerate(grads):
+            g = g - decay * w[i]
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g**2
             w[i] = w[i] + 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Field(names, w[0], w[1])
+    return Field(examples.names, w[0], w[1])
 
 
 def labelled_examples(pages: list[tuple[str, list[tuple[str, bool]]]]) -> list[tuple[list[list[str]], list[int]]]:
@@ -208,20 +253,26 @@ def labelled_examples(pages: list[tuple[str, list[tuple[str, bool]]]]) -> list[t
     out = []
     for html, truth in pages:
         blocks = page_blocks(html)
-        if [b[1] for b in blocks] == [_WHITE.sub(" ", text).strip() for text, _ in truth]:
+        if [b[2] for b in blocks] == [_WHITE.sub(" ", text).strip() for text, _ in truth]:
             out.append((block_features(blocks), [int(y) for _, y in truth]))
     return out
 
 
+@cache
+def _standard_field() -> Field:
+    """Trained once in a process on the labelled layouts."""
+    return train_field(labelled_examples(labelled_pages(PAGES)))
+
+
 def _extract(names: dict[str, int], emit: np.ndarray, move: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = Field(names, emit, move)
+        field, known = Field(names, emit, move), frozenset(names)
         for batch in batches:
             texts = []
             for html in batch.column(2):
-                blocks = page_blocks(html.as_py() or "")
+                blocks = page_blocks(html.as_py() or "", known)
                 labels = field.viterbi(block_features(blocks))
-                texts.append(" ".join(b[1] for b, y in zip(blocks, labels, strict=True) if y))
+                texts.append(" ".join(b[2] for b, y in zip(blocks, labels, strict=True) if y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     return run
@@ -238,7 +289,7 @@ def extract_main_text(pages: DataFrame, labelled: list[tuple[str, list[tuple[str
     result; other columns are ignored.
     """
     small_batches(pages.sparkSession, 500)
-    field = train_field(labelled_examples(labelled if labelled is not None else labelled_pages(PAGES)))
+    field = train_field(labelled_examples(labelled)) if labelled is not None else _standard_field()
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     out = rows.mapInArrow(_extract(field.names, field.emit, field.move), "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

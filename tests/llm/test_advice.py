@@ -18,7 +18,7 @@ def test_license_over_line_ends(spark):
 def test_open_head_and_math():
     from bazaarlake.llm.html_main import page_blocks
 
-    texts = lambda html: [text for _, text, _ in page_blocks(html)]
+    texts = lambda html: [text for _, _, text, _ in page_blocks(html)]
     assert texts("<html><head><title>t</title><meta charset=utf-8><body><p>one<p>two") == ["one", "two"]
     assert texts("<html><head><title>t</title><script>x</script><p>one</p>two") == ["one", "two"]
     assert texts("<head><noscript><img src=a>no</noscript><style>s</style></head><body>one") == ["one"]

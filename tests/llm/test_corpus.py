@@ -184,6 +184,75 @@ def test_main_text(spark):
     assert got[1] == (main, len(main)) and got[2] == got[3] == ("", 0)
     assert got[None][0] == "cut off in the middle of a sentence, as it were"
     assert extract_main_text(rows.limit(0)).count() == 0
+    assert extract_main_text(rows.union(rows).filter("page_id = 1")).count() == 2
+
+
+def test_field_against_all_labellings():
+    """Viterbi, the likelihood, the marginals and the gradients against the enumeration of all label sequences."""
+    import itertools
+
+    import numpy as np
+
+    from bazaarlake.llm.html_main import Field, _Examples
+
+    rng = np.random.default_rng(2)
+    names = ["a", "b", "c", "d", "e"]
+    pages = [([list(rng.choice(names, rng.integers(1, 4), replace=False)) for _ in range(n)], [int(x) for x in rng.integers(0, 2, n)]) for n in (1, 2, 5, 3)]
+    examples = _Examples(pages)
+    emit, move = rng.normal(size=(len(examples.names), 2)), rng.normal(size=(2, 2))
+    field = Field(examples.names, emit, move)
+
+    def total(features, y):
+        rows = field.scores(features)
+        return sum(rows[t][k] for t, k in enumerate(y)) + sum(move[i, j] for i, j in itertools.pairwise(y))
+
+    mean, of_emit, of_move, belief = examples.likelihood(emit, move)
+    want = 0.0
+    for p, (features, y) in enumerate(pages):
+        every = list(itertools.product((0, 1), repeat=len(y)))
+        scores = np.array([total(features, z) for z in every])
+        assert field.viterbi(features) == list(every[int(scores.argmax())])
+        share = np.exp(scores - scores.max())
+        share /= share.sum()
+        for t in range(len(y)):
+            assert math.isclose(belief[p, t, 1], sum(x for x, z in zip(share, every, strict=True) if z[t]), rel_tol=1e-9)
+        want += total(features, y) - scores.max() - math.log(np.exp(scores - scores.max()).sum())
+    assert math.isclose(mean, want / len(pages), rel_tol=1e-9)
+    for grad, w, place in ((of_emit, emit, (1, 1)), (of_emit, emit, (3, 0)), (of_move, move, (0, 1)), (of_move, move, (1, 1))):
+        w[place] += 1e-6
+        up = examples.likelihood(emit, move)[0]
+        w[place] -= 1e-6
+        assert math.isclose((up - mean) / 1e-6, grad[place], rel_tol=1e-3, abs_tol=1e-5)
+
+
+def test_pages_with_labels_by_hand():
+    """Pages written by hand, apart from the layouts that the field is trained on."""
+    from bazaarlake.llm.html_main import _standard_field, block_features, page_blocks
+
+    page = lambda top, main, end: f"<!doctype html><html lang=en><head><meta charset=utf-8><title>x</title></head><body>{top}{main}{end}</body></html>"
+    text = "The river rose through the night, and by morning the lower road was gone. Nobody in the village was surprised."
+    more = "Repairs will take until autumn, the council said on Tuesday. A ferry runs twice a day until then."
+    pages = [
+        page("<div id=navbar><a href=/>Home</a> <a href=/news>News</a></div>", f"<main><h1>The road</h1><p>{text}</p><p>{more}</p></main>", "<div class=footer><p>Copyright 2023 The Paper. All rights reserved.</p></div>"),
+        page("<header><h2>Site</h2><nav><ul><li><a href=a>A</a><li><a href=b>B</a></ul></nav></header>", f"<div class=content><p>{text}</p><ul><li>{more}</li></ul></div>", "<aside class=sidebar><h3>Related</h3><a href=c>Other stories</a></aside>"),
+        page("", f"<article><p>{text}</p><blockquote>{more}</blockquote></article>", "<section class=comments><p>First! Great story, thanks for it.</p></section>"),
+    ]
+    for html in pages:
+        blocks = page_blocks(html)
+        got = " ".join(b[2] for b, y in zip(blocks, _standard_field().viterbi(block_features(blocks)), strict=True) if y)
+        assert text in got and more in got and not any(x in got for x in ("News", "Copyright", "Related", "Other stories", "First!"))
+
+
+def test_deep_and_long_pages():
+    import time
+
+    from bazaarlake.llm.html_main import page_blocks
+
+    start = time.time()
+    deep = page_blocks("".join(f"<div class=c{i % 7}>x{i} " for i in range(60_000)) + "</p>" * 60_000 + "</div>" * 60_000)
+    assert len(deep) == 60_000 and deep[-1][:2] == ("div", ("in:div", "name:c")) and deep[-1][2] == "x59999"
+    assert len(page_blocks("<p>" + "word " * 400_000)[0][2]) == 2_000_000 - 1
+    assert time.time() - start < 20
 
 
 @pytest.mark.parametrize("split", [1, 37, 400, 1 << 20])
