@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bazaarlake.llm.common import _BYTE, ALNUM, Slice, _power, cut, fold, mix, slices, small_batches
 
-#: The training sample: at most so many toxic rows, and so many unlabelled documents (by hash of the id).
-POSITIVES, UNLABELLED = 4_000, 16_000
+#: Defaults of the training sample: at most so many toxic rows, so many unlabelled documents (by hash of the id), and so many bytes of text of either kind.
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 4_000, 16_000, 64 << 20
 #: Terms that the classifier knows, documents of the toxic sample that a term must be in, and how much larger its share there must be than in the unlabelled sample.
 TERMS, LEAST, LIFT = 4_096, 5, 3.0
 #: Levels of a term: times in a text, and share of its words.
@@ -104,31 +104,45 @@ def _features(shared):
     return run
 
 
+def nnpu_risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """Non-negative risk of decision values g with logistic loss, and the slope by g that a step of training follows.
+
+    Where the negative part is below 0, a step goes up its slope instead (Kiryo et al. 2017).
+    """
+    n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
+    s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+    negative_loss, positive_loss = np.logaddexp(0, g), np.logaddexp(0, -g)
+    rest = negative_loss[~positive].sum() / n_u - prior * negative_loss[positive].sum() / n_p
+    # d/dg of the negative part: sigmoid(g); of the positive part: sigmoid(g) - 1
+    of_rest = np.where(positive, -prior * s / n_p, s / n_u)
+    slope = -of_rest if rest < 0 else of_rest + np.where(positive, prior * (s - 1) / n_p, 0)
+    return prior * positive_loss[positive].sum() / n_p + max(0.0, rest), slope
+
+
 def fit_nnpu(features: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
     """Linear classifier by Adam on the non-negative risk with logistic loss; features: the active ones of each row."""
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     columns = np.concatenate(features) if len(features) else np.zeros(0, np.int64)
     w, m, v = (np.zeros(n_features + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
-    n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
     for step in range(1, STEPS + 1):
         g = w[-1] + np.bincount(rows, w[columns], len(features))
-        s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        negative_loss = np.logaddexp(0, g)
-        rest = negative_loss[~positive].sum() / n_u - prior * negative_loss[positive].sum() / n_p
-        # d/dg of the negative part: sigmoid(g); of the positive part: sigmoid(g) - 1
-        of_rest = np.where(positive, -prior * s / n_p, s / n_u)
-        slope = -of_rest if rest < 0 else of_rest + np.where(positive, prior * (s - 1) / n_p, 0)
+        _, slope = nnpu_risk(g, positive, prior)
         grad = np.append(np.bincount(columns, slope[rows], n_features), slope.sum())
         grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (1 - 0.9 * step / STEPS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w[:-1] = np.maximum(w[:-1], 0)  # a term is evidence for toxicity or none: harmless words can't outweigh it
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, toxic: DataFrame, prior: float, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """docs: unlabelled text; toxic: ids of confirmed toxic examples among them."""
+def train(
+    docs: DataFrame, toxic: DataFrame, prior: float, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
+    """docs: unlabelled text; toxic: ids of confirmed toxic examples among them.
+
+    The sample is the first rows by hash of the id, as far as its bounds of rows and bytes go, so what
+    reaches the driver (the active features of the sample) is bounded.
+    """
 
     def first(rows: DataFrame, most: int) -> DataFrame:
         """The first ids by hash; those that can't be among them go before any are gathered."""
@@ -137,9 +151,12 @@ def train(docs: DataFrame, toxic: DataFrame, prior: float, id_col: str = "doc_id
 
     ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     toxic = toxic.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
-    toxic, plain = first(toxic, POSITIVES), first(ids.select("id"), UNLABELLED)
+    toxic, plain = first(toxic, positives), first(ids.select("id"), unlabelled)
     sample = toxic.withColumn("toxic", F.lit(1)).unionByName(plain.withColumn("toxic", F.lit(0)))
-    rows = cut(ids.join(F.broadcast(sample), "id").select("id", "text", "toxic"), "sample")  # POSITIVES + UNLABELLED ids at most
+    found = cut(ids.join(F.broadcast(sample), "id").select("id", "text", "toxic"), "sample")  # positives + unlabelled ids at most
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))  # over a row for each id of the sample, without its text
+    within = F.broadcast(found.select("id", "toxic", upto.alias("upto")).filter(F.col("upto") <= sample_bytes).select("id", "toxic").distinct())
+    rows = found.join(within, ["id", "toxic"], "left_semi")
     n_p, n_u = rows.filter("toxic = 1").count(), rows.filter("toxic = 0").count()
     terms = rows.select("text", "toxic").mapInArrow(_document_counts, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") >= LEAST)
     # terms of which far more toxic than unlabelled documents have one, by the log-likelihood of their toxic documents
@@ -182,8 +199,8 @@ def toxicity_scores(
     Returns one row per row scored: the id, held_out, score (0 to 1), predicted (score >=
     threshold). Defined cases: null and empty texts get the score of a text without known terms;
     texts of any length are read whole; labels that are null are no examples; repeated rows are scored
-    each; a null id isn't held out; without toxic examples all scores are near 0; an empty table
-    gives an empty result; other columns are ignored.
+    each; a null id isn't held out; a term must be in LEAST toxic examples, so with fewer of them (or none)
+    every text gets one score, the prior; an empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     model = _fitted(docs, labels, folds, held_out, id_col, text_col)
@@ -193,19 +210,20 @@ def toxicity_scores(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """The rows of `docs` that aren't predicted to be toxic, all columns as they are; scored and filtered in one pass, without a shuffle of texts."""
+    """The rows of `docs` that aren't predicted to be toxic, all columns as they are; scored and filtered in one pass, without a shuffle of texts. Rows with a null id are judged by their texts, too."""
     small_batches(docs.sparkSession)
     model = _fitted(docs, labels, folds, held_out, "doc_id", "text")
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
     names = docs.columns
+    scored = next(x for x in (f"_score{i}" for i in range(len(names) + 1)) if x not in names)
+    schema = StructType([*docs.schema.fields, StructField(scored, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*model.value)
         for batch in batches:
             scores = [own.score(part) for part in slices(batch.column(names.index("text")), ALNUM)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*names, scored])
 
-    return docs.mapInArrow(run, schema).filter(F.col("_score") < threshold).drop("_score")
+    return docs.mapInArrow(run, schema).filter(F.col(scored) < threshold).drop(scored)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

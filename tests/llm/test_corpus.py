@@ -163,6 +163,44 @@ def test_toxicity(spark):
     assert toxicity_scores(docs, labels, score=docs.limit(0)).count() == 0
     none = toxicity_scores(docs, labels.limit(0))
     assert none.agg(F.max("score")).first()[0] < 0.3
+    few = toxicity_scores(docs, labels.filter("doc_id in (0, 6, 12) or toxic = 0"))
+    assert few.select("score").distinct().count() == 1
+    clash = drop_toxic(docs.withColumns({"_score": F.lit(1), "_score0": F.lit("x")}), labels)
+    assert clash.columns == ["doc_id", "text", "score", "_score", "_score0"] and clash.count() == kept.count()
+    long = docs.sparkSession.createDataFrame([(1, "word " * 300_000 + "idiot"), (1, "idiot " * 5), (1, "idiot " * 5)], "doc_id long, text string")
+    assert toxicity_scores(docs, labels, score=long).count() == 3
+
+
+def test_nnpu_risk():
+    """The risk against a direct sum, its slope and the classifier's gradient against finite differences, and the fit against held-out labels."""
+    import numpy as np
+
+    from bazaarlake.llm.toxicity import fit_nnpu, nnpu_risk
+
+    rng = np.random.default_rng(4)
+    positive = np.arange(30) < 10
+    for shift, prior in ((0.0, 0.2), (3.0, 0.2), (-4.0, 0.6)):
+        g = rng.normal(size=30) + shift * np.where(positive, 1, -1)
+        loss = lambda z: math.log(1 + math.exp(-z))
+        p, u = g[positive], g[~positive]
+        rest = sum(loss(-z) for z in u) / 20 - prior * sum(loss(-z) for z in p) / 10
+        risk, slope = nnpu_risk(g, positive, prior)
+        assert math.isclose(risk, prior * sum(loss(z) for z in p) / 10 + max(0.0, rest), rel_tol=1e-12)
+        for i in (0, 7, 15, 29):
+            up = g.copy()
+            up[i] += 1e-6
+            whole = lambda g: nnpu_risk(g, positive, prior)[0]
+            if rest >= 0:
+                assert math.isclose((whole(up) - risk) / 1e-6, slope[i], rel_tol=1e-4, abs_tol=1e-6)
+            else:  # up the slope of the negative part
+                part = lambda g: np.logaddexp(0, g[~positive]).sum() / 20 - prior * np.logaddexp(0, g[positive]).sum() / 10
+                assert math.isclose(-(part(up) - part(g)) / 1e-6, slope[i], rel_tol=1e-4, abs_tol=1e-6)
+    # two kinds of text, one in five of the unlabelled is of the kind of the positives
+    kind = np.concatenate([np.ones(200, bool), rng.random(1000) < 0.2])
+    features = [np.flatnonzero(rng.random(20) < np.where(np.arange(20) < 10, 0.5 if k else 0.05, 0.3)) for k in kind]
+    w, constant = fit_nnpu(features, np.arange(1200) < 200, 20, 0.2)
+    score = np.array([constant + w[f].sum() for f in features])[200:]
+    assert ((score > 0) == kind[200:]).mean() > 0.93
 
 
 def test_main_text(spark):
@@ -542,3 +580,29 @@ def test_components(spark):
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 500: 0, 100: 100, 200: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_queries_against_sql(spark):
+    """Each opN_ query with SQL against it, over the smallest tables."""
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from bazaarlake.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the given tables")
+    connection = duckdb.connect()
+    for file in os.listdir(sf):
+        connection.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{sf}/{file}'")
+
+    def plain(value):
+        return float(f"{value:.9g}") if isinstance(value, (int, float)) and not isinstance(value, bool) else value
+
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, sf)
+        result = connection.execute(sql)
+        names = [d[0] for d in result.description]
+        assert sorted(names) == sorted(df.columns), name
+        want = sorted(repr(tuple(plain(r[names.index(c)]) for c in sorted(names))) for r in result.fetchall())
+        assert sorted(repr(tuple(plain(r[c]) for c in sorted(names))) for r in df.collect()) == want, name
