@@ -2,9 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that stay, with the columns of
 `documents`; the last one adds copy_no, and returns a document as many times as the mix takes it.
-Defined cases in every stage: texts may be null, empty or very long; rows with a null doc_id are never
-dropped by a filter (there is no id to drop), and never taken by the mix; an empty table passes through
-as one; further columns are passed on.
+Defined cases in every stage: texts may be null, empty or very long; a row with a null doc_id goes if its
+text is toxic, isn't dropped by the other filters (there is no id to drop), and is never taken by the
+mix; rows of one id with several texts are dropped or kept by the id together, and taken as often as
+the one that the mix takes most; an empty table passes through as one; further columns are passed
+on, whatever their names, but for copy_no, which the mix replaces.
 """
 
 from __future__ import annotations
@@ -53,8 +55,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, with copy_no from 1."""
-    copies = mix_sources(docs).filter("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
+    taken = mix_sources(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("taken_copies"))
+    joined = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id") == F.col("t.taken_id"))
+    kept = [F.col(f"d.`{c}`") for c in docs.columns if c != "copy_no"]
+    return joined.select(*kept, F.explode(F.sequence(F.lit(1), F.col("t.taken_copies"))).alias("copy_no"))
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", benchmark), ("mixing", mixing)]
