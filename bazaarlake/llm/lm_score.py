@@ -34,8 +34,8 @@ FLUSH = 400_000
 PRIOR = 10_000.0
 #: Words of a batch of the recursion: cells of its tables.
 CELLS = 1 << 20
-#: Fewer words than this of one length are taken one by one, from place to place; places of such a word whose pieces are held at once.
-FEW, PLACES = 64, 1 << 16
+#: Places of a word, taken alone, whose pieces are held at once.
+PLACES = 1 << 16
 _MARK = "▁".encode()
 _BASE = 0x100000001B3
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -106,6 +106,11 @@ class Lattice:
             h = h * np.uint64(_BASE) + rows[:, j] + np.uint64(1)
         return h
 
+    @staticmethod
+    def few(words: np.ndarray) -> bool:
+        """Whether words of one length are better taken one by one, from place to place, than all at once."""
+        return 2 * len(words) < words.shape[1]
+
     def edges(self, words: np.ndarray):
         """words: a matrix of bytes, all of one length -> for each end: (size, rows that have a piece there, the pieces)."""
         n, length = words.shape
@@ -171,7 +176,7 @@ class Lattice:
 
     def forward(self, words: np.ndarray) -> np.ndarray:
         """Log of the summed probability of all segmentations of each word."""
-        if len(words) < FEW:
+        if self.few(words):
             return np.array([self.word_alpha(w)[-1] for w in words])
         return self._alpha(words, list(self.edges(words)))[-1]
 
@@ -187,7 +192,7 @@ class Lattice:
 
     def expected(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in these words, each counted so many times."""
-        if len(words) < FEW:
+        if self.few(words):
             total = np.zeros(len(self.log_p))
             for word, count in zip(words, counts.tolist(), strict=True):
                 self.word_expected(word, count, total)
