@@ -24,10 +24,10 @@ def validate(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def roll_quality(value: Column, low: Column, high: Column, all_or_nothing: Column) -> Column:
-    """Null without a range; max at its top; else by the share of the top: high from 0.8, mid from 0.3, low. all_or_nothing: max or other."""
-    share = value / high
-    graded = F.when(share >= 0.8, "high").when(share >= 0.3, "mid").otherwise("low")
-    return F.when(value.isNull() | low.isNull() | high.isNull() | (low == high), F.lit(None)).when(value >= high, "max").when(all_or_nothing, "other").otherwise(graded)
+    """Null without a range; max at its top; else by the place in the range: high from 0.8, mid from 0.3, low. all_or_nothing: max or other."""
+    place = (value - low) / (high - low)
+    graded = F.when(place >= 0.8, "high").when(place >= 0.3, "mid").otherwise("low")
+    return F.when(value.isNull() | low.isNull() | high.isNull() | (low == high), F.lit(None)).when(value == high, "max").when(all_or_nothing, "other").otherwise(graded)
 
 
 def tag_tier(weight: Column) -> Column:
@@ -50,15 +50,26 @@ def numbers(text: Column) -> Column:
 
 
 def inject_numbers(template: Column, values: Column) -> Column:
-    """Fills N placeholders from left to right; those without a value stay."""
-    parts = F.split(template, "N")
-    fill = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.coalesce(F.get(values, i - 1), F.lit("N")), p)))
-    return F.array_join(fill, "")
+    """Fills N placeholders from left to right; those without a value go, with the ~ of a range that they stand in, and so do blanks at the ends."""
+    parts, filled = F.split(template, "N"), F.size(values)
 
+    def piece(part: Column, i: Column) -> Column:
+        open_after, open_before = (i >= filled) & (i < F.size(parts) - 1), i > filled
+        part = F.when(open_after, F.regexp_replace(part, r"\s*~\s*$", "")).otherwise(part)
+        part = F.when(open_before, F.regexp_replace(part, r"^\s*~\s*", "")).otherwise(part)
+        return F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get(values, i - 1), F.lit(""))), part)
 
-def strip_prefix(text: Column) -> Column:
-    """Drops structural bullets (a hyphen, or the corner letter) and blanks at the start."""
-    return F.regexp_replace(text, r"^\s*[-ㄴ]\s*", "")
+    return F.trim(F.array_join(F.transform(parts, piece), ""))
+
+
+#: Structural bullets, and what recognition makes of them: hyphen, comma, full stop, middle dot, the corner letter and L. Fixed values.
+BULLETS = ("-", ",", ".", "·", "ㄴ", "L")
+
+
+def strip_prefix(text: Column, bullets: Sequence[str] = BULLETS) -> Column:
+    """Drops one bullet at the start, and blanks around it."""
+    bare = F.ltrim(text)
+    return F.when(F.substring(bare, 1, 1).isin(*bullets), F.ltrim(F.substring(bare, F.lit(2), F.length(bare)))).otherwise(text)
 
 
 #: Letters of Hangul syllables, in the order of the code points: initial, middle and (first: none) final ones. Fixed values.
@@ -81,10 +92,11 @@ def jamo(text: Column) -> Column:
 
 
 def effect_number(text: Column) -> tuple[Column, Column]:
-    """'name NUMBER[%] rest' -> name, number; nulls where there is none."""
-    pattern = r"^(.+?)\s+(\d+(?:\.\d+)?)\s*(%?)\s*(.*)$"
-    name = F.nullif(F.trim(F.regexp_extract(F.trim(text), pattern, 1)), F.lit(""))
-    return name, F.nullif(F.regexp_extract(F.trim(text), pattern, 2), F.lit("")).cast("double")
+    """'name NUMBER[%] rest' -> name, number; nulls where there is none. The number is the first that stands after a blank."""
+    bare = F.trim(text)
+    at = F.regexp_instr(bare, F.lit(r"\s\d"))
+    value = F.get(numbers(F.substring(bare, at, F.length(bare))), F.lit(0)).cast("double")
+    return F.when(at > 1, F.rtrim(F.substring(bare, F.lit(1), at - 1))), F.when(at > 1, value)
 
 
 def range_suffix(text: Column) -> Column:

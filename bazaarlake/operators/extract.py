@@ -10,37 +10,55 @@ from pyspark.sql import functions as F
 from bazaarlake.functions.similarity import indel_ratio
 from bazaarlake.operators.fuzzy import best_match
 
-_REFORGE = r"^[-\s]*(.+?)\s*\(?(\d+)\D+(\d+)\s*(?:레벨)?\)?\s*$"
-_ENCHANT = r"^\[?(접두|접미)\]?\s+(.+?)\s*\(랭크\s*([A-F0-9]+)\)"
+#: Words of the lines: level, rank, and the two enchant slots. Fixed values.
+_LEVEL, _RANK, _SLOTS = "레벨", "(랭크", ("접두", "접미")
 
 
 def _part(text: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
 
+def _name_and_levels(text: Column) -> Column:
+    """struct(name, level, most) of a text that ends with two numbers, apart from brackets, blanks and the word for level; all null for others."""
+    body = F.rtrim(F.regexp_replace(F.rtrim(text, F.lit(" )")), _LEVEL + "$", ""), F.lit(" )"))
+    two = F.split(F.regexp_extract(body, r"\d+[^0-9]+\d+$", 0), "[^0-9]+")
+    name = F.trim(F.regexp_replace(body, r"\d+[^0-9]+\d+$", ""), F.lit(" -("))
+    found = (F.size(two) == 2) & (name != "")
+    return F.struct(F.when(found, name).alias("name"), F.when(found, two[0].cast("int")).alias("level"), F.when(found, F.get(two, F.lit(1)).cast("int")).alias("most"))
+
+
+def _enchant_header(text: Column) -> Column:
+    """struct(slot, name, rank) of '[slot] name (랭크 rank)', the brackets of the slot being optional; all null for others."""
+    first = F.split_part(text, F.lit(" "), F.lit(1))
+    slot = F.trim(first, F.lit("[]"))
+    rest = F.substring(text, F.length(first) + 1, F.length(text))
+    name, behind = F.trim(F.split_part(rest, F.lit(_RANK), F.lit(1))), F.split_part(rest, F.lit(_RANK), F.lit(2))
+    rank = F.trim(F.split_part(behind, F.lit(")"), F.lit(1)))
+    found = slot.isin(*_SLOTS) & (name != "") & behind.contains(")") & rank.rlike("^[0-9A-F]+$")
+    return F.struct(F.when(found, slot).alias("slot"), F.when(found, name).alias("name"), F.when(found, rank).alias("rank"))
+
+
 def _island(by: str, order: str, starts: Column) -> Column:
     return F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def reforges(lines: DataFrame, by: str, order: str) -> DataFrame:
     """lines (by, order, text, is_sub). 'name (level/max 레벨)' -> name, level, max_level (null without a level); the text of the last sub-bullet below is its effect."""
-    rows = lines.withColumn("no", _island(by, order, ~F.col("is_sub"))).filter("no > 0")
+    rows = lines.withColumn("no", _island(by, order, ~F.col("is_sub"))).filter("no > 0").withColumn("level", _name_and_levels(F.col("text")))
     plain = F.trim(F.regexp_replace("text", r"^[-ㄴ\s]+", ""))
-    has_level = F.col("text").rlike(_REFORGE)
-    name = F.when(has_level, _part(F.col("text"), _REFORGE, 1)).otherwise(plain)
     main = lambda c: F.max(F.when(~F.col("is_sub"), c))
     return rows.groupBy(by, "no").agg(
-        main(name).alias("name"), main(_part(F.col("text"), _REFORGE, 2).cast("int")).alias("level"), main(_part(F.col("text"), _REFORGE, 3).cast("int")).alias("max_level"), F.max_by(F.when(F.col("is_sub"), plain), F.when(F.col("is_sub"), F.col(order))).alias("effect")
+        main(F.coalesce("level.name", plain)).alias("name"), main(F.col("level.level")).alias("level"), main(F.col("level.most")).alias("max_level"), F.max_by(F.when(F.col("is_sub"), plain), F.when(F.col("is_sub"), F.col(order))).alias("effect")
     )
 
 
 def enchant_slots(lines: DataFrame, by: str, order: str) -> DataFrame:
     """Headers '[slot] name (랭크 rank)' start a slot; the lines below are its effects."""
-    header = F.col("text").rlike(_ENCHANT)
-    rows = lines.withColumn("header", header).withColumn("slot_no", _island(by, order, F.col("header"))).filter("slot_no > 0")
-    of_header = lambda i: F.max(F.when(F.col("header"), _part(F.col("text"), _ENCHANT, i)))
-    below = F.sort_array(F.collect_list(F.when(~F.col("header"), F.struct(order, "text"))))
-    return rows.groupBy(by, "slot_no").agg(of_header(1).alias("slot"), of_header(2).alias("name"), of_header(3).alias("rank"), below["text"].alias("effects"))
+    head = _enchant_header(F.col("text"))
+    rows = lines.withColumn("head", head).withColumn("slot_no", _island(by, order, F.col("head.slot").isNotNull())).filter("slot_no > 0")
+    of_header = lambda name: F.max(F.col(f"head.{name}")).alias(name)
+    below = F.sort_array(F.collect_list(F.when(F.col("head.slot").isNull(), F.struct(order, "text"))))
+    return rows.groupBy(by, "slot_no").agg(of_header("slot"), of_header("name"), of_header("rank"), below["text"].alias("effects"))
 
 
 def color_part(text: Column) -> Column:

@@ -61,20 +61,27 @@ def with_effect(listings: DataFrame, rolls: DataFrame, enchant: int, effect_orde
 
 
 def saved_option_filters(searches: DataFrame, column: str = "filters") -> DataFrame:
-    """JSON lists of option filters, one row each: unknown operators mean >=, items without id are skipped, bad JSON means no filter."""
+    """JSON lists of option filters, one row each: unknown operators mean >=, items without id are skipped. Bad or empty JSON means no filter: such a search has one row, without type and id."""
     parsed = F.from_json(column, "array<struct<type: string, id: bigint, op: string, level: double>>")
-    rows = searches.withColumn("f", F.explode(parsed)).filter("f.id is not null")
+    good = F.filter(parsed, lambda f: f["id"].isNotNull())
+    rows = searches.withColumn("f", F.explode_outer(F.when(F.size(good) > 0, good)))
     op = F.when(F.col("f.op").isin("gte", ">="), ">=").when(F.col("f.op").isin("lte", "<="), "<=").when(F.col("f.op").isin("eq", "="), "=").otherwise(">=")
     return rows.select(*[c for c in searches.columns if c != column], F.col("f.type").alias("option_type"), F.col("f.id").alias("option_id"), op.alias("op"), F.col("f.level").alias("level"))
 
 
 def run_saved_searches(searches: DataFrame, options: DataFrame, key: str = "search_id") -> DataFrame:
-    """(search, listing) for which every filter of the search holds. filters come from saved_option_filters()."""
+    """(search, listing, unfiltered): the listings for which every filter of the search holds. filters come from saved_option_filters().
+
+    A search without filters holds for all listings: it has one row with unfiltered = true and no listing, not a row for each.
+    """
     holds = F.expr("level is null or case op when '>=' then rolled_value >= level when '<=' then rolled_value <= level else rolled_value = level end")
-    needed = searches.groupBy(key).agg(F.count_distinct("option_type", "option_id", "op", F.coalesce("level", F.lit(float("nan")))).alias("needed"))
-    met = searches.join(options, ["option_type", "option_id"]).filter(holds)
-    met = met.groupBy(key, "listing_id").agg(F.count_distinct("option_type", "option_id", "op", F.coalesce("level", F.lit(float("nan")))).alias("met"))
-    return met.join(needed, key).filter("met = needed").select(key, "listing_id")
+    distinct = F.count_distinct("option_type", "option_id", "op", F.coalesce("level", F.lit(float("nan"))))
+    filtered = searches.filter("option_id is not null")
+    needed = filtered.groupBy(key).agg(distinct.alias("needed"))
+    met = filtered.join(options, ["option_type", "option_id"]).filter(holds).groupBy(key, "listing_id").agg(distinct.alias("met"))
+    found = met.join(needed, key).filter("met = needed").select(key, "listing_id", F.lit(False).alias("unfiltered"))
+    free = searches.filter("option_id is null").select(key, F.lit(None).cast(options.schema["listing_id"].dataType).alias("listing_id"), F.lit(True).alias("unfiltered"))
+    return found.unionByName(free)
 
 
 def names_like(rows: DataFrame, text: str, limit: int, column: str = "name") -> DataFrame:
@@ -164,25 +171,38 @@ def listing_detail(summary: DataFrame, options: DataFrame, tags: DataFrame, effe
     return keyed.join(options, "listing_id", "left").join(tags, "listing_id", "left").join(nested, "listing_id", "left").drop("listing_id")
 
 
-def tag_division(listings: DataFrame, resolved: DataFrame, names: Sequence[str]) -> DataFrame:
+def tagged(listings: DataFrame, options: DataFrame, targets: DataFrame, tags: DataFrame, wanted: Column) -> DataFrame:
+    """(listing_id, tag) of the given listings and of the tags that are wanted: from the few tags to their targets, and only then to listings and options."""
+    few = tags.filter(wanted).select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
+    where = targets.join(few, "tag_id").select("target_type", "target_id", "tag").distinct()
+    mine = options.join(listings.select(F.col("id").alias("listing_id")), "listing_id", "left_semi")
+    return listing_entities(listings, mine).join(where, ["target_type", "target_id"]).select("listing_id", "tag").distinct()
+
+
+def tag_division(listings: DataFrame, options: DataFrame, targets: DataFrame, tags: DataFrame, names: Sequence[str]) -> DataFrame:
     """Listings that carry all of the tags."""
     if not names:
         return listings
-    every = resolved.filter(F.col("tag").isin(*names)).groupBy("listing_id").agg(F.count_distinct("tag").alias("n")).filter(F.col("n") == len(set(names)))
+    found = tagged(listings, options, targets, tags, F.col("name").isin(*names))
+    every = found.groupBy("listing_id").agg(F.count_distinct("tag").alias("n")).filter(F.col("n") == len(set(names)))
     return listings.join(every.select(F.col("listing_id").alias("id")), "id", "left_semi")
 
 
-def cascade_search(listings: DataFrame, items: DataFrame, resolved: DataFrame, tags: DataFrame, text: str) -> DataFrame:
-    """Listings by the first tier whose dimension has a match at all: tags, then item names, then listing names; tier says which."""
-    like = f"%{text}%"
-    exists = lambda df, tier: df.filter(F.col("name").ilike(like)).limit(1).select(F.lit(tier).alias("tier"))
-    tier = exists(tags, 1).unionByName(exists(items, 2)).unionByName(exists(listings, 3)).agg(F.min("tier").alias("best"))
-    by_tag = resolved.filter(F.col("tag").ilike(like)).select("listing_id").distinct().select(F.col("listing_id").alias("id"), F.lit(1).alias("tier"))
-    found = items.filter(F.col("name").ilike(like)).select(F.col("id").alias("game_item_id"))
-    by_item = listings.join(found, "game_item_id", "left_semi").select("id", F.lit(2).alias("tier"))
-    by_name = listings.filter(F.col("name").ilike(like)).select("id", F.lit(3).alias("tier"))
-    rows = by_tag.unionByName(by_item).unionByName(by_name)
-    return rows.join(F.broadcast(tier), F.col("tier") == F.col("best")).select("id", "tier")  # one row
+def cascade_search(listings: DataFrame, options: DataFrame, items: DataFrame, targets: DataFrame, tags: DataFrame, text: str, among: DataFrame | None = None) -> DataFrame:
+    """Listings (of `among`, if given) by the first tier whose dimension has a match at all: tags, then item names, then listing names; tier says which.
+
+    Which tier holds is one row, found first, so only that tier's search runs.
+    """
+    among = listings if among is None else among
+    like = F.col("name").ilike(f"%{text}%")
+    found = items.filter(like).select(F.col("id").alias("game_item_id"))
+    if not tags.filter(like).isEmpty():
+        ids, tier = tagged(among, options, targets, tags, like).select(F.col("listing_id").alias("id")).distinct(), 1
+    elif not found.isEmpty():
+        ids, tier = among.join(found, "game_item_id", "left_semi").select("id"), 2
+    else:
+        ids, tier = among.filter(like).select("id"), 3
+    return ids.withColumn("tier", F.lit(tier))
 
 
 @dataclass
@@ -193,27 +213,33 @@ class SearchSpec:
     tags: Sequence[str] = ()
     ranges: dict[str, object] = field(default_factory=dict)
     options: Sequence[tuple[str, int, str | None, float | None]] = ()
+    strings: dict[str, str] = field(default_factory=dict)
     enchant: int | None = None
+    #: (enchant, effect_order, op, value): one roll of the listing must meet each.
+    effects: Sequence[tuple[int, int, str, float]] = ()
     limit: int = 50
     offset: int = 0
 
 
-def search_listings(spec: SearchSpec, listings: DataFrame, options: DataFrame, items: DataFrame, targets: DataFrame, tags: DataFrame) -> DataFrame:
-    """Public listings that meet the whole spec, newest first, with nested tags and options of the page alone."""
+def search_listings(spec: SearchSpec, listings: DataFrame, options: DataFrame, items: DataFrame, targets: DataFrame, tags: DataFrame, rolls: DataFrame | None = None) -> DataFrame:
+    """Public listings that meet the whole spec, newest first, with nested tags and options of the page alone. rolls: for effect filters.
+
+    The filters on columns come first, so tags are looked up for listings that they leave.
+    """
     shown = visible(listings)
-    found = with_options(attr_range(shown, spec.ranges), options, spec.options)
+    found = with_options(string_eq(attr_range(shown, spec.ranges), spec.strings), options, spec.options)
     if spec.enchant is not None:
         found = with_enchant(found, spec.enchant)
-    if spec.text or spec.tags:
-        resolved = resolve_tags(listing_entities(shown, options), targets, tags)
-        found = tag_division(found, resolved, spec.tags)
-        if spec.text:
-            found = found.join(cascade_search(shown, items, resolved, tags, spec.text).select("id"), "id", "left_semi")
+    for enchant, effect_order, op, value in spec.effects:
+        found = with_effect(found, rolls, enchant, effect_order, op, value)
+    found = tag_division(found, options, targets, tags, spec.tags)
+    if spec.text:
+        found = found.join(cascade_search(shown, options, items, targets, tags, spec.text, found).select("id"), "id", "left_semi")
     page = found.orderBy(F.desc("id")).offset(spec.offset).limit(max(1, min(200, spec.limit)))
     mine = options.join(F.broadcast(page.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi")  # 200 rows at most
     detail = page.withColumn("listing_id", F.col("id"))
     detail = detail.join(nest_tags(resolve_tags(listing_entities(page, mine), targets, tags)), "listing_id", "left").join(nest_options(mine), "listing_id", "left")
-    return detail.drop("listing_id")
+    return detail.drop("listing_id").orderBy(F.desc("id"))  # the joins don't keep the page's order
 
 
 def suggestions(tags: DataFrame, items: DataFrame, listings: DataFrame, text: str, n_tags: int = 5, n_items: int = 3, n_listings: int = 5) -> DataFrame:

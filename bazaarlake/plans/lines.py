@@ -237,14 +237,18 @@ def str_num_extract(t):
     return t.events.select("event_id", F.array_join(X.numbers(F.expr("props || ' ' || event_id || '.5'")), "|").alias("numbers"))
 
 
-@query("SELECT event_id, 'from ' || event_id || ' to ' || user_id || ' of N' AS filled FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'from ' || event_id || ' to ' || user_id || ' of' WHEN 1 THEN 'dmg ' || event_id || ' ~ ' || user_id || ' up' WHEN 2 THEN 'dmg ' || event_id || ' up' ELSE 'gain  up' END AS filled FROM events")
 def str_template_inject(t):
-    return t.events.select("event_id", X.inject_numbers(F.lit("from N to N of N"), F.array(F.col("event_id").cast("string"), F.col("user_id").cast("string"))).alias("filled"))
+    template = F.expr("case event_id % 4 when 0 then 'from N to N of N' when 3 then 'gain N ~ N up' else 'dmg N ~ N up' end")
+    values = F.expr("slice(array(cast(event_id as string), cast(user_id as string)), 1, case event_id % 4 when 2 then 1 when 3 then 0 else 2 end)")
+    return t.events.select("event_id", X.inject_numbers(template, values).alias("filled"))
 
 
-@query(r"SELECT line_id, regexp_replace(text, '^\s*[-ㄴ]\s*', '') AS stripped FROM noisy_lines")
+@query("SELECT line_id, CASE line_id % 8 WHEN 6 THEN '* ' || gt WHEN 7 THEN gt ELSE CASE WHEN line_id % 16 = 2 THEN '-' ELSE '' END || gt END AS stripped FROM noisy_lines")
 def str_prefix_strip(t):
-    return t.noisy_lines.select("line_id", X.strip_prefix(F.col("text")).alias("stripped"))
+    bullets = "case line_id % 8 when 0 then '- ' when 1 then ' ㄴ ' when 2 then ',' when 3 then '· ' when 4 then 'L ' when 5 then '.' when 6 then '* ' else '' end"
+    text = F.expr(f"{bullets} || if(line_id % 16 = 2, '-', '') || gt")
+    return t.noisy_lines.select("line_id", X.strip_prefix(text).alias("stripped"))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, chr(CAST(44032 + c_custkey % 11172 AS INT)) AS syllable, c_custkey % 11172 AS i FROM customer)

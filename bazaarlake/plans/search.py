@@ -60,10 +60,11 @@ def flt_effect_threshold(t):
 
 
 @query("""WITH f AS (SELECT c_custkey AS search_id, c_custkey AS option_id, c_custkey % 40 AS level FROM customer)
-SELECT search_id, listing_id FROM f JOIN listing_options o ON o.option_id = f.option_id AND o.option_type = 'reforge_options' AND
- CASE WHEN search_id % 3 = 1 THEN rolled_value <= level ELSE rolled_value >= level END WHERE search_id % 5 <> 0 GROUP BY search_id, listing_id""")
+SELECT search_id, listing_id, false AS unfiltered FROM f JOIN listing_options o ON o.option_id = f.option_id AND o.option_type = 'reforge_options' AND
+ CASE WHEN search_id % 3 = 1 THEN rolled_value <= level ELSE rolled_value >= level END WHERE search_id % 5 <> 0 GROUP BY search_id, listing_id
+UNION ALL SELECT search_id, NULL, true FROM f WHERE search_id % 5 = 0""")
 def flt_filter_json(t):
-    searches = t.sql("""SELECT c_custkey AS search_id, CASE WHEN c_custkey % 5 = 0 THEN 'not json' ELSE '[{"type":"reforge_options","id":' || c_custkey || ',"op":"'
+    searches = t.sql("""SELECT c_custkey AS search_id, CASE WHEN c_custkey % 15 = 0 THEN '[{"type":"x"}]' WHEN c_custkey % 5 = 0 THEN 'not json' ELSE '[{"type":"reforge_options","id":' || c_custkey || ',"op":"'
       || CASE c_custkey % 3 WHEN 0 THEN 'gte' WHEN 1 THEN 'lte' ELSE '?' END || '","level":' || c_custkey % 40 || '},{"type":"x"}]' END AS filters FROM customer""")
     return S.run_saved_searches(S.saved_option_filters(searches), t.listing_options)
 
@@ -132,10 +133,10 @@ def prj_validate_rows(t):
     return checked.select("id", reason("option_type").alias("bad_type"), reason("tag").alias("bad_tag"), reason("description").alias("bad_description"))
 
 
-@query("""SELECT id, CASE WHEN option_id % 7 = 0 OR option_id % 5 = 3 THEN NULL WHEN rolled_value >= max_level THEN 'max' WHEN option_name = 'small ring' THEN 'other'
- WHEN rolled_value / max_level >= 0.8 THEN 'high' WHEN rolled_value / max_level >= 0.3 THEN 'mid' ELSE 'low' END AS quality FROM listing_options""")
+@query("""SELECT id, CASE WHEN option_id % 7 = 0 OR option_id % 5 = 3 THEN NULL WHEN rolled_value = max_level THEN 'max' WHEN option_name = 'small ring' THEN 'other'
+ WHEN (rolled_value - option_id % 3 * 10) / (max_level - option_id % 3 * 10) >= 0.8 THEN 'high' WHEN (rolled_value - option_id % 3 * 10) / (max_level - option_id % 3 * 10) >= 0.3 THEN 'mid' ELSE 'low' END AS quality FROM listing_options""")
 def prj_roll_quality(t):
-    low = F.when(F.col("option_id") % 7 == 0, F.lit(None)).when(F.col("option_id") % 5 == 3, F.col("max_level")).otherwise(0)
+    low = F.when(F.col("option_id") % 7 == 0, F.lit(None)).when(F.col("option_id") % 5 == 3, F.col("max_level")).otherwise(F.col("option_id") % 3 * 10)
     return t.listing_options.select("id", X.roll_quality(F.col("rolled_value"), low, F.col("max_level"), F.col("option_name") == "small ring").alias("quality"))
 
 
@@ -189,12 +190,12 @@ def join_listing_detail(t):
 
 @query("""SELECT l.id, 2 AS tier FROM listings l JOIN game_items i ON i.id = l.game_item_id WHERE i.name ILIKE '%ring%'""")
 def set_cascade_search(t):
-    return S.cascade_search(t.listings, t.game_items, _resolved(t), t.tags, "ring")
+    return S.cascade_search(t.listings, t.listing_options, t.game_items, t.tag_targets, t.tags, "ring")
 
 
 @query(f"WITH {RESOLVED} SELECT listing_id AS id FROM resolved WHERE tag IN ('Brand#11', 'Brand#12') GROUP BY listing_id HAVING count(DISTINCT tag) = 2")
 def set_tag_division(t):
-    return S.tag_division(t.listings, _resolved(t), ["Brand#11", "Brand#12"]).select("id")
+    return S.tag_division(t.listings, t.listing_options, t.tag_targets, t.tags, ["Brand#11", "Brand#12"]).select("id")
 
 
 @query(f"""WITH {RESOLVED}, page AS (SELECT l.id, l.name, l.price FROM listings l JOIN game_items i ON i.id = l.game_item_id WHERE l.status = 1 AND l.price >= 1000 AND i.name ILIKE '%small%'
@@ -203,8 +204,17 @@ def set_tag_division(t):
 SELECT id, name, price, (SELECT string_agg(tag || ':' || weight, ',' ORDER BY weight DESC, tag) FROM resolved r WHERE r.listing_id = page.id) AS tags,
  (SELECT count(*) FROM listing_options o WHERE o.listing_id = page.id) AS n_options FROM page""")
 def search_listings(t):
+    return _search_page(t, 2, ("Brand#11",))
+
+
+def newest_listings(t):
+    """The first page of the search without tags, for the flagship query."""
+    return _search_page(t, 0, ())
+
+
+def _search_page(t, offset: int, tags):
     rolled = t.listing_options.filter("option_type = 'reforge_options' and rolled_value >= 1").select(F.col("listing_id").alias("id"))
-    spec = S.SearchSpec(text="small", tags=["Brand#11"], ranges={"min_price": 1000}, limit=40, offset=2)
+    spec = S.SearchSpec(text="small", tags=tags, ranges={"min_price": 1000}, limit=40, offset=offset)
     found = S.search_listings(spec, t.listings.join(rolled, "id", "left_semi"), t.listing_options, t.game_items, t.tag_targets, t.tags)
     return found.select("id", "name", "price", F.expr(_PAIRS).alias("tags"), F.size("options").alias("n_options"))
 

@@ -181,14 +181,18 @@ def st_activity_counts(t):
     return t.spark.read.schema(counts.schema).parquet(out)
 
 
+def _updates(t, updates, what):
+    """All updates of a stream, with the number of their batch."""
+    out = scratch_table(t.spark, what)
+    writer = updates.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    writer.option("checkpointLocation", scratch_table(t.spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.option("basePath", out).schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in updates.schema)}, batch int").parquet(out)
+
+
 @query("SELECT user_id, arg_max(code, (issued_at, code)) AS code, max(issued_at) AS issued_at FROM code_requests GROUP BY user_id")
 def st_issue_codes(t):
     updates = J.stream_codes(_arriving(t, "code_requests", "user_id, code, issued_at"))
-    out = scratch_table(t.spark, "codes")
-    writer = updates.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    writer.option("checkpointLocation", scratch_table(t.spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    last = t.spark.read.schema(updates.schema).parquet(f"{out}/batch=*")
-    return J.live_codes(last).select("user_id", "code", "issued_at")
+    return J.live_codes(_updates(t, updates, "codes")).select("user_id", "code", "issued_at")
 
 
 @query("SELECT user_id, max(issued_at) AS issued_at FROM code_requests GROUP BY user_id HAVING max(issued_at) + INTERVAL 30 MINUTE > TIMESTAMP '2024-01-28 12:00:00'")
@@ -196,10 +200,19 @@ def st_expire_codes(t):
     return J.unexpired(J.live_codes(t.code_requests), F.lit("2024-01-28 12:00:00").cast("timestamp_ntz")).select("user_id", "issued_at")
 
 
-@query("SELECT m.user_id, min(sent_at) AS verified_at FROM chat_messages m JOIN code_requests c ON c.user_id = m.user_id WHERE contains(message, code) AND sent_at >= issued_at AND sent_at < issued_at + INTERVAL 7 DAY GROUP BY 1")
+_OPEN_USERS = "SELECT id AS user_id, server, game_id FROM users WHERE NOT verified AND game_id IS NOT NULL AND server IS NOT NULL"
+
+
+@query(f"""WITH u AS ({_OPEN_USERS}), c AS (SELECT r.user_id, server, game_id, code, issued_at, least(issued_at + INTERVAL 7 DAY, lead(issued_at) OVER (PARTITION BY r.user_id ORDER BY issued_at, code)) AS ends_at FROM code_requests r JOIN u ON u.user_id = r.user_id)
+SELECT c.user_id, min(sent_at) AS verified_at FROM c JOIN users s ON s.server = c.server AND s.game_id = c.game_id JOIN chat_messages m ON m.user_id = s.id
+WHERE contains(message, code) AND sent_at >= issued_at AND sent_at < ends_at GROUP BY c.user_id""")
 def st_verify_codes(t):
-    hits = J.stream_verified(_arriving(t, "chat_messages", "user_id, sent_at, message"), _arriving(t, "code_requests", "user_id, code, issued_at"), "7 days", "60 days")
-    return _sink(t, hits, "verified").groupBy("user_id").agg(F.min("sent_at").alias("verified_at"))
+    requests = J.eligible(_arriving(t, "code_requests", "user_id, code, issued_at"), t.users)
+    # a message names a game id and a server; the open users' table says whose they are
+    senders = t.sql("SELECT id, server, game_id FROM users").withColumnRenamed("id", "sender")
+    said = _arriving(t, "chat_messages", "user_id, sent_at, message").withColumnRenamed("user_id", "sender").join(senders, "sender").drop("sender")
+    hits = J.stream_verified(said.join(t.sql(_OPEN_USERS), ["server", "game_id"]), requests, "7 days", "60 days")
+    return _updates(t, hits, "verified").groupBy("user_id").agg(F.max_by("verified_at", "batch").alias("verified_at")).filter("verified_at is not null")
 
 
 @query("SELECT id AS target_id, CASE WHEN price >= 200000 THEN 'dear' ELSE 'cheap' END AS tag FROM listings WHERE price IS NOT NULL")

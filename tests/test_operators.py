@@ -211,3 +211,71 @@ def test_similar_items(spark):
     history = spark.createDataFrame([(7, 1)], "user_id long, item long")
     got = {(r["user_id"], r["item"]) for r in from_history(history, top, items, users, 2).collect()}
     assert got == {(7, 2), (8, 1), (8, 2)}
+
+
+def test_roll_quality_from_a_low_above_zero(spark):
+    from bazaarlake.functions.text import roll_quality
+
+    rows = spark.createDataFrame([(85, 80, 100, False), (86, 80, 100, False), (96, 80, 100, False), (100, 80, 100, True), (99, 80, 100, True), (5, 5, 5, False), (None, 1, 2, False)], "v int, a int, b int, x boolean")
+    assert [r[0] for r in rows.select(roll_quality(*map(F.col, "vabx"))).collect()] == ["low", "mid", "high", "max", "other", None, None]
+
+
+def test_texts(spark):
+    from bazaarlake.functions.text import inject_numbers, strip_prefix
+
+    fill = spark.createDataFrame([("dmg N ~ N up", ["5"]), ("dmg N ~ N up", ["5", "7"]), ("N ~ N", []), ("a N b N", ["1"]), ("N~N and N ~ N", ["1", "2", "3"]), ("no", ["1"])], "t string, v array<string>")
+    assert [r[0] for r in fill.select(inject_numbers(F.col("t"), F.col("v"))).collect()] == ["dmg 5 up", "dmg 5 ~ 7 up", "", "a 1 b", "1~2 and 3", "no"]
+    bullets = spark.createDataFrame([("- a",), (", a",), ("·a",), ("L a",), (" ㄴ a",), (". a",), ("* a",), ("--a",), ("a",), ("",)], "t string")
+    assert [r[0] for r in bullets.select(strip_prefix(F.col("t"))).collect()] == ["a", "a", "a", "a", "a", "a", "* a", "-a", "a", ""]
+    assert strip_prefix(F.col("t"), ("*",)) is not None and bullets.select(strip_prefix(F.col("t"), ("*",))).collect()[6][0] == "a"
+
+
+def test_saved_searches_without_filters(spark):
+    from bazaarlake.operators.search import run_saved_searches, saved_option_filters
+
+    searches = spark.createDataFrame([(1, '[{"type":"a","id":1,"op":"lte","level":5}]'), (2, "not json"), (3, "[]"), (4, '[{"type":"a"}]'), (5, None), (6, '[{"type":"a","id":1},{"type":"a","id":2,"op":"?","level":9}]')], "search_id int, filters string")
+    options = spark.createDataFrame([(10, "a", 1, 4.0), (11, "a", 1, 6.0), (11, "a", 2, 9.0)], "listing_id long, option_type string, option_id long, rolled_value double")
+    got = sorted(tuple(r) for r in run_saved_searches(saved_option_filters(searches), options).collect() if not r["unfiltered"])
+    assert got == [(1, 10, False), (6, 11, False)]
+    assert sorted(r["search_id"] for r in run_saved_searches(saved_option_filters(searches), options).filter("unfiltered").collect()) == [2, 3, 4, 5]
+
+
+def test_level_and_enchant_lines(spark):
+    from bazaarlake.operators.extract import _enchant_header, _name_and_levels
+
+    levels = {"보호(13/20 레벨)": ("보호", 13, 20), "보호(14/20)": ("보호", 14, 20), "보호13/20 레벨)": ("보호", 13, 20), "- 보호 13 20 레벨": ("보호", 13, 20), "보호": (None, None, None), "13/20": (None, None, None), "보호 2 (1/9)": ("보호 2", 1, 9)}
+    heads = {"[접두] 충격을 (랭크 F)": ("접두", "충격을", "F"), "접미 관리자 (랭크 6) x": ("접미", "관리자", "6"), "[접두] a": (None, None, None), "[중간] a (랭크 F)": (None, None, None), "[접미] a b(랭크A)": ("접미", "a b", "A"), "[접미] (랭크 A)": (None, None, None)}
+    for f, cases in ((_name_and_levels, levels), (_enchant_header, heads)):
+        rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", f(F.col("t")).alias("x")).select("t", "x.*").collect()
+        assert {r[0]: tuple(r)[1:] for r in rows} == cases
+
+
+def test_search_spec_filters(spark):
+    from bazaarlake.operators.search import SearchSpec, search_listings
+
+    listings = spark.createDataFrame([(i, 1, f"n{i}", 100 * i, i, 7 if i % 2 else None, None, "S" if i < 3 else "A") for i in range(6)], "id long, status int, name string, price long, game_item_id long, prefix_enchant_id long, suffix_enchant_id long, erg_grade string")
+    options = spark.createDataFrame([(i, i, "a", 1, "o", float(i), 9) for i in range(6)], "id long, listing_id long, option_type string, option_id long, option_name string, rolled_value double, max_level int")
+    rolls = spark.createDataFrame([(i, 7, 1, float(i)) for i in range(6)], "listing_id long, enchant_id long, effect_order int, rolled_value double")
+    items = spark.createDataFrame([(i, f"item{i % 3}") for i in range(6)], "id long, name string")
+    tags = spark.createDataFrame([(1, "fire", 5), (2, "ice", 5)], "id int, name string, weight int")
+    targets = spark.createDataFrame([(1, "game_items", 3, 1), (1, "a", 1, 2), (2, "listings", 4, 0)], "tag_id int, target_type string, target_id long, weight int")
+    find = lambda **spec: [r["id"] for r in search_listings(SearchSpec(**spec), listings, options, items, targets, tags, rolls).collect()]
+    assert find() == [5, 4, 3, 2, 1, 0] and find(strings={"erg_grade": "S"}) == [2, 1, 0]
+    assert find(enchant=7, effects=[(7, 1, "gte", 3.0)]) == [5, 3] and find(options=[("a", 1, "lte", 1.0)]) == [1, 0]
+    assert find(tags=["fire", "ice"]) == [4] and find(text="ice") == [4] and find(text="item1") == [4, 1] and find(text="n5") == [5] and find(text="nothing") == []
+    assert find(offset=1, limit=2) == [4, 3]
+
+
+def test_replaced_codes_do_not_verify(spark, tmp_path):
+    import datetime
+
+    from bazaarlake.streaming import jobs as J
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    users = spark.createDataFrame([(1, "s", "a", False), (2, "s", "b", True), (3, None, "c", False), (4, "t", "a", False)], "id long, server string, game_id string, verified boolean")
+    requests = spark.createDataFrame([(1, "11", at(0)), (1, "22", at(10)), (2, "33", at(0)), (3, "44", at(0)), (4, "55", at(0))], "user_id long, code string, issued_at timestamp_ntz")
+    codes = J.eligible(requests, users)
+    assert sorted(r["user_id"] for r in codes.collect()) == [1, 1, 4]
+    said = [("s", "a", at(12), "code 11"), ("s", "a", at(15), "code 22"), ("s", "a", at(16), "22"), ("s", "a", at(3), "55"), ("t", "a", at(40), "55")]
+    messages = spark.createDataFrame(said, "server string, game_id string, sent_at timestamp_ntz, message string")
+    assert [tuple(r) for r in J.verified_users(messages, codes).collect()] == [(1, at(15))]
