@@ -98,7 +98,7 @@ def _features(shared):
                 doc, feature = model.features(part)
                 feature = feature[np.argsort(doc, kind="stable")]
                 at = np.searchsorted(np.sort(doc), np.arange(part.n_docs + 1))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.lo, part.n_docs), lists], ["toxic", "f"])
 
     return run
@@ -121,7 +121,7 @@ def nnpu_risk(g: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float,
 
 def fit_nnpu(features: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
     """Linear classifier by Adam on the non-negative risk with logistic loss; features: the active ones of each row."""
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    rows = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     columns = np.concatenate(features) if len(features) else np.zeros(0, np.int64)
     w, m, v = (np.zeros(n_features + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
@@ -163,11 +163,11 @@ def train(
     gain = F.col("p") * F.log((F.col("p") + 0.5) * (n_u + 1.0) / ((F.col("u") + 0.5) * (n_p + 1.0)))
     best = terms.withColumn("gain", gain).filter(F.col("p") * n_u >= LIFT * F.col("u") * n_p).orderBy(F.desc("gain"), "h").limit(TERMS).select("h").toArrow()
     model = Model(np.sort(best.column("h").to_numpy().view(np.uint64)), np.zeros(0), 0.0)
-    found = rows.orderBy("id", "toxic").select("text", "toxic").mapInArrow(_features(docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, 0.0))), "toxic int, f array<long>").toArrow()
-    positive = found.column("toxic").to_numpy() == 1
-    features = [np.asarray(x, np.int64) for x in found.column("f").to_pylist()]
-    order = sorted(range(len(features)), key=lambda i: (positive[i], features[i].tobytes()))
-    model.weights, model.constant = fit_nnpu([features[i] for i in order], positive[order], len(model.terms) * LEVELS, min(max(prior, 1e-4), 0.9999))
+    shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.weights, 0.0))
+    found = rows.orderBy("id", "toxic", F.xxhash64("text")).select("text", "toxic").mapInArrow(_features(shared), "toxic int, f array<int>").toArrow()
+    lists = found.column("f").combine_chunks()
+    features = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()) if len(lists) else []
+    model.weights, model.constant = fit_nnpu(features, found.column("toxic").to_numpy() == 1, len(model.terms) * LEVELS, min(max(prior, 1e-4), 0.9999))
     return model
 
 
