@@ -329,7 +329,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         checked = checked.unionByName(more)
         links = links.unionByName(more.filter(_linked(percent)).select("a", "b"))
         pairs = rest.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    label = connected_components(links)
+    else:
+        label = connected_components(links)
     rest = _apart(pairs, label)
     # in large groups, members that are apart from their pivot and those that can be within reach of them
     far = checked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
@@ -344,11 +345,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     within = (F.col("x.h") == F.col("y.h")) & (F.col("x.ring") == F.col("y.ring")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
     rest = rest.unionByName(x.join(y, within).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
     rest = rest.join(checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    last = texts.compare(cut(rest, "rest"))
-    links = links.unionByName(last.filter(_linked(percent)).select("a", "b"))
+    rest = cut(rest, "rest")
+    if not rest.isEmpty():
+        last = texts.compare(rest)
+        label = connected_components(links.unionByName(last.filter(_linked(percent)).select("a", "b")))
 
     # 5. components of classes, and every document's
-    label = connected_components(links)
     of_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     return sets.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id")
