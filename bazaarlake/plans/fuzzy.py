@@ -61,7 +61,7 @@ def fz_header_partial(t):
     return Z.match_headers(headers, patterns).select("line_id", "text", "section")
 
 
-_SLOTTED = "SELECT DISTINCT p_name AS name, p_size % 2 AS slot FROM part WHERE p_size % 3 = 0"
+_SLOTTED = "SELECT DISTINCT p_name AS name, p_size % 2 AS slot FROM part"
 
 
 @query(f"""WITH RECURSIVE e AS ({_SLOTTED}), q AS (SELECT line_id, text AS name, CAST(line_id % 2 AS INT) AS slot FROM noisy_lines), missed AS (SELECT DISTINCT q.name, q.slot FROM q LEFT JOIN e ON e.name = q.name AND e.slot = q.slot WHERE e.name IS NULL),
@@ -83,38 +83,33 @@ def fz_header_match(t):
     return t.noisy_lines.select("line_id", "section", "text").join(best, ["section", "text"]).select("line_id", "entry", "score")
 
 
-# A slot is a file's lines of one section; an entry is a brand, and its effects are names with ranges.
-_LINES = "SELECT file_id AS session, line_id % 2 AS slot, line_id AS line_no, text FROM noisy_lines"
+# A session is a run of 40 line numbers at every size, a slot its even or odd lines; an entry is a brand, and its effects are all its names, some with ranges.
 _ENTRIES = "SELECT CAST(id AS BIGINT) AS entry, CAST(id % 2 AS BIGINT) AS slot, name FROM tags"
 _EFFECTS = """SELECT entry, effect_no, CASE WHEN effect_no % 3 = 0 THEN name || ' 2 ~ ' || (entry + 2) ELSE name END AS effect, CASE WHEN effect_no % 4 = 0 THEN 'if' END AS condition
- FROM (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS entry, p_name AS name, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) AS effect_no FROM part GROUP BY p_brand, p_name) WHERE effect_no <= 6"""
-# Sessions of 40 line numbers at every size; fz_effect_scores keeps to its SQL: a session is a file, of which there are 50.
+ FROM (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS entry, p_name AS name, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) AS effect_no FROM part GROUP BY p_brand, p_name)"""
 _SESSION_LINES = "SELECT line_id div 40 AS session, line_id % 2 AS slot, line_id AS line_no, text, gt FROM noisy_lines"
 _SLOTS = f"SELECT DISTINCT session, slot, CASE session % 3 WHEN 0 THEN 'Brand#' || (session % 25 + 1) WHEN 1 THEN 'Brond#' || (session % 25 + 1) ELSE 'xy' END AS header FROM ({_SESSION_LINES})"
 
 
-# fz_effect_scores keeps to its SQL: the first six effects of an entry. The other queries have all of them.
-_ALL_EFFECTS = _EFFECTS.removesuffix(" WHERE effect_no <= 6")
-
-
 def _lines(t):
     return t.sql(_SESSION_LINES).drop("gt")
 
 
-def _candidates(t, lines=None):
-    return (lines or _lines(t)).join(t.sql(_ENTRIES), "slot")
+def _candidates(t):
+    return _lines(t).join(t.sql(_ENTRIES), "slot")
+
 
+def _scores(t):
+    return Z.effect_scores(_candidates(t), t.sql(_EFFECTS), ["entry"])
 
-@query(f"""WITH RECURSIVE ln AS ({_LINES}), en AS ({_ENTRIES}), ef AS ({_EFFECTS}), m AS (SELECT DISTINCT text, effect, coalesce(condition || ' ', '') || effect AS whole FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry),
-pairs AS (SELECT DISTINCT text AS a, effect AS b FROM m UNION SELECT DISTINCT text, whole FROM m), {_LCS}
-SELECT session, ln.slot, line_no, en.entry, effect_no, greatest(x.score, y.score) AS score FROM ln JOIN en ON en.slot = ln.slot JOIN ef ON ef.entry = en.entry
- JOIN ratios x ON x.a = text AND x.b = effect JOIN ratios y ON y.a = text AND y.b = coalesce(condition || ' ', '') || effect WHERE greatest(x.score, y.score) >= 70""")
+
+@query()
 def fz_effect_scores(t):
-    return Z.effect_scores(_candidates(t, t.sql(_LINES)), t.sql(_EFFECTS), ["entry"], 70.0).select("session", "slot", "line_no", "entry", "effect_no", "score")
+    return _scores(t).select("session", "slot", "line_no", "entry", "effect_no", "score")
 
 
 def _assigned(t):
-    return Z.assign_greedy(Z.effect_scores(_candidates(t), t.sql(_ALL_EFFECTS), ["entry"]), ["session", "slot", "entry"])
+    return Z.assign_greedy(_scores(t), ["session", "slot", "entry"])
 
 
 @query()
@@ -124,12 +119,12 @@ def fz_assign_greedy(t):
 
 @query()
 def fz_effect_correct(t):
-    pairs = _assigned(t).join(_lines(t), ["session", "slot", "line_no"]).join(t.sql(_ALL_EFFECTS), ["entry", "effect_no"])
+    pairs = _assigned(t).join(_lines(t), ["session", "slot", "line_no"]).join(t.sql(_EFFECTS), ["entry", "effect_no"])
     return pairs.select("session", "slot", "entry", "line_no", Z.effect_text(F.col("text"), F.col("effect"), F.col("effect").contains("~")).alias("corrected"))
 
 
 def _evidence(t):
-    return Z.resolve_by_evidence(t.sql(_SLOTS), _lines(t), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
+    return Z.resolve_by_evidence(t.sql(_SLOTS), _lines(t), t.sql(_ENTRIES), t.sql(_EFFECTS))
 
 
 @query()
@@ -139,7 +134,7 @@ def er_evidence(t):
 
 @query()
 def er_by_effects(t):
-    return Z.resolve_by_effects(_lines(t), t.sql(_ENTRIES), t.sql(_ALL_EFFECTS))
+    return Z.resolve_by_effects(_lines(t), t.sql(_ENTRIES), t.sql(_EFFECTS))
 
 
 def _resolved(t):
@@ -158,7 +153,7 @@ def er_priority(t):
 @query()
 def er_template_effects(t):
     resolved = _evidence(t).filter("entry is not null")
-    return Z.fill_template(_lines(t), resolved, t.sql(_ALL_EFFECTS)).select("session", "slot", "entry", "effect_no", "line_no", "text")
+    return Z.fill_template(_lines(t), resolved, t.sql(_EFFECTS)).select("session", "slot", "entry", "effect_no", "line_no", "text")
 
 
 @query()

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import add
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.operators import changes as C
@@ -12,13 +15,21 @@ from bazaarlake.operators import rules as R
 from bazaarlake.operators import search as S
 from bazaarlake.operators import tags as T
 from bazaarlake.plans.registry import query
+from bazaarlake.sources.tables import SCHEMAS
 
 # --- sources and ingestion --------------------------------------------------------------
 
 
-@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def _count_sql(name, columns):
+    return f"SELECT '{name}' AS name, count(*) AS n, {' + '.join(f'count({c})' for c in columns)} AS n_filled, count(DISTINCT {columns[0]}) AS n_keys FROM {name}"
+
+
+@query(" UNION ALL ".join(_count_sql(name, schema.names) for name, schema in SCHEMAS.items()))
 def src_tables(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+    """Every table by its schema: rows, values that aren't null, and keys of its first column."""
+    filled = lambda schema: reduce(add, [F.count(c) for c in schema.names])
+    counts = [getattr(t, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), filled(schema).alias("n_filled"), F.count_distinct(schema.names[0]).alias("n_keys")) for name, schema in SCHEMAS.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _records(t):
@@ -59,15 +70,16 @@ def src_set_name_extract(t):
     return I.set_names(t.game_items, r"^(\w+ ring)", " ring")
 
 
-_PARSE = """SELECT n.line_id AS id, gt || ' ' || line_id || CASE WHEN line_id % 3 = 0 THEN '~' || (line_id + 5) ELSE '' END || CASE WHEN line_id % 2 = 0 THEN '%' ELSE '' END
+# Some lines have a word before the name, so that no item has theirs.
+_PARSE = """SELECT n.line_id AS id, CASE WHEN line_id % 9 = 4 THEN 'no ' ELSE '' END || gt || ' ' || line_id || CASE WHEN line_id % 3 = 0 THEN '~' || (line_id + 5) ELSE '' END || CASE WHEN line_id % 2 = 0 THEN '%' ELSE '' END
  || CASE WHEN line_id % 5 = 0 THEN ' 감소' WHEN line_id % 7 = 0 THEN '' ELSE ' 증가' END AS text FROM noisy_lines n"""
 
 
-@query(f"""WITH k AS (SELECT DISTINCT name FROM game_items WHERE id % 9 = 0), p AS (SELECT line_id AS id, CASE WHEN line_id % 7 <> 0 OR line_id % 5 = 0 THEN gt END AS n, CASE WHEN line_id % 5 = 0 THEN -1 ELSE 1 END AS s FROM noisy_lines)
+@query(f"""WITH k AS (SELECT DISTINCT name FROM game_items), p AS (SELECT line_id AS id, CASE WHEN line_id % 7 <> 0 OR line_id % 5 = 0 THEN CASE WHEN line_id % 9 = 4 THEN 'no ' ELSE '' END || gt END AS n, CASE WHEN line_id % 5 = 0 THEN -1 ELSE 1 END AS s FROM noisy_lines)
 SELECT id, CASE WHEN k.name IS NOT NULL THEN CASE WHEN id % 4 = -1 THEN '' ELSE n END END AS effect_name, CASE WHEN k.name IS NOT NULL THEN CAST(s * id AS DOUBLE) END AS min_value,
  CASE WHEN k.name IS NOT NULL THEN CAST(s * (CASE WHEN id % 3 = 0 THEN id + 5 ELSE id END) AS DOUBLE) END AS max_value FROM p LEFT JOIN k ON k.name = p.n""")
 def ingest_effect_parse(t):
-    return I.parse_effects(t.sql(_PARSE), t.game_items.filter("id % 9 = 0").select("name").distinct())
+    return I.parse_effects(t.sql(_PARSE), t.game_items.select("name").distinct())
 
 
 _UPSERT = """SELECT coalesce(b.id, a.id) AS id, CASE WHEN a.id IS NULL THEN b.bal ELSE a.bal END AS bal, CASE WHEN a.id IS NULL THEN b.seg ELSE a.seg END AS seg,
@@ -254,13 +266,13 @@ def tag_positional_weight(t):
     return T.add_auto_tags(given, auto)
 
 
-@query("""WITH w AS (SELECT name, id AS target_id FROM (SELECT name FROM tags WHERE id <= 5), (SELECT id FROM game_items WHERE id % 4 = 0)),
+@query("""WITH w AS (SELECT name, id AS target_id FROM (SELECT name FROM tags), (SELECT id FROM game_items)),
 e AS (SELECT g.name, x.target_id FROM tag_targets x JOIN tags g ON g.id = x.tag_id WHERE target_type = 'game_items')
 SELECT w.name, count(*) FILTER (e.name IS NULL) AS created, count(e.name) AS duplicates FROM w LEFT JOIN e ON e.name = w.name AND e.target_id = w.target_id GROUP BY w.name""")
 def tag_bulk_attach(t):
     existing = t.tag_targets.join(t.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
-    targets = t.game_items.filter("id % 4 = 0").select(F.lit("game_items").alias("target_type"), F.col("id").alias("target_id"))
-    return T.bulk_attach(t.tags.filter("id <= 5").select("name"), targets, existing)[1]
+    targets = t.game_items.select(F.lit("game_items").alias("target_type"), F.col("id").alias("target_id"))
+    return T.bulk_attach(t.tags.select("name"), targets, existing)[1]
 
 
 @query("SELECT id, CASE WHEN id IN (1, 3, 5) THEN 99 ELSE weight END AS weight FROM tags")

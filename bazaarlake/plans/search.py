@@ -278,7 +278,7 @@ def join_correction_diff(t):
 def join_option_link(t):
     from bazaarlake.operators.corrections import link_options
 
-    detected = t.noisy_lines.filter("line_id % 4 in (0, 2)").select(F.col("file_id").alias("session"), F.col("line_id").alias("place"), "text")
+    detected = t.noisy_lines.select(F.expr("line_id div 40").alias("session"), F.col("line_id").alias("place"), "text")
     dictionary = t.game_items.groupBy("name").agg(F.min("id").alias("option_id"))
     return link_options(detected, dictionary).select("session", "place", "option_id", "exact")
 
@@ -309,11 +309,15 @@ def rec_hierarchy_counts(t):
     return H.node_counts(t.hierarchy)
 
 
-@query("""SELECT id, name FROM tags t WHERE weight = 0 AND NOT EXISTS (SELECT 1 FROM tag_targets x JOIN listings l ON l.id = x.target_id WHERE x.target_type = 'listings' AND x.tag_id > 12 AND x.tag_id = t.id AND l.status NOT IN (2, 3))""")
+# A tag for each customer; only the lowest ids are attached to anything.
+_OWN_TAGS = "SELECT c_custkey AS id, c_name AS name, c_custkey % 5 * 40 AS weight FROM customer"
+
+
+@query(f"""WITH g AS ({_OWN_TAGS}) SELECT id, name FROM g WHERE weight = 0 AND NOT EXISTS (SELECT 1 FROM tag_targets x JOIN listings l ON l.id = x.target_id WHERE x.target_type = 'listings' AND x.tag_id = g.id AND l.status NOT IN (2, 3))""")
 def anti_orphan_tags(t):
     from bazaarlake.operators.tags import orphan_tags
 
-    return orphan_tags(t.tags, t.tag_targets.filter("tag_id > 12"), t.listings).select("id", "name")
+    return orphan_tags(t.sql(_OWN_TAGS), t.tag_targets, t.listings).select("id", "name")
 
 
 @query("""SELECT user_id AS session_id, max(created_at) AS last_at FROM activity_logs GROUP BY user_id HAVING max(created_at) < TIMESTAMP '2024-01-29 12:00:00'

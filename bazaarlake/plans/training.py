@@ -46,14 +46,14 @@ def agg_charset(t):
     return V.charset(t.documents, ["text", "source"], ["lang"])
 
 
-_MODELS = "SELECT p_type AS model, string_agg(DISTINCT c, '' ORDER BY c) AS charset FROM (SELECT p_type, unnest(string_split(p_name, '')) AS c FROM part WHERE p_size < 10) GROUP BY p_type"
+_MODELS = "SELECT p_type AS model, string_agg(DISTINCT c, '' ORDER BY c) AS charset FROM (SELECT p_type, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_type"
 
 
 @query(f"""WITH m AS ({_MODELS}), c AS (SELECT DISTINCT line_id, section, unnest(string_split(text, '')) AS c FROM noisy_lines),
 odd AS (SELECT line_id, string_agg(c, '' ORDER BY c) AS odd FROM c LEFT JOIN m ON m.model = c.section WHERE c <> ' ' AND NOT contains(coalesce(charset, ''), c) GROUP BY line_id)
 SELECT n.line_id, odd FROM noisy_lines n LEFT JOIN odd ON odd.line_id = n.line_id""")
 def agg_charset_mismatch(t):
-    charsets = V.charset(t.part.filter("p_size < 10").withColumnRenamed("p_type", "model"), ["p_name"], ["model"])
+    charsets = V.charset(t.part.withColumnRenamed("p_type", "model"), ["p_name"], ["model"])
     return V.charset_mismatch(t.noisy_lines.withColumnRenamed("section", "model"), charsets, "model").select("line_id", "odd")
 
 

@@ -29,14 +29,14 @@ def test_all_effects_of_an_entry(spark, parts):
 def test_greedy_is_whole(spark, parts):
     """Every line has one row for each entry: pairs of any score above 0 from the best down, and (-1, 0) without one."""
     from bazaarlake.functions.similarity import ratio
-    from bazaarlake.plans.fuzzy import _ALL_EFFECTS, _ENTRIES, _lines
+    from bazaarlake.plans.fuzzy import _EFFECTS, _ENTRIES, _lines
     from bazaarlake.sources.tables import Tables
 
     t = Tables(spark, parts)
     want = []
     lines = _lines(t).collect()
     for entry in t.sql(_ENTRIES).collect():
-        effects = [e for e in t.sql(_ALL_EFFECTS).collect() if e["entry"] == entry["entry"]]
+        effects = [e for e in t.sql(_EFFECTS).collect() if e["entry"] == entry["entry"]]
         for session, slot in {(x["session"], x["slot"]) for x in lines if x["slot"] == entry["slot"]}:
             mine = [x for x in lines if (x["session"], x["slot"]) == (session, slot)]
             pairs = [(max(ratio(x["text"], e["effect"]), ratio(x["text"], f"{e['condition'] or ''} {e['effect']}".strip())), x["line_no"], e["effect_no"]) for x in mine for e in effects]
