@@ -79,7 +79,7 @@ def upsert_report(upserted: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_upsert(target_path: str, source: DataFrame, key: str, dry_run: bool = False) -> DataFrame:
-    """Upserts a parquet table in place of its former state: the new state is written aside first, then swapped in by the caller's path. Returns the report; dry_run writes nothing."""
+    """Upserts a parquet table in place of its former state: the new state is written whole to <path>.next first, which stays, so that a swap that fails midway can be made good from there. Nobody may read the path meanwhile. Returns the report; dry_run writes nothing."""
     spark = source.sparkSession
     merged = upsert(spark.read.parquet(target_path), source, key)
     if dry_run:

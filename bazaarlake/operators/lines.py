@@ -7,15 +7,23 @@ All functions work over every session at once; `by` names the columns of a sessi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarlake.sources.scratch import scratch_table
+
 
 def _before(by: Sequence[str], order: str):
     return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _same(by: Sequence[str]) -> Column:
+    """The condition that the columns equal those named _by_<column>, nulls taken as values."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+
+
 def line_index(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return lines.withColumn("line_index", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
 
@@ -37,9 +45,10 @@ def merge_bounds(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 def with_gap_threshold(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """gap: space between a line and the one above; threshold: max(2 m, m + 4) where m is the upper median of the gaps."""
     gap = F.col("y") - F.lag(F.col("y") + F.col("height")).over(Window.partitionBy(*by).orderBy(order))
-    gaps = F.array_sort(F.collect_list("gap").over(Window.partitionBy(*by)))
-    middle = F.get(gaps, F.floor(F.size(gaps) / 2).cast("int"))
-    return lines.withColumn("gap", gap).withColumn("median", middle).withColumn("threshold", F.greatest(2 * F.col("median"), F.col("median") + 4)).drop("median")
+    rows = lines.withColumn("gap", gap)
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)").cast(rows.schema["gap"].dataType)  # a session's gaps are counted once, not on each of its lines
+    m = rows.groupBy(*by).agg(middle.alias("_m")).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.greatest(2 * F.col("_m"), F.col("_m") + 4).alias("threshold"))
+    return rows.join(m, _same(by), "left").select(*rows.columns, "threshold")
 
 
 def distance_groups(lines: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -131,10 +140,29 @@ def abbreviated(lines: DataFrame, by: Sequence[str], is_grade_line: Column) -> D
 
 
 def gap_clusters(values: DataFrame, by: Sequence[str], value: str, gap: float) -> DataFrame:
-    """cluster: values in order, a new one where the step is larger than `gap`."""
-    w = Window.partitionBy(*by).orderBy(value)
-    new = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
-    return values.withColumn("new", new).withColumn("cluster", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("new")
+    """cluster: values in order, a new one where the step is larger than `gap`; nulls come first and are in cluster 0.
+
+    A group may hold any share of the rows: its distinct values are range-partitioned and sorted, each partition
+    counts its own steps, and one row per partition and group carries the last value and the count over its edge.
+    """
+    spark = values.sparkSession
+    places = values.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(value).alias("_v")).distinct()
+    keys = [f"_by_{c}" for c in by]
+    dealt = places.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_v").withColumn("_part", F.spark_partition_id())
+    path = scratch_table(spark, "places")
+    dealt.write.parquet(path)
+    kept = spark.read.schema(dealt.schema).parquet(path)
+    w = Window.partitionBy("_part", *keys).orderBy("_v")
+    step = F.when(F.col("_v") - F.lag("_v").over(w) > gap, 1).otherwise(0)
+    steps = kept.withColumn("_step", step).withColumn("_own", F.sum("_step").over(w))
+    edges = steps.groupBy("_part", *keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_step").alias("_n"))
+    over = Window.partitionBy(*keys).orderBy("_part")
+    edge = F.when(F.col("_low") - F.lag("_high").over(over) > gap, 1).otherwise(0)
+    edges = edges.withColumn("_edge", edge).withColumn("_before", F.sum("_edge").over(over) + F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    carried = edges.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_e{c}") for c in keys], "_before")
+    here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in keys], F.col("_part") == F.col("_p"))
+    numbered = steps.join(carried, here).select(*keys, "_v", (F.col("_own") + F.col("_before")).alias("cluster"))
+    return values.join(numbered, _same(by) & F.col(value).eqNullSafe(F.col("_v"))).select(*values.columns, "cluster")
 
 
 def cluster_stats(clustered: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -23,8 +23,8 @@ def tfidf(items: DataFrame, columns: Sequence[str], key: str = "id", stop_words:
     return weighed.join(norm, key).select(key, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def similar_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """(key, other, score, place): the k most similar other items of each query (all items by default), ties to the lower id. Items that share no token with a query have no row.
+def similar_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None, key: str = "id", items: DataFrame | None = None) -> DataFrame:
+    """(key, other, score, place): the k most similar other items of each query (all items by default), ties to the lower id. With items (key), queries that share tokens with fewer than k of them get the lowest other ids, at score 0, up to k.
 
     Scores come from a join on the token, summed before the top k is taken; queries (key) keep one
     side of it small.
@@ -34,7 +34,17 @@ def similar_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None, k
     b = vectors.select(F.col(key).alias("other"), "token", F.col("weight").alias("wb"))
     scores = a.join(b, "token").filter(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "other")
-    return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    top = scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    if items is None:
+        return top
+    # the k + 1 lowest ids are enough: at most k - 1 of them are found already, and one is the query itself
+    every = items.select(key).distinct()
+    lowest = every.orderBy(key).limit(k + 1).agg(F.array_sort(F.collect_list(key)).alias("lowest"))  # one row
+    have = top.groupBy(key).agg(F.collect_list("other").alias("have"), F.max("place").alias("n"))  # k at most
+    short = (every if queries is None else queries.select(key).distinct()).join(have, key, "left").filter(F.coalesce("n", F.lit(0)) < k).join(F.broadcast(lowest))
+    free = F.filter("lowest", lambda x: (x != F.col(key)) & ~F.coalesce(F.array_contains("have", x), F.lit(False)))
+    fill = short.withColumn("n", F.coalesce("n", F.lit(0))).select(key, "n", F.posexplode(F.slice(free, F.lit(1), k - F.col("n"))).alias("at", "other"))
+    return top.unionByName(fill.select(key, "other", F.lit(0.0).alias("score"), (F.col("n") + F.col("at") + 1).alias("place")))
 
 
 def from_history(history: DataFrame, similar: DataFrame, items: DataFrame, users: DataFrame, k: int, key: str = "id") -> DataFrame:

@@ -84,6 +84,37 @@ def run_saved_searches(searches: DataFrame, options: DataFrame, key: str = "sear
     return found.unionByName(free)
 
 
+def saved_enchant_filters(searches: DataFrame, column: str = "filters") -> DataFrame:
+    """JSON lists of enchant filters with nested effects, a row for each enchant (effect_order null) and each of its effects.
+
+    Unknown operators mean >=; enchants without id are skipped, and effects without enchant, order or value. Bad or empty JSON means no filter: such a search has one row, without enchant.
+    """
+    parsed = F.from_json(column, "array<struct<id: bigint, effects: array<struct<enchant_id: bigint, effect_order: int, op: string, value: double>>>>")
+    good = F.filter(parsed, lambda f: f["id"].isNotNull())
+    none = F.lit(None)
+    slot = F.transform(good, lambda f: F.struct(f["id"].alias("enchant_id"), none.cast("int").alias("effect_order"), none.cast("string").alias("op"), none.cast("bigint").alias("value")))
+    whole = F.filter(F.flatten(F.transform(good, lambda f: F.coalesce(f["effects"], F.array()))), lambda e: e["enchant_id"].isNotNull() & e["effect_order"].isNotNull() & e["value"].isNotNull())
+    op = lambda e: F.when(e["op"].isin("lte", "<="), "<=").when(e["op"].isin("eq", "="), "=").otherwise(">=")
+    effects = F.transform(whole, lambda e: F.struct(e["enchant_id"].alias("enchant_id"), e["effect_order"].alias("effect_order"), op(e).alias("op"), e["value"].cast("bigint").alias("value")))
+    rows = searches.withColumn("f", F.explode_outer(F.when(F.size(good) > 0, F.array_distinct(F.concat(slot, effects)))))
+    return rows.select(*[c for c in searches.columns if c != column], "f.*")
+
+
+def run_saved_enchants(searches: DataFrame, listings: DataFrame, rolls: DataFrame, key: str = "search_id") -> DataFrame:
+    """(search, listing, unfiltered): the listings that have every enchant of the search in either slot, and rolls for which all its effects hold. filters come from saved_enchant_filters(); a search without any has one row, as in run_saved_searches()."""
+    filtered = searches.filter("enchant_id is not null").distinct()
+    slots = listings.select(F.col("id").alias("listing_id"), F.explode(F.array_distinct(F.array("prefix_enchant_id", "suffix_enchant_id"))).alias("enchant_id"))
+    worn = filtered.filter("effect_order is null").join(slots, "enchant_id")
+    holds = F.expr("case op when '>=' then rolled_value >= value when '<=' then rolled_value <= value else rolled_value = value end")
+    rolled = filtered.filter("effect_order is not null").join(rolls.select("listing_id", "enchant_id", "effect_order", "rolled_value"), ["enchant_id", "effect_order"]).filter(holds)
+    columns = [key, "listing_id", "enchant_id", "effect_order", "op", "value"]
+    met = worn.select(*columns).unionByName(rolled.select(*columns)).distinct().groupBy(key, "listing_id").agg(F.count("*").alias("met"))
+    needed = filtered.groupBy(key).agg(F.count("*").alias("needed"))
+    found = met.join(needed, key).filter("met = needed").select(key, "listing_id", F.lit(False).alias("unfiltered"))
+    free = searches.filter("enchant_id is null").select(key, F.lit(None).cast(listings.schema["id"].dataType).alias("listing_id"), F.lit(True).alias("unfiltered"))
+    return found.unionByName(free)
+
+
 def names_like(rows: DataFrame, text: str, limit: int, column: str = "name") -> DataFrame:
     """Case-insensitive substring search, by name; % and _ keep their meaning."""
     return rows.filter(F.col(column).ilike(f"%{text}%")).orderBy(column, "id").limit(limit)

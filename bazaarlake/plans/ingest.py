@@ -102,7 +102,11 @@ def ingest_upsert_report(t):
 
 @query(_REPORT.replace("'customers'", "'dry run'"))
 def ingest_dry_run(t):
-    return I.upsert_report({"dry run": I.upsert(t.snapshot_before, t.snapshot_after, "id")})
+    from bazaarlake.sources.scratch import scratch_table
+
+    path = scratch_table(t.spark, "target")
+    I.write_fresh(t.snapshot_before, path)
+    return I.write_upsert(path, t.snapshot_after, "id", dry_run=True).withColumn("table", F.lit("dry run"))
 
 
 @query("SELECT id, name, bal, seg FROM snapshot_after")

@@ -69,6 +69,17 @@ def flt_filter_json(t):
     return S.run_saved_searches(S.saved_option_filters(searches), t.listing_options)
 
 
+@query("""WITH f AS (SELECT c_custkey AS search_id, c_custkey AS e, CAST(c_custkey % 3 + 1 AS INT) AS o, c_custkey % 40 AS v FROM customer),
+r AS (SELECT DISTINCT search_id, listing_id FROM f JOIN rolls ON enchant_id = e AND effect_order = o AND CASE WHEN search_id % 3 = 1 THEN rolled_value <= v ELSE rolled_value >= v END)
+SELECT f.search_id, l.id AS listing_id, false AS unfiltered FROM f JOIN listings l ON l.prefix_enchant_id = e OR l.suffix_enchant_id = e LEFT JOIN r ON r.search_id = f.search_id AND r.listing_id = l.id
+ WHERE f.search_id % 5 <> 0 AND (f.search_id % 4 = 1 OR r.listing_id IS NOT NULL) UNION ALL SELECT search_id, NULL, true FROM f WHERE search_id % 5 = 0""")
+def flt_enchant_filter_json(t):
+    effect = """'{"enchant_id":' || c_custkey || ',"effect_order":' || (c_custkey % 3 + 1) || ',"op":"' || CASE c_custkey % 3 WHEN 0 THEN 'gte' WHEN 1 THEN 'lte' ELSE '?' END || '","value":' || c_custkey % 40 || '},'"""
+    searches = t.sql(f"""SELECT c_custkey AS search_id, CASE WHEN c_custkey % 15 = 0 THEN '[{{"effects":[]}}]' WHEN c_custkey % 5 = 0 THEN 'not json' ELSE
+      '[{{"id":' || c_custkey || ',"effects":[' || CASE WHEN c_custkey % 4 = 1 THEN '' ELSE {effect} END || '{{"effect_order":2}}]}},{{"effects":[]}}]' END AS filters FROM customer""")
+    return S.run_saved_enchants(S.saved_enchant_filters(searches), t.listings, t.rolls)
+
+
 @query("SELECT id, name FROM game_items WHERE name ILIKE '%RING%' ORDER BY name, id LIMIT 20")
 def flt_ilike_names(t):
     return S.names_like(t.game_items, "RING", 20).select("id", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bazaarlake.operators import evaluation as V
 from bazaarlake.operators import recommend as N
+from bazaarlake.operators.ingest import number_rows
 from bazaarlake.plans.registry import query
 from bazaarlake.sources.scratch import scratch_table
 from bazaarlake.streaming import jobs as J
@@ -131,7 +132,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)
 
 def _similar(t):
     # the stated query set: every item whose id is divisible by 50, against all
-    scores = N.similar_topk(_vectors(t), 40, t.sql(_ITEMS).filter("id % 50 = 0"))
+    scores = N.similar_topk(_vectors(t), 40, t.sql(_ITEMS).filter("id % 50 = 0"), items=t.sql(_ITEMS))
     return scores.withColumn("score", F.round("score", 9))
 
 
@@ -142,7 +143,11 @@ def rec_similar_topk(t):
 
 @query()
 def rec_user_history(t):
-    history = t.activity_logs.filter("action = 'purchase'").select("user_id", (F.col("user_id") * 50 % 2000).alias("item")).distinct()
+    # a purchase is of one of the items of the query set, all of which have their turn
+    asked = number_rows(t.sql(_ITEMS).filter("id % 50 = 0").select(F.col("id").alias("item")), "item", start=0, name="place")
+    n = asked.agg(F.count("*").alias("n"))  # one row
+    bought = t.activity_logs.filter("action = 'purchase'").join(F.broadcast(n)).select("user_id", F.expr("pmod(xxhash64(id), n)").alias("place"))
+    history = bought.join(asked, "place").select("user_id", "item").distinct()
     users = t.users.select(F.col("id").alias("user_id"))
     return N.from_history(history, _similar(t), t.sql(_ITEMS), users, 3).select("user_id", "item", "place")
 
