@@ -27,12 +27,13 @@ def similar_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None, k
     """(key, other, score, place): the k most similar other items of each query (all items by default), ties to the lower id. With items (key), queries that share tokens with fewer than k of them get the lowest other ids, at score 0, up to k.
 
     Scores come from a join on the token, summed before the top k is taken; queries (key) keep one
-    side of it small.
+    side of it small. They are rounded to nine places before they are ranked, so that ties don't depend
+    on the order of a sum.
     """
     left = vectors if queries is None else vectors.join(queries.select(key), key, "left_semi")
     a = left.select(key, "token", F.col("weight").alias("wa"))
     b = vectors.select(F.col(key).alias("other"), "token", F.col("weight").alias("wb"))
-    scores = a.join(b, "token").filter(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+    scores = a.join(b, "token").filter(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "other")
     top = scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
     if items is None:
@@ -48,8 +49,8 @@ def similar_topk(vectors: DataFrame, k: int, queries: DataFrame | None = None, k
 
 
 def from_history(history: DataFrame, similar: DataFrame, items: DataFrame, users: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """(user_id, item, score, place): scores of the similar items of a user's history (user_id, item) summed, without what was seen; users without history get the first k items."""
-    found = history.distinct().join(similar.select(F.col(key).alias("item"), "other", "score"), "item").groupBy("user_id", F.col("other").alias("item")).agg(F.sum("score").alias("score"))
+    """(user_id, item, score, place): scores of the similar items of a user's history (user_id, item) summed (nine places), without what was seen; users without history get the first k items."""
+    found = history.distinct().join(similar.select(F.col(key).alias("item"), "other", "score"), "item").groupBy("user_id", F.col("other").alias("item")).agg(F.round(F.sum("score"), 9).alias("score"))
     fresh = found.join(history, ["user_id", "item"], "left_anti")
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), "item")
     ranked = fresh.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

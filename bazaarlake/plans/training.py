@@ -132,8 +132,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)
 
 def _similar(t):
     # the stated query set: every item whose id is divisible by 50, against all
-    scores = N.similar_topk(_vectors(t), 40, t.sql(_ITEMS).filter("id % 50 = 0"), items=t.sql(_ITEMS))
-    return scores.withColumn("score", F.round("score", 9))
+    return N.similar_topk(_vectors(t), 40, t.sql(_ITEMS).filter("id % 50 = 0"), items=t.sql(_ITEMS))
 
 
 @query(f"WITH {_TFIDF}, {_TOP} SELECT id, place, score FROM top")
@@ -141,12 +140,23 @@ def rec_similar_topk(t):
     return _similar(t).filter("place <= 5").select("id", "place", "score")
 
 
-@query()
+# every pair of the query set has a score, 0 without a common token
+_HISTORY = """asked AS (SELECT id AS item, row_number() OVER (ORDER BY id) - 1 AS place FROM items WHERE id % 50 = 0),
+scored AS (SELECT a.id AS asked, b.id AS other, coalesce(score, 0) AS score FROM items a JOIN items b ON a.id <> b.id LEFT JOIN s ON s.id = a.id AND s.other = b.id WHERE a.id % 50 = 0),
+near AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, other) <= 40),
+history AS (SELECT DISTINCT user_id, item FROM activity_logs JOIN asked ON place = id % (SELECT count(*) FROM asked) WHERE action = 'purchase'),
+found AS (SELECT user_id, other AS item, round(sum(score), 9) AS score FROM history JOIN near ON asked = item GROUP BY 1, 2),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS place FROM found WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM history)),
+first AS (SELECT id AS item, row_number() OVER (ORDER BY id) AS place FROM items)"""
+
+
+@query(f"""WITH {_TFIDF}, {_TOP.split(",\ntop")[0]}, {_HISTORY} SELECT user_id, item, place FROM fresh WHERE place <= 3
+UNION ALL SELECT id, item, place FROM users, first WHERE place <= 3 AND id NOT IN (SELECT user_id FROM history)""")
 def rec_user_history(t):
     # a purchase is of one of the items of the query set, all of which have their turn
     asked = number_rows(t.sql(_ITEMS).filter("id % 50 = 0").select(F.col("id").alias("item")), "item", start=0, name="place")
     n = asked.agg(F.count("*").alias("n"))  # one row
-    bought = t.activity_logs.filter("action = 'purchase'").join(F.broadcast(n)).select("user_id", F.expr("pmod(xxhash64(id), n)").alias("place"))
+    bought = t.activity_logs.filter("action = 'purchase'").join(F.broadcast(n)).select("user_id", F.expr("pmod(id, n)").alias("place"))
     history = bought.join(asked, "place").select("user_id", "item").distinct()
     users = t.users.select(F.col("id").alias("user_id"))
     return N.from_history(history, _similar(t), t.sql(_ITEMS), users, 3).select("user_id", "item", "place")
