@@ -6,6 +6,7 @@ from bazaarlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from bazaarlake.llm.html_main import op4_html_main
 from bazaarlake.llm.license_scan import OP10_SQL, op10_license_scan
 from bazaarlake.llm.lm_score import op9_lm_scores
+from bazaarlake.llm.merkle import OP11_SQL, op11_merkle_manifest
 from bazaarlake.llm.mixing import op7_mixing
 from bazaarlake.llm.ngram_jaccard import OP1_SQL, op1_ngram_jaccard
 from bazaarlake.llm.toxicity import op3_toxicity
@@ -14,7 +15,7 @@ from bazaarlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op4_html_main, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan, op13_collocations)
+    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op4_html_main, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan, op11_merkle_manifest, op13_collocations)
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
@@ -23,5 +24,6 @@ ORACLES: dict[str, str] = {
     "op6_url_rules": OP6_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_license_scan": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_collocations": OP13_SQL,
 }
