@@ -1,6 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from bazaarlake.llm.collocations import OP13_SQL, op13_collocations
+from bazaarlake.llm.cover_tree import OP12_SQL, op12_top_k
 from bazaarlake.llm.decontaminate import OP8_SQL, op8_decontaminate
 from bazaarlake.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from bazaarlake.llm.html_main import op4_html_main
@@ -15,7 +16,7 @@ from bazaarlake.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op4_html_main, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan, op11_merkle_manifest, op13_collocations)
+    for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op4_html_main, op5_warc, op6_url_rules, op7_mixing, op8_decontaminate, op9_lm_scores, op10_license_scan, op11_merkle_manifest, op12_top_k, op13_collocations)
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": OP1_SQL,
@@ -25,5 +26,6 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": OP8_SQL,
     "op10_license_scan": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_top_k": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
