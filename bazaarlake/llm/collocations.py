@@ -111,7 +111,7 @@ def _extend(words: np.ndarray, codes: np.ndarray, table: np.ndarray, step: int,
         with np.errstate(over="ignore"):
             h = mix(h[i] * _K + words[codes[at + length - 1].astype(np.int64) - 1])
         yield length, at, h, since
-        g = _since(table, h)
+        g = np.maximum(_since(table, h), since)  # not before its own subphrases, even where slots are shared
         keep = g <= step
         at, g, h = at[keep], g[keep], h[keep]
 
@@ -180,21 +180,37 @@ def _merge(step: int, shards: int, threshold: int):
     return run
 
 
-def _new_slots(slots: int):
-    """Packed phrases -> the slots that they take, as words of 64 bits; whether some of them can grow longer."""
+def _new_slots(slots: int, longest: int):
+    """Packed phrases -> the slots that they take, as words of 64 bits; those of the longest ones apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, n in zip(batch.column(0), batch.column(1), strict=True):
-                at = np.unique(np.concatenate(_slots(np.frombuffer(blob.as_buffer(), np.uint64), slots)))
-                word, first = np.unique(at >> 6, return_index=True)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64)
-                shortest = int(np.frombuffer(n.as_buffer(), np.uint8).min())
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits), pa.array([shortest] * len(word), pa.int32())], ["word", "bits", "shortest"])
+                h, n = np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint8)
+                for final in (False, True):
+                    at = np.unique(np.concatenate(_slots(h[(n == longest) == final], slots)))
+                    if len(at):
+                        word, first = np.unique(at >> 6, return_index=True)
+                        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits), pa.array([final] * len(word))], ["word", "bits", "final"])
 
     return run
 
 
+def _set(table: np.ndarray, rows: pd.DataFrame, step: int) -> None:
+    """Marks the slots in these words as taken since this step, where they were free."""
+    bits = np.unpackbits(rows["bits"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    which, bit = np.nonzero(bits)
+    at = rows["word"].to_numpy(np.int64)[which] * 64 + bit
+    table[at] = np.minimum(table[at], step)
+
+
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        w = batch.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bytes([1]) * len(w)], pa.binary())], ["h", "l"])
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h, c in zip(batch.column(0), batch.column(1), strict=True):
@@ -234,7 +250,7 @@ def _spell(longest: int, table):
 
 
 def _texts(table):
-    """Chunks -> hashes and texts of the words that count as frequent."""
+    """Chunks -> hashes and texts of the words whose slots are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = table.value, np.zeros(0, np.uint64)
@@ -271,6 +287,7 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
 
     # the steps: one shard each
     table, last, step, state, done = np.full(slots, _NEVER, np.uint8), 0, 0, None, []
+    finals: list[pd.DataFrame] = []
     sent = spark.sparkContext.broadcast(table)
     while step < last + shards:
         shard = chunks.filter(F.col("shard") == step % shards).select("words", "codes")
@@ -281,17 +298,19 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
         merged = spark.read.schema(f"{_PACKED}, kind string").parquet(path)
         done.append(merged.filter("kind = 'done'").select("h", "c"))
         state = merged.filter("kind = 'state'").drop("kind")
-        taken = merged.filter("kind = 'fresh'").select("h", "l").mapInArrow(_new_slots(slots), "word long, bits long, shortest int")
-        taken = taken.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.min("shortest").alias("shortest")).toPandas()  # slots / 64 rows at most
+        taken = merged.filter("kind = 'fresh'").select("h", "l").mapInArrow(_new_slots(slots, longest), "word long, bits long, final boolean")
+        taken = taken.groupBy("word", "final").agg(F.bit_or("bits").alias("bits")).toPandas()  # slots / 32 rows at most
         step += 1
-        if len(taken):
-            bits = np.unpackbits(taken["bits"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            which, bit = np.nonzero(bits)
-            at = taken["word"].to_numpy(np.int64)[which] * 64 + bit
-            table[at] = np.minimum(table[at], step)
-            last = step if taken["shortest"].min() < longest else last
+        longer = taken[~taken["final"].astype(bool)]
+        finals.append(taken[taken["final"].astype(bool)])
+        if len(longer):
+            _set(table, longer, last := step)
             sent.unpersist()
             sent = spark.sparkContext.broadcast(table)
+    for rows_ in finals:  # no phrase grows from the longest ones; they are only spelt
+        _set(table, rows_, step)
+    sent.unpersist()
+    sent = spark.sparkContext.broadcast(table)
     counts = cut(reduce(DataFrame.unionByName, done).mapInArrow(_unpack, "h long, f long"), "counts")
 
     # words of the frequent phrases, cuts and scores
@@ -314,7 +333,10 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
         found = found.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= first).drop("salt", "place")
     found = cut(found, "found")
     wanted = found.select("h", F.posexplode("words").alias("no", "w"))
-    texts = chunks.select("words", "texts").mapInArrow(_texts(sent), "w long, word string")
+    packed = wanted.select("w").distinct().mapInArrow(_pack_words, "h binary, l binary").mapInArrow(_new_slots(slots, longest), "word long, bits long, final boolean")
+    only = np.full(slots, _NEVER, np.uint8)
+    _set(only, packed.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas(), 0)
+    texts = chunks.select("words", "texts").mapInArrow(_texts(spark.sparkContext.broadcast(only)), "w long, word string")
     texts = texts.join(wanted.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.min("word").alias("word"))
     spelled = wanted.join(texts, "w").groupBy("h").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     ranked = found.join(spelled, "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))).cast("long"))
