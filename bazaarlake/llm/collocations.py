@@ -9,7 +9,7 @@ How it works
    threshold, at whatever shard the cycle then stands, and it is counted until it has seen each shard once. So lengths
    interleave: phrases of frequent words are counted while the words' own cycle still runs.
 3. Which phrases are active is known from a table of `slots` bytes, which holds the step since which a phrase counts as frequent
-   in two slots a phrase. It has the same fixed size at every input and goes to each task. Two phrases may share slots; then a
+   in two slots a phrase. It has a bounded size (16 MB) and goes to each task. Two phrases may share slots; then a
    phrase is counted without need, but still over one full cycle, as each task sees the same table: its count is exact.
 4. Counts travel packed, in blocks of the hash range, summed up in each task before. A block's state holds the phrases whose
    cycle runs; it is a written table after each step.
@@ -38,7 +38,7 @@ _WORD = ~_PIECE
 _WORD[[0x20, 0x09]] = False
 #: Bytes of text of a chunk; bytes that a task holds for all languages; entries that a task sums up at once, and words of a block.
 CHUNK, PENDING, FLUSH, BLOCK = 4 << 20, 32 << 20, 3_000_000, 2_000_000
-#: Slots of the table of frequent phrases, of one byte each.
+#: Slots, at most, of the table of frequent phrases, of one byte each.
 SLOTS = 1 << 24
 _NEVER = 255
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -264,7 +264,7 @@ def _texts(table):
     return run
 
 
-def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", threshold: int = 100, longest: int = 5, first: int | None = 2000, cover: int = 100, shards: int = 4, slots: int = SLOTS) -> DataFrame:
+def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", threshold: int = 100, longest: int = 5, first: int | None = 2000, cover: int = 100, shards: int = 4, slots: int | None = None) -> DataFrame:
     """Phrases of 2 to `longest` words that occur `threshold` times or more in a language, scored by their weakest cut.
 
     Returns lang, rank (from 1), phrase, a, l, r, n, score (see the contract in README). A phrase goes if a longer one that
@@ -283,7 +283,9 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     rows.mapInArrow(_chunks(shards), schema).write.option("compression", "zstd").partitionBy("shard").parquet(path)
     chunks = spark.read.schema(schema).parquet(path)
     sizes = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    n_blocks = max(4, int((sizes.agg(F.sum("n")).first()[0] or 0) // BLOCK) + 1)
+    n_words = sizes.agg(F.sum("n")).first()[0] or 0
+    n_blocks = max(4, int(n_words // BLOCK) + 1)
+    slots = slots or min(SLOTS, 1 << max(16, int(n_words).bit_length()))
 
     # the steps: one shard each
     table, last, step, state, done = np.full(slots, _NEVER, np.uint8), 0, 0, None, []
@@ -305,11 +307,11 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
         finals.append(taken[taken["final"].astype(bool)])
         if len(longer):
             _set(table, longer, last := step)
-            sent.unpersist()
+            sent.destroy()  # the step's rows are written
             sent = spark.sparkContext.broadcast(table)
     for rows_ in finals:  # no phrase grows from the longest ones; they are only spelt
         _set(table, rows_, step)
-    sent.unpersist()
+    sent.destroy()  # the step's rows are written
     sent = spark.sparkContext.broadcast(table)
     counts = cut(reduce(DataFrame.unionByName, done).mapInArrow(_unpack, "h long, f long"), "counts")
 
