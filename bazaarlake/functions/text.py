@@ -41,7 +41,7 @@ def option_display(rolled: Column, per_level: Column, unit: Column) -> Column:
 
 def normalize_numbers(text: Column) -> Column:
     """Digit runs (with decimals) and a standalone n become N."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\d+(?:\.\d+)?", "N"), r"(?U)(?<!\w)n(?!\w)", "N")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\d+(?:\.\d+)?", "N"), r"(?U)\bn\b", "N")
 
 
 def numbers(text: Column) -> Column:
@@ -49,9 +49,11 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), 1)
 
 
-def inject_numbers(template: Column, values: Column) -> Column:
-    """Fills N placeholders from left to right; those without a value go, with the ~ of a range that they stand in, and so do blanks at the ends."""
+def inject_numbers(template: Column, values: Column, keep: bool = False) -> Column:
+    """Fills N placeholders from left to right; those without a value go, with the ~ of a range that they stand in, and so do blanks at the ends (keep: they stay)."""
     parts, filled = F.split(template, "N"), F.size(values)
+    if keep:
+        return F.array_join(F.transform(parts, lambda part, i: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get(values, i - 1), F.lit("N"))), part)), "")
 
     def piece(part: Column, i: Column) -> Column:
         open_after, open_before = (i >= filled) & (i < F.size(parts) - 1), i > filled
@@ -66,6 +68,11 @@ def inject_numbers(template: Column, values: Column) -> Column:
 BULLETS = ("-", ",", ".", "·", "ㄴ", "L")
 
 
+def bullet(text: Column, bullets: Sequence[str] = BULLETS) -> Column:
+    """The bullet at the start, with the blanks behind it; empty without one."""
+    return F.when(F.substring(text, 1, 1).isin(*bullets), F.regexp_extract(text, r"^.\s*", 0)).otherwise("")
+
+
 def strip_prefix(text: Column, bullets: Sequence[str] = BULLETS) -> Column:
     """Drops one bullet at the start, and blanks around it."""
     bare = F.ltrim(text)
@@ -110,3 +117,27 @@ def range_suffix(text: Column) -> Column:
 def json_fields(column: str, paths: dict[str, str]) -> list[Column]:
     """{name: type} of the keys of a JSON text; what doesn't fit is null."""
     return [F.try_variant_get(F.try_parse_json(column), f"$.{name}", kind).alias(name) for name, kind in paths.items()]
+
+
+#: Words of the lines: level, rank, and the two enchant slots. Fixed values.
+_LEVEL, _RANK, _SLOTS = "레벨", "(랭크", ("접두", "접미")
+
+
+def name_and_levels(text: Column) -> Column:
+    """struct(name, level, most) of a text that ends with two numbers, apart from brackets, blanks and the word for level; all null for others."""
+    body = F.rtrim(F.regexp_replace(F.rtrim(text, F.lit(" )")), _LEVEL + "$", ""), F.lit(" )"))
+    two = F.split(F.regexp_extract(body, r"\d+[^0-9]+\d+$", 0), "[^0-9]+")
+    name = F.trim(F.regexp_replace(body, r"\d+[^0-9]+\d+$", ""), F.lit(" -("))
+    found = (F.size(two) == 2) & (name != "")
+    return F.struct(F.when(found, name).alias("name"), F.when(found, two[0].cast("int")).alias("level"), F.when(found, F.get(two, F.lit(1)).cast("int")).alias("most"))
+
+
+def enchant_header(text: Column) -> Column:
+    """struct(slot, name, rank) of '[slot] name (랭크 rank)', the brackets of the slot being optional; all null for others."""
+    first = F.split_part(text, F.lit(" "), F.lit(1))
+    slot = F.trim(first, F.lit("[]"))
+    rest = F.substring(text, F.length(first) + 1, F.length(text))
+    name, behind = F.trim(F.split_part(rest, F.lit(_RANK), F.lit(1))), F.split_part(rest, F.lit(_RANK), F.lit(2))
+    rank = F.trim(F.split_part(behind, F.lit(")"), F.lit(1)))
+    found = slot.isin(*_SLOTS) & (name != "") & behind.contains(")") & rank.rlike("^[0-9A-F]+$")
+    return F.struct(F.when(found, slot).alias("slot"), F.when(found, name).alias("name"), F.when(found, rank).alias("rank"))

@@ -8,43 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.similarity import indel_ratio
+from bazaarlake.functions.text import enchant_header, name_and_levels
 from bazaarlake.operators.fuzzy import best_match
 
-#: Words of the lines: level, rank, and the two enchant slots. Fixed values.
-_LEVEL, _RANK, _SLOTS = "레벨", "(랭크", ("접두", "접미")
-
+#: Words of the lines: colour part, grade, level and step. Fixed values.
+_PART, _GRADE, _LEVEL, _STEP = "파트", "등급", "레벨", "단계"
 
 def _part(text: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
 
-def _name_and_levels(text: Column) -> Column:
-    """struct(name, level, most) of a text that ends with two numbers, apart from brackets, blanks and the word for level; all null for others."""
-    body = F.rtrim(F.regexp_replace(F.rtrim(text, F.lit(" )")), _LEVEL + "$", ""), F.lit(" )"))
-    two = F.split(F.regexp_extract(body, r"\d+[^0-9]+\d+$", 0), "[^0-9]+")
-    name = F.trim(F.regexp_replace(body, r"\d+[^0-9]+\d+$", ""), F.lit(" -("))
-    found = (F.size(two) == 2) & (name != "")
-    return F.struct(F.when(found, name).alias("name"), F.when(found, two[0].cast("int")).alias("level"), F.when(found, F.get(two, F.lit(1)).cast("int")).alias("most"))
-
-
-def _enchant_header(text: Column) -> Column:
-    """struct(slot, name, rank) of '[slot] name (랭크 rank)', the brackets of the slot being optional; all null for others."""
-    first = F.split_part(text, F.lit(" "), F.lit(1))
-    slot = F.trim(first, F.lit("[]"))
-    rest = F.substring(text, F.length(first) + 1, F.length(text))
-    name, behind = F.trim(F.split_part(rest, F.lit(_RANK), F.lit(1))), F.split_part(rest, F.lit(_RANK), F.lit(2))
-    rank = F.trim(F.split_part(behind, F.lit(")"), F.lit(1)))
-    found = slot.isin(*_SLOTS) & (name != "") & behind.contains(")") & rank.rlike("^[0-9A-F]+$")
-    return F.struct(F.when(found, slot).alias("slot"), F.when(found, name).alias("name"), F.when(found, rank).alias("rank"))
-
-
 def _island(by: str, order: str, starts: Column) -> Column:
     return F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def reforges(lines: DataFrame, by: str, order: str) -> DataFrame:
     """lines (by, order, text, is_sub). 'name (level/max 레벨)' -> name, level, max_level (null without a level); the text of the last sub-bullet below is its effect."""
-    rows = lines.withColumn("no", _island(by, order, ~F.col("is_sub"))).filter("no > 0").withColumn("level", _name_and_levels(F.col("text")))
+    rows = lines.withColumn("no", _island(by, order, ~F.col("is_sub"))).filter("no > 0").withColumn("level", name_and_levels(F.col("text")))
     plain = F.trim(F.regexp_replace("text", r"^[-ㄴ\s]+", ""))
     main = lambda c: F.max(F.when(~F.col("is_sub"), c))
     return rows.groupBy(by, "no").agg(
@@ -54,7 +34,7 @@ def reforges(lines: DataFrame, by: str, order: str) -> DataFrame:
 
 def enchant_slots(lines: DataFrame, by: str, order: str) -> DataFrame:
     """Headers '[slot] name (랭크 rank)' start a slot; the lines below are its effects."""
-    head = _enchant_header(F.col("text"))
+    head = enchant_header(F.col("text"))
     rows = lines.withColumn("head", head).withColumn("slot_no", _island(by, order, F.col("head.slot").isNotNull())).filter("slot_no > 0")
     of_header = lambda name: F.max(F.col(f"head.{name}")).alias(name)
     below = F.sort_array(F.collect_list(F.when(F.col("head.slot").isNull(), F.struct(order, "text"))))
@@ -62,26 +42,27 @@ def enchant_slots(lines: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def color_part(text: Column) -> Column:
-    """'파트 X R:n G:n B:n' -> struct(part, r, g, b); a missing channel is null."""
-    channel = lambda c: _part(text, rf"\b{c}\s*:\s*(\d+)", 1).cast("int")
-    return F.struct(_part(text, r"파트\s*(\w)", 1).alias("part"), channel("R").alias("r"), channel("G").alias("g"), channel("B").alias("b"))
+    """'파트 X R:n G:n B:n', X from A to F, blanks in place of a colon being allowed -> struct(part, r, g, b); a missing channel is null, and a text without part has none."""
+    channel = lambda c: _part(text, rf"{c}[\s:]+(\d+)", 1).cast("int")
+    part = _part(text, rf"{_PART}\s*([A-F])", 1)
+    return F.when(part.isNotNull(), F.struct(part.alias("part"), channel("R").alias("r"), channel("G").alias("g"), channel("B").alias("b")))
 
 
 def erg(lines: DataFrame, by: str, order: str) -> DataFrame:
-    """Of each session's first matching line: grade, level, max_level; levels out of 1 to 50 are null."""
-    pattern = r"([SAB])\s*\(\s*(\d+)\s*/\s*(\d+)"
-    level, most = _part(F.col("text"), pattern, 2).cast("int"), _part(F.col("text"), pattern, 3).cast("int")
-    ok = level.between(1, 50)
-    found = F.struct(_part(F.col("text"), pattern, 1).alias("grade"), F.when(ok, level).alias("level"), F.when(ok, most).alias("max_level"))
-    return lines.filter(F.col("text").rlike(pattern)).groupBy(by).agg(F.min_by(found, order).alias("e")).select(by, "e.*")
+    """Of each session's first line with '등급 X (n/m 레벨)' (round, square or no brackets): grade, level, max_level; either number out of 1 to 50 is null."""
+    found = F.regexp_extract("text", rf"{_GRADE}\s+[SAB][\s(\[]*\d\d?\s*/\s*\d\d?\s*{_LEVEL}", 0)
+    two = F.transform(F.regexp_extract_all(found, F.lit(r"\d+"), 0), lambda x: F.when(x.cast("int").between(1, 50), x.cast("int")))
+    values = F.struct(F.regexp_extract(found, "[SAB]", 0).alias("grade"), F.get(two, F.lit(0)).alias("level"), F.get(two, F.lit(1)).alias("max_level"))
+    return lines.filter(found != "").groupBy(by).agg(F.min_by(values, order).alias("e")).select(by, "e.*")
 
 
 def special_upgrade(text: Column, label: str, cutoff: float = 60) -> Column:
-    """struct(type, level): R or S and 1 to 8 at the end, if what stands before resembles the label; else nulls."""
-    pattern = r"^(.*?)\s*\(?([RS])\s*(\d)\)?\s*$"
-    near = indel_ratio(F.coalesce(_part(text, pattern, 1), F.lit("")), F.lit(label)) >= cutoff
-    level = _part(text, pattern, 3).cast("int")
-    return F.struct(F.when(near, _part(text, pattern, 2)).alias("type"), F.when(near & level.between(1, 8), level).alias("level"))
+    """struct(type, level): R or S and a number in front of the word for step (brackets being optional), if what stands before resembles the label; a level out of 1 to 8 is null."""
+    found = F.regexp_extract(text, rf"[RS][\s(\[]*\d+\s*{_STEP}", 0)
+    before = F.trim(F.substring(text, F.lit(1), F.instr(text, found) - 1))
+    near = (found != "") & (indel_ratio(F.when(found != "", before).otherwise(""), F.lit(label)) >= cutoff)
+    level = F.regexp_extract(found, r"\d+", 0).try_cast("int")
+    return F.struct(F.when(near, F.substring(found, 1, 1)).alias("type"), F.when(near & level.between(1, 8), level).alias("level"))
 
 
 def set_effects(lines: DataFrame, names: DataFrame, cutoff: float = 90) -> DataFrame:
@@ -92,21 +73,31 @@ def set_effects(lines: DataFrame, names: DataFrame, cutoff: float = 90) -> DataF
     return rows.join(best, "label").drop("label", "score")
 
 
-def _value(rest: Column, kind: str) -> Column:
-    """The number of an attribute: the top of a range, a percentage, the right side of a fraction, a sum, or the first number."""
-    found = F.regexp_extract_all(rest, F.lit(r"(\d+(?:\.\d+)?)"), 1)
-    first, last = F.get(found, F.lit(0)).cast("double"), F.try_element_at(found, F.lit(-1)).cast("double")
-    return {"range": last, "fraction": last, "sum": F.when(rest.contains("+"), first + F.coalesce(F.get(found, F.lit(1)).cast("double"), F.lit(0.0))).otherwise(first)}.get(kind, first)
+def _values(rest: Column, kind: str) -> list[Column]:
+    """The number of an attribute. range: behind the first ~ or / between two numbers; fraction: behind such a /; percent: in front of a percent sign; sum: both
+    sides of a plus, in two columns, or one number; first: the first number. Null where the form isn't met."""
+    number = lambda pattern: _part(rest, pattern, 1).cast("double")
+    first = number(r"(\d+(?:\.\d+)?)")
+    if kind == "sum":
+        both = F.regexp_extract(rest, r"\d+\s*\+\s*\d+", 0)
+        sides = F.transform(F.split(both, r"\+"), lambda x: F.trim(x).try_cast("double"))
+        return [F.when(both != "", sides[0]).otherwise(first), F.get(sides, F.lit(1))]
+    return [{"range": number(r"\d\s*[/~]\s*(\d+)"), "fraction": number(r"\d\s*/\s*(\d+)"), "percent": number(r"(\d+(?:\.\d+)?)\s*%")}.get(kind, first)]
 
 
 def item_attributes(lines: DataFrame, by: str, labels: dict[str, str], cutoff: float = 70) -> DataFrame:
-    """lines (by, text): a label (from a short fixed list, each with a kind of value) that resembles the text's beginning of its length; one column per label."""
+    """lines (by, text): a label (from a short fixed list, each with a kind of value) that resembles the text's beginning of its length, something being behind it; one column per label, and additional_<label> for the right side of a sum."""
     scored = lines
     for name in labels:
-        scored = scored.withColumn(f"s_{name}", indel_ratio(F.substring("text", 1, len(name)), F.lit(name)))
+        long = F.length(F.trim(F.substring(F.col("text"), F.lit(len(name) + 1), F.length("text")))) > 0
+        scored = scored.withColumn(f"s_{name}", F.when(long, indel_ratio(F.substring("text", 1, len(name)), F.lit(name))).otherwise(0.0))
     top = F.greatest(*[F.col(f"s_{name}") for name in labels]) if len(labels) > 1 else F.col(f"s_{next(iter(labels))}")
     scored = scored.withColumn("top", top).filter(F.col("top") >= cutoff)
     which = reduce(lambda acc, name: F.when(F.col(f"s_{name}") == F.col("top"), name).otherwise(acc), reversed(labels), F.lit(None).cast("string"))
     scored = scored.withColumn("label", which)
-    columns = [F.max(F.when(F.col("label") == name, _value(F.substring(F.col("text"), F.lit(len(name) + 1), F.length("text")), kind))).alias(name) for name, kind in labels.items()]
+    columns = []
+    for name, kind in labels.items():
+        rest = F.substring(F.col("text"), F.lit(len(name) + 1), F.length("text"))
+        for value, column in zip(_values(rest, kind), (name, f"additional_{name}"), strict=False):
+            columns.append(F.max(F.when(F.col("label") == name, value)).alias(column))
     return scored.groupBy(by).agg(*columns)

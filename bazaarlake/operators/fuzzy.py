@@ -13,68 +13,112 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.similarity import can_reach, indel_ratio, partial_ratio
-from bazaarlake.functions.text import inject_numbers, jamo, normalize_numbers, numbers
+from bazaarlake.functions.text import bullet, enchant_header, inject_numbers, jamo, name_and_levels, normalize_numbers, numbers
+from bazaarlake.sources.scratch import stored
 
-_LEVEL = r"\s*\(?\d+/\d+\s*(?:레벨)?\)?\s*$"
-_RANGE = r"\s*\([^)]*~[^)]*\)"
-_BULLET = r"^\s*[-ㄴ]\s*"
+#: Cutoffs at which texts below the asked one are searched for, one after the other, and parts that the texts of one dictionary are dealt out in where all pairs count.
+_LOWER, _SALTS = (60, 40), 16
 
 
-def best_match(texts: DataFrame, dictionary: DataFrame, text: str, entry: str, cutoff: float, on: Sequence[str] = (), order: str | None = None) -> DataFrame:
-    """(on, text) -> best entry with a ratio of `cutoff` or more, and score; ties go to the first in order (by default of the entries).
+def candidates(rows: DataFrame, names: DataFrame, cutoff: float, on: Sequence[str] = ()) -> DataFrame:
+    """rows (on, _t) and names (on, _e, ...), distinct -> the pairs that can have an indel ratio of `cutoff` or more; none that has it is lost.
 
-    Without `on`, texts and entries meet by length: only lengths that allow the cutoff.
+    A ratio c of texts of m and n characters needs a common subsequence of L >= c (m + n) / 200, so m - L characters go and n - L
+    come: at most m - L of the text's characters are lost, and at most 2 (m - L) + n - L of its pairs of neighbours; one that stays moves by m - L
+    to the left or n - L to the right at most. So it is enough to look up so many of the text's pieces, and one more, in the dictionary's
+    pieces: the rarest ones (pairs of neighbours where the text has more of them than can be lost, else characters). A piece that is frequent in the
+    dictionary comes last; a text meets only entries of fitting length, with the piece at a fitting place, and then the characters
+    that both share are counted.
     """
-    names = dictionary.select(*on, F.col(entry).alias("_e"), F.col(order or entry).alias("_o")).distinct()
-    rows = texts.select(*on, F.col(text).alias("_t")).distinct().filter("_t is not null")
-    if on:
-        pairs = rows.join(names, list(on))
-    else:
-        share = cutoff / (200 - cutoff)  # 2 min >= c (a + b) / 100
-        low, high = F.ceil(F.length("_t") * share), F.floor(F.length("_t") / share)
-        rows = rows.withColumn("_n", F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))))
-        pairs = rows.join(names.withColumn("_n", F.length("_e").cast("long")), "_n").drop("_n")
-    scored = pairs.filter(can_reach(F.col("_t"), F.col("_e"), cutoff)).withColumn("score", indel_ratio(F.col("_t"), F.col("_e"))).filter(F.col("score") >= cutoff)
+    m, n = F.length("_t"), F.length("_e")
+    share, least = cutoff / (200 - cutoff), lambda a, b: F.ceil(cutoff * (a + b) / 200 - 1e-9)
+    shortest, longest = F.greatest(F.ceil(m * share - 1e-9), F.lit(1)), F.floor(m / share + 1e-9)
+    lost = F.floor(F.greatest(*[2 * m + x - 3 * cutoff * (m + x) / 200 for x in (shortest, longest)]) + 1e-9)  # linear in x, so greatest at an end
+    pieces = lambda text, size: F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.struct(F.substring(text, i, F.lit(size)).alias("piece"), i.alias("at")))
+    none = F.array().cast("array<struct<piece: string, at: int>>")
+    both = lambda text: F.concat(F.when(F.length(text) > 0, pieces(text, 1)).otherwise(none), F.when(F.length(text) > 1, pieces(text, 2)).otherwise(none))
+    key = [*on, "piece"]
+    index = names.select("*", F.explode(both(F.col("_e"))).alias("p")).select(*names.columns, F.col("p.piece").alias("piece"), F.col("p.at").alias("there"))
+    often = index.groupBy(*key).agg(F.count("*").alias("often"))
+    sized = rows.filter(m > 0).withColumns({"pairs": m - 1 > lost, "taken": F.when(m - 1 > lost, lost).otherwise(m - shortest) + 1})
+    asked = sized.withColumn("p", F.explode(F.when(F.col("pairs"), pieces(F.col("_t"), 2)).otherwise(pieces(F.col("_t"), 1)))).select(*rows.columns, "taken", F.col("p.piece").alias("piece"), F.col("p.at").alias("at"))
+    ranked = asked.join(often, key, "left").groupBy(*on, "_t").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece", "at"))).alias("ps"), F.first("taken").cast("int").alias("taken"))
+    probes = ranked.withColumn("p", F.explode(F.filter(F.slice("ps", F.lit(1), F.col("taken")), lambda p: p["often"] > 0))).select(*on, "_t", "p.piece", "p.at")
+    shift = F.col("there") - F.col("at")
+    near = n.between(shortest, longest) & (shift <= n - least(m, n)) & (-shift <= m - least(m, n))
+    met = probes.join(index, key).filter(near).select(*on, "_t", *[c for c in names.columns if c not in on]).distinct()
+    return met.filter(can_reach(F.col("_t"), F.col("_e"), cutoff))
+
+
+def _best(pairs: DataFrame, on: Sequence[str], entry: str, text: str, cutoff: float) -> DataFrame:
+    """The best of the pairs (on, _t, _e, _o) for each text."""
+    scored = pairs.withColumn("score", indel_ratio(F.col("_t"), F.col("_e"))).filter((F.col("score") >= cutoff) & (F.col("score") > 0))
     best = F.min_by(F.struct(F.col("_e").alias(entry), "score"), F.struct((-F.col("score")).alias("s"), "_o"))
     return scored.groupBy(*on, F.col("_t").alias(text)).agg(best.alias("x")).select(*on, text, "x.*")
 
 
+def best_match(texts: DataFrame, dictionary: DataFrame, text: str, entry: str, cutoff: float, on: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """(on, text) -> best entry with a ratio of `cutoff` or more, and score; ties go to the first in order (by default of the entries). Distinct texts meet the entries that candidates() finds."""
+    names = dictionary.select(*on, F.col(entry).alias("_e"), F.col(order or entry).alias("_o")).distinct()
+    rows = texts.select(*on, F.col(text).alias("_t")).distinct().filter("_t is not null")
+    return _best(candidates(rows, names, cutoff, on), on, entry, text, cutoff)
+
+
+def nearest(texts: DataFrame, dictionary: DataFrame, text: str, entry: str, cutoff: float, on: Sequence[str]) -> DataFrame:
+    """As best_match, but a text without match gets its best entry at any ratio above 0: looked for at lower cutoffs, and, for what is left then, among all entries of its key (which is dealt out in parts)."""
+    names = stored(dictionary.select(*on, F.col(entry).alias("_e"), F.col(entry).alias("_o")).distinct(), "entries")
+    rows = stored(texts.select(*on, F.col(text).alias("_t")).distinct().filter("_t is not null"), "texts")
+    found = None
+    for least in (cutoff, *(c for c in _LOWER if c < cutoff)):
+        more = stored(_best(candidates(rows, names, least, on), on, entry, "_t", least), "matches")
+        found = more if found is None else found.unionByName(more)
+        rows = rows.join(more, [*on, "_t"], "left_anti")
+    parts = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    pairs = rows.withColumn("part", F.pmod(F.hash("_t"), F.lit(_SALTS))).join(parts, [*on, "part"]).drop("part")
+    return found.unionByName(_best(pairs, on, entry, "_t", 0)).withColumnRenamed("_t", text)
+
+
 def correct_plain(lines: DataFrame, dictionary: DataFrame, cutoff: float = 80) -> DataFrame:
     """lines with corrected (the best entry, else the text as it is) and score (0 without one). dictionary: (entry)."""
     found = best_match(lines, dictionary, "text", "entry", cutoff)
     return lines.join(found, "text", "left").select(*lines.columns, F.coalesce("entry", "text").alias("corrected"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def correct_normalized(lines: DataFrame, dictionary: DataFrame, cutoff: float = 80, diagnose: bool = True) -> DataFrame:
+def correct_normalized(lines: DataFrame, dictionary: DataFrame, cutoff: float = 80, diagnose: bool = True, leveled: Sequence[str] = ("reforge",), headed: Sequence[str] = ("enchant",)) -> DataFrame:
     """lines (section, text) with corrected, score and paren_range, by the section's dictionary (section, entry).
 
-    Prefix bullets, a level at the end and a parenthesised range are put aside, numbers become N;
-    the best entry gets the text's numbers, prefix and level back. score: -2 for a section without
-    dictionary; for a null section all entries count; below the cutoff the candidate comes with a
-    negative score (diagnose; without it only matches are searched for and others get 0).
+    A bullet at the start, all parentheses and, in sections that are `leveled`, a level at the end are put aside; of an enchant's header in sections that are
+    `headed` the name alone counts. Numbers become N; the best entry gets the text's numbers, and bullet and level back. paren_range is the
+    first of the parentheses. score: -2 for a section without dictionary; for a null section all entries count; 0 if nothing is left to compare; below the
+    cutoff the candidate comes with a negative score (diagnose; without it only matches are searched for and others get 0).
     """
-    prefix = F.regexp_extract("text", _BULLET, 0)
-    rest = F.regexp_replace("text", _BULLET, "")
-    level, bare = F.regexp_extract(rest, _LEVEL, 0), F.regexp_replace(rest, _LEVEL, "")
-    core = F.trim(F.regexp_replace(bare, _RANGE, ""))
-    parts = lines.withColumns({"prefix": prefix, "level": level, "paren_range": F.nullif(F.trim(F.regexp_extract(bare, _RANGE, 0)), F.lit("")), "core": core}).withColumn("norm", normalize_numbers(F.col("core")))
+    leveled_, headed_ = (F.coalesce(F.col("section").isin(*names), F.lit(False)) if names else F.lit(False) for names in (leveled, headed))
+    name = F.when(headed_, enchant_header(F.col("text"))["name"])
+    prefix = F.when(name.isNotNull(), "").otherwise(bullet(F.col("text")))
+    rest = F.substring(F.col("text"), F.length("prefix") + 1, F.length("text"))
+    parts = lines.withColumn("prefix", prefix).withColumn("rest", F.coalesce(name, rest)).withColumn("own", name_and_levels(F.col("rest"))["name"])
+    behind = F.substring(F.col("rest"), F.instr("rest", F.col("own")) + F.length("own"), F.length("rest"))
+    level = F.when(leveled_ & F.col("own").isNotNull() & behind.contains("/") & F.rtrim(behind, F.lit(" )")).endswith("레벨"), behind)
+    parts = parts.withColumn("level", F.coalesce(level, F.lit(""))).withColumn("bare", F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.length("level")))
+    parts = parts.withColumns({"paren_range": F.nullif(F.regexp_extract("bare", r"[(].*?[)]", 0), F.lit("")), "core": F.trim(F.regexp_replace("bare", r"\s*[(].*?[)]", ""))}).withColumn("norm", normalize_numbers(F.col("core")))
     everything = F.lit("\x00all")
     entries = dictionary.select("section", normalize_numbers(F.col("entry")).alias("norm_entry")).distinct()
     known = entries.select("section").distinct().withColumn("has_dictionary", F.lit(True))
     entries = entries.unionByName(entries.select(everything.alias("section"), "norm_entry").distinct()).withColumnRenamed("section", "key")
-    keyed = parts.join(known, "section", "left").withColumn("key", F.coalesce("section", everything))
+    keyed = stored(parts.join(known, "section", "left").withColumn("key", F.coalesce("section", everything)), "parts")
     wanted = keyed.filter("norm <> '' and (section is null or has_dictionary)")
-    match = best_match(wanted, entries, "norm", "norm_entry", 0.0001 if diagnose else cutoff, ["key"])
+    match = (nearest if diagnose else best_match)(wanted, entries, "norm", "norm_entry", cutoff, ["key"])
     rows = keyed.join(match.withColumnRenamed("score", "raw"), ["key", "norm"], "left")
-    filled = F.concat("prefix", inject_numbers(F.col("norm_entry"), numbers(F.col("core"))), "level")
-    score = F.when(F.col("section").isNotNull() & F.col("has_dictionary").isNull(), -2.0).when(F.col("raw").isNull(), 0.0).when(F.col("raw") >= cutoff, F.col("raw")).otherwise(-F.col("raw"))
-    return rows.select(*lines.columns, F.when(F.col("raw").isNull(), F.col("text")).otherwise(filled).alias("corrected"), score.alias("score"), "paren_range")
+    filled = F.concat("prefix", inject_numbers(F.col("norm_entry"), numbers(F.col("core")), keep=True), "level")
+    unknown = F.col("section").isNotNull() & F.col("has_dictionary").isNull()
+    score = F.when(unknown, -2.0).when(F.col("raw").isNull(), 0.0).when(F.col("raw") >= cutoff, F.col("raw")).otherwise(-F.col("raw"))
+    return rows.select(*lines.columns, F.when(F.col("raw").isNull(), F.col("text")).otherwise(filled).alias("corrected"), score.alias("score"), F.when(~unknown & (F.col("core") != ""), F.col("paren_range")).alias("paren_range"))
 
 
-def apply_corrections(lines: DataFrame, dictionary: DataFrame, is_bullet: Column, cutoff: float = 80) -> DataFrame:
-    """Corrects bullet lines of sections with a dictionary: text is replaced and fm_applied set; below the cutoff the candidate goes to rejected, with its score."""
+def apply_corrections(lines: DataFrame, dictionary: DataFrame, is_bullet: Column, cutoff: float = 80, **forms) -> DataFrame:
+    """forms: leveled and headed, as in correct_normalized. Corrects bullet lines of sections with a dictionary: text is replaced and fm_applied set; below the cutoff the candidate goes to rejected, with its score."""
     marked = lines.withColumn("bullet", is_bullet)
-    done = correct_normalized(marked.filter("bullet").drop("bullet"), dictionary, cutoff)
+    done = correct_normalized(marked.filter("bullet").drop("bullet"), dictionary, cutoff, **forms)
     hit = F.col("score") > 0
     fixed = done.select(*[c for c in lines.columns if c != "text"], F.when(hit, F.col("corrected")).otherwise(F.col("text")).alias("text"), hit.alias("fm_applied"), F.when(hit, F.col("paren_range")).alias("detail_range"), F.when((F.col("score") < 0) & (F.col("score") != -2), F.col("corrected")).alias("rejected"), "score")
     none = F.lit(None).cast("string")
@@ -243,7 +287,8 @@ def resolve_item_names(texts: DataFrame, blessings: DataFrame, egos: DataFrame,
     def near(rows: DataFrame, column: str, dictionary: DataFrame, cutoff: float, found: str) -> DataFrame:
         letters = rows.select(F.col(column).alias("w")).filter("w <> ''").distinct().select("w", jamo(F.col("w")).alias("l"))
         names = dictionary.select(F.col("name").alias(found), jamo(F.col("name")).alias("e")).distinct()
-        best = best_match(letters, names, "l", "e", cutoff)
+        letters, names = stored(letters, "letters"), stored(names, "names")
+        best = stored(best_match(letters, names, "l", "e", cutoff), "matches")
         return letters.join(best, "l").join(names, "e").groupBy("w").agg(F.min(found).alias(found), F.first("score").alias(f"{found}_score")).withColumnRenamed("w", column)
 
     rows = texts.withColumn("words", F.split(F.trim("text"), r"\s+"))
@@ -251,8 +296,10 @@ def resolve_item_names(texts: DataFrame, blessings: DataFrame, egos: DataFrame,
         rows = rows.withColumn("first", F.when(F.size("words") > 1, F.col("words")[0]))
         rows = rows.join(near(rows.filter("first is not null"), "first", dictionary, 70, name).drop(f"{name}_score"), "first", "left")
         rows = rows.withColumn("words", F.when(F.col(name).isNotNull(), F.slice("words", 2, F.size("words") - 1)).otherwise(F.col("words"))).drop("first")
+        rows = stored(rows, "rows")
     ends = rows.select("id", "words", "blessing", "ego", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("n")).withColumn("end", F.array_join(F.slice("words", -F.col("n"), F.col("n")), " "))
     named = ends.join(near(ends, "end", items, 60, "item"), "end").groupBy("id").agg(F.min_by(F.struct("item", "n", "words"), F.struct((-F.col("item_score")).alias("a"), (-F.col("n")).alias("b"))).alias("x")).select("id", "x.*")
+    named = stored(named, "named")
     left = named.withColumn("before", F.slice("words", F.lit(1), F.size("words") - F.col("n")))
     splits = left.select("id", "before", F.explode(F.sequence(F.lit(0), F.size("before"))).alias("k")).select("id", F.array_join(F.slice("before", F.lit(1), F.col("k")), " ").alias("p"), F.array_join(F.slice("before", F.col("k") + 1, F.size("before")), " ").alias("s"))
     splits = splits.join(near(splits, "p", prefixes, 60, "prefix"), "p", "left").join(near(splits, "s", suffixes, 60, "suffix"), "s", "left")

@@ -46,11 +46,20 @@ def set_names(items: DataFrame, pattern: str, suffix: str) -> DataFrame:
 
 
 def parse_effects(texts: DataFrame, effects: DataFrame, up: str = "증가", down: str = "감소") -> DataFrame:
-    """texts: (id, text) '<name> min[~max][%] up|down' -> id, effect_name, min_value, max_value (negative for down); all null unless name or 'name (%)' is a known effect (name)."""
-    pattern = rf"^(.+?)\s+(\d+(?:\.\d+)?)(?:\s*~\s*(\d+(?:\.\d+)?))?\s*%?\s*({up}|{down})$"
-    part = lambda i: F.nullif(F.regexp_extract(F.trim("text"), pattern, i), F.lit(""))
-    sign = F.when(part(4) == down, -1.0).otherwise(1.0)
-    rows = texts.select("id", part(1).alias("n"), (part(2).cast("double") * sign + 0.0).alias("low"), (F.coalesce(part(3), part(2)).cast("double") * sign + 0.0).alias("high"))
+    """texts: (id, text) '<name> min[~max][%] up|down' -> id, effect_name, min_value, max_value (negative for down); all null unless name or 'name (%)' is a known effect (name).
+
+    The last word is the direction, in front of it stands a number or a range, with or without a percent sign, and the rest is the name.
+    """
+    bare = F.trim("text")
+    direction = F.when(bare.endswith(up), up).when(bare.endswith(down), down)
+    body = F.rtrim(F.substring(bare, F.lit(1), F.length(bare) - F.length(direction)))
+    at = F.regexp_instr(body, F.lit(r"\s[0-9.]+(\s*~\s*[0-9.]+)?\s*%?$"))
+    values = F.transform(F.split(F.trim(F.substring(body, at, F.length(body)), F.lit(" %")), "~"), lambda x: F.trim(x).try_cast("double"))
+    low, high = values[0], F.try_element_at(values, F.lit(-1))
+    good = (at > 1) & low.isNotNull() & high.isNotNull()
+    name = F.when(good, F.rtrim(F.substring(body, F.lit(1), at - 1)))
+    sign = F.when(direction == down, -1.0).otherwise(1.0)
+    rows = texts.select("id", name.alias("n"), F.when(good, low * sign + 0.0).alias("low"), F.when(good, high * sign + 0.0).alias("high"))
     known = effects.select(F.col("name").alias("n"), F.col("name").alias("plain"))
     percent = effects.select(F.regexp_replace("name", r" \(%\)$", "").alias("n"), F.col("name").alias("percent")).filter("n <> percent")
     rows = rows.join(known, "n", "left").join(percent, "n", "left").withColumn("effect_name", F.coalesce("plain", "percent"))

@@ -62,10 +62,11 @@ def latest_runs(jobs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def log_page(logs: DataFrame, condition: Column, limit: int, offset: int = 0) -> DataFrame:
-    """A page of the log, newest first, and the number of rows that meet the condition."""
+    """A page of the log, newest first, and the number of rows that meet the condition; a page beyond the end is one row, with the number alone."""
     found = logs.filter(condition)
     total = found.agg(F.count("*").alias("total"))
-    return found.orderBy(F.desc("id")).offset(offset).limit(limit).join(F.broadcast(total))  # one row
+    page = found.orderBy(F.desc("id")).offset(offset).limit(limit)
+    return page.join(total, F.lit(True), "right").orderBy(F.desc("id"))  # the total is one row
 
 
 def newest(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlake.sources.scratch import stored
+
 #: Columns that range filters may use; other names are ignored.
 RANGE_COLUMNS = ("price", "damage", "magic_damage", "additional_damage", "balance", "defense", "protection", "magic_defense", "magic_protection", "durability", "piercing_level", "erg_level")
 STRING_COLUMNS = ("erg_grade", "special_upgrade_type")
@@ -255,7 +257,8 @@ class SearchSpec:
 def search_listings(spec: SearchSpec, listings: DataFrame, options: DataFrame, items: DataFrame, targets: DataFrame, tags: DataFrame, rolls: DataFrame | None = None) -> DataFrame:
     """Public listings that meet the whole spec, newest first, with nested tags and options of the page alone. rolls: for effect filters.
 
-    The filters on columns come first, so tags are looked up for listings that they leave.
+    In stages, each written once: what the filters on columns and options leave, the page (200 rows at most), and the page's options;
+    so tags are looked up for few listings, and no stage plans the ones before it again.
     """
     shown = visible(listings)
     found = with_options(string_eq(attr_range(shown, spec.ranges), spec.strings), options, spec.options)
@@ -263,11 +266,13 @@ def search_listings(spec: SearchSpec, listings: DataFrame, options: DataFrame, i
         found = with_enchant(found, spec.enchant)
     for enchant, effect_order, op, value in spec.effects:
         found = with_effect(found, rolls, enchant, effect_order, op, value)
-    found = tag_division(found, options, targets, tags, spec.tags)
+    if spec.tags or spec.text:
+        found = stored(found, "found")
     if spec.text:
         found = found.join(cascade_search(shown, options, items, targets, tags, spec.text, found).select("id"), "id", "left_semi")
-    page = found.orderBy(F.desc("id")).offset(spec.offset).limit(max(1, min(200, spec.limit)))
-    mine = options.join(F.broadcast(page.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi")  # 200 rows at most
+    found = tag_division(stored(found, "found") if spec.text and spec.tags else found, options, targets, tags, spec.tags)
+    page = stored(found.orderBy(F.desc("id")).offset(spec.offset).limit(max(1, min(200, spec.limit))), "page")
+    mine = stored(options.join(F.broadcast(page.select(F.col("id").alias("listing_id"))), "listing_id", "left_semi"), "page-options")  # 200 listings at most
     detail = page.withColumn("listing_id", F.col("id"))
     detail = detail.join(nest_tags(resolve_tags(listing_entities(page, mine), targets, tags)), "listing_id", "left").join(nest_options(mine), "listing_id", "left")
     return detail.drop("listing_id").orderBy(F.desc("id"))  # the joins don't keep the page's order

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.similarity import register_fz_ratio
@@ -34,24 +37,40 @@ def fz_dict_plain(t):
     return Z.correct_plain(t.noisy_lines, _dictionary(t)).select("line_id", "corrected", "score")
 
 
-def _sections(t):
-    """Dictionaries of the sections, but for one section."""
-    return t.sql("SELECT DISTINCT p_type AS section, p_name AS entry FROM part WHERE p_type <> 'PROMO'")
+# Dictionaries of the sections, but for one section; some entries end in a number.
+_SECTIONS = "SELECT DISTINCT p_type AS section, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' 7' ELSE '' END AS entry FROM part WHERE p_type <> 'PROMO'"
+# Lines with each kind of bullet, with numbers, ranges and other parentheses, some with a level; some lines have no section.
+_NUMBERED = """SELECT line_id, CASE WHEN line_id % 11 <> 0 THEN section END AS section, CASE line_id % 9 WHEN 0 THEN '· ' || gt || ' 5 (전용 해제)' WHEN 1 THEN ', ' || text WHEN 3 THEN text || ' (3~6)' WHEN 4 THEN '. ' || text || ' 12.5' WHEN 5 THEN 'ㄴ' || gt || ' (1%~2%) 8 (x)'
+ WHEN 6 THEN 'L ' || text || ' 3(15/20 레벨)' WHEN 7 THEN gt || ' 1 2' WHEN 8 THEN CASE WHEN line_id % 2 = 0 THEN '-  ' ELSE '(all)' END ELSE text END AS text FROM noisy_lines"""
+_MARKS = "[-,.·ㄴL]"
+_PARTS = rf"""x AS ({_NUMBERED}), y AS (SELECT *, CASE WHEN regexp_matches(text, '^{_MARKS}') THEN regexp_extract(text, '^.\s*') ELSE '' END AS prefix FROM x),
+z AS (SELECT *, substr(text, length(prefix) + 1) AS rest, CASE WHEN section = 'SMALL' THEN regexp_extract(text, '\(\d+/\d+ 레벨\)$') ELSE '' END AS level FROM y),
+w AS (SELECT *, substr(rest, 1, length(rest) - length(level)) AS bare FROM z),
+parts AS (SELECT *, nullif(regexp_extract(bare, '\([^)]*\)'), '') AS paren, trim(regexp_replace(bare, '\s*\([^)]*\)', '', 'g')) AS core FROM w),
+normal AS (SELECT *, regexp_replace(core, '\d+(\.\d+)?', 'N', 'g') AS norm, regexp_extract(core, '\d+(\.\d+)?') AS num FROM parts),
+d AS ({_SECTIONS}), e AS (SELECT DISTINCT section, regexp_replace(entry, '\d+', 'N', 'g') AS b FROM d),
+asked AS (SELECT DISTINCT n.section, norm, b FROM normal n JOIN e ON n.section IS NULL OR e.section = n.section WHERE norm <> ''),
+pairs AS (SELECT DISTINCT norm AS a, b FROM asked)"""
+_CORRECTED = f"""corrected AS (SELECT n.*, best.b, best.score AS raw, n.section IN (SELECT section FROM e) AS known FROM normal n LEFT JOIN
+ (SELECT q.section, q.norm, arg_min(q.b, (-score, q.b)) AS b, max(score) AS score FROM asked q JOIN ratios r ON r.a = q.norm AND r.b = q.b WHERE score > 0 GROUP BY 1, 2) best ON best.section IS NOT DISTINCT FROM n.section AND best.norm = n.norm),
+result AS (SELECT line_id, section, text, CASE WHEN b IS NULL THEN text ELSE prefix || CASE WHEN num <> '' THEN regexp_replace(b, 'N', num) ELSE b END || level END AS corrected,
+ CASE WHEN NOT known THEN -2 WHEN raw IS NULL THEN 0 WHEN raw >= 80 THEN raw ELSE -raw END AS score, CASE WHEN coalesce(known, TRUE) AND core <> '' THEN paren END AS paren_range FROM corrected)"""
 
 
 def _numbered(t):
-    text = F.expr("case when line_id % 4 = 2 then text else text || case when line_id % 3 = 0 then ' (3~6)' else '' end end")
-    return t.noisy_lines.withColumn("section", F.expr("case when line_id % 11 = 0 then null else section end")).withColumn("text", text)
+    return t.sql(_NUMBERED)
 
 
-@query()
+@query(f"WITH RECURSIVE {_PARTS}, {_LCS}, {_CORRECTED} SELECT line_id, corrected, score, paren_range FROM result")
 def fz_dict_normalized(t):
-    return Z.correct_normalized(_numbered(t), _sections(t)).select("line_id", "corrected", "score", "paren_range")
+    return Z.correct_normalized(_numbered(t), t.sql(_SECTIONS), leveled=("SMALL",)).select("line_id", "corrected", "score", "paren_range")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARTS}, {_LCS}, {_CORRECTED} SELECT line_id, CASE WHEN fix AND score > 0 THEN corrected ELSE text END AS text, fix AND score > 0 AS fm_applied, CASE WHEN fix AND score > 0 THEN paren_range END AS detail_range,
+ CASE WHEN fix AND score < 0 AND score <> -2 THEN corrected END AS rejected, CASE WHEN fix THEN score ELSE 0 END AS score FROM (SELECT *, line_id % 4 <> 3 AND section IS NOT NULL AS fix FROM result)""")
 def fz_apply_lines(t):
-    return Z.apply_corrections(_numbered(t), _sections(t), F.col("line_id") % 4 != 3).select("line_id", "text", "fm_applied", "detail_range", "rejected", "score")
+    done = Z.apply_corrections(_numbered(t), t.sql(_SECTIONS), (F.col("line_id") % 4 != 3) & F.col("section").isNotNull(), leveled=("SMALL",))
+    return done.select("line_id", "text", "fm_applied", "detail_range", "rejected", "score")
 
 
 @query()
@@ -184,21 +203,29 @@ def ext_enchant_slots(t):
     return E.enchant_slots(rows, "session", "pos").select("session", "slot_no", "slot", "name", "rank", F.expr("nullif(array_join(effects, '|'), '')").alias("effects"))
 
 
-@query("SELECT p_partkey AS id, substr('ABCDEF', CAST(p_size % 6 + 1 AS INT), 1) AS part, p_size AS r, p_size * 2 AS g, CASE WHEN p_size % 3 <> 0 THEN p_size * 3 END AS b FROM part")
+# Forms of the lines: colons or blanks, a missing channel, no part, a letter that is no part.
+@query("""SELECT p_partkey AS id, part, CASE WHEN part IS NOT NULL THEN p_size END AS r, CASE WHEN part IS NOT NULL THEN p_size * 2 END AS g, CASE WHEN part IS NOT NULL AND p_size % 3 <> 0 THEN p_size * 3 END AS b
+ FROM (SELECT *, CASE WHEN p_partkey % 7 > 1 THEN substr('ABCDEF', CAST(p_size % 6 + 1 AS INT), 1) END AS part FROM part)""")
 def ext_color_parts(t):
-    lines = t.part.select(F.col("p_partkey").alias("id"), F.expr("'파트 ' || substr('ABCDEF', p_size % 6 + 1, 1) || ' R:' || p_size || ' G:' || p_size * 2 || if(p_size % 3 <> 0, ' B:' || p_size * 3, '')").alias("text"))
+    text = """case p_partkey % 7 when 0 then '색' when 1 then '파트 H' else '- 파트' || if(p_partkey % 2 = 0, ' ', '') || substr('ABCDEF', p_size % 6 + 1, 1) end
+     || if(p_partkey % 5 < 2, ' R:' || p_size || ' G:' || p_size * 2, ' R ' || p_size || ' G : ' || p_size * 2) || if(p_size % 3 <> 0, ' B ' || p_size * 3, '')"""
+    lines = t.part.select(F.col("p_partkey").alias("id"), F.expr(text).alias("text"))
     return lines.select("id", E.color_part(F.col("text")).alias("c")).select("id", "c.*")
 
 
-@query("SELECT listing_id AS session, arg_min(CASE WHEN l_partkey % 70 BETWEEN 1 AND 50 THEN l_partkey % 70 END, pos) AS level, arg_min(CASE WHEN l_partkey % 70 BETWEEN 1 AND 50 THEN 50 END, pos) AS max_level, arg_min(CASE WHEN l_suppkey % 2 = 0 THEN 'S' ELSE 'A' END, pos) AS grade FROM option_rows WHERE pos % 2 = 0 GROUP BY 1".replace("arg_min(", "arg_min_null("))
+# Round, square and no brackets; lines with a letter and two numbers, but without the word for grade, are none.
+@query("SELECT listing_id AS session, arg_min(CASE WHEN l_partkey % 70 BETWEEN 1 AND 50 THEN l_partkey % 70 END, pos) AS level, arg_min(CASE WHEN l_suppkey % 60 BETWEEN 1 AND 50 THEN l_suppkey % 60 END, pos) AS max_level, arg_min(CASE WHEN l_suppkey % 2 = 0 THEN 'S' ELSE 'A' END, pos) AS grade FROM option_rows WHERE pos % 2 = 0 GROUP BY 1".replace("arg_min(", "arg_min_null("))
 def ext_erg(t):
-    lines = t.option_rows.select(F.col("listing_id").alias("session"), "pos", F.expr("if(pos % 2 = 0, '에르그 등급 ' || if(l_suppkey % 2 = 0, 'S', 'A') || ' (' || l_partkey % 70 || '/50 레벨)', 'x')").alias("text"))
-    return E.erg(lines, "session", "pos").select("session", F.col("level").cast("long").alias("level"), "max_level", "grade")
+    form = "if(l_suppkey % 2 = 0, 'S', 'A') || case l_partkey % 4 when 0 then ' ' when 1 then '[' when 2 then ' (' else ' [ ' end || l_partkey % 70 || if(l_partkey % 3 = 0, ' / ', '/') || l_suppkey % 60 || ' 레벨' || case l_partkey % 4 when 0 then '' when 2 then ')' else ']' end"
+    lines = t.option_rows.select(F.col("listing_id").alias("session"), "pos", F.expr(f"if(pos % 2 = 0, '에르그 등급 ', if(pos % 4 = 1, 'x ', '등급')) || {form}").alias("text"))
+    return E.erg(lines, "session", "pos").select("session", F.col("level").cast("long").alias("level"), F.col("max_level").cast("long").alias("max_level"), "grade")
 
 
-@query("""SELECT line_id, CASE WHEN line_id % 3 = 0 THEN NULL WHEN line_id % 2 = 0 THEN 'R' ELSE 'S' END AS type, CASE WHEN line_id % 3 <> 0 AND line_id % 10 BETWEEN 1 AND 8 THEN line_id % 10 END AS level FROM noisy_lines""")
+# With and without brackets, with a wrong label, and without the word for step.
+@query("""SELECT line_id, CASE WHEN ok THEN CASE WHEN line_id % 2 = 0 THEN 'R' ELSE 'S' END END AS type, CASE WHEN ok AND line_id % 10 BETWEEN 1 AND 8 THEN line_id % 10 END AS level FROM (SELECT *, line_id % 3 <> 0 AND line_id % 7 <> 0 AS ok FROM noisy_lines)""")
 def ext_special_upgrade(t):
-    lines = t.noisy_lines.select("line_id", F.expr("if(line_id % 3 = 0, gt, '특별 개') || if(line_id % 2 = 0, ' R', ' S') || line_id % 10").alias("text"))
+    form = "case line_id % 5 when 0 then ' (' || line_id % 10 || '단계)' when 1 then line_id % 10 || '단계' when 2 then '[ ' || line_id % 10 || ' 단계]' else ' ' || line_id % 10 || if(line_id % 7 = 0, '', '단계') end"
+    lines = t.noisy_lines.select("line_id", F.expr(f"if(line_id % 3 = 0, gt, '특별 개') || if(line_id % 2 = 0, ' R', ' S') || if(line_id % 7 = 0, line_id % 10 || '', {form})").alias("text"))
     return lines.select("line_id", E.special_upgrade(F.col("text"), "특별 개조").alias("u")).select("line_id", "u.type", "u.level")
 
 
@@ -209,9 +236,14 @@ def ext_set_effects(t):
     return E.set_effects(lines, t.dict_names).select("line_id", "set_name", "level")
 
 
-@query("""SELECT id AS session, damage AS damage, CASE WHEN defense IS NOT NULL THEN defense END AS defense, CAST(price % 100 AS DOUBLE) AS balance FROM listings WHERE damage IS NOT NULL OR defense IS NOT NULL OR price IS NOT NULL""")
+# Ranges with a bonus behind, fractions with a remark, percentages with and without the sign, sums and single numbers.
+@query("""SELECT id AS session, CAST(damage AS DOUBLE) AS damage, CAST(defense AS DOUBLE) AS defense, CASE WHEN id % 2 = 0 THEN CAST(price % 100 AS DOUBLE) END AS balance, CASE WHEN id % 3 <> 0 THEN CAST(price % 30 AS DOUBLE) END AS durability,
+ CAST(price % 7 AS DOUBLE) AS piercing, CASE WHEN id % 4 <> 0 THEN CAST(price % 5 AS DOUBLE) END AS additional_piercing FROM listings WHERE price IS NOT NULL""")
 def ext_item_attrs(t):
     line = lambda text: t.listings.select(F.col("id").alias("session"), F.expr(text).alias("text")).filter("text is not null")
-    lines = line("'damoge 1~' || damage").unionByName(line("'defense ' || defense")).unionByName(line("'balance ' || price % 100 || '%'"))
-    kinds = {"damage": "range", "defense": "first", "balance": "percent"}
-    return E.item_attributes(lines, "session", kinds)
+    forms = (
+        "'damoge 1' || if(id % 2 = 0, '~', ' / ') || damage || ' +5'", "'defense ' || defense || ' (+9)'", "'balance ' || price % 100 || if(id % 2 = 0, ' % 3', '')", "'durabilty ' || if(id % 3 = 0, '', '11/') || price % 30 || ' (5)'",
+        "'piercing ' || price % 7 || case id % 4 when 0 then '' when 1 then '+ ' || price % 5 else ' +' || price % 5 end", "'damage'", "'damage  '",
+    )
+    kinds = {"damage": "range", "defense": "first", "balance": "percent", "durability": "fraction", "piercing": "sum"}
+    return E.item_attributes(reduce(DataFrame.unionByName, map(line, forms)), "session", kinds)

@@ -201,12 +201,33 @@ def join_listing_detail(t):
 
 @query("""SELECT l.id, 2 AS tier FROM listings l JOIN game_items i ON i.id = l.game_item_id WHERE i.name ILIKE '%ring%'""")
 def set_cascade_search(t):
-    return S.cascade_search(t.listings, t.listing_options, t.game_items, t.tag_targets, t.tags, "ring")
+    return _cascade(t, "ring")
+
+
+@query(f"WITH {RESOLVED} SELECT DISTINCT listing_id AS id, 1 AS tier FROM resolved WHERE tag ILIKE '%brand#1%'")
+def set_cascade_tags(t):
+    return _cascade(t, "brand#1")
+
+
+@query("SELECT id, 3 AS tier FROM listings WHERE name ILIKE '%urgent%'")
+def set_cascade_names(t):
+    return _cascade(t, "urgent")
+
+
+def _cascade(t, text: str):
+    s = _stored(t)
+    return S.cascade_search(s.listings, s.listing_options, s.game_items, s.tag_targets, s.tags, text)
+
+
+def _stored(t):
+    """The views that a search reads several times, each computed once."""
+    return t.stored("option_rows", "listings", "listing_options")
 
 
 @query(f"WITH {RESOLVED} SELECT listing_id AS id FROM resolved WHERE tag IN ('Brand#11', 'Brand#12') GROUP BY listing_id HAVING count(DISTINCT tag) = 2")
 def set_tag_division(t):
-    return S.tag_division(t.listings, t.listing_options, t.tag_targets, t.tags, ["Brand#11", "Brand#12"]).select("id")
+    s = _stored(t)
+    return S.tag_division(s.listings, s.listing_options, s.tag_targets, s.tags, ["Brand#11", "Brand#12"]).select("id")
 
 
 @query(f"""WITH {RESOLVED}, page AS (SELECT l.id, l.name, l.price FROM listings l JOIN game_items i ON i.id = l.game_item_id WHERE l.status = 1 AND l.price >= 1000 AND i.name ILIKE '%small%'
@@ -224,9 +245,10 @@ def newest_listings(t):
 
 
 def _search_page(t, offset: int, tags):
-    rolled = t.listing_options.filter("option_type = 'reforge_options' and rolled_value >= 1").select(F.col("listing_id").alias("id"))
+    s = _stored(t)
+    rolled = s.listing_options.filter("option_type = 'reforge_options' and rolled_value >= 1").select(F.col("listing_id").alias("id"))
     spec = S.SearchSpec(text="small", tags=tags, ranges={"min_price": 1000}, limit=40, offset=offset)
-    found = S.search_listings(spec, t.listings.join(rolled, "id", "left_semi"), t.listing_options, t.game_items, t.tag_targets, t.tags)
+    found = S.search_listings(spec, s.listings.join(rolled, "id", "left_semi"), s.listing_options, s.game_items, s.tag_targets, s.tags)
     return found.select("id", "name", "price", F.expr(_PAIRS).alias("tags"), F.size("options").alias("n_options"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_table(spark: SparkSession, what: str) -> str:
@@ -18,3 +18,10 @@ def scratch_table(spark: SparkSession, what: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="bazaarlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a scratch table: what is read several times is computed once, and a lost executor costs a read."""
+    path = scratch_table(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

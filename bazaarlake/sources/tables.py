@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from bazaarlake.sources.scratch import scratch_table
+
 _L, _I, _S, _D, _TS = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.TimestampNTZType()
 
 
@@ -84,24 +86,24 @@ VIEWS = {
 _ALL = {**VIEWS, **SCHEMAS, "embeddings": None}
 
 
-def mentioned(sql: str) -> list[str]:
+def mentioned(sql: str, views: dict[str, str] = VIEWS) -> list[str]:
     """Views and tables whose names stand in the SQL, those that others need first."""
     out: list[str] = []
 
     def visit(text: str) -> None:
         for name in _ALL:
             if name not in out and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
-                if name in VIEWS:
-                    visit(VIEWS[name])
+                if name in views:
+                    visit(views[name])
                 out.append(name)
 
     visit(sql)
     return out
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, views: dict[str, str] = VIEWS) -> str:
     """The SQL with the views that it uses as CTEs."""
-    ctes = ", ".join(f"{name} AS ({VIEWS[name]})" for name in mentioned(sql) if name in VIEWS)
+    ctes = ", ".join(f"{name} AS ({views[name]})" for name in mentioned(sql, views) if name in views)
     if not ctes:
         return sql
     text = sql.lstrip()
@@ -120,8 +122,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Tables:
     """Tables and views of a folder as attributes."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, views: dict[str, str] = VIEWS):
+        self.spark, self.sf_dir, self.views = spark, sf_dir, views
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
@@ -132,7 +134,16 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         """SQL over tables and views. The tables' temporary views are resolved at once, so later folders don't disturb it."""
-        for name in mentioned(text):
+        for name in mentioned(text, self.views):
             if name not in VIEWS:
                 read_table(self.spark, self.sf_dir, name).createOrReplaceTempView(name)
-        return self.spark.sql(with_views(text))
+        return self.spark.sql(with_views(text, self.views))
+
+    def stored(self, *names: str) -> Tables:
+        """The same tables with these views as scratch tables, one after the other: a view that several parts of a query use is computed once, and views over it read it."""
+        out = self
+        for name in names:
+            path = scratch_table(self.spark, name)
+            getattr(out, name).write.parquet(path)
+            out = Tables(self.spark, self.sf_dir, {**out.views, name: f"SELECT * FROM parquet.`{path}`"})
+        return out

@@ -241,11 +241,11 @@ def test_saved_searches_without_filters(spark):
 
 
 def test_level_and_enchant_lines(spark):
-    from bazaarlake.operators.extract import _enchant_header, _name_and_levels
+    from bazaarlake.functions.text import enchant_header, name_and_levels
 
     levels = {"보호(13/20 레벨)": ("보호", 13, 20), "보호(14/20)": ("보호", 14, 20), "보호13/20 레벨)": ("보호", 13, 20), "- 보호 13 20 레벨": ("보호", 13, 20), "보호": (None, None, None), "13/20": (None, None, None), "보호 2 (1/9)": ("보호 2", 1, 9)}
     heads = {"[접두] 충격을 (랭크 F)": ("접두", "충격을", "F"), "접미 관리자 (랭크 6) x": ("접미", "관리자", "6"), "[접두] a": (None, None, None), "[중간] a (랭크 F)": (None, None, None), "[접미] a b(랭크A)": ("접미", "a b", "A"), "[접미] (랭크 A)": (None, None, None)}
-    for f, cases in ((_name_and_levels, levels), (_enchant_header, heads)):
+    for f, cases in ((name_and_levels, levels), (enchant_header, heads)):
         rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", f(F.col("t")).alias("x")).select("t", "x.*").collect()
         assert {r[0]: tuple(r)[1:] for r in rows} == cases
 
