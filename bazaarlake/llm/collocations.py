@@ -226,25 +226,58 @@ def _hash_of(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _spell(longest: int, table):
-    """Chunks -> the phrases that count as frequent: their words' hashes, and those of the parts of each cut."""
+def _phrase(longest: int) -> np.dtype:
+    return np.dtype([("h", "<u8"), ("n", "u1"), ("words", "<u8", (longest,))])
+
+
+def _spell(longest: int, n_blocks: int, table):
+    """Chunks -> the phrases that count as frequent, with their words' hashes, packed by language and block of the hash range."""
+    kind, width = _phrase(longest), (1 << 64) // n_blocks + 1
+
+    def flush(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            rows = np.concatenate(parts)
+            rows = rows[np.unique(rows["h"], return_index=True)[1]]
+            edge = np.searchsorted((rows["h"] // np.uint64(width)).astype(np.int64), np.arange(n_blocks + 1))
+            full = np.flatnonzero(np.diff(edge)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([lang] * len(full)), pa.array([rows[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())], ["block", "lang", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, seen = table.value, {length: np.zeros(0, np.uint64) for length in range(2, longest + 1)}
+        frequent, held, size = table.value, {}, 0
         for batch in batches:
             for lang, words, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words, codes = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), "<u4")
                 for length, at, h, _ in _extend(words, codes, frequent, _NEVER - 1, longest):
                     there = _since(frequent, h) < _NEVER
                     h, first = np.unique(h[there], return_index=True)
-                    new = ~np.isin(h, seen[length])
-                    if not new.any():
-                        continue
-                    seen[length] = np.union1d(seen[length], h[new]) if len(seen[length]) < FLUSH else h[new]  # only spares repeats
-                    own = words[codes[at[there][first[new]][:, None] + np.arange(length)].astype(np.int64) - 1]
-                    lists = [own, np.stack([_hash_of(own[:, :k]) for k in range(1, length)], 1), np.stack([_hash_of(own[:, k:]) for k in range(1, length)], 1)]
-                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel())) for x in lists]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array([lang] * int(new.sum())), *lists], ["h", "lang", "words", "lefts", "rights"])
+                    rows = np.zeros(len(h), kind)
+                    rows["h"], rows["n"] = h, length
+                    rows["words"][:, :length] = words[codes[at[there][first][:, None] + np.arange(length)].astype(np.int64) - 1]
+                    held.setdefault(lang, []).append(rows)
+                    size += len(rows)
+            if size >= FLUSH // 4:
+                yield from flush(held)
+                held, size = {}, 0
+        yield from flush(held)
+
+    return run
+
+
+def _spelt(longest: int):
+    """The phrases of a block, once each: their words, and the hashes of the parts of each cut."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lang, blobs in frame.groupby("lang")["rows"]:
+            rows = np.frombuffer(b"".join(blobs), _phrase(longest))
+            rows = rows[np.unique(rows["h"], return_index=True)[1]]
+            for length in np.unique(rows["n"]).tolist():
+                own = rows[rows["n"] == length]
+                words = own["words"][:, :length]
+                lists = [words, np.stack([_hash_of(words[:, :k]) for k in range(1, length)], 1), np.stack([_hash_of(words[:, k:]) for k in range(1, length)], 1)]
+                lists = [list(np.ascontiguousarray(x).view(np.int64)) for x in lists]
+                out.append(pd.DataFrame({"h": own["h"].view(np.int64), "lang": lang} | dict(zip(("words", "lefts", "rights"), lists, strict=True))))
+        return pd.concat(out)
 
     return run
 
@@ -316,8 +349,8 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     counts = cut(reduce(DataFrame.unionByName, done).mapInArrow(_unpack, "h long, f long"), "counts")
 
     # words of the frequent phrases, cuts and scores
-    spelt = chunks.select("lang", "words", "codes").mapInArrow(_spell(longest, sent), "h long, lang string, words array<long>, lefts array<long>, rights array<long>")
-    spelt = spelt.groupBy("h").agg(*(F.first(c).alias(c) for c in ("lang", "words", "lefts", "rights")))
+    spelt = chunks.select("lang", "words", "codes").mapInArrow(_spell(longest, n_blocks, sent), "block int, lang string, rows binary")
+    spelt = spelt.groupBy("block").applyInPandas(_spelt(longest), "h long, lang string, words array<long>, lefts array<long>, rights array<long>")
     phrases = cut(spelt.join(counts.withColumnRenamed("f", "a"), "h"), "phrases")
     longer = phrases.filter("size(words) > 2").select(F.explode(F.array(F.element_at("lefts", -1), F.col("rights")[0])).alias("h"), "a")
     longer = longer.groupBy("h").agg(F.max("a").alias("longer"))

@@ -48,6 +48,8 @@ RANGE = 0.25
 FLUSH, BLOCK = 300_000, 600_000
 #: Stars per large group before the remaining members are compared by distance.
 STARS = 2
+#: Longs of 64 parity bits of a class: bits in which two classes differ are shingles that one of them alone has.
+SIGNS = 4
 #: Members that meet one copy of their pivot, about; a pivot of more is copied, and its members are spread by salt.
 AROUND = 256
 
@@ -264,18 +266,40 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same set) and component_id (smallest id that links reach). Defined cases: null, empty and
     blank texts have an empty set and link with nothing (their own class and component); fewer
     words than `width` make one shingle; rows repeated with the same id and text are one
-    document (an id must not stand for two texts); ties and repeated texts are one class; an empty table gives an empty result;
-    other columns are ignored, whatever their names. A row with a null id belongs to the class of its
-    set if a document with an id has the same one (else class and component are null), and links nothing itself.
+    document; rows of one id with different texts are linked with each other, and each has the links of its text; ties and repeated
+    texts are one class; an empty table gives an empty result; other columns are ignored, whatever their names. A row with a null id
+    belongs to the class of its set if a document with an id has the same one (else class and component are null), and links nothing itself.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = _Texts(docs.filter("id is not null"), width, percent)
     sets = cut(docs.mapInArrow(_sets(width), "id long, n long, k1 long, k2 long, low binary"), "sets")
+    key = F.struct("k1", "k2", "n")
+    several = cut(sets.filter("n > 0 and id is not null").groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("id"), "several")
+    if several.isEmpty():
+        found = _join(docs, sets, None, width, percent)
+        return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_id")
+    # rows of such ids get numbers of their own, which are links of one another
+    marked = docs.join(several.withColumn("several", F.lit(True)), "id", "left")
+    rows = cut(marked.select(F.col("id").alias("of"), F.when(F.col("several"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("id"), "text"), "rows")
+    named = rows.select("id", "of").filter("id <> of").distinct()
+    sets = cut(rows.select("id", "text").mapInArrow(_sets(width), "id long, n long, k1 long, k2 long, low binary"), "sets")
+    found = cut(_join(rows.select("id", "text"), sets, named, width, percent), "found").join(named, "id", "left").withColumn("of", F.coalesce("of", "id"))
+    least = lambda column: found.filter(f"{column} is not null").groupBy(column).agg(F.min("of").alias(f"least_{column}"))
+    found = found.join(least("component_id"), "component_id", "left").join(least("class_id"), "class_id", "left")
+    return found.select(F.col("of").alias(id_col), F.col("n").alias("n_shingles"), F.col("least_component_id").alias("component_id"), F.col("least_class_id").alias("class_id"))
+
+
+def _join(docs: DataFrame, sets: DataFrame, named: DataFrame | None, width: int, percent: int) -> DataFrame:
+    """id, n, component_id, class_id of each row; an id has one set. named (id, of): ids of one `of` are linked."""
+    texts = _Texts(docs.filter("id is not null"), width, percent)
 
     # 1. classes
     classes = cut(sets.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("id"))
+    given = None
+    if named is not None:
+        mine = sets.select("id", "k1", "k2", "n").join(named, "id").join(classes, ["k1", "k2", "n"])
+        given = cut(mine.join(mine.groupBy("of").agg(F.min("rep").alias("b")), "of").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "given")
     entries = sets.filter("n > 0").select("id", "n", "low").join(reps, "id", "left_semi").dropDuplicates(["id"])
 
     # 2. first product
@@ -318,6 +342,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.unionByName(large.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()).distinct()
     checked = cut(texts.compare(stars), "checked")
     links = checked.filter(_linked(percent)).select("a", "b")
+    links = links if given is None else links.unionByName(given)
     for _ in range(STARS):
         label = connected_components(links)
         rest = cut(_apart(pairs, label), "rest")
@@ -336,13 +361,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     far = checked.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
     far = large.join(far.dropDuplicates(["id", "pivot"]), ["id", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     far = far.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    bits = [F.bit_xor(F.when(F.pmod(F.shiftright("h", 6), F.lit(SIGNS)) == i, F.expr("shiftleft(1L, cast(pmod(h, 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SIGNS)]
+    signs = own.groupBy("id").agg(*bits)
+    far = far.join(signs, "id")
     home = label.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
     far = cut(far.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")), "far")
     reach = (100 - percent) / 100 + 1e-9
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SIGNS)), F.lit(0))
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     ring = F.floor(F.col("d") / reach)
     x = far.filter("component <> home").withColumn("ring", F.explode(F.array(ring - 1, ring, ring + 1))).alias("x")
     y = far.withColumn("ring", ring).alias("y")
-    within = (F.col("x.h") == F.col("y.h")) & (F.col("x.ring") == F.col("y.ring")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
+    within = (F.col("x.h") == F.col("y.h")) & (F.col("x.ring") == F.col("y.ring")) & (F.abs(F.col("x.d") - F.col("y.d")) <= reach) & alike & (F.col("x.component") != F.col("y.component")) & F.expr(near) & ((F.col("y.component") == F.col("y.home")) | (F.col("x.id") < F.col("y.id")))
     rest = rest.unionByName(x.join(y, within).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
     rest = rest.join(checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     rest = cut(rest, "rest")
@@ -352,9 +382,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 5. components of classes, and every document's
     of_class = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    return sets.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id")
-    )
+    return sets.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"))
 
 
 def _incidence(width: int):

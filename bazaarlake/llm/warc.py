@@ -166,30 +166,37 @@ def _member(source: _Source) -> tuple[bytes, int] | None:
 
 
 def records_of_range(handle, start: int, end: int) -> Iterator[bytes]:
-    """The records whose gzip members start in [start, end) of an open file."""
-    source = _Source(handle, start)
+    """The records whose gzip members start in [start, end) of an open file. What isn't a member is passed over at the range's start alone, where it is the rest of an earlier one; behind a record it is an error."""
+    source, aligned = _Source(handle, start), start == 0
     while source.at < end:
         if not source.fill(3):
+            if aligned and source.buffer:
+                raise ValueError(f"the record at byte {source.at} is cut off")
             return
         if source.buffer[:3] == _MAGIC and (found := _member(source)):
+            aligned = True
             yield found[0]
             source.skip(found[1])
             continue
+        if aligned:
+            raise ValueError(f"no record at byte {source.at}")
         # no record here: on to the next magic
         source.fill(CHUNK)
         at = source.buffer.find(_MAGIC, 1)
         source.skip(at if at > 0 else max(1, len(source.buffer) - 2))
 
 
-_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, path string"
 
 
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, start, end in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, start, end, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 rows: list[tuple] = []
+                if (there := store.get_file_info(path).size) != size:
+                    raise ValueError(f"{path} has {there} bytes, {size} were written")
                 with store.open_input_file(path) as handle:
                     for raw in records_of_range(handle, start, end):
                         record = decode(raw)
@@ -199,7 +206,7 @@ def _read(folder: str):
                         if whole and hashlib.sha1(record["payload"]).hexdigest() != digest:
                             raise ValueError(f"{path}: the payload of {head['warc-record-id']} doesn't match its digest")
                         page, refers = head.get("x-page-id"), head.get("x-refers-to-page")
-                        rows.append((int(page) if page else None, head["warc-target-uri"], len(record["payload"]) if whole else int(record["http"]["Content-Length"]), digest, head["warc-type"], int(refers) if refers else None, record["payload"] if whole else None))
+                        rows.append((int(page) if page else None, head["warc-target-uri"], len(record["payload"]) if whole else int(record["http"]["Content-Length"]), digest, head["warc-type"], int(refers) if refers else None, record["payload"] if whole else None, path))
                         if len(rows) >= 200:
                             yield _batch(rows)
                             rows = []
@@ -210,35 +217,47 @@ def _read(folder: str):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _RECORD.split(", ")])
 
 
 def read_warc(archives: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
-    """The records of the archives (path, bytes) of a folder, read in byte ranges of `split`. A revisit has no payload."""
+    """The records of the archives (path, bytes, records) of a folder, read in byte ranges of `split`, each with its path. A revisit has no payload. An archive of another length than was written is an error; so is another number of records: see all_records()."""
     n = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = archives.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
-    ranges = ranges.select("path", F.col("start").cast("long"), (F.col("start") + split).cast("long").alias("end")).repartition(n)
+    ranges = archives.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
+    ranges = ranges.select("path", F.col("start").cast("long"), (F.col("start") + split).cast("long").alias("end"), "bytes").repartition(n)
     return ranges.mapInArrow(_read(folder), _RECORD)
 
 
-def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", split: int = SPLIT) -> DataFrame:
+def all_records(records: DataFrame, archives: DataFrame) -> DataFrame:
+    """The records, written to a table, if each archive has as many as were written to it; else an error."""
+    records = cut(records, "records")
+    found = records.groupBy("path").agg(F.count("*").alias("found"))
+    short = archives.join(found, "path", "left").filter("coalesce(found, 0) <> records").select("path", "records", "found").take(5)
+    if short:
+        raise ValueError("; ".join(f"{r['path']} has {r['found'] or 0} records, {r['records']} were written" for r in short))
+    return records
+
+
+def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", split: int = SPLIT, payloads: bool = True) -> DataFrame:
     """Writes all pages to archives and reads them back, one row per record.
 
     Columns: page_id, url (percent-encoded), payload_bytes and payload_digest (SHA-1 in lower-case
-    hex; both of the full payload), record_type, refers_to, payload (null for revisits). Defined
+    hex; both of the full payload), record_type, refers_to, payload (null for revisits; left out without `payloads`). Defined
     cases: null html is an empty payload, a null url an empty one; payloads of any length are
     stored whole, those under LEAST bytes always; repeated rows have a record each, and so have
-    several payloads under one id; a null id is kept; an archive that is cut off is an error; an empty table gives an empty
+    several payloads under one id; a null id is kept; an archive that is cut off, wherever, or that lacks a record is an error; an empty table gives an empty
     result; other columns are ignored.
     """
     small_batches(pages.sparkSession)
     folder = new_dir(pages.sparkSession, "warc")
-    return read_warc(write_warc(pages, folder, id_col, url_col, html_col), folder, split)
+    archives = write_warc(pages, folder, id_col, url_col, html_col)
+    records = read_warc(archives, folder, split)
+    return all_records(records if payloads else records.drop("payload"), archives).drop("path")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
-    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP5_SQL = """
