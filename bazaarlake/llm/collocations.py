@@ -240,7 +240,7 @@ def _spell(longest: int, n_blocks: int, table):
             rows = rows[np.unique(rows["h"], return_index=True)[1]]
             edge = np.searchsorted((rows["h"] // np.uint64(width)).astype(np.int64), np.arange(n_blocks + 1))
             full = np.flatnonzero(np.diff(edge)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([lang] * len(full)), pa.array([rows[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())], ["block", "lang", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([lang] * len(full), pa.string()), pa.array([rows[edge[b] : edge[b + 1]].tobytes() for b in full], pa.binary())], ["block", "lang", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, held, size = table.value, {}, 0
