@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,50 +143,41 @@ def lookup_names(queries: DataFrame, entries: DataFrame, cutoff: float = 85) ->
 
 
 def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
-    """lines (on, line_no, text) x effects (on, effect_no, effect, condition) -> score, `floor` at least: the better of the effect alone and with its condition. Equal texts are scored once."""
-    whole = F.concat_ws(" ", "condition", "effect")
-    pairs = lines.select(*on, "text").filter("text is not null").distinct().join(effects.withColumn("whole", whole), list(on))
-    scored = pairs.withColumn("score", F.greatest(indel_ratio(F.col("text"), F.col("effect")), indel_ratio(F.col("text"), F.col("whole")))).drop("whole")
-    return lines.join(scored.filter(F.col("score") >= floor), [*on, "text"])
-
-
-def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs from the best score down; of equal scores the higher numbers first."""
-    frame = frame.sort_values(["score", "line_no", "effect_no"], ascending=False, kind="stable")
-    lines, effects, keep = set(), set(), []
-    for line, effect, score in zip(frame["line_no"], frame["effect_no"], frame["score"], strict=True):
-        ok = score > 0 and line not in lines and effect not in effects
-        keep.append(ok)
-        if ok:
-            lines.add(line), effects.add(effect)
-    return frame[keep]
-
-
-def _in_turn(floor: float):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """Lines in order; each takes its best effect that is still free."""
-        used, rows = set(), []
-        for _, group in frame.groupby("line_no", sort=True):
-            free = group[~group["effect_no"].isin(used) & (group["score"] >= floor)]
-            if len(free):
-                best = free.sort_values(["score", "effect_no"], ascending=[False, True], kind="stable").iloc[:1]
-                used.add(best["effect_no"].iloc[0])
-                rows.append(best)
-        return pd.concat(rows) if rows else frame.iloc[:0]
-
-    return run
-
-
-def _grouped(scores: DataFrame, by: Sequence[str], f) -> DataFrame:
-    """A group is a slot's lines times one entry's effects, in a task's memory: sessions must be of bounded size."""
-    columns = [*by, "line_no", "effect_no", "score"]
-    rows = scores.select(*columns)
-    return rows.groupBy(*by).applyInPandas(f, rows.schema)
+    """lines (on, line_no, text) x effects (on, effect_no, effect, condition) -> score, `floor` at least: the better of the effect alone and with its condition.
+
+    Each pair of different texts is scored once, wherever it occurs; with a floor, texts meet those that candidates() finds only.
+    """
+    forms = F.array_distinct(F.array("effect", F.concat_ws(" ", "condition", "effect")))
+    listed = effects.withColumn("form", F.explode(forms))
+    keys = [*on, "effect_no"]
+    texts = lines.select(*on, "text").filter("text is not null").distinct()
+    if floor > 0:
+        known = listed.select(F.col("form").alias("_e")).filter("_e is not null").distinct()
+        pairs = candidates(texts.select(F.col("text").alias("_t")).distinct(), known, floor)
+    else:
+        pairs = texts.join(listed.select(*on, "form"), list(on)).select(F.col("text").alias("_t"), F.col("form").alias("_e")).distinct()
+    pairs = pairs.withColumn("score", indel_ratio(F.col("_t"), F.col("_e"))).filter(F.col("score") >= floor)
+    best = pairs.join(listed.select(*keys, F.col("form").alias("_e")), "_e").join(texts.withColumnRenamed("text", "_t"), [*on, "_t"]).groupBy(*keys, F.col("_t").alias("text")).agg(F.max("score").alias("score"))
+    return lines.join(best, [*on, "text"]).join(effects, keys)
 
 
 def assign_greedy(scores: DataFrame, by: Sequence[str]) -> DataFrame:
-    """1:1 pairs of lines and effects, the best scores first, scores above 0 only."""
-    return _grouped(scores, by, _greedy)
+    """1:1 pairs of lines and effects, the best scores first (of equal ones the higher line, then the higher effect), scores above 0 only.
+
+    In rounds: a pair that is the best one left of its line and of its effect is one that the greedy order takes, as that order is total;
+    it is taken, and its line and effect go. No group is gathered, and each round leaves fewer pairs.
+    """
+    columns = [*by, "line_no", "effect_no", "score"]
+    left = stored(scores.select(*columns).filter("score > 0").distinct(), "pairs")
+    order, taken = F.struct("score", "line_no", "effect_no"), left.limit(0)
+    while not left.isEmpty():
+        top = lambda side: F.max(order).over(Window.partitionBy(*by, side)) == order
+        marked = stored(left.withColumn("top", top("line_no") & top("effect_no")), "marked")
+        won = marked.filter("top").select(*columns)
+        taken = taken.unionByName(won)
+        left = marked.filter("not top").select(*columns).join(won.select(*by, "line_no"), [*by, "line_no"], "left_anti").join(won.select(*by, "effect_no"), [*by, "effect_no"], "left_anti")
+        left = stored(left.select(*columns), "pairs")
+    return taken
 
 
 def with_unmatched(pairs: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -197,8 +187,13 @@ def with_unmatched(pairs: DataFrame, lines: DataFrame, by: Sequence[str]) -> Dat
 
 
 def assign_in_turn(scores: DataFrame, by: Sequence[str], floor: float = 0.0) -> DataFrame:
-    """1:1 pairs, line after line; another assignment than assign_greedy."""
-    return _grouped(scores, by, _in_turn(floor))
+    """1:1 pairs, line after line: each takes its best effect that is still free (of equal ones the lower number); another assignment than assign_greedy. A group is a slot's lines times one entry's effects: sessions must be of bounded size."""
+    kinds = {c: scores.schema[c].dataType.simpleString() for c in ("line_no", "effect_no", "score")}
+    none = f"cast(array() as array<struct<{', '.join(f'{c}: {k}' for c, k in kinds.items())}>>)"
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", (-F.col("score")).alias("order"), "effect_no", "score")))
+    pairs = scores.filter(F.col("score") >= floor).groupBy(*by).agg(ordered.alias("pairs"))
+    taken = f"aggregate(pairs, {none}, (taken, x) -> if(exists(taken, p -> p.line_no = x.line_no or p.effect_no = x.effect_no), taken, array_append(taken, named_struct('line_no', x.line_no, 'effect_no', x.effect_no, 'score', x.score))))"
+    return pairs.select(*by, F.expr(f"inline({taken})"))
 
 
 def effect_text(text: Column, effect: Column, ranged: Column) -> Column:

@@ -102,12 +102,24 @@ def fz_header_match(t):
     return t.noisy_lines.select("line_id", "section", "text").join(best, ["section", "text"]).select("line_id", "entry", "score")
 
 
-# A session is a run of 40 line numbers at every size, a slot its even or odd lines; an entry is a brand, and its effects are all its names, some with ranges.
-_ENTRIES = "SELECT CAST(id AS BIGINT) AS entry, CAST(id % 2 AS BIGINT) AS slot, name FROM tags"
-_EFFECTS = """SELECT entry, effect_no, CASE WHEN effect_no % 3 = 0 THEN name || ' 2 ~ ' || (entry + 2) ELSE name END AS effect, CASE WHEN effect_no % 4 = 0 THEN 'if' END AS condition
- FROM (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS entry, p_name AS name, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_partkey)) AS effect_no FROM part GROUP BY p_brand, p_name)"""
-_SESSION_LINES = "SELECT line_id div 40 AS session, line_id % 2 AS slot, line_id AS line_no, text, gt FROM noisy_lines"
-_SLOTS = f"SELECT DISTINCT session, slot, CASE session % 3 WHEN 0 THEN 'Brand#' || (session % 25 + 1) WHEN 1 THEN 'Brond#' || (session % 25 + 1) ELSE 'xy' END AS header FROM ({_SESSION_LINES})"
+# A session is a run of 40 line numbers at every size, a slot its even or odd lines; an entry is a brand and type, and its effects are all its names, some with ranges.
+_ENTRY = "CAST(substr(p_brand, 7) AS BIGINT) * 10000 + ascii(substr(p_type, 2, 1)) * 10 + length(p_type)"
+_ENTRIES = f"SELECT DISTINCT {_ENTRY} AS entry, CAST(substr(p_brand, 7) AS BIGINT) % 2 AS slot, p_brand || ' ' || p_type AS name FROM part"
+_EFFECTS = f"""SELECT entry, effect_no, CASE WHEN effect_no % 3 = 0 THEN name || ' 2 ~ ' || (entry % 23 + 2) ELSE name END AS effect, CASE WHEN effect_no % 4 = 0 THEN 'if' END AS condition
+ FROM (SELECT {_ENTRY} AS entry, p_name AS name, row_number() OVER (PARTITION BY {_ENTRY} ORDER BY min(p_partkey)) AS effect_no FROM part GROUP BY {_ENTRY}, p_name)"""
+_SESSION = "(line_id - line_id % 40) / 40"
+_SESSION_LINES = f"SELECT CAST({_SESSION} AS BIGINT) AS session, line_id % 2 AS slot, line_id AS line_no, text, gt FROM noisy_lines"
+_SLOTS = f"SELECT DISTINCT session, slot, CASE session % 3 WHEN 0 THEN 'Brand#' || (session % 25 + 1) || ' SMALL' WHEN 1 THEN 'Brond#' || (session % 25 + 1) || ' LARGE' ELSE 'xy' END AS header FROM ({_SESSION_LINES})"
+#: Each slot's own entry.
+_OWN = f"SELECT *, (session % 25 + 1) * 10000 + CASE slot WHEN 0 THEN 775 ELSE 655 END AS entry FROM ({_SESSION_LINES})"
+_MATRIX = f"""own AS ({_OWN}), eff AS ({_EFFECTS}), forms AS (SELECT entry, effect_no, effect AS form FROM eff UNION SELECT entry, effect_no, CASE WHEN condition IS NULL THEN effect ELSE condition || ' ' || effect END FROM eff),
+pairs AS (SELECT DISTINCT text AS a, form AS b FROM own JOIN forms ON forms.entry = own.entry), {_LCS},
+scores AS (SELECT session, slot, line_no, own.entry, effect_no, max(score) AS score FROM own JOIN forms ON forms.entry = own.entry JOIN ratios ON a = text AND b = form GROUP BY 1, 2, 3, 4, 5)"""
+#: The greedy order, a pair of each group in a step.
+_GREEDY = """g(session, slot, line_no, entry, effect_no, score, place) AS (SELECT *, row_number() OVER (PARTITION BY session, slot, entry ORDER BY score DESC, line_no DESC, effect_no DESC) FROM scores WHERE score > 0
+ UNION ALL SELECT *, row_number() OVER (PARTITION BY session, slot, entry ORDER BY score DESC, line_no DESC, effect_no DESC) FROM (
+  SELECT x.session, x.slot, x.line_no, x.entry, x.effect_no, x.score FROM g x JOIN g y ON y.place = 1 AND y.session = x.session AND y.slot = x.slot AND y.entry = x.entry WHERE x.line_no <> y.line_no AND x.effect_no <> y.effect_no)),
+assigned AS (SELECT session, slot, line_no, entry, effect_no, score FROM g WHERE place = 1)"""
 
 
 def _lines(t):
@@ -115,14 +127,14 @@ def _lines(t):
 
 
 def _candidates(t):
-    return _lines(t).join(t.sql(_ENTRIES), "slot")
+    return t.sql(_OWN).drop("gt")
 
 
 def _scores(t):
     return Z.effect_scores(_candidates(t), t.sql(_EFFECTS), ["entry"])
 
 
-@query()
+@query(f"WITH RECURSIVE {_MATRIX} SELECT session, slot, line_no, entry, effect_no, score FROM scores")
 def fz_effect_scores(t):
     return _scores(t).select("session", "slot", "line_no", "entry", "effect_no", "score")
 
@@ -131,9 +143,10 @@ def _assigned(t):
     return Z.assign_greedy(_scores(t), ["session", "slot", "entry"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MATRIX}, {_GREEDY} SELECT session, slot, line_no, entry, effect_no, score FROM assigned
+ UNION ALL SELECT session, slot, line_no, entry, -1, 0 FROM own WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.session = own.session AND a.line_no = own.line_no)""")
 def fz_assign_greedy(t):
-    return Z.with_unmatched(_assigned(t), _candidates(t), ["session", "slot", "entry"])
+    return Z.with_unmatched(_assigned(t), _candidates(t), ["session", "slot", "entry"]).select("session", "slot", "line_no", "entry", "effect_no", "score")
 
 
 @query()
@@ -160,7 +173,7 @@ def _resolved(t):
     entries = t.sql(_ENTRIES)
     by_evidence = _evidence(t).join(entries.select("entry", "name"), "entry").select("session", "slot", "name")
     raw = t.sql(_SLOTS).select("session", "slot", F.col("header").alias("name"))
-    item = t.sql(f"SELECT session, slot, min(CASE WHEN session % 7 = 0 THEN 'Brand#' || (session % 5 + 1) ELSE gt END) AS name FROM ({_SESSION_LINES}) GROUP BY 1, 2")
+    item = t.sql(f"SELECT session, slot, min(CASE WHEN session % 7 = 0 THEN 'Brand#' || (session % 5 + 1) || ' LARGE' ELSE gt END) AS name FROM ({_SESSION_LINES}) GROUP BY 1, 2")
     return Z.resolve_by_priority([("item_name", item), ("header", raw), ("evidence", by_evidence)], t.sql(_SLOTS).select("session", "slot"), entries)
 
 

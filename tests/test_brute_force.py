@@ -156,7 +156,7 @@ def test_er_priority(spark, folder, sessions):
     rows = []
     for x, found in zip(sessions.slots, sessions.evidence(), strict=True):
         session, slot = x["session"], x["slot"]
-        item = f"Brand#{session % 5 + 1}" if session % 7 == 0 else min(truth[y["line_no"]] for y in sessions.lines[session, slot])
+        item = f"Brand#{session % 5 + 1} LARGE" if session % 7 == 0 else min(truth[y["line_no"]] for y in sessions.lines[session, slot])
         names = [("item_name", item), ("header", x["header"])] + ([("evidence", by_id[found[2]])] if found[2] is not None else [])
         source, name = next(((s, n) for s, n in names if (slot, n) in known), (None, None))
         rows.append((session, slot, name, source, len(names)))
