@@ -1,7 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A block is a run of text without a block-level tag inside. Its features come from the tags and the
-class, id and role names of its ancestors, its own tag, its length, links, punctuation and place.
+class, id and role names (and their first letters) of its ancestors, its own tag, its length, links, punctuation and place, the lengths of its
+neighbours, and whether it stands in the container that holds most of the page's text (the last two, and the first letters, where no known tag or name tells more).
 The field has two labels (main text or not); it is trained on labelled pages by maximum
 likelihood with numpy on the driver (a fixed number of pages), and pages are decoded by Viterbi
 in the tasks, each page on its own.
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.llm.common import small_batches
-from bazaarlake.llm.layouts import labelled_pages
+from bazaarlake.llm.layouts import labelled_pages, region_names
 
 #: Pages that the field is trained on, steps of training, weight decay.
-PAGES, STEPS, DECAY = 500, 150, 1e-3
+PAGES, STEPS, DECAY = 1200, 200, 1e-3
 #: Tags whose content is no text of the page.
 _HIDDEN = frozenset("script style head title noscript template svg iframe object canvas select textarea annotation annotation-xml".split())
 #: Tags that don't end a block.
@@ -52,6 +53,10 @@ class _Blocks(HTMLParser):
         self.known = known
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.own: list[str] = []
+        #: Numbers of the open block-level elements; of each block that of the element around its own, and of the one around that.
+        self.numbers: list[int] = [0]
+        self.count = 0
+        self.homes: list[tuple[int, int]] = []
         self.tags: Counter[str] = Counter()
         self.around: dict[str, int] = {}
         self.blocks: list[tuple[str, tuple[str, ...], str, int]] = []
@@ -64,16 +69,19 @@ class _Blocks(HTMLParser):
             if text:
                 own = self.own[-1] if self.own else "-"
                 self.blocks.append((own, tuple(sorted(self.around)) if self.own else ("in:-",), text, self.linked))
+                self.homes.append((self.numbers[-2] if len(self.numbers) > 1 else 0, self.numbers[-3] if len(self.numbers) > 2 else 0))
         self.text, self.linked = [], 0
 
     def start(self, tag: str, names: tuple[str, ...]) -> None:
-        features = () if tag in _INLINE else tuple(x for x in {f"in:{tag}", *(f"name:{x}" for x in names)} if self.known is None or x in self.known)
+        features = () if tag in _INLINE else tuple(x for x in {f"in:{tag}", *(f"name:{x}" for x in names), *(f"like:{x[:3]}" for x in names)} if self.known is None or x in self.known)
         self.open.append((tag, features))
         self.tags[tag] += 1
         self.hidden += tag in _HIDDEN
         self.links += tag == "a"
         if tag not in _INLINE:
             self.own.append(tag)
+            self.count += 1
+            self.numbers.append(self.count)
         for x in features:
             self.around[x] = self.around.get(x, 0) + 1
 
@@ -124,6 +132,7 @@ class _Blocks(HTMLParser):
             self.links -= tag == "a"
             if tag not in _INLINE:
                 self.own.pop()
+                self.numbers.pop()
             for x in features:
                 self.around[x] -= 1
                 if not self.around[x]:
@@ -152,22 +161,46 @@ class _Blocks(HTMLParser):
 
 
 def page_blocks(html: str, known: frozenset[str] | None = None) -> list[tuple[str, tuple[str, ...], str, int]]:
+    """The blocks of a page; the last of each one's features says how its container stands to the one that holds most of the text: itself ("home:here"), around or inside it ("home:next"), or apart."""
     parser = _Blocks(known)
     parser.feed(html)
     parser.close()
-    return parser.blocks
+    size: Counter[int] = Counter()
+    for (home, _), (_, _, text, linked) in zip(parser.homes, parser.blocks, strict=True):
+        size[home] += len(text) - min(linked, len(text))
+    best = max(size, key=lambda x: (size[x], -x), default=0)
+    above = {outer for home, outer in parser.homes if home == best}
+    where = lambda home, outer: "here" if home == best else "next" if outer == best or home in above else "apart"
+    return [(own, (*around, f"home:{where(*home)}"), text, linked) for home, (own, around, text, linked) in zip(parser.homes, parser.blocks, strict=True)]
+
+
+#: Features of ancestors that tell what a block is: tags of regions, and names that the training pages' containers have.
+ROLES = frozenset([*(f"in:{x}" for x in "article main nav header footer aside form".split()), *(f"name:{x}" for x in region_names())])
 
 
 def block_features(blocks: list[tuple[str, tuple[str, ...], str, int]]) -> list[list[str]]:
-    out = []
+    out, longest = [], max((len(b[2]) for b in blocks), default=0)
+    size = [0, *(min(text.count(" ") + 1, 64).bit_length() for _, _, text, _ in blocks), 0]
     for place, (own, around, text, linked) in enumerate(blocks):
-        words = text.count(" ") + 1
-        f = ["bias", f"own:{own}", f"words:{min(words, 64).bit_length()}", f"links:{round(4 * min(1.0, linked / max(1, len(text))))}"]
+        f = ["bias", f"own:{own}", f"words:{size[place + 1]}", f"links:{round(4 * min(1.0, linked / max(1, len(text))))}"]
         f += [f"ends:{text[-1] in '.!?…'}", f"stops:{min(3, len(re.findall(r'[.!?]', text)))}", "place:" + ("only" if len(blocks) == 1 else "first" if not place else "last" if place == len(blocks) - 1 else "inner")]
-        out.append(f + list(around))
+        if ROLES.isdisjoint(around):  # no tag or name tells what it is
+            f += [f"before:{size[place]}", f"behind:{size[place + 2]}", f"share:{min(4, 5 * len(text) // max(1, longest))}", f"part:{4 * place // len(blocks)}", *around]
+        else:
+            f += [x for x in around if not x.startswith(("like:", "home:"))]
+        out.append(f)
     return out
 
 
+#: Words of a block without links that can't be the only thing on a page that isn't main text.
+LONG = 25
+
+
+def must_hold(blocks: list[tuple[str, tuple[str, ...], str, int]]) -> list[int]:
+    """Places of the long blocks without links."""
+    return [i for i, (_, _, text, linked) in enumerate(blocks) if not linked and text.count(" ") + 1 >= LONG]
+
+
 class Field:
     """Weights of features by label (1: main text), and of label pairs."""
 
@@ -177,10 +210,27 @@ class Field:
     def scores(self, features: list[list[str]]) -> np.ndarray:
         return np.array([self.emit[[self.names[x] for x in f if x in self.names]].sum(0) for f in features]).reshape(-1, 2)
 
-    def viterbi(self, features: list[list[str]]) -> list[int]:
+    def decode(self, features: list[list[str]], one_of: list[int]) -> list[int]:
+        """The best labels; if they are all 0 and one_of has places, the best ones with label 1 at one of these."""
+        labels = self.viterbi(features)
+        if any(labels) or not one_of:
+            return labels
+        score, n = self.scores(features), len(features)
+        ahead, behind = score.copy(), np.zeros((n, 2))  # the best scores up to a place, and behind it, by its label
+        for t in range(1, n):
+            ahead[t] += (ahead[t - 1][:, None] + self.move).max(0)
+        for t in range(n - 2, -1, -1):
+            behind[t] = (self.move + (score[t + 1] + behind[t + 1])[None, :]).max(1)
+        at = max(one_of, key=lambda t: (ahead[t, 1] + behind[t, 1], -t))
+        return self.viterbi(features, at)
+
+    def viterbi(self, features: list[list[str]], main: int | None = None) -> list[int]:
+        """The best labels; main: a place that has label 1."""
         if not features:
             return []
         score = self.scores(features)
+        if main is not None:
+            score[main, 0] = -np.inf
         best, back = score[0], []
         for row in score[1:]:
             through = best[:, None] + self.move
@@ -271,7 +321,7 @@ def _extract(names: dict[str, int], emit: np.ndarray, move: np.ndarray):
             texts = []
             for html in batch.column(2):
                 blocks = page_blocks(html.as_py() or "", known)
-                labels = field.viterbi(block_features(blocks))
+                labels = field.decode(block_features(blocks), must_hold(blocks))
                 texts.append(" ".join(b[2] for b, y in zip(blocks, labels, strict=True) if y))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
@@ -284,7 +334,7 @@ def extract_main_text(pages: DataFrame, labelled: list[tuple[str, list[tuple[str
     Character references are decoded, white space inside a block becomes one space, and the
     blocks of main text are joined by one space. Returns one row per row of `pages`: the id, url,
     text, n_chars (code points). Defined cases: null and empty html, and pages without main text, give
-    an empty text; broken and cut-off html is read as far as it goes; pages of any length are
+    an empty text (a page with a block of LONG words and no links has some: the best labelling with such a block is taken); broken and cut-off html is read as far as it goes; pages of any length are
     read whole; repeated rows, null ids and null urls are kept; an empty table gives an empty
     result; other columns are ignored.
     """

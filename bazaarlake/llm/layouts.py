@@ -1,14 +1,16 @@
 """Labelled pages to train the extractor on: layouts written by rule, as lists of (tag path, text, is main text).
 
 A page is a tree of regions (menu, header, advert, sidebar, notice, form, comments, footer,
-article). The containers' tags and class names vary, some pages have bare ones, and the texts are
-made-up words, so that what is learnt is the roles of tags and names, lengths, links and order.
+article). The containers' tags and class names vary; on a quarter of the pages the names are random letters, and the tags of some
+say nothing, so that lengths, links, repetition, order and the place beside the longest text have to tell; some pages are text without
+any tag. The texts are made-up words.
 """
 
 from __future__ import annotations
 
 import html
 import random
+import re
 
 #: Containers of each region: tags with class names or ids that pages commonly use.
 _MENU = ("nav", 'nav class="main-nav"', 'div class="menu"', 'div id="navigation"', 'ul class="navbar"', 'div class="breadcrumb"', 'div role="navigation"')
@@ -22,6 +24,12 @@ _FOOTER = ("footer", 'div id="footer"', 'footer class="site-footer"', 'div class
 _ARTICLE = ("article", "main", 'article class="post"', 'div class="content"', 'div class="article-body"', 'div id="content"', 'div class="post entry"', 'main class="main"', 'section class="story"', 'div class="text"', "div", "section", "")
 
 
+def region_names() -> set[str]:
+    """The words in the names of the listed containers."""
+    listed = " ".join((*_MENU, *_HEADER, *_AD, *_SIDE, *_NOTICE, *_FORM, *_COMMENTS, *_FOOTER, *_ARTICLE))
+    return {word for names in re.findall(r'(?:class|id|role)="([^"]*)"', listed) for word in re.findall("[a-z]+", names)}
+
+
 def _sentence(rng: random.Random, low: int, high: int, stop: str = ".") -> str:
     words = ["".join(rng.choice(("ka", "lo", "mi", "ter", "an", "sol", "be", "ri", "du", "ne", "é", "ü")) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(low, high))]
     return (" ".join(words).capitalize() + stop) if words else ""
@@ -34,8 +42,13 @@ def _text(rng: random.Random, sentences: int) -> str:
 class _Page:
     def __init__(self, rng: random.Random):
         self.rng, self.parts, self.truth = rng, [], []
+        #: How containers are named: as listed, by random letters, or by random letters and tags that say nothing.
+        self.style = rng.choice((*("listed",) * 6, "random", "bare"))
 
     def tag(self, name: str, inner) -> None:
+        if name and self.style != "listed" and name.split(" ")[0] not in ("ul", "ol", "li", "table", "tr", "form"):
+            tag = name.split(" ")[0] if self.style == "random" else "div"
+            name = tag + self.rng.choice(("", f' class="q{self.rng.randrange(10**6):x}z"', f' id="x{self.rng.randrange(10**6):x}"'))
         if name:
             self.parts.append(f"<{name}>")
         inner()
@@ -100,6 +113,9 @@ def labelled_page(seed: int) -> tuple[str, list[tuple[str, bool]]]:
     """One page: html, and its blocks in order with whether each is main text."""
     rng = random.Random(seed)
     page = _Page(rng)
+    if rng.random() < 0.04:  # plain text
+        text = _text(rng, rng.randint(1, 12))
+        return html.escape(text, quote=False), [(text, True)]
     region = {"menu": (_MENU, page.menu), "header": (_HEADER, lambda: page.lines(1, 6, ("h1", "p", "div"))), "ad": (_AD, lambda: page.lines(1, 25)), "side": (_SIDE, page.side)}
     region |= {"notice": (_NOTICE, lambda: page.lines(4, 25)), "form": (_FORM, page.form), "comments": (_COMMENTS, page.comments), "footer": (_FOOTER, lambda: page.lines(2, 25))}
 
