@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bazaarlake.sources.scratch import scratch_table
+from bazaarlake.sources import snapshots
+from bazaarlake.sources.scratch import scratch_table, stored
 
 
 def explode_effects(records: DataFrame, key: str = "id", effects: str = "effects") -> tuple[DataFrame, DataFrame]:
@@ -88,20 +89,21 @@ def upsert_report(upserted: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_upsert(target_path: str, source: DataFrame, key: str, dry_run: bool = False) -> DataFrame:
-    """Upserts a parquet table in place of its former state: the new state is written whole to <path>.next first, which stays, so that a swap that fails midway can be made good from there. Nobody may read the path meanwhile. Returns the report; dry_run writes nothing."""
+    """Upserts a table of sources.snapshots: the new state is written whole beside the old one and becomes the next version in one step, so a failed write
+    changes nothing, a reader keeps the version that it has, and of two writers at once one gets a Conflict. Returns the report; dry_run writes nothing."""
     spark = source.sparkSession
-    merged = upsert(spark.read.parquet(target_path), source, key)
+    after = snapshots.latest(spark, target_path)
+    merged = upsert(snapshots.read(spark, target_path), source, key)
     if dry_run:
         return upsert_report({target_path: merged})
-    aside = f"{target_path.rstrip('/')}.next"
-    merged.write.mode("overwrite").parquet(aside)
-    staged = spark.read.parquet(aside)
-    staged.drop("action").write.mode("overwrite").parquet(target_path)
-    return upsert_report({target_path: staged})
+    actions = stored(merged, "upserted")
+    snapshots.publish(spark, target_path, snapshots.stage(actions.drop("action"), target_path), after)
+    return upsert_report({target_path: actions})
 
 
-def write_fresh(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").parquet(path)
+def write_fresh(rows: DataFrame, path: str) -> int:
+    """Replaces the rows of a table of sources.snapshots; returns the version."""
+    return snapshots.write(rows, path)
 
 
 def source_digest(files: DataFrame) -> DataFrame:

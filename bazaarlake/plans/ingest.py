@@ -15,6 +15,9 @@ from bazaarlake.operators import rules as R
 from bazaarlake.operators import search as S
 from bazaarlake.operators import tags as T
 from bazaarlake.plans.registry import query
+from bazaarlake.sources import snapshots
+from bazaarlake.sources.exports import read_ordered, write_ordered
+from bazaarlake.sources.scratch import scratch_table
 from bazaarlake.sources.tables import SCHEMAS
 
 # --- sources and ingestion --------------------------------------------------------------
@@ -102,8 +105,6 @@ def ingest_upsert_report(t):
 
 @query(_REPORT.replace("'customers'", "'dry run'"))
 def ingest_dry_run(t):
-    from bazaarlake.sources.scratch import scratch_table
-
     path = scratch_table(t.spark, "target")
     I.write_fresh(t.snapshot_before, path)
     return I.write_upsert(path, t.snapshot_after, "id", dry_run=True).withColumn("table", F.lit("dry run"))
@@ -111,12 +112,21 @@ def ingest_dry_run(t):
 
 @query("SELECT id, name, bal, seg FROM snapshot_after")
 def ingest_fresh(t):
-    from bazaarlake.sources.scratch import scratch_table
-
     path = scratch_table(t.spark, "fresh")
     I.write_fresh(t.snapshot_before, path)
     I.write_fresh(t.snapshot_after, path)
-    return t.spark.read.schema(t.snapshot_after.schema).parquet(path)
+    return snapshots.read(t.spark, path)
+
+
+@query("""SELECT 1 AS version, id, name, bal, seg FROM snapshot_before UNION ALL SELECT 2, coalesce(a.id, b.id), CASE WHEN a.id IS NULL THEN b.name ELSE a.name END, CASE WHEN a.id IS NULL THEN b.bal ELSE a.bal END, CASE WHEN a.id IS NULL THEN b.seg ELSE a.seg END
+ FROM snapshot_before b FULL JOIN snapshot_after a ON a.id = b.id""")
+def ingest_upsert_versions(t):
+    path = scratch_table(t.spark, "versions")
+    I.write_fresh(t.snapshot_before, path)
+    pinned = snapshots.read(t.spark, path)
+    I.write_upsert(path, t.snapshot_after, "id")
+    of = lambda rows, n: rows.select(F.lit(n).alias("version"), "id", "name", "bal", "seg")
+    return of(pinned, 1).unionByName(of(snapshots.read(t.spark, path), 2))
 
 
 @query()
@@ -160,12 +170,18 @@ def gen_listings(t):
 @query("SELECT p_type AS type, string_agg(p_name || ':' || p_partkey, ',' ORDER BY p_name, p_partkey) AS options FROM part GROUP BY p_type")
 def sink_nested_export(t):
     rows = I.nested_export(t.part.withColumnRenamed("p_type", "type"), ["type"], ["p_name", "p_partkey"], ["p_name", "p_partkey"])
-    return rows.select("type", F.expr("array_join(transform(options, o -> o.p_name || ':' || o.p_partkey), ',')").alias("options"))
+    path = scratch_table(t.spark, "nested")
+    write_ordered(rows, path, ["type"])
+    back = read_ordered(t.spark, path, rows.schema)
+    return back.select("type", F.expr("array_join(transform(options, o -> o.p_name || ':' || o.p_partkey), ',')").alias("options"))
 
 
 @query("SELECT DISTINCT p_name AS name, p_brand AS brand FROM part")
 def sink_flat_export(t):
-    return I.flat_export(t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")), ["name", "brand"], "name")
+    rows = I.flat_export(t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")), ["name", "brand"], "name")
+    path = scratch_table(t.spark, "flat")
+    write_ordered(rows, path, ["name", "brand"])
+    return read_ordered(t.spark, path, rows.schema).select("name", "brand")
 
 
 @query("SELECT l_id || '.png' AS file, gt AS label, true AS good FROM (SELECT CAST(line_id AS VARCHAR) AS l_id, line_id, gt FROM noisy_lines) WHERE line_id % 4 IN (0, 1) UNION ALL SELECT NULL, CAST(line_id AS VARCHAR) || ' no tab', false FROM noisy_lines WHERE line_id % 4 = 2")

@@ -8,6 +8,7 @@ from bazaarlake.operators import evaluation as V
 from bazaarlake.operators import recommend as N
 from bazaarlake.operators.ingest import number_rows
 from bazaarlake.plans.registry import query
+from bazaarlake.sources.exports import read_ordered, write_ordered
 from bazaarlake.sources.scratch import scratch_table
 from bazaarlake.streaming import jobs as J
 
@@ -78,7 +79,10 @@ def ts_oversample(t):
 @query("SELECT 'b/' || line_id || chr(9) || gt AS value FROM noisy_lines UNION ALL SELECT 'c/' || line_id || chr(9) || text FROM noisy_lines WHERE reader = 'a'")
 def ts_manifest(t):
     base = t.noisy_lines.select(F.expr("'b/' || line_id").alias("path"), F.col("gt").alias("label"))
-    return V.manifest(base, t.noisy_lines.filter("reader = 'a'").select(F.expr("'c/' || line_id").alias("path"), F.col("text").alias("label")))
+    lines = V.manifest(base, t.noisy_lines.filter("reader = 'a'").select(F.expr("'c/' || line_id").alias("path"), F.col("text").alias("label")))
+    path = scratch_table(t.spark, "manifest")
+    write_ordered(lines, path, [F.split_part("value", F.lit("\t"), F.lit(1)), "value"], "text")
+    return read_ordered(t.spark, path).select("value")
 
 
 @query("""WITH l AS (SELECT gt AS label FROM noisy_lines UNION SELECT p_type || ' ' || p_brand FROM part) SELECT label, copy FROM l LEFT JOIN (SELECT DISTINCT p_name, length(p_name) % 3 AS copies FROM part) b ON b.p_name = l.label,
@@ -227,7 +231,8 @@ def st_verify_codes(t):
     senders = t.sql("SELECT id, server, game_id FROM users").withColumnRenamed("id", "sender")
     said = _arriving(t, "chat_messages", "user_id, sent_at, message").withColumnRenamed("user_id", "sender").join(senders, "sender").drop("sender")
     hits = J.stream_verified(said.join(t.sql(_OPEN_USERS), ["server", "game_id"]), requests, "7 days", "60 days")
-    return _updates(t, hits, "verified").groupBy("user_id").agg(F.max_by("verified_at", "batch").alias("verified_at")).filter("verified_at is not null")
+    last = F.coalesce(F.min(F.when(F.col("final"), F.col("verified_at"))), F.max_by("verified_at", F.when(~F.col("final"), F.col("batch"))))
+    return _updates(t, hits, "verified").groupBy("user_id").agg(last.alias("verified_at")).filter("verified_at is not null")
 
 
 @query("SELECT id AS target_id, CASE WHEN price >= 200000 THEN 'dear' ELSE 'cheap' END AS tag FROM listings WHERE price IS NOT NULL")

@@ -127,8 +127,14 @@ def _settle(lifetime: str):
         ends = [min(at + lasts, after) for (at, _), after in zip(ordered, [*(x[0] for x in ordered[1:]), 1 << 62], strict=True)]
         hits = [t for t, text in messages for (at, c), end in zip(ordered, ends, strict=True) if at <= t < end and c in text]
         best = min([*hits, *([found] if found is not None else [])], default=None)
+        row = lambda final: pd.DataFrame({"user_id": [key[0]], "verified_at": [pd.Timestamp(best * 1000) if best is not None else pd.NaT], "final": [final]})
+        if state.hasTimedOut:  # the watermark is behind all that is known: nothing can change any more
+            if best is not None:
+                yield row(True)
+            state.remove()
+            return
         if best != shown:  # a late request may replace a code that was already met: then the hit is taken back
-            yield pd.DataFrame({"user_id": [key[0]], "verified_at": [pd.Timestamp(best * 1000) if best is not None else pd.NaT]})
+            yield row(False)
         # requests before the watermark can't come any more: messages before it are settled, and of codes the last one before it and those after it count
         mark = state.getCurrentWatermarkMs() * 1000
         found = min([*(t for t in hits if t < mark), *([found] if found is not None else [])], default=None)
@@ -137,6 +143,8 @@ def _settle(lifetime: str):
         kept = sorted(x for x in messages if x[0] >= mark)
         if ordered or kept or found is not None:
             state.update(([x[0] for x in ordered], [x[1] for x in ordered], [x[0] for x in kept], [x[1] for x in kept], found, best))
+            ends_at = max([*(x[0] + lasts for x in ordered), *(x[0] for x in kept), *([found] if found is not None else [])])
+            state.setTimeoutTimestamp(max(ends_at, mark) // 1000 + 1)
         elif state.exists:
             state.remove()
 
@@ -144,15 +152,16 @@ def _settle(lifetime: str):
 
 
 def stream_verified(messages: DataFrame, codes: DataFrame, lifetime: str = LIFETIME, late: str = "1 hour") -> DataFrame:
-    """Streaming form of verified_users: an update whenever a user's first hit changes (null: taken back, as a late request replaced the code); the last one holds.
+    """Streaming form of verified_users: an update whenever a user's first hit changes (null: taken back, as a late request replaced the code), and a last one, marked final, once the
+    watermark has passed all that is open. The first final hit of a user holds, or, without one, the last update.
 
-    Messages carry the user_id that their game id and server stand for (a static join before). The
-    state of a user holds what the watermark leaves open, and the hit.
+    Messages carry the user_id that their game id and server stand for (a static join before). The state of a user holds what the watermark leaves open, and the
+    hit; it goes when its codes have expired.
     """
     said = messages.select("user_id", F.col("sent_at").cast("timestamp").alias("at"), F.lit(False).alias("is_code"), F.col("message").alias("text"))
     issued = codes.select("user_id", F.col("issued_at").cast("timestamp").alias("at"), F.lit(True).alias("is_code"), F.col("code").alias("text"))
     both = said.unionByName(issued).withWatermark("at", late)
-    return both.groupBy("user_id").applyInPandasWithState(_settle(lifetime), "user_id long, verified_at timestamp_ntz", _OPEN, "update", GroupStateTimeout.NoTimeout)
+    return both.groupBy("user_id").applyInPandasWithState(_settle(lifetime), "user_id long, verified_at timestamp_ntz, final boolean", _OPEN, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- tags on arrival --------------------------------------------------------------------

@@ -170,16 +170,17 @@ def test_effect_numbers(spark):
 
 def test_upsert_written(spark, tmp_path):
     from bazaarlake.operators.ingest import write_upsert
+    from bazaarlake.sources import snapshots
 
     path = str(tmp_path / "t")
-    spark.createDataFrame([(1, "a", None), (2, "b", 1)], "id int, name string, x int").write.parquet(path)
+    snapshots.write(spark.createDataFrame([(1, "a", None), (2, "b", 1)], "id int, name string, x int"), path)
     source = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", 2)], "id int, name string, x int")
     want = (1, 1, 1)
     dry = write_upsert(path, source, "id", dry_run=True).first()
-    assert (dry["inserted"], dry["updated"], dry["unchanged"]) == want and spark.read.parquet(path).count() == 2
+    assert (dry["inserted"], dry["updated"], dry["unchanged"]) == want and snapshots.read(spark, path).count() == 2
     done = write_upsert(path, source, "id").first()
     assert (done["inserted"], done["updated"], done["unchanged"]) == want
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a", None), (2, "b", None), (3, "c", 2)]
+    assert sorted(map(tuple, snapshots.read(spark, path).collect())) == [(1, "a", None), (2, "b", None), (3, "c", 2)]
 
 
 def test_generated_listings_do_not_depend_on_partitions(spark):
