@@ -215,6 +215,7 @@ def resolve_by_evidence(slots: DataFrame, lines: DataFrame, entries: DataFrame,
     named = slots.join(entries.select("entry", "slot", "name"), "slot").withColumn("name_score", indel_ratio(F.col("header"), F.col("name")))
     top = F.max("name_score").over(Window.partitionBy("session", "slot"))
     candidates = named.withColumn("top", top).filter("name_score >= 30 and name_score >= top - 15").select("session", "slot", "entry", "name_score")
+    candidates = stored(candidates, "candidates")
 
     def totals(of: DataFrame) -> DataFrame:
         pairs = effect_scores(lines.join(of.select("session", "slot", "entry"), ["session", "slot"]), effects, ["entry"], 50.0).filter("score > 50")
@@ -222,8 +223,10 @@ def resolve_by_evidence(slots: DataFrame, lines: DataFrame, entries: DataFrame,
 
     ranked = candidates.join(totals(candidates), ["session", "slot", "entry"], "left").na.fill(0.0, ["effect_score"])
     best = F.min_by(F.struct("entry", "name_score", "effect_score"), F.struct((-F.col("effect_score")).alias("a"), (-F.col("name_score")).alias("b"), "entry"))
-    first = ranked.groupBy("session", "slot").agg(best.alias("x")).select("session", "slot", "x.*")
-    alone = slots.join(entries.select("entry", "slot"), "slot").select("session", "slot", "entry")
+    first = stored(ranked.groupBy("session", "slot").agg(best.alias("x")).select("session", "slot", "x.*"), "first")
+    # effects alone decide only where no candidate has any: the other slots aren't compared with all entries
+    open_slots = slots.select("session", "slot").join(first.filter("effect_score > 0"), ["session", "slot"], "left_anti")
+    alone = stored(open_slots.join(entries.select("entry", "slot"), "slot").select("session", "slot", "entry"), "alone")
     alone = totals(alone).groupBy("session", "slot").agg(F.min_by(F.struct("entry", "effect_score"), F.struct((-F.col("effect_score")).alias("a"), "entry")).alias("y"))
     rows = slots.select("session", "slot").join(first, ["session", "slot"], "left").join(alone, ["session", "slot"], "left")
     by_name = (F.col("name_score") >= 80) | (F.col("effect_score") >= 120)
@@ -234,17 +237,33 @@ def resolve_by_evidence(slots: DataFrame, lines: DataFrame, entries: DataFrame,
 
 
 def resolve_by_effects(lines: DataFrame, entries: DataFrame, effects: DataFrame) -> DataFrame:
-    """The entry with the greatest matched score per effect (50 at least; matches above 60, taken in turn): of the slot's entries first, then of all."""
+    """The entry with the greatest matched score per effect (50 at least; matches above 60, taken in turn): of the slot's entries first, then of all.
+
+    No entry's total exceeds the sum of its effects' best scores, nor that of its lines' best scores. The entry with the greatest bound of a slot is
+    assigned first; then only those whose bound reaches what that one has.
+    """
     n = effects.groupBy("entry").agg(F.count("*").alias("n_effects"))
+    slot = ["session", "slot"]
 
-    def best(pairs_of: DataFrame) -> DataFrame:
-        scores = effect_scores(pairs_of, effects, ["entry"], 60.0).filter("score > 60")
-        total = assign_in_turn(scores, ["session", "slot", "entry"]).groupBy("session", "slot", "entry").agg(F.sum("score").alias("total"))
-        per_effect = total.join(n, "entry").withColumn("per_effect", F.col("total") / F.col("n_effects")).filter("per_effect >= 50")
-        return per_effect.groupBy("session", "slot").agg(F.min_by(F.struct("entry", "per_effect"), F.struct((-F.col("per_effect")).alias("a"), "entry")).alias("x")).select("session", "slot", "x.*")
+    def per_effect(scores: DataFrame) -> DataFrame:
+        total = assign_in_turn(scores, [*slot, "entry"]).groupBy(*slot, "entry").agg(F.sum("score").alias("total"))
+        return total.join(n, "entry").withColumn("per_effect", F.col("total") / F.col("n_effects"))
 
-    own = best(lines.join(entries.select("entry", "slot"), "slot"))
-    left = lines.join(own, ["session", "slot"], "left_anti")
+    def best(pairs_of: DataFrame) -> DataFrame:
+        scores = stored(effect_scores(pairs_of, effects, ["entry"], 60.0).filter("score > 60").select(*slot, "entry", "line_no", "effect_no", "score"), "scores")
+        sums = [scores.groupBy(*slot, "entry", side).agg(F.max("score").alias("m")).groupBy(*slot, "entry").agg(F.sum("m").alias(f"by_{side}")) for side in ("line_no", "effect_no")]
+        bound = sums[0].join(sums[1], [*slot, "entry"]).join(n, "entry").withColumn("bound", F.least("by_line_no", "by_effect_no") / F.col("n_effects") + 1e-9).filter("bound >= 50")
+        bound = stored(bound.select(*slot, "entry", "bound"), "bounds")
+        first = bound.groupBy(*slot).agg(F.max_by("entry", "bound").alias("entry"))
+        got = stored(per_effect(scores.join(first, [*slot, "entry"], "left_semi")), "first")
+        more = bound.join(got.select(*slot, F.col("entry").alias("done"), F.col("per_effect").alias("least")), slot).filter("entry <> done and bound >= least")
+        every = got.unionByName(per_effect(scores.join(more.select(*slot, "entry"), [*slot, "entry"], "left_semi"))).filter("per_effect >= 50")
+        return every.groupBy(*slot).agg(F.min_by(F.struct("entry", "per_effect"), F.struct((-F.col("per_effect")).alias("a"), "entry")).alias("x")).select(*slot, "x.*")
+
+    own = stored(best(lines.join(entries.select("entry", "slot"), "slot")), "own")
+    left = stored(lines.join(own, slot, "left_anti"), "left")
+    if left.isEmpty():
+        return own
     # every line with the entries of the other slot: an equi-join on the flipped slot
     other = best(left.withColumn("other", 1 - F.col("slot")).join(entries.select("entry", F.col("slot").alias("other")), "other").drop("other"))
     return own.unionByName(other)
