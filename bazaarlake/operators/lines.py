@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlake.sources.scratch import scratch_table
+from bazaarlake.sources.scratch import scratch_table, stored
 
 
 def _before(by: Sequence[str], order: str):
@@ -165,10 +165,35 @@ def gap_clusters(values: DataFrame, by: Sequence[str], value: str, gap: float) -
     return values.join(numbered, _same(by) & F.col(value).eqNullSafe(F.col("_v"))).select(*values.columns, "cluster")
 
 
+def medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, median): the exact median of each group's values, nulls apart; a group without any has none.
+
+    A group may hold any share of the rows: its distinct values, with their counts, are range-partitioned and sorted, each partition sums up
+    its own counts, and one row per partition and group carries the sum over its edge, so a value knows its ranks.
+    """
+    spark, keys = rows.sparkSession, [f"_by_{c}" for c in by]
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_v").withColumn("_part", F.spark_partition_id())
+    kept = stored(dealt, "ranks")
+    upto = kept.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_part", *keys).orderBy("_v")))
+    edges, over = kept.groupBy("_part", *keys).agg(F.sum("_c").alias("_n")), Window.partitionBy(*keys)
+    edges = edges.withColumn("_before", F.sum("_n").over(over.orderBy("_part")) - F.col("_n")).withColumn("_n", F.sum("_n").over(over))
+    carried = edges.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_e{k}") for k in keys], "_before", "_n")
+    here = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e{k}")) for k in keys], F.col("_part") == F.col("_p"))
+    last = F.col("_upto") + F.col("_before")  # ranks from 1 to n: this value has those from last - _c + 1 to last
+    at = lambda rank: F.max(F.when(rank.between(last - F.col("_c") + 1, last), F.col("_v").cast("double")))
+    found = upto.join(carried, here).groupBy(*keys).agg(at(F.expr("(_n + 1) div 2")).alias("_a"), at(F.expr("_n div 2 + 1")).alias("_b"))
+    return found.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], ((F.col("_a") + F.col("_b")) / 2).alias("median"))
+
+
 def cluster_stats(clustered: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    rows = clustered.groupBy(*by, "cluster").agg(
-        F.count("*").alias("size"), F.mean(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high")
-    )
+    """size, mean, median, std, low, high and share (of the group) of each cluster."""
+    clustered = stored(clustered, "clustered")
+    rows = clustered.groupBy(*by, "cluster").agg(F.count("*").alias("size"), F.mean(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
+    keys = [*by, "cluster"]
+    middle = medians(clustered, keys, value).select(*[F.col(c).alias(f"_m_{c}") for c in keys], "median")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in keys])
+    rows = rows.join(middle, same, "left").drop(*[f"_m_{c}" for c in keys])
     return rows.withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy(*by)))
 
 

@@ -91,3 +91,17 @@ def test_verified_state_expires(spark, tmp_path):
     assert states[-1] <= 1 and max(states) >= 3, states
     assert (1, "00:05", False) in seen and (1, "00:05", True) in seen and (1, "03:32", True) in seen
     assert min(t for u, t, final in seen if u == 1 and final) == "00:05" and not any(u in (2, 3) for u, _, _ in seen)
+
+
+def test_medians_by_ranks(spark):
+    """Against percentile, with a group of half the rows, repeated values, null values and null groups; no task has a group's rows."""
+    import random
+
+    from bazaarlake.operators.lines import medians
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None, "c"]), rng.choice([None, 1, 1, 1, rng.randrange(50), rng.randrange(-9, 9)])) for _ in range(3000)] + [("one", 7), ("two", 1), ("two", 2), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(7)
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.expr("percentile(v, 0.5)").alias("m")).collect() if r["m"] is not None}
+    found = medians(df, ["g"], "v").collect()
+    assert {r["g"]: r["median"] for r in found} == want and len(found) == len(want)
