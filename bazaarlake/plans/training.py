@@ -9,7 +9,7 @@ from bazaarlake.operators import recommend as N
 from bazaarlake.operators.ingest import number_rows
 from bazaarlake.plans.registry import query
 from bazaarlake.sources.exports import read_ordered, write_ordered
-from bazaarlake.sources.scratch import scratch_table
+from bazaarlake.sources.scratch import scratch_table, stored
 from bazaarlake.streaming import jobs as J
 
 
@@ -136,7 +136,8 @@ top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other)
 
 def _similar(t):
     # the stated query set: every item whose id is divisible by 50, against all
-    return N.similar_topk(_vectors(t), 40, t.sql(_ITEMS).filter("id % 50 = 0"), items=t.sql(_ITEMS))
+    items = stored(t.sql(_ITEMS), "items")
+    return N.similar_topk(N.tfidf(items, ["name", "category", "description"]), 40, items.filter("id % 50 = 0"), items=items, unit=True)
 
 
 @query(f"WITH {_TFIDF}, {_TOP} SELECT id, place, score FROM top")
