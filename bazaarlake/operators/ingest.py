@@ -112,6 +112,47 @@ def source_digest(files: DataFrame) -> DataFrame:
     return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("path", "d")))["d"], ""), 256).alias("digest"))
 
 
+def file_digests(files: DataFrame) -> DataFrame:
+    """files: (path, content) -> (path, digest). Spark's binaryFile source gives no row for an empty file, and none above 2 GB."""
+    return files.select("path", F.sha2("content", 256).alias("digest"))
+
+
+def tree_digest(digests: DataFrame, bucket: int = 256) -> DataFrame:
+    """(path, digest) -> one row: root, a digest of all paths and digests, however many there are.
+
+    The paths' own digests are a tree of 16 branches a level, with so many levels that a leaf holds about `bucket` files or fewer: leaves digest their files
+    in order, a node the digests of its branches in order. So no task has more than a leaf's or a node's rows, and equal sets of files have equal
+    roots in any partitioning. Without files the root is the digest of an empty text.
+    """
+    n, levels = digests.count(), 0
+    while n > bucket * 16**levels:
+        levels += 1
+    place = F.sha2(F.col("path").cast("binary"), 256)
+    combine = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda x: F.concat(x["at"], F.lit(":"), F.coalesce(x["digest"], F.lit("-")))), "\n"), 256)
+    nodes = digests.select(F.coalesce(place, F.lit("-")).alias("at"), "digest")
+    for level in range(levels, -1, -1):
+        nodes = nodes.groupBy(F.substring("at", 1, level).alias("node")).agg(combine.alias("digest")).withColumnRenamed("node", "at") if level else nodes.agg(combine.alias("root"))
+    return nodes
+
+
+def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, digest) of both -> (path, digest, change): added, changed, unchanged, or removed (with a null digest)."""
+    rows = now.withColumn("there", F.lit(True)).join(before.select("path", F.col("digest").alias("old"), F.lit(True).alias("was")), "path", "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("there").isNull(), "removed").when(F.col("digest").eqNullSafe(F.col("old")), "unchanged").otherwise("changed")
+    return rows.select("path", "digest", change.alias("change"))
+
+
+def refresh_files(files: DataFrame, state_path: str) -> DataFrame:
+    """The changes of files (path, content) against the state in a table of sources.snapshots, which gets a new version if there are any. Without a state all files are added; of two runs at once that find changes, one gets a Conflict."""
+    spark = files.sparkSession
+    now, after = stored(file_digests(files), "digests"), snapshots.latest(spark, state_path)
+    before = snapshots.read(spark, state_path) if after else now.limit(0)
+    changes = stored(changed_files(now, before), "changes")
+    if not after or changes.filter("change <> 'unchanged'").limit(1).count():
+        snapshots.publish(spark, state_path, snapshots.stage(now, state_path), after)
+    return changes
+
+
 def changed(files: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: the digest, and whether it differs from the stored one (digest), or none is stored."""
     last = stored.agg(F.max("digest").alias("stored"))

@@ -136,6 +136,19 @@ def ingest_skip_unchanged(t):
     return I.changed(files, first).unionByName(I.changed(files, first.limit(0)))
 
 
+_FILE = "'c/' || id AS path, name || coalesce(seg, '-')"
+
+
+@query(f"""WITH b AS (SELECT path, sha256(content) AS digest FROM (SELECT {_FILE} AS content FROM snapshot_before)), a AS (SELECT path, sha256(content) AS digest FROM (SELECT {_FILE} AS content FROM snapshot_after))
+SELECT 1 AS run, path, digest, 'added' AS change FROM b UNION ALL SELECT 3, path, digest, 'unchanged' FROM a
+UNION ALL SELECT 2, coalesce(a.path, b.path), a.digest, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN a.digest = b.digest THEN 'unchanged' ELSE 'changed' END FROM b FULL JOIN a ON a.path = b.path""")
+def ingest_changed_files(t):
+    files = lambda view: t.sql(f"SELECT {_FILE} AS content FROM {view}")
+    state = scratch_table(t.spark, "files")
+    runs = [I.refresh_files(files(view), state).withColumn("run", F.lit(n)) for n, view in enumerate(("snapshot_before", "snapshot_after", "snapshot_after"), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query("SELECT c_custkey AS n, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE substr(sha256('{\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}'), 1, 32) END AS id FROM customer")
 def ingest_assign_ids(t):
     rows = t.customer.withColumn("id", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")))

@@ -105,3 +105,45 @@ def test_medians_by_ranks(spark):
     want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.expr("percentile(v, 0.5)").alias("m")).collect() if r["m"] is not None}
     found = medians(df, ["g"], "v").collect()
     assert {r["g"]: r["median"] for r in found} == want and len(found) == len(want)
+
+
+def test_changes_of_files(spark, tmp_path):
+    """Files that change, come and go; a state only gets a version if something did; the tree's root against plain hashing."""
+    import hashlib
+    from collections import defaultdict
+
+    from bazaarlake.operators.ingest import file_digests, refresh_files, tree_digest
+    from bazaarlake.sources import snapshots
+
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    (folder / "a").mkdir(parents=True)
+    for i in range(40):
+        (folder / "a" / f"{i}.txt").write_bytes(b"" if i == 7 else f"text {i}".encode())
+
+    def files():
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder))
+        return rows.select(F.regexp_extract("path", r"[^/]+$", 0).alias("path"), "content")
+
+    def run():
+        got = sorted((r["change"], r["path"]) for r in refresh_files(files(), state).filter("change <> 'unchanged'").collect())
+        return got, snapshots.latest(spark, state)
+
+    assert run() == (sorted(("added", f"{i}.txt") for i in range(40) if i != 7), 1)  # the source lists no empty file
+    assert run() == ([], 1)
+    (folder / "a" / "3.txt").write_bytes(b"other")
+    (folder / "a" / "4.txt").unlink()
+    (folder / "a" / "new.txt").write_bytes(b"new")
+    assert run() == ([("added", "new.txt"), ("changed", "3.txt"), ("removed", "4.txt")], 2)
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    each = {sha(p.name): hashlib.sha256(p.read_bytes()).hexdigest() for p in (folder / "a").iterdir() if p.stat().st_size}
+    digests = file_digests(files())
+    for bucket, levels in ((256, 0), (4, 1), (1, 2)):  # 39 files
+        nodes = each
+        for level in range(levels, -1, -1):
+            groups = defaultdict(list)
+            for at, digest in sorted(nodes.items()):
+                groups[at[:level]].append(f"{at}:{digest}")
+            nodes = {at: sha("\n".join(lines)) for at, lines in groups.items()}
+        assert tree_digest(digests.repartition(3), bucket).collect()[0]["root"] == nodes[""]
+    assert tree_digest(digests.limit(0)).collect()[0]["root"] == sha("")
