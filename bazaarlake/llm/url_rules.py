@@ -10,9 +10,11 @@ sweep of the same kind goes over (host of the rules, path): a rule's path is the
 begin with it, and a stack holds the nested rules of one host alone. So a row carries as
 many hosts as its own has labels, and as many rules as are nested at one path, however many a host has.
 
-The sweeps run in blocks: urls are dealt evenly by a hash of host and row, so a host with a
-third of all rows is no hot key, and each block gets the rules (a table of rules, small
-beside the pages).
+The sweeps run in blocks. Starts of intervals that a hash picks (about one in `_RANGE`) cut the keys into
+ranges, which urls and starts share; every url of a range has a start of its range before it, so nothing is
+carried over an edge. The urls of a range are dealt evenly to as many blocks as their share of all urls asks
+for, so a host with a third of all rows is no hot key, and a block gets the starts of its own range
+only: in all, starts + blocks x a range's starts are copied. Up to about `_RANGE` rules are one range.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ends each label in a key, and follows everything that begins with a key.
 _SEP, _AFTER = "\x01", "\x02"
 
+#: Starts of a range, on average.
+_RANGE = 1000
+
 #: The rules of the production query: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -63,14 +68,36 @@ def _path_stacks(rules: DataFrame) -> DataFrame:
     return beginnings.join(inner, ["outer", "beginning"]).groupBy("outer", "path").agg(F.sort_array(F.collect_set("rule")).alias("stack"))
 
 
-def _sweep(urls: DataFrame, starts: DataFrame, n_blocks: int, *order: str) -> DataFrame:
+def _blocks(urls: DataFrame, starts: DataFrame, cuts: DataFrame | None, n_blocks: int, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Urls with their block, and starts copied to the blocks of their range. cuts: one row with `cuts`, the sorted starts at which ranges begin; None for one range."""
+    if cuts is None:
+        return urls.withColumn("block", F.pmod("deal", F.lit(n_blocks)).cast("string")), starts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("block", F.col("block").cast("string"))
+    ranged = lambda df: df.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.struct(*order)))).drop("cuts")
+    urls, starts = ranged(urls), ranged(starts)
+    sizes = urls.groupBy("range").agg(F.count("*").alias("n"))  # a row per range, and one of all urls
+    shares = sizes.join(F.broadcast(sizes.agg(F.sum("n").alias("total")))).select("range", (F.floor(n_blocks * F.col("n") / F.col("total")) + 1).cast("int").alias("share"))
+    block = F.concat_ws("-", "range", "salt")
+    dealt = urls.join(shares, "range").withColumn("salt", F.pmod("deal", "share")).withColumn("block", block).drop("range", "salt", "share")
+    copied = starts.join(shares, "range").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("share") - 1))).withColumn("block", block).drop("range", "salt", "share")
+    return dealt, copied
+
+
+def _sweep(urls: DataFrame, starts: DataFrame, cuts: DataFrame | None, n_blocks: int, *order: str) -> DataFrame:
     """Adds `active` to the urls: the stack of the last start before each, in their block."""
-    everywhere = starts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("is_url", F.lit(0))
-    events = urls.withColumn("is_url", F.lit(1)).unionByName(everywhere, allowMissingColumns=True)
+    dealt, copied = _blocks(urls, starts, cuts, n_blocks, *order)
+    events = dealt.withColumn("is_url", F.lit(1)).unionByName(copied.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
     window = Window.partitionBy("block").orderBy(*order, "is_url").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("active", F.last("stack", ignorenulls=True).over(window)).filter("is_url = 1").drop("stack", "is_url")
 
 
+def _cuts(rules: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The starts at which ranges begin, of hosts and of hosts and paths; None if there are none."""
+    picked = lambda *c: F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(*c), F.lit(_RANGE)) == 0, F.struct(*c))))
+    both = rules.agg(picked("key").alias("hosts"), picked(F.col("key").alias("outer"), "path").alias("paths"))  # one start in _RANGE
+    some = both.select(F.size("hosts") > 0, F.size("paths") > 0).first()
+    return tuple(both.select(F.col(c).alias("cuts")) if there else None for c, there in zip(("hosts", "paths"), some, strict=True))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """The longest rule that fits each url. rules: host, path, verdict.
 
@@ -86,14 +113,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host <> ''").distinct()
     rules = rules.withColumn("key", host_key(F.col("host")))
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("block", F.pmod(F.xxhash64("id", "host", "path"), F.lit(n_blocks)).cast("int"))
+    urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("deal", F.xxhash64("id", "host", "path"))
     urls = urls.withColumns({"key": host_key(F.col("host")), "row": F.monotonically_increasing_id()})
-    hosts = _sweep(urls, _host_stacks(rules), n_blocks, "key")
+    host_cuts, path_cuts = _cuts(rules)
+    hosts = _sweep(urls, _host_stacks(rules), host_cuts, n_blocks, "key").drop("block")
     hosts = hosts.withColumn("outer", F.explode_outer(F.filter("active", lambda k: F.col("key").startswith(k)))).drop("active")
-    swept = _sweep(hosts, _path_stacks(rules), n_blocks, "outer", "path")
+    swept = _sweep(hosts, _path_stacks(rules), path_cuts, n_blocks, "outer", "path")
     fits = F.filter("active", lambda r: (r["key"] == F.col("outer")) & F.col("path").startswith(r["path"]))
     ranked = F.transform(fits, lambda r: F.struct((-(F.length(r["host"]) + F.length(r["path"]))).alias("a"), (-F.length(r["host"])).alias("b"), F.concat(r["host"], r["path"]).alias("rule"), F.when(r["verdict"] == "block", 0).otherwise(1).alias("c"), r["verdict"].alias("verdict")))
-    best = swept.withColumn("best", F.array_min(ranked)).groupBy("block", "row").agg(*[F.first(c).alias(c) for c in ("id", "host", "path")], F.min("best").alias("best"))
+    best = swept.withColumn("best", F.array_min(ranked)).groupBy(*(["block"] if path_cuts is None else []), "row").agg(*[F.first(c).alias(c) for c in ("id", "host", "path")], F.min("best").alias("best"))
     return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 

@@ -330,7 +330,9 @@ def test_warc_clashing_ids_and_cut_archives(spark, tmp_path):
         list(records_of_range(io.BytesIO((record * 3)[:-100]), 0, 3 * len(record)))
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("starts", [1000, 1, 3])
+def test_url_rules(spark, monkeypatch, starts):
+    monkeypatch.setattr("bazaarlake.llm.url_rules._RANGE", starts)  # one range, one of each start, some
     from bazaarlake.llm.url_rules import RULES, judge_urls, rule_table
 
     rules = [*RULES, ("block", "a.example.org", ""), ("allow", "a.example.org", "/en/"), ("block", "example.org", "/en/1"), ("allow", None, "/"), ("block", "Example.net", None)]
