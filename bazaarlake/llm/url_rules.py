@@ -94,7 +94,7 @@ def _cuts(rules: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """The starts at which ranges begin, of hosts and of hosts and paths; None if there are none."""
     picked = lambda *c: F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(*c), F.lit(_RANGE)) == 0, F.struct(*c))))
     both = rules.agg(picked("key").alias("hosts"), picked(F.col("key").alias("outer"), "path").alias("paths"))  # one start in _RANGE
-    some = both.select(F.size("hosts") > 0, F.size("paths") > 0).first()
+    some = rules.agg(*[F.max(F.pmod(F.xxhash64(*c), F.lit(_RANGE)) == 0) for c in (("key",), ("key", "path"))]).first()
     return tuple(both.select(F.col(c).alias("cuts")) if there else None for c, there in zip(("hosts", "paths"), some, strict=True))
 
 
@@ -110,12 +110,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     judged each, repeated rules count once; empty tables work; other columns are ignored.
     """
     n_blocks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host <> ''").distinct()
-    rules = rules.withColumn("key", host_key(F.col("host")))
+    rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter("host <> ''").withColumn("key", host_key(F.col("host")))
+    host_cuts, path_cuts = _cuts(rules)
+    rules = rules.distinct()
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("deal", F.xxhash64("id", "host", "path"))
     urls = urls.withColumns({"key": host_key(F.col("host")), "row": F.monotonically_increasing_id()})
-    host_cuts, path_cuts = _cuts(rules)
     hosts = _sweep(urls, _host_stacks(rules), host_cuts, n_blocks, "key").drop("block")
     hosts = hosts.withColumn("outer", F.explode_outer(F.filter("active", lambda k: F.col("key").startswith(k)))).drop("active")
     swept = _sweep(hosts, _path_stacks(rules), path_cuts, n_blocks, "outer", "path")
