@@ -142,33 +142,82 @@ def lookup_names(queries: DataFrame, entries: DataFrame, cutoff: float = 85) ->
     return found.join(fuzzy, ["slot", "name"], "left").select(*queries.columns, F.coalesce("entry", "near").alias("entry"), F.when(F.col("entry").isNotNull(), 100.0).otherwise(F.col("score")).alias("score"))
 
 
-def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
-    """lines (on, line_no, text) x effects (on, effect_no, effect, condition) -> score, `floor` at least: the better of the effect alone and with its condition.
+def text_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
+    """(on, text, effect_no, score) of the texts of lines (on, text) and effects (on, effect_no, effect, condition), `floor` at least: the better score of the effect alone and with its condition.
 
-    Each pair of different texts is scored once, wherever it occurs; with a floor, texts meet those that candidates() finds only.
+    Each pair of different texts is scored once, wherever it occurs.
     """
-    forms = F.array_distinct(F.array("effect", F.concat_ws(" ", "condition", "effect")))
-    listed = effects.withColumn("form", F.explode(forms))
-    keys = [*on, "effect_no"]
-    texts = lines.select(*on, "text").filter("text is not null").distinct()
-    if floor > 0:
-        known = listed.select(F.col("form").alias("_e")).filter("_e is not null").distinct()
-        pairs = candidates(texts.select(F.col("text").alias("_t")).distinct(), known, floor)
-    else:
-        pairs = texts.join(listed.select(*on, "form"), list(on)).select(F.col("text").alias("_t"), F.col("form").alias("_e")).distinct()
+    listed = effects.select(*on, "effect_no", F.explode(F.array_distinct(F.array("effect", F.concat_ws(" ", "condition", "effect")))).alias("_e"))
+    texts = stored(lines.select(*on, F.col("text").alias("_t")).filter("text is not null").distinct(), "texts")
+    m, n = F.length("_t"), F.length("_e")
+    pairs = texts.join(listed.select(*on, "_e").distinct(), list(on)).filter((200 * F.least(m, n) >= floor * (m + n)) & F.col("_e").isNotNull()).select("_t", "_e").distinct()
     pairs = pairs.withColumn("score", indel_ratio(F.col("_t"), F.col("_e"))).filter(F.col("score") >= floor)
-    best = pairs.join(listed.select(*keys, F.col("form").alias("_e")), "_e").join(texts.withColumnRenamed("text", "_t"), [*on, "_t"]).groupBy(*keys, F.col("_t").alias("text")).agg(F.max("score").alias("score"))
-    return lines.join(best, [*on, "text"]).join(effects, keys)
+    best = pairs.join(listed, "_e").join(texts, [*on, "_t"])
+    return best.groupBy(*on, F.col("_t").alias("text"), "effect_no").agg(F.max("score").alias("score"))
+
+
+def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
+    """lines (on, line_no, text) x effects (on, effect_no, effect, condition) -> score, as text_scores() finds it."""
+    return lines.join(text_scores(lines, effects, on, floor), [*on, "text"]).join(effects, [*on, "effect_no"])
+
+
+def contenders(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence[str], low_first: bool = False) -> DataFrame:
+    """(by, line_no, effect_no, score): the pairs that an assignment within the groups (by) can take. lines: (by, line_no, text); scores: as of text_scores(), by `on`.
+
+    Each other line of a group takes one effect at most, so a line with n - 1 others gets one of its n best effects, or none. Of equal scores the
+    higher effect counts as better (`low_first`: the lower one).
+    """
+    sized = lines.select(*by, "line_no", "text", F.count("*").over(Window.partitionBy(*by)).cast("int").alias("_n"))
+    most = lines.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))  # one row
+    better = [F.desc("score"), F.asc("effect_no") if low_first else F.desc("effect_no")]
+    ranked = scores.withColumn("_rank", F.row_number().over(Window.partitionBy(*on, "text").orderBy(*better))).join(F.broadcast(most)).filter("_rank <= most")
+    ranked = ranked.groupBy(*on, "text").agg(F.sort_array(F.collect_list(F.struct("_rank", "effect_no", "score"))).alias("_best"))
+    return sized.join(ranked, [*on, "text"]).select(*by, "line_no", F.explode(F.slice("_best", F.lit(1), F.col("_n"))).alias("p")).select(*by, "line_no", "p.effect_no", "p.score")
+
+
+#: Groups of more pairs than this are assigned in rounds.
+_LARGE = 1_000_000
 
 
-def assign_greedy(scores: DataFrame, by: Sequence[str]) -> DataFrame:
+def _take_free(pairs: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The pairs (by, line_no, effect_no, score) that are taken in order, each if its line and its effect are still free. Groups pass sorted; only the lines and effects that the present one has taken are held."""
+    columns, width = [*by, "line_no", "effect_no", "score"], len(by)
+
+    def run(batches):
+        present, lines, effects = None, set(), set()
+        for batch in batches:
+            values, kept = [c.to_pylist() for c in batch.columns[: width + 2]], []
+            for i, (*group, line, effect) in enumerate(zip(*values, strict=True)):
+                if group != present:
+                    present, lines, effects = group, set(), set()
+                if line not in lines and effect not in effects:
+                    lines.add(line)
+                    effects.add(effect)
+                    kept.append(i)
+            yield batch.take(kept)
+
+    rows = pairs.select(*columns)
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, rows.schema)
+
+
+def assign_greedy(scores: DataFrame, by: Sequence[str], large: int = _LARGE) -> DataFrame:
     """1:1 pairs of lines and effects, the best scores first (of equal ones the higher line, then the higher effect), scores above 0 only.
 
-    In rounds: a pair that is the best one left of its line and of its effect is one that the greedy order takes, as that order is total;
-    it is taken, and its line and effect go. No group is gathered, and each round leaves fewer pairs.
+    Groups of up to `large` pairs are sorted and pass once. Larger ones are assigned in rounds: a pair that is the best one left of its line and of its effect is one that the greedy order
+    takes, as that order is total; it is taken, and its line and effect go. No group is gathered, and each round leaves fewer pairs.
     """
     columns = [*by, "line_no", "effect_no", "score"]
-    left = stored(scores.select(*columns).filter("score > 0").distinct(), "pairs")
+    pairs = stored(scores.select(*columns).filter("score > 0"), "pairs")
+    wide = stored(pairs.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > large).select(*by), "wide")
+    order = [F.desc("score"), F.desc("line_no"), F.desc("effect_no")]
+    if wide.isEmpty():
+        return _take_free(pairs, by, order)
+    return _take_free(pairs.join(wide, list(by), "left_anti"), by, order).unionByName(_in_rounds(pairs.join(wide, list(by), "left_semi"), by))
+
+
+def _in_rounds(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    columns = [*by, "line_no", "effect_no", "score"]
+    left = stored(pairs.select(*columns).distinct(), "pairs")
     order, taken = F.struct("score", "line_no", "effect_no"), left.limit(0)
     while not left.isEmpty():
         top = lambda side: F.max(order).over(Window.partitionBy(*by, side)) == order
@@ -180,6 +229,16 @@ def assign_greedy(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return taken
 
 
+def _bounds(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """(by, bound): what no 1:1 assignment of a group's lines (by, text) exceeds. Of the lines with the same best effect one gets it, and each other one its second best score at most."""
+    order = F.row_number().over(Window.partitionBy(*on, "text").orderBy(F.desc("score"), F.desc("effect_no")))
+    at = lambda rank, c: F.max(F.when(F.col("_rank") == rank, F.col(c)))
+    two = scores.withColumn("_rank", order).filter("_rank <= 2").groupBy(*on, "text").agg(at(1, "effect_no").alias("_effect"), at(1, "score").alias("_one"), F.coalesce(at(2, "score"), F.lit(0.0)).alias("_two"))
+    rows = lines.select(*by, "text").join(two, [*on, "text"])
+    per = rows.groupBy(*by, "_effect").agg((F.sum("_two") + F.max(F.col("_one") - F.col("_two"))).alias("_most"))
+    return per.groupBy(*by).agg((F.sum("_most") + 1e-6).alias("bound"))
+
+
 def with_unmatched(pairs: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
     """Assigned pairs (by, line_no, effect_no, score), and the lines (by, line_no) without one with effect_no -1 and score 0."""
     left = lines.select(*by, "line_no").join(pairs, [*by, "line_no"], "left_anti")
@@ -187,13 +246,8 @@ def with_unmatched(pairs: DataFrame, lines: DataFrame, by: Sequence[str]) -> Dat
 
 
 def assign_in_turn(scores: DataFrame, by: Sequence[str], floor: float = 0.0) -> DataFrame:
-    """1:1 pairs, line after line: each takes its best effect that is still free (of equal ones the lower number); another assignment than assign_greedy. A group is a slot's lines times one entry's effects: sessions must be of bounded size."""
-    kinds = {c: scores.schema[c].dataType.simpleString() for c in ("line_no", "effect_no", "score")}
-    none = f"cast(array() as array<struct<{', '.join(f'{c}: {k}' for c, k in kinds.items())}>>)"
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", (-F.col("score")).alias("order"), "effect_no", "score")))
-    pairs = scores.filter(F.col("score") >= floor).groupBy(*by).agg(ordered.alias("pairs"))
-    taken = f"aggregate(pairs, {none}, (taken, x) -> if(exists(taken, p -> p.line_no = x.line_no or p.effect_no = x.effect_no), taken, array_append(taken, named_struct('line_no', x.line_no, 'effect_no', x.effect_no, 'score', x.score))))"
-    return pairs.select(*by, F.expr(f"inline({taken})"))
+    """1:1 pairs, line after line: each takes its best effect that is still free (of equal ones the lower number); another assignment than assign_greedy. A group is a slot's lines times one entry's effects; it passes one task, sorted."""
+    return _take_free(scores.filter(F.col("score") >= floor), by, [F.asc("line_no"), F.desc("score"), F.asc("effect_no")])
 
 
 def effect_text(text: Column, effect: Column, ranged: Column) -> Column:
@@ -212,16 +266,32 @@ def resolve_by_evidence(slots: DataFrame, lines: DataFrame, entries: DataFrame,
     of their effects (pairs above 50), then by name. Accepted with a name of 80 or effects of 120. If no
     candidate has effects, effects alone decide (100 in all); else a name of 80; else none.
     """
-    named = slots.join(entries.select("entry", "slot", "name"), "slot").withColumn("name_score", indel_ratio(F.col("header"), F.col("name")))
-    top = F.max("name_score").over(Window.partitionBy("session", "slot"))
-    candidates = named.withColumn("top", top).filter("name_score >= 30 and name_score >= top - 15").select("session", "slot", "entry", "name_score")
+    # equal headers of a kind of slot are compared with the names once
+    named = slots.select("slot", "header").distinct().join(entries.select("entry", "slot", "name"), "slot").withColumn("name_score", indel_ratio(F.col("header"), F.col("name")))
+    top = F.max("name_score").over(Window.partitionBy("slot", "header"))
+    near = named.withColumn("top", top).filter("name_score >= 30 and name_score >= top - 15").select("slot", "header", "entry", "name_score")
+    candidates = slots.join(near, ["slot", "header"]).select("session", "slot", "entry", "name_score")
     candidates = stored(candidates, "candidates")
 
-    def totals(of: DataFrame) -> DataFrame:
-        pairs = effect_scores(lines.join(of.select("session", "slot", "entry"), ["session", "slot"]), effects, ["entry"], 50.0).filter("score > 50")
-        return assign_greedy(pairs, ["session", "slot", "entry"]).groupBy("session", "slot", "entry").agg(F.sum("score").alias("effect_score"))
+    slot, group = ["session", "slot"], ["session", "slot", "entry"]
 
-    ranked = candidates.join(totals(candidates), ["session", "slot", "entry"], "left").na.fill(0.0, ["effect_score"])
+    def totals(of: DataFrame) -> DataFrame:
+        """effect_score of each slot's entries that can have its greatest: the entry with the greatest bound is assigned first, then those whose bound reaches what that one has."""
+        mine = lines.join(of.select(*group), slot)
+        scores = stored(text_scores(mine, effects, ["entry"], 50.0).filter("score > 50"), "scores")
+        bound = stored(_bounds(mine, scores, group, ["entry"]), "bounds")
+
+        def sums(chosen: DataFrame) -> DataFrame:
+            pairs = contenders(lines.join(chosen.select(*group), slot), scores, group, ["entry"])
+            return stored(assign_greedy(pairs, group).groupBy(*group).agg(F.sum("score").alias("effect_score")), "totals")
+
+        got = sums(bound.groupBy(*slot).agg(F.max_by("entry", F.struct("bound", "entry")).alias("entry")))
+        more = bound.join(got.select(*slot, F.col("entry").alias("done"), F.col("effect_score").alias("least")), slot).filter("entry <> done and bound >= least")
+        return got.unionByName(sums(more))
+
+    scored = stored(totals(candidates), "scored")
+    # where an entry has effects, those that can't have the most are out
+    ranked = candidates.join(scored, group, "left").join(scored.select(*slot).distinct().withColumn("any", F.lit(True)), slot, "left").filter("effect_score is not null or any is null").drop("any").na.fill(0.0, ["effect_score"])
     best = F.min_by(F.struct("entry", "name_score", "effect_score"), F.struct((-F.col("effect_score")).alias("a"), (-F.col("name_score")).alias("b"), "entry"))
     first = stored(ranked.groupBy("session", "slot").agg(best.alias("x")).select("session", "slot", "x.*"), "first")
     # effects alone decide only where no candidate has any: the other slots aren't compared with all entries
@@ -239,34 +309,37 @@ def resolve_by_evidence(slots: DataFrame, lines: DataFrame, entries: DataFrame,
 def resolve_by_effects(lines: DataFrame, entries: DataFrame, effects: DataFrame) -> DataFrame:
     """The entry with the greatest matched score per effect (50 at least; matches above 60, taken in turn): of the slot's entries first, then of all.
 
-    No entry's total exceeds the sum of its effects' best scores, nor that of its lines' best scores. The entry with the greatest bound of a slot is
-    assigned first; then only those whose bound reaches what that one has.
+    A slot of n lines has a total of 100 n at most, so entries with more than 2 n effects are out before anything is compared; the others are bounded by their lines' best and
+    second best scores. The entry with the greatest bound of a slot is assigned first; then only those whose bound reaches what that one has.
     """
-    n = effects.groupBy("entry").agg(F.count("*").alias("n_effects"))
-    slot = ["session", "slot"]
-
-    def per_effect(scores: DataFrame) -> DataFrame:
-        total = assign_in_turn(scores, [*slot, "entry"]).groupBy(*slot, "entry").agg(F.sum("score").alias("total"))
-        return total.join(n, "entry").withColumn("per_effect", F.col("total") / F.col("n_effects"))
-
-    def best(pairs_of: DataFrame) -> DataFrame:
-        scores = stored(effect_scores(pairs_of, effects, ["entry"], 60.0).filter("score > 60").select(*slot, "entry", "line_no", "effect_no", "score"), "scores")
-        sums = [scores.groupBy(*slot, "entry", side).agg(F.max("score").alias("m")).groupBy(*slot, "entry").agg(F.sum("m").alias(f"by_{side}")) for side in ("line_no", "effect_no")]
-        bound = sums[0].join(sums[1], [*slot, "entry"]).join(n, "entry").withColumn("bound", F.least("by_line_no", "by_effect_no") / F.col("n_effects") + 1e-9).filter("bound >= 50")
-        bound = stored(bound.select(*slot, "entry", "bound"), "bounds")
-        first = bound.groupBy(*slot).agg(F.max_by("entry", "bound").alias("entry"))
-        got = stored(per_effect(scores.join(first, [*slot, "entry"], "left_semi")), "first")
+    n = stored(effects.groupBy("entry").agg(F.count("*").alias("n_effects")), "sizes")
+    slot, group = ["session", "slot"], ["session", "slot", "entry"]
+    counts = lines.groupBy(*slot).agg(F.count("*").alias("n_lines"))
+
+    def best(named: DataFrame, column: str) -> DataFrame:
+        """The best of the entries of the kind of slot in `column`."""
+        kinds = named.select(*slot, F.col(column).alias("_kind")).distinct()
+        possible = kinds.join(counts, slot).join(entries.select("entry", F.col("slot").alias("_kind")).join(n, "entry"), "_kind").filter("100 * n_lines + 1e-6 >= 50 * n_effects")
+        possible = stored(possible.select(*group, "n_effects"), "possible")
+        mine = lines.join(possible.select(*group), slot)
+        scores = stored(text_scores(mine, effects, ["entry"], 60.0).filter("score > 60"), "scores")
+        bound = _bounds(mine, scores, group, ["entry"]).join(n, "entry").withColumn("bound", F.col("bound") / F.col("n_effects")).filter("bound >= 50")
+        bound = stored(bound.select(*group, "bound"), "bounds")
+
+        def per_effect(chosen: DataFrame) -> DataFrame:
+            pairs = contenders(lines.join(chosen.select(*group), slot), scores, group, ["entry"], low_first=True)
+            total = assign_in_turn(pairs, group).groupBy(*group).agg(F.sum("score").alias("total"))
+            return stored(total.join(n, "entry").select(*group, (F.col("total") / F.col("n_effects")).alias("per_effect")), "per_effect")
+
+        got = per_effect(bound.groupBy(*slot).agg(F.max_by("entry", F.struct("bound", "entry")).alias("entry")))
         more = bound.join(got.select(*slot, F.col("entry").alias("done"), F.col("per_effect").alias("least")), slot).filter("entry <> done and bound >= least")
-        every = got.unionByName(per_effect(scores.join(more.select(*slot, "entry"), [*slot, "entry"], "left_semi"))).filter("per_effect >= 50")
+        every = got.unionByName(per_effect(more)).filter("per_effect >= 50")
         return every.groupBy(*slot).agg(F.min_by(F.struct("entry", "per_effect"), F.struct((-F.col("per_effect")).alias("a"), "entry")).alias("x")).select(*slot, "x.*")
 
-    own = stored(best(lines.join(entries.select("entry", "slot"), "slot")), "own")
-    left = stored(lines.join(own, slot, "left_anti"), "left")
-    if left.isEmpty():
-        return own
-    # every line with the entries of the other slot: an equi-join on the flipped slot
-    other = best(left.withColumn("other", 1 - F.col("slot")).join(entries.select("entry", F.col("slot").alias("other")), "other").drop("other"))
-    return own.unionByName(other)
+    own = stored(best(lines, "slot"), "own")
+    left = lines.join(own, slot, "left_anti")
+    # every other slot with the entries of the other kind
+    return own.unionByName(best(left.withColumn("other", 1 - F.col("slot")), "other"))
 
 
 def resolve_by_priority(sources: Sequence[tuple[str, DataFrame]], keys: DataFrame, entries: DataFrame) -> DataFrame:
@@ -285,8 +358,8 @@ def resolve_by_priority(sources: Sequence[tuple[str, DataFrame]], keys: DataFram
 def fill_template(lines: DataFrame, resolved: DataFrame, effects: DataFrame) -> DataFrame:
     """Matched lines in order (scores of 50 at least, each effect once) with their dictionary effect, then the entry's other effects without a line."""
     mine = lines.join(resolved.select("session", "slot", "entry"), ["session", "slot"])
-    scores = effect_scores(mine, effects, ["entry"], 50.0)
-    taken = assign_in_turn(scores, ["session", "slot", "entry"], 50.0)
+    scores = stored(text_scores(mine, effects, ["entry"], 50.0), "scores")
+    taken = stored(assign_in_turn(contenders(mine, scores, ["session", "slot", "entry"], ["entry"], low_first=True), ["session", "slot", "entry"], 50.0), "taken")
     texts = lines.select("session", "slot", "line_no", "text")
     matched = taken.join(texts, ["session", "slot", "line_no"]).join(effects, ["entry", "effect_no"])
     blank = resolved.select("session", "slot", "entry").join(effects, "entry").join(taken, ["session", "slot", "entry", "effect_no"], "left_anti")
