@@ -124,7 +124,8 @@ def _settle(lifetime: str):
             for at, is_code, text in zip(frame["at"], frame["is_code"], frame["text"], strict=True):
                 (codes if is_code else messages).add((int(pd.Timestamp(at).value // 1000), text))
         ordered = sorted(codes)
-        ends = [min(at + lasts, after) for (at, _), after in zip(ordered, [*(x[0] for x in ordered[1:]), 1 << 62], strict=True)]
+        following = [*(x[0] for x in ordered[1:]), 1 << 62][: len(ordered)]  # a user whose messages come before any code has none
+        ends = [min(at + lasts, after) for (at, _), after in zip(ordered, following, strict=True)]
         hits = [t for t, text in messages for (at, c), end in zip(ordered, ends, strict=True) if at <= t < end and c in text]
         best = min([*hits, *([found] if found is not None else [])], default=None)
         row = lambda final: pd.DataFrame({"user_id": [key[0]], "verified_at": [pd.Timestamp(best * 1000) if best is not None else pd.NaT], "final": [final]})

@@ -68,3 +68,19 @@ def test_names_of_seven_digits(spark, tmp_path):
     spark.createDataFrame([(k, f"name {k}", "Brand#1", "SMALL", 1, 1.0) for k in keys], SCHEMAS["part"]).write.parquet(f"{tmp_path}/part.parquet")
     got = sorted((tuple(r) for r in QUERIES["src_image_label_pairs"](spark, str(tmp_path)).collect()), key=lambda r: r[2])
     assert got == [("d/000001.png", "name 1", 1), ("d/100001.png", "name 100001", 2), ("d/100001.png", "name 1000011", 3), ("d/100001.png", "name 1000012", 4), ("d/100001.png", "name 1000014", 5)]
+
+
+def test_messages_before_any_code(spark, tmp_path):
+    """A user whose messages arrive in a batch without a code of theirs; before, that failed."""
+    from pyspark.sql import functions as F
+
+    from bazaarlake.streaming.jobs import stream_verified
+
+    for kind, column, user, text in (("said", "message", 1, "v-7"), ("codes", "code", 2, "7")):
+        times = spark.createDataFrame([(user, text)], f"user_id long, {column} string").withColumn("sent_at" if kind == "said" else "issued_at", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+        times.write.parquet(f"{tmp_path}/{kind}")
+    said = spark.readStream.schema("user_id long, message string, sent_at timestamp_ntz").parquet(f"{tmp_path}/said")
+    codes = spark.readStream.schema("user_id long, code string, issued_at timestamp_ntz").parquet(f"{tmp_path}/codes")
+    updates = stream_verified(said, codes).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+    updates.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema("user_id long, verified_at timestamp_ntz, final boolean").parquet(f"{tmp_path}/out").filter("verified_at is not null").count() == 0
