@@ -171,11 +171,12 @@ def rec_user_history(t):
 
 
 def _arriving(t, view: str, columns: str):
-    """A view as a stream: its rows are written as files, which a file source reads."""
+    """A view as a stream: its rows are written as files, which a file source reads in four batches at most. More of a larger table would each touch most of its users, so the calls would grow faster than it."""
     path = scratch_table(t.spark, view)
     rows = t.sql(f"SELECT {columns} FROM {view}")
     rows.write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    files = len(t.spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(4, -(-files // 4))).parquet(path)
 
 
 def _sink(t, stream, what, mode="append"):

@@ -84,3 +84,20 @@ def test_messages_before_any_code(spark, tmp_path):
     updates = stream_verified(said, codes).writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
     updates.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.schema("user_id long, verified_at timestamp_ntz, final boolean").parquet(f"{tmp_path}/out").filter("verified_at is not null").count() == 0
+
+
+def test_batches_are_few(spark, tmp_path):
+    """However many files a view is written to, they arrive in four batches at most."""
+    from bazaarlake.plans.training import _arriving
+    from bazaarlake.sources.tables import SCHEMAS, Tables
+
+    rows = [(i, None, i, "signup", 1.0, "{}") for i in range(24)]
+    spark.createDataFrame(rows, SCHEMAS["events"]).repartition(24).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        stream = _arriving(Tables(spark, str(tmp_path)), "code_requests", "user_id, code, issued_at")
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) <= 4 and sum(p["numInputRows"] for p in query.recentProgress) == 24
