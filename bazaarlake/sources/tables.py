@@ -119,11 +119,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the stored tables for which a shuffle has a partition to begin with, and what Spark joins small ones up to, unless the session says so.
+PARTITION_BYTES, JOINED = 4_000_000, "16m"
+
+
+def fit_partitions(spark: SparkSession, sf_dir: str) -> None:
+    """Shuffles begin with partitions in proportion to the folder's bytes, of which Spark joins small ones: so what a task sorts or gathers stays about the same, however large the tables. Holds for the session until the next folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    size = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(least, -(-size // PARTITION_BYTES))))
+    if spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) is None:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", JOINED)
+
+
 class Tables:
     """Tables and views of a folder as attributes."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, views: dict[str, str] = VIEWS):
         self.spark, self.sf_dir, self.views = spark, sf_dir, views
+        fit_partitions(spark, sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -101,3 +101,17 @@ def test_batches_are_few(spark, tmp_path):
     query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) <= 4 and sum(p["numInputRows"] for p in query.recentProgress) == 24
+
+
+def test_partitions_follow_the_tables(spark, tmp_path, monkeypatch):
+    """A larger folder's shuffles begin with more partitions; before, a task's share grew with the tables."""
+    from bazaarlake.sources import tables as T
+
+    spark.range(200_000).selectExpr("id as l_orderkey", "uuid() as x").write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(T, "PARTITION_BYTES", 100_000, raising=False)
+    T.Tables(spark, str(tmp_path))
+    many = int(spark.conf.get(key, "0"))
+    monkeypatch.setattr(T, "PARTITION_BYTES", 1 << 40, raising=False)
+    T.Tables(spark, str(tmp_path))
+    assert many > 30 and int(spark.conf.get(key)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
