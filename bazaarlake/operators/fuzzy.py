@@ -7,9 +7,12 @@ that can't reach the cutoff before anything is scored (can_reach); no match is l
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby, pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bazaarlake.functions.similarity import can_reach, indel_ratio, partial_ratio
 from bazaarlake.functions.text import bullet, enchant_header, inject_numbers, jamo, name_and_levels, normalize_numbers, numbers
@@ -161,8 +164,8 @@ def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor
     return lines.join(text_scores(lines, effects, on, floor), [*on, "text"]).join(effects, [*on, "effect_no"])
 
 
-def contenders(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence[str], low_first: bool = False) -> DataFrame:
-    """(by, line_no, effect_no, score): the pairs that an assignment within the groups (by) can take. lines: (by, line_no, text); scores: as of text_scores(), by `on`.
+def contender_lists(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence[str], low_first: bool = False) -> DataFrame:
+    """(by, line_no, effects, scores): for each line the pairs that an assignment within the groups (by) can take, the best first. lines: (by, line_no, text); scores: as of text_scores(), by `on`.
 
     Each other line of a group takes one effect at most, so a line with n - 1 others gets one of its n best effects, or none. Of equal scores the
     higher effect counts as better (`low_first`: the lower one).
@@ -172,47 +175,113 @@ def contenders(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Seque
     better = [F.desc("score"), F.asc("effect_no") if low_first else F.desc("effect_no")]
     ranked = scores.withColumn("_rank", F.row_number().over(Window.partitionBy(*on, "text").orderBy(*better))).join(F.broadcast(most)).filter("_rank <= most")
     ranked = ranked.groupBy(*on, "text").agg(F.sort_array(F.collect_list(F.struct("_rank", "effect_no", "score"))).alias("_best"))
-    return sized.join(ranked, [*on, "text"]).select(*by, "line_no", F.explode(F.slice("_best", F.lit(1), F.col("_n"))).alias("p")).select(*by, "line_no", "p.effect_no", "p.score")
+    ranked = ranked.select(*on, "text", F.col("_best.effect_no").alias("_effects"), F.col("_best.score").alias("_scores"))
+    first = lambda c: F.slice(c, F.lit(1), F.col("_n"))
+    return sized.join(ranked, [*on, "text"]).select(*by, "line_no", first("_effects").alias("effects"), first("_scores").alias("scores"))
+
+
+def contenders(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence[str], low_first: bool = False) -> DataFrame:
+    """(by, line_no, effect_no, score): the pairs of contender_lists(), a row for each."""
+    return _unpacked(contender_lists(lines, scores, by, on, low_first), by)
+
+
+def _unpacked(lists: DataFrame, by: Sequence[str]) -> DataFrame:
+    return lists.select(*by, "line_no", F.explode(F.arrays_zip("effects", "scores")).alias("p")).select(*by, "line_no", F.col("p.effects").alias("effect_no"), F.col("p.scores").alias("score"))
+
+
+def _packed(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Lists (by, line_no, effects, scores) as they are; pairs (by, line_no, effect_no, score) become a list for each line."""
+    if "effects" in pairs.columns:
+        return pairs.select(*by, "line_no", "effects", "scores")
+    return pairs.groupBy(*by, "line_no").agg(F.collect_list(F.struct("effect_no", "score")).alias("p")).select(*by, "line_no", F.col("p.effect_no").alias("effects"), F.col("p.score").alias("scores"))
 
 
 #: Groups of more pairs than this are assigned in rounds.
 _LARGE = 1_000_000
 
 
-def _take_free(pairs: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The pairs (by, line_no, effect_no, score) that are taken in order, each if its line and its effect are still free. Groups pass sorted; only the lines and effects that the present one has taken are held."""
-    columns, width = [*by, "line_no", "effect_no", "score"], len(by)
+def _by_best(lines: dict) -> list[tuple]:
+    """The greedy pairs (line, effect, score) of a group. lines: line -> its pairs (score, effect), the best last. A line asks for its best effect, which stays with the best (score, line) that
+    has asked; who loses it asks for their next one. As the order of pairs is total, that ends with the pairs that the greedy order takes, after a look at few of them."""
+    holders, waiting = {}, list(lines)
+    while waiting:
+        line = waiting.pop()
+        while lines[line]:
+            score, effect = lines[line].pop()
+            other = holders.get(effect)
+            if other is None or other < (score, line):
+                holders[effect] = score, line
+                if other is not None:
+                    waiting.append(other[1])
+                break
+    return [(line, effect, score) for effect, (score, line) in holders.items()]
+
+
+def _in_turn(lines) -> list[tuple]:
+    """As _by_best, but (line, pairs) in order, each taking its best effect that is left, of equal ones the lower number."""
+    taken = {}
+    for line, pairs in lines:
+        free = [x for x in pairs if x[1] not in taken]
+        if free:
+            score, effect = min(free, key=lambda x: (-x[0], x[1]))
+            taken[effect] = line, effect, score
+    return list(taken.values())
+
+
+def _items(column: pa.ListArray) -> list[list]:
+    """The lists of a column without null lists; a scalar for each value would take most of the time."""
+    values, ends = column.values, column.offsets.to_pylist()
+    values = values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False).tolist()
+    return [values[a:b] for a, b in pairwise(ends)]
+
+
+def _take_free(lists: DataFrame, by: Sequence[str], greedy: bool, floor: float = 0.0) -> DataFrame:
+    """The pairs (by, line_no, effect_no, score) that are taken, of scores above 0 (greedy) or `floor` at least. lists: (by, line_no, effects, scores). A line is a row, and groups pass one after the other."""
+    rows = _unpacked(lists, by)
+    form, width = to_arrow_schema(rows.schema), len(by)
+
+    def lines(batches):
+        """(group, line, pairs (score, effect)); rows of the same line are one."""
+        last, pairs = None, []
+        for batch in batches:
+            for *key, effects, scores in zip(*(c.to_pylist() for c in batch.columns[:-2]), *map(_items, batch.columns[-2:]), strict=True):
+                if key != last:
+                    if last is not None:
+                        yield last[:width], last[width], pairs
+                    last, pairs = key, []
+                pairs += [(s, e) for s, e in zip(scores, effects, strict=True) if s is not None and (s > 0 if greedy else s >= floor)]
+        if last is not None:
+            yield last[:width], last[width], pairs
 
     def run(batches):
-        present, lines, effects = None, set(), set()
-        for batch in batches:
-            values, kept = [c.to_pylist() for c in batch.columns[: width + 2]], []
-            for i, (*group, line, effect) in enumerate(zip(*values, strict=True)):
-                if group != present:
-                    present, lines, effects = group, set(), set()
-                if line not in lines and effect not in effects:
-                    lines.add(line)
-                    effects.add(effect)
-                    kept.append(i)
-            yield batch.take(kept)
+        found = []
+        for group, members in groupby(lines(batches), key=lambda x: x[0]):
+            taken = _by_best({line: sorted(pairs) for _, line, pairs in members}) if greedy else _in_turn((line, pairs) for _, line, pairs in members)
+            found += [(*group, *pair) for pair in taken]
+            if len(found) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), form, strict=True)], schema=form)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), form, strict=True)], schema=form)
 
-    rows = pairs.select(*columns)
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, rows.schema)
+    return lists.repartition(*by).sortWithinPartitions(*by, "line_no").mapInArrow(run, rows.schema)
 
 
 def assign_greedy(scores: DataFrame, by: Sequence[str], large: int = _LARGE) -> DataFrame:
-    """1:1 pairs of lines and effects, the best scores first (of equal ones the higher line, then the higher effect), scores above 0 only.
+    """1:1 pairs of lines and effects, the best scores first (of equal ones the higher line, then the higher effect), scores above 0 only. scores: pairs (by, line_no, effect_no, score), or a list of them for each line (by, line_no, effects, scores).
 
-    Groups of up to `large` pairs are sorted and pass once. Larger ones are assigned in rounds: a pair that is the best one left of its line and of its effect is one that the greedy order
-    takes, as that order is total; it is taken, and its line and effect go. No group is gathered, and each round leaves fewer pairs.
+    Groups of up to `large` pairs pass a task, a row for each line. Larger ones are assigned in rounds: a pair that is the best one left of its line and of its effect is one that the greedy order
+    takes, as that order is total; it is taken, and its line and effect go. No group of those is gathered, and each round leaves fewer pairs.
     """
-    columns = [*by, "line_no", "effect_no", "score"]
-    pairs = stored(scores.select(*columns).filter("score > 0"), "pairs")
-    wide = stored(pairs.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > large).select(*by), "wide")
-    order = [F.desc("score"), F.desc("line_no"), F.desc("effect_no")]
+    listed = "effects" in scores.columns
+    pairs = stored(_packed(scores, by) if listed else scores.select(*by, "line_no", "effect_no", "score").filter("score > 0"), "pairs")
+    size = F.sum(F.size("effects")) if listed else F.count("*")
+    wide = stored(pairs.groupBy(*by).agg(size.alias("n")).filter(F.col("n") > large).select(*by), "wide")
     if wide.isEmpty():
-        return _take_free(pairs, by, order)
-    return _take_free(pairs.join(wide, list(by), "left_anti"), by, order).unionByName(_in_rounds(pairs.join(wide, list(by), "left_semi"), by))
+        return _take_free(_packed(pairs, by), by, True)
+    wider = pairs.join(wide, list(by), "left_semi")
+    wider = _unpacked(wider, by).filter("score > 0") if listed else wider
+    return _take_free(_packed(pairs.join(wide, list(by), "left_anti"), by), by, True).unionByName(_in_rounds(wider, by))
 
 
 def _in_rounds(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -241,13 +310,14 @@ def _bounds(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence
 
 def with_unmatched(pairs: DataFrame, lines: DataFrame, by: Sequence[str]) -> DataFrame:
     """Assigned pairs (by, line_no, effect_no, score), and the lines (by, line_no) without one with effect_no -1 and score 0."""
+    pairs = stored(pairs, "assigned")
     left = lines.select(*by, "line_no").join(pairs, [*by, "line_no"], "left_anti")
     return pairs.unionByName(left.withColumns({"effect_no": F.lit(-1).cast(pairs.schema["effect_no"].dataType), "score": F.lit(0.0)}))
 
 
 def assign_in_turn(scores: DataFrame, by: Sequence[str], floor: float = 0.0) -> DataFrame:
-    """1:1 pairs, line after line: each takes its best effect that is still free (of equal ones the lower number); another assignment than assign_greedy. A group is a slot's lines times one entry's effects; it passes one task, sorted."""
-    return _take_free(scores.filter(F.col("score") >= floor), by, [F.asc("line_no"), F.desc("score"), F.asc("effect_no")])
+    """1:1 pairs, line after line: each takes its best effect that is still free (of equal ones the lower number); another assignment than assign_greedy. scores: as there, of `floor` at least. A group is a slot's lines times one entry's effects; it passes one task, a row for each line."""
+    return _take_free(_packed(scores, by), by, False, floor)
 
 
 def effect_text(text: Column, effect: Column, ranged: Column) -> Column:
@@ -282,7 +352,7 @@ def resolve_by_evidence(slots: DataFrame, lines: DataFrame, entries: DataFrame,
         bound = stored(_bounds(mine, scores, group, ["entry"]), "bounds")
 
         def sums(chosen: DataFrame) -> DataFrame:
-            pairs = contenders(lines.join(chosen.select(*group), slot), scores, group, ["entry"])
+            pairs = contender_lists(lines.join(chosen.select(*group), slot), scores, group, ["entry"])
             return stored(assign_greedy(pairs, group).groupBy(*group).agg(F.sum("score").alias("effect_score")), "totals")
 
         got = sums(bound.groupBy(*slot).agg(F.max_by("entry", F.struct("bound", "entry")).alias("entry")))
@@ -327,7 +397,7 @@ def resolve_by_effects(lines: DataFrame, entries: DataFrame, effects: DataFrame)
         bound = stored(bound.select(*group, "bound"), "bounds")
 
         def per_effect(chosen: DataFrame) -> DataFrame:
-            pairs = contenders(lines.join(chosen.select(*group), slot), scores, group, ["entry"], low_first=True)
+            pairs = contender_lists(lines.join(chosen.select(*group), slot), scores, group, ["entry"], low_first=True)
             total = assign_in_turn(pairs, group).groupBy(*group).agg(F.sum("score").alias("total"))
             return stored(total.join(n, "entry").select(*group, (F.col("total") / F.col("n_effects")).alias("per_effect")), "per_effect")
 
@@ -359,7 +429,7 @@ def fill_template(lines: DataFrame, resolved: DataFrame, effects: DataFrame) ->
     """Matched lines in order (scores of 50 at least, each effect once) with their dictionary effect, then the entry's other effects without a line."""
     mine = lines.join(resolved.select("session", "slot", "entry"), ["session", "slot"])
     scores = stored(text_scores(mine, effects, ["entry"], 50.0), "scores")
-    taken = stored(assign_in_turn(contenders(mine, scores, ["session", "slot", "entry"], ["entry"], low_first=True), ["session", "slot", "entry"], 50.0), "taken")
+    taken = stored(assign_in_turn(contender_lists(mine, scores, ["session", "slot", "entry"], ["entry"], low_first=True), ["session", "slot", "entry"], 50.0), "taken")
     texts = lines.select("session", "slot", "line_no", "text")
     matched = taken.join(texts, ["session", "slot", "line_no"]).join(effects, ["entry", "effect_no"])
     blank = resolved.select("session", "slot", "entry").join(effects, "entry").join(taken, ["session", "slot", "entry", "effect_no"], "left_anti")

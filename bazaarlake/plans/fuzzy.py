@@ -141,7 +141,7 @@ def fz_effect_scores(t):
 
 def _assigned(t):
     by, lines = ["session", "slot", "entry"], _candidates(t)
-    return Z.assign_greedy(Z.contenders(lines, Z.text_scores(lines, t.sql(_EFFECTS), ["entry"]), by, ["entry"]), by)
+    return Z.assign_greedy(Z.contender_lists(lines, Z.text_scores(lines, t.sql(_EFFECTS), ["entry"]), by, ["entry"]), by)
 
 
 @query(f"""WITH RECURSIVE {_MATRIX}, {_GREEDY} SELECT session, slot, line_no, entry, effect_no, score FROM assigned

@@ -115,3 +115,46 @@ def test_partitions_follow_the_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "PARTITION_BYTES", 1 << 40, raising=False)
     T.Tables(spark, str(tmp_path))
     assert many > 30 and int(spark.conf.get(key)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_assignments_pass_a_row_for_each_line(spark, drawn, monkeypatch):
+    """Tasks get a line's pairs as one row (before, a row for each pair), from contenders and from pairs; lists that are too large go in rounds."""
+    lines, scores = drawn
+    seen, take = [], Z._take_free
+    monkeypatch.setattr(Z, "_take_free", lambda lists, *rest: seen.append(lists.count()) or take(lists, *rest))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    every = lines.join(scores, ["entry", "text"]).select(*GROUP, "line_no", "effect_no", "score")
+    lists = Z.contender_lists(lines, scores, GROUP, ["entry"])
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (-r["score"], -r["line_no"], -r["effect_no"])):
+        taken = want.setdefault(tuple(r)[:3], {})
+        if r["line_no"] not in taken and r["effect_no"] not in {e for e, _ in taken.values()}:
+            taken[r["line_no"]] = r["effect_no"], r["score"]
+    want = sorted((*group, line, *pair) for group, taken in want.items() for line, pair in taken.items())
+    assert want == rows(Z.assign_greedy(lists, GROUP)) == rows(Z.assign_greedy(every, GROUP))
+    assert rows(Z.assign_in_turn(every, GROUP)) == rows(Z.assign_in_turn(Z.contender_lists(lines, scores, GROUP, ["entry"], low_first=True), GROUP))
+    assert seen == [lines.count()] * 4
+    assert want == rows(Z.assign_greedy(lists, GROUP, large=5)) == rows(Z.assign_greedy(lists, GROUP, large=0))
+
+
+def test_rows_of_one_line_are_one(spark):
+    """A line that comes twice takes one effect, the best of both rows; nothing is taken at a score of 0."""
+    rows = [(1, 1, [3, 2], [90.0, 80.0]), (1, 1, [2, 3], [95.0, 0.0]), (1, 2, [2, 3], [94.0, 10.0]), (1, 3, [], []), (2, 4, [1], [0.0])]
+    lists = spark.createDataFrame(rows, "g int, line_no int, effects array<int>, scores array<double>")
+    assert sorted(map(tuple, Z.assign_greedy(lists, ["g"]).collect())) == [(1, 1, 2, 95.0), (1, 2, 3, 10.0)]
+    assert sorted(map(tuple, Z.assign_in_turn(lists, ["g"]).collect())) == [(1, 1, 2, 95.0), (1, 2, 3, 10.0), (2, 4, 1, 0.0)]
+
+
+def test_unmatched_lines_do_not_assign_again(spark, tmp_path):
+    """The assigned pairs are read twice, for themselves and for the lines without one, but found once."""
+    path = str(tmp_path / "runs")
+
+    def run(batches):
+        with open(path, "a") as f:
+            f.write("x")
+        yield from batches
+
+    pairs = spark.createDataFrame([(1, 1, 1, 30.0)], "session int, line_no int, effect_no int, score double").coalesce(1).mapInArrow(run, "session int, line_no int, effect_no int, score double")
+    lines = spark.createDataFrame([(1, 1), (1, 2)], "session int, line_no int")
+    assert sorted(map(tuple, Z.with_unmatched(pairs, lines, ["session"]).collect())) == [(1, 1, 1, 30.0), (1, 2, -1, 0.0)]
+    assert open(path).read() == "x"
