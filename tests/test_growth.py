@@ -158,3 +158,16 @@ def test_unmatched_lines_do_not_assign_again(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1), (1, 2)], "session int, line_no int")
     assert sorted(map(tuple, Z.with_unmatched(pairs, lines, ["session"]).collect())) == [(1, 1, 1, 30.0), (1, 2, -1, 0.0)]
     assert open(path).read() == "x"
+
+
+def test_corrections_pass_a_row_for_each_line(spark, tmp_path, monkeypatch):
+    """fz_effect_correct assigns a row for each line; before, one for each of a line's 20 best pairs."""
+    from bazaarlake.plans import QUERIES
+    from bazaarlake.sources.tables import SCHEMAS
+
+    rows = [(i, f"name {i % 7}", f"Brand#{i // 40 + 1}", ("LARGE", "SMALL")[i % 3 == 0], 1, 1.0) for i in range(80)]
+    spark.createDataFrame(rows, SCHEMAS["part"]).write.parquet(f"{tmp_path}/part.parquet")
+    seen, take = [], Z._take_free
+    monkeypatch.setattr(Z, "_take_free", lambda lists, *rest: seen.append(lists.count()) or take(lists, *rest))
+    got = QUERIES["fz_effect_correct"](spark, str(tmp_path)).collect()
+    assert 0 < len(got) <= len({r["line_no"] for r in got}) and len(got) <= seen[0] <= 80
