@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bazaarlake.functions.similarity import indel_ratio
+from bazaarlake.functions.similarity import indel_ratio, ratio
 from bazaarlake.functions.text import enchant_header, name_and_levels
 from bazaarlake.operators.fuzzy import best_match
 
@@ -76,28 +75,49 @@ def set_effects(lines: DataFrame, names: DataFrame, cutoff: float = 90) -> DataF
 def _values(rest: Column, kind: str) -> list[Column]:
     """The number of an attribute. range: behind the first ~ or / between two numbers; fraction: behind such a /; percent: in front of a percent sign; sum: both
     sides of a plus, in two columns, or one number; first: the first number. Null where the form isn't met."""
-    number = lambda pattern: _part(rest, pattern, 1).cast("double")
+    number = lambda pattern: F.regexp_extract(rest, pattern, 1).try_cast("double")
     first = number(r"(\d+(?:\.\d+)?)")
     if kind == "sum":
-        both = F.regexp_extract(rest, r"\d+\s*\+\s*\d+", 0)
-        sides = F.transform(F.split(both, r"\+"), lambda x: F.trim(x).try_cast("double"))
-        return [F.when(both != "", sides[0]).otherwise(first), F.get(sides, F.lit(1))]
+        return [F.coalesce(number(r"(\d+)\s*\+\s*\d+"), first), number(r"\d+\s*\+\s*(\d+)")]
     return [{"range": number(r"\d\s*[/~]\s*(\d+)"), "fraction": number(r"\d\s*/\s*(\d+)"), "percent": number(r"(\d+(?:\.\d+)?)\s*%")}.get(kind, first)]
 
 
+def _nearest(labels: dict[str, str], cutoff: float):
+    """(head, end) -> the label that most resembles the head's beginning of its length (the first of equal ones), null below the cutoff; only labels that end before `end` count. A batch's different heads are compared once."""
+
+    def best(head: str | None, end: int | None) -> str | None:
+        scores = [ratio(head[: len(name)], name) if head is not None and end > len(name) else 0.0 for name in labels]
+        top = max(scores)
+        return list(labels)[scores.index(top)] if top >= cutoff else None
+
+    def run(head: pd.Series, end: pd.Series) -> pd.Series:
+        known: dict[tuple, str | None] = {}
+        out = []
+        for pair in zip(head, end, strict=True):
+            if pair not in known:
+                known[pair] = best(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype="object")
+
+    # so that the filter on the label stays behind it: in front, it would call the function once more for each line
+    return F.pandas_udf(run, "string").asNondeterministic()
+
+
 def item_attributes(lines: DataFrame, by: str, labels: dict[str, str], cutoff: float = 70) -> DataFrame:
     """lines (by, text): a label (from a short fixed list, each with a kind of value) that resembles the text's beginning of its length, something being behind it; one column per label, and additional_<label> for the right side of a sum."""
-    scored = lines
-    for name in labels:
-        long = F.length(F.trim(F.substring(F.col("text"), F.lit(len(name) + 1), F.length("text")))) > 0
-        scored = scored.withColumn(f"s_{name}", F.when(long, indel_ratio(F.substring("text", 1, len(name)), F.lit(name))).otherwise(0.0))
-    top = F.greatest(*[F.col(f"s_{name}") for name in labels]) if len(labels) > 1 else F.col(f"s_{next(iter(labels))}")
-    scored = scored.withColumn("top", top).filter(F.col("top") >= cutoff)
-    which = reduce(lambda acc, name: F.when(F.col(f"s_{name}") == F.col("top"), name).otherwise(acc), reversed(labels), F.lit(None).cast("string"))
-    scored = scored.withColumn("label", which)
+    longest = max(map(len, labels))
+    # what is behind the last character that is no blank doesn't matter, nor where that is beyond the longest label
+    end = F.coalesce(F.least(F.length(F.rtrim("text")), F.lit(longest + 1)), F.lit(0))
+    scored = lines.withColumn("label", _nearest(labels, cutoff)(F.substring("text", 1, longest), end)).filter("label is not null")
+    # a line has one label, so one value: each kind's patterns stand once in the plan
+    rest, kinds = F.substring("text", F.length("label") + 1, F.length("text")), {}
+    for name, kind in labels.items():
+        kinds.setdefault(kind, []).append(name)
+    of_kind = lambda i: F.coalesce(*[F.when(F.col("label").isin(names), _values(rest, kind)[i]) for kind, names in kinds.items() if i == 0 or kind == "sum"])
+    valued = scored.select(by, "label", of_kind(0).alias("value"), *([of_kind(1).alias("more")] if "sum" in kinds else []))
     columns = []
     for name, kind in labels.items():
-        rest = F.substring(F.col("text"), F.lit(len(name) + 1), F.length("text"))
-        for value, column in zip(_values(rest, kind), (name, f"additional_{name}"), strict=False):
-            columns.append(F.max(F.when(F.col("label") == name, value)).alias(column))
-    return scored.groupBy(by).agg(*columns)
+        columns.append(F.max(F.when(F.col("label") == name, F.col("value"))).alias(name))
+        if kind == "sum":
+            columns.append(F.max(F.when(F.col("label") == name, F.col("more"))).alias(f"additional_{name}"))
+    return valued.groupBy(by).agg(*columns)

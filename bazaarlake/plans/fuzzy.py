@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlake.functions.similarity import register_fz_ratio
@@ -254,10 +251,12 @@ def ext_set_effects(t):
 @query("""SELECT id AS session, CAST(damage AS DOUBLE) AS damage, CAST(defense AS DOUBLE) AS defense, CASE WHEN id % 2 = 0 THEN CAST(price % 100 AS DOUBLE) END AS balance, CASE WHEN id % 3 <> 0 THEN CAST(price % 30 AS DOUBLE) END AS durability,
  CAST(price % 7 AS DOUBLE) AS piercing, CASE WHEN id % 4 <> 0 THEN CAST(price % 5 AS DOUBLE) END AS additional_piercing FROM listings WHERE price IS NOT NULL""")
 def ext_item_attrs(t):
-    line = lambda text: t.listings.select(F.col("id").alias("session"), F.expr(text).alias("text")).filter("text is not null")
     forms = (
         "'damoge 1' || if(id % 2 = 0, '~', ' / ') || damage || ' +5'", "'defense ' || defense || ' (+9)'", "'balance ' || price % 100 || if(id % 2 = 0, ' % 3', '')", "'durabilty ' || if(id % 3 = 0, '', '11/') || price % 30 || ' (5)'",
         "'piercing ' || price % 7 || case id % 4 when 0 then '' when 1 then '+ ' || price % 5 else ' +' || price % 5 end", "'damage'", "'damage  '",
     )
     kinds = {"damage": "range", "defense": "first", "balance": "percent", "durability": "fraction", "piercing": "sum"}
-    return E.item_attributes(reduce(DataFrame.unionByName, map(line, forms)), "session", kinds)
+    # all lines of a listing at once: its view takes joins and windows; equal rows have equal lines, and without a column of it the join with part goes
+    listings = t.listings.select("id", "price", "damage", "defense").distinct()
+    lines = listings.select(F.col("id").alias("session"), F.explode(F.array(*map(F.expr, forms))).alias("text")).filter("text is not null")
+    return E.item_attributes(lines, "session", kinds)

@@ -171,3 +171,30 @@ def test_corrections_pass_a_row_for_each_line(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Z, "_take_free", lambda lists, *rest: seen.append(lists.count()) or take(lists, *rest))
     got = QUERIES["fz_effect_correct"](spark, str(tmp_path)).collect()
     assert 0 < len(got) <= len({r["line_no"] for r in got}) and len(got) <= seen[0] <= 80
+
+
+def test_attributes_read_the_listings_once(spark):
+    """ext_item_attrs makes a listing's lines from one row of it and compares each line in one call; before, the view of listings was computed for each of the seven lines, and each label was a call."""
+    import re
+
+    from bazaarlake.plans import QUERIES
+
+    plan = QUERIES["ext_item_attrs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet", plan)) == 3 and len(re.findall(r"\bArrowEvalPython\b", plan)) == 1 and "run(" in plan
+
+
+def test_labels_of_odd_lines(spark):
+    """Blanks alone behind a label are nothing, other white space is something; of equally near labels the first counts; groups without a label are left out, those without a value are not."""
+    from bazaarlake.operators.extract import item_attributes
+
+    rows = [
+        (1, "ab 5"), (2, "ac 6"), (2, None), (3, "ab   "), (4, "ab\t"), (5, "zz 7"), (6, ""), (7, "abcdefgh 3 +4"), (8, "abcdefgh 12"), (9, "ab"), (10, "abcdefgh 5\t+\t6 + 7"), (None, "ad 8.5"),
+    ]
+    labels = {"ab": "first", "ad": "first", "abcdefgh": "sum"}
+    got = {r["k"]: tuple(r)[1:] for r in item_attributes(spark.createDataFrame(rows, "k int, text string"), "k", labels, 50).collect()}
+    none = (None,) * 4
+    assert got == {1: (5.0, None, None, None), 2: (6.0, None, None, None), 4: none, 7: (3.0, None, None, None), 8: (12.0, None, None, None), 10: (5.0, None, None, None), None: (None, 8.5, None, None)}
+    sums = {r["k"]: tuple(r)[1:] for r in item_attributes(spark.createDataFrame(rows, "k int, text string"), "k", {"abcdefgh": "sum"}).collect()}
+    assert sums == {7: (3.0, 4.0), 8: (12.0, None), 10: (5.0, 6.0)}
+    assert item_attributes(spark.createDataFrame(rows, "k int, text string"), "k", {"abcdefgh": "sum"}).columns == ["k", "abcdefgh", "additional_abcdefgh"]
