@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,45 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+#: Characters of a text that fit a row's number in ratios(), characters of the other text that it compares at most, and texts that it takes at once.
+_BITS, _WIDTH, _TEXTS = 64, 256, 64
+
+
+def ratios(texts: list[str], others: list[str], n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """ratio() of each text with its n[i] next ones of `other` (places in `others`), for many pairs at once: as in _lcs a row is the bits of a number, and an array holds those of all pairs. Longer texts are compared one by one."""
+    chars = {c: k for k, c in enumerate(sorted(set("".join(texts))))}  # len(chars) stands for all that no text has
+    sizes, lengths = np.array([len(x) for x in texts]), np.array([len(x) for x in others])
+    written = np.full((len(others), min(_WIDTH, max(lengths, default=0))), len(chars), np.int32)
+    for i, x in enumerate(others):
+        if len(x) <= _WIDTH:
+            written[i, : len(x)] = [chars.get(c, len(chars)) for c in x]
+    ends, out = np.concatenate([[0], np.cumsum(n)]), np.empty(len(other))
+    for start in range(0, len(texts), _TEXTS):
+        some = texts[start : start + _TEXTS]
+        places = np.zeros((len(some), len(chars) + 1), np.uint64)
+        for i, x in enumerate(some):
+            for at, c in enumerate(x[:_BITS]):
+                places[i, chars[c]] |= np.uint64(1 << at)
+        rows = slice(ends[start], ends[start + len(some)])
+        a, b = np.repeat(np.arange(len(some)), n[start : start + len(some)]), other[rows]
+        long_first = np.argsort(-lengths[b], kind="stable")
+        a, b = a[long_first], b[long_first]
+        size, length = sizes[start + a], lengths[b]
+        full = np.array([(1 << min(len(x), _BITS)) - 1 for x in some], np.uint64)[a]
+        row = full.copy()
+        for at in range(min(_WIDTH, length[0] if len(length) else 0)):
+            open_ = np.searchsorted(-length, -at)  # those with a character here
+            now = row[:open_]
+            hit = now & places[a[:open_], written[b[:open_], at]]
+            row[:open_] = (now + hit | now - hit) & full[:open_]
+        found = np.full(len(row), 100.0)
+        np.divide(200.0 * (size - np.bitwise_count(row)), size + length, out=found, where=size + length > 0)
+        for i in np.flatnonzero((size > _BITS) | (length > _WIDTH)):
+            found[i] = ratio(some[a[i]], others[b[i]])
+        out[rows][long_first] = found
+    return out
+
+
 def _partial(a: str, b: str) -> float:
     """Best ratio of the shorter text to any window of the longer one that is at most as long."""
     short, long = sorted((a, b), key=len)

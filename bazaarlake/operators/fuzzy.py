@@ -7,14 +7,15 @@ that can't reach the cutoff before anything is scored (can_reach); no match is l
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import groupby, pairwise
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from bazaarlake.functions.similarity import can_reach, indel_ratio, partial_ratio
+from bazaarlake.functions.similarity import can_reach, indel_ratio, partial_ratio, ratios
 from bazaarlake.functions.text import bullet, enchant_header, inject_numbers, jamo, name_and_levels, normalize_numbers, numbers
 from bazaarlake.sources.scratch import stored
 
@@ -145,18 +146,49 @@ def lookup_names(queries: DataFrame, entries: DataFrame, cutoff: float = 85) ->
     return found.join(fuzzy, ["slot", "name"], "left").select(*queries.columns, F.coalesce("entry", "near").alias("entry"), F.when(F.col("entry").isNotNull(), 100.0).otherwise(F.col("score")).alias("score"))
 
 
+#: Effects of a row of text_score_lists() at most, where their numbers follow one another.
+_BLOCK = 128
+
+
+def text_score_lists(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
+    """As text_scores(), but (on, text, effects, scores): a row for each text and block of effects. A task takes an array of effects with each text, so no row is made for a pair, and none is shuffled."""
+    forms = effects.select(*on, "effect_no", F.explode(F.array("effect", F.concat_ws(" ", "condition", "effect"))).alias("_e")).filter("_e is not null")
+    forms = forms.groupBy(*on, "effect_no").agg(F.collect_set("_e").alias("forms"))
+    blocks = forms.groupBy(*on, F.floor(F.col("effect_no") / _BLOCK).alias("_block")).agg(F.collect_list(F.struct("effect_no", "forms")).alias("p"))
+    blocks = blocks.select(*on, F.col("p.effect_no").alias("effects"), F.col("p.forms").alias("forms"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_part"))
+    texts = lines.select(*on, "text").filter("text is not null").distinct().withColumn("_part", F.pmod(F.hash("text"), F.lit(_SALTS)))
+    # a few bytes are much to compare: a number of partitions, as Spark would join those of few bytes to one; of large tables (sources.tables.fit_partitions) there are more
+    spark = lines.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")) // 16)
+    key = [*on, "_part"]
+    rows = texts.repartition(n, *key).join(blocks.repartition(n, *key), key).select(*on, "text", "effects", "forms")
+    out = rows.select(*on, "text", "effects", F.array(F.lit(0.0)).alias("scores")).schema
+    form = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            *keys, texts, effects, forms = batch.columns
+            words = forms.values.values.dictionary_encode()
+            at, of = forms.offsets.to_numpy(), forms.values.offsets.to_numpy()  # of a text's effects, of an effect's forms
+            ends = of[at]
+            pairs = ratios(texts.to_pylist(), words.dictionary.to_pylist(), np.diff(ends), words.indices.to_numpy()[ends[0] : ends[-1]])
+            scores = np.maximum.reduceat(pairs, of[at[0] : at[-1]] - ends[0]) if len(pairs) else pairs
+            keep = scores >= floor
+            places = pa.array(np.concatenate([[0], np.cumsum(keep)])[at - at[0]], pa.int32())
+            numbers_ = effects.values.slice(effects.offsets[0].as_py(), len(keep)).filter(pa.array(keep))
+            lists = [pa.ListArray.from_arrays(places, v).cast(f.type) for v, f in zip((numbers_, pa.array(scores[keep])), list(form)[-2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*keys, texts, *lists], schema=form)
+
+    return rows.mapInArrow(run, out)
+
+
 def text_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
     """(on, text, effect_no, score) of the texts of lines (on, text) and effects (on, effect_no, effect, condition), `floor` at least: the better score of the effect alone and with its condition.
 
-    Each pair of different texts is scored once, wherever it occurs.
+    Equal texts of a key are compared with its effects once.
     """
-    listed = effects.select(*on, "effect_no", F.explode(F.array_distinct(F.array("effect", F.concat_ws(" ", "condition", "effect")))).alias("_e"))
-    texts = stored(lines.select(*on, F.col("text").alias("_t")).filter("text is not null").distinct(), "texts")
-    m, n = F.length("_t"), F.length("_e")
-    pairs = texts.join(listed.select(*on, "_e").distinct(), list(on)).filter((200 * F.least(m, n) >= floor * (m + n)) & F.col("_e").isNotNull()).select("_t", "_e").distinct()
-    pairs = pairs.withColumn("score", indel_ratio(F.col("_t"), F.col("_e"))).filter(F.col("score") >= floor)
-    best = pairs.join(listed, "_e").join(texts, [*on, "_t"])
-    return best.groupBy(*on, F.col("_t").alias("text"), "effect_no").agg(F.max("score").alias("score"))
+    lists = text_score_lists(lines, effects, on, floor)
+    return lists.select(*on, "text", F.explode(F.arrays_zip("effects", "scores")).alias("p")).select(*on, "text", F.col("p.effects").alias("effect_no"), F.col("p.scores").alias("score"))
 
 
 def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor: float = 0.0) -> DataFrame:
@@ -165,18 +197,26 @@ def effect_scores(lines: DataFrame, effects: DataFrame, on: Sequence[str], floor
 
 
 def contender_lists(lines: DataFrame, scores: DataFrame, by: Sequence[str], on: Sequence[str], low_first: bool = False) -> DataFrame:
-    """(by, line_no, effects, scores): for each line the pairs that an assignment within the groups (by) can take, the best first. lines: (by, line_no, text); scores: as of text_scores(), by `on`.
+    """(by, line_no, effects, scores): for each line the pairs that an assignment within the groups (by) can take, the best first. lines: (by, line_no, text); scores: as of text_scores() or text_score_lists(), by `on`.
 
     Each other line of a group takes one effect at most, so a line with n - 1 others gets one of its n best effects, or none. Of equal scores the
     higher effect counts as better (`low_first`: the lower one).
     """
     sized = lines.select(*by, "line_no", "text", F.count("*").over(Window.partitionBy(*by)).cast("int").alias("_n"))
-    most = lines.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))  # one row
-    better = [F.desc("score"), F.asc("effect_no") if low_first else F.desc("effect_no")]
-    ranked = scores.withColumn("_rank", F.row_number().over(Window.partitionBy(*on, "text").orderBy(*better))).join(F.broadcast(most)).filter("_rank <= most")
-    ranked = ranked.groupBy(*on, "text").agg(F.sort_array(F.collect_list(F.struct("_rank", "effect_no", "score"))).alias("_best"))
-    ranked = ranked.select(*on, "text", F.col("_best.effect_no").alias("_effects"), F.col("_best.score").alias("_scores"))
-    first = lambda c: F.slice(c, F.lit(1), F.col("_n"))
+    most = lines.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("most"))  # one row
+    first = lambda c, n="_n": F.slice(c, F.lit(1), F.col(n))
+    if "scores" in scores.columns:
+        best = lambda pairs: F.array_sort(pairs) if low_first else F.sort_array(pairs, asc=False)
+        pairs = F.zip_with("scores", "effects", lambda s, e: F.struct((-s if low_first else s).alias("score"), e.alias("effect_no")))
+        ranked = scores.join(F.broadcast(most)).select(*on, "text", "most", first(best(pairs), "most").alias("p"))
+        ranked = ranked.groupBy(*on, "text", "most").agg(F.flatten(F.collect_list("p")).alias("p")).select(*on, "text", first(best(F.col("p")), "most").alias("_best"))
+        score = F.transform("_best.score", lambda s: -s if low_first else s)
+    else:
+        better = [F.desc("score"), F.asc("effect_no") if low_first else F.desc("effect_no")]
+        ranked = scores.withColumn("_rank", F.row_number().over(Window.partitionBy(*on, "text").orderBy(*better))).join(F.broadcast(most)).filter("_rank <= most")
+        ranked = ranked.groupBy(*on, "text").agg(F.sort_array(F.collect_list(F.struct("_rank", "effect_no", "score"))).alias("_best"))
+        score = F.col("_best.score")
+    ranked = ranked.select(*on, "text", F.col("_best.effect_no").alias("_effects"), score.alias("_scores"))
     return sized.join(ranked, [*on, "text"]).select(*by, "line_no", first("_effects").alias("effects"), first("_scores").alias("scores"))
 
 
@@ -201,13 +241,14 @@ _LARGE = 1_000_000
 
 
 def _by_best(lines: dict) -> list[tuple]:
-    """The greedy pairs (line, effect, score) of a group. lines: line -> its pairs (score, effect), the best last. A line asks for its best effect, which stays with the best (score, line) that
+    """The greedy pairs (line, effect, score) of a group. lines: line -> iterator over its pairs (score, effect), the best first. A line asks for its best effect, which stays with the best (score, line) that
     has asked; who loses it asks for their next one. As the order of pairs is total, that ends with the pairs that the greedy order takes, after a look at few of them."""
     holders, waiting = {}, list(lines)
     while waiting:
         line = waiting.pop()
-        while lines[line]:
-            score, effect = lines[line].pop()
+        for score, effect in lines[line]:
+            if score <= 0:
+                break
             other = holders.get(effect)
             if other is None or other < (score, line):
                 holders[effect] = score, line
@@ -228,11 +269,30 @@ def _in_turn(lines) -> list[tuple]:
     return list(taken.values())
 
 
+def _flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Values of the lists of a column without null lists, and where each list ends (0 first)."""
+    ends = column.offsets.to_numpy()
+    return column.values.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
+
+
+def _ranked(effects: pa.ListArray, scores: pa.ListArray) -> list[bool]:
+    """Whether each list has its pairs without nulls and the best first: greater scores, of equal ones the higher effect."""
+    (e, ends), (s, _) = _flat(effects), _flat(scores)
+    if e.null_count or s.null_count or not pa.types.is_integer(e.type):
+        return [False] * len(effects)
+    e, s = e.to_numpy(), s.to_numpy()
+    wrong = np.zeros(len(s) + 1, bool)
+    wrong[1:-1] = ~((s[:-1] > s[1:]) | (s[:-1] == s[1:]) & (e[:-1] > e[1:]))
+    wrong[ends] = False  # between two lists
+    before = np.concatenate([[0], np.cumsum(wrong)])[ends]
+    return (before[1:] == before[:-1]).tolist()
+
+
 def _items(column: pa.ListArray) -> list[list]:
     """The lists of a column without null lists; a scalar for each value would take most of the time."""
-    values, ends = column.values, column.offsets.to_pylist()
+    values, ends = _flat(column)
     values = values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False).tolist()
-    return [values[a:b] for a, b in pairwise(ends)]
+    return [values[a:b] for a, b in pairwise(ends.tolist())]
 
 
 def _take_free(lists: DataFrame, by: Sequence[str], greedy: bool, floor: float = 0.0) -> DataFrame:
@@ -240,23 +300,32 @@ def _take_free(lists: DataFrame, by: Sequence[str], greedy: bool, floor: float =
     rows = _unpacked(lists, by)
     form, width = to_arrow_schema(rows.schema), len(by)
 
-    def lines(batches):
-        """(group, line, pairs (score, effect)); rows of the same line are one."""
-        last, pairs = None, []
+    def pairs(parts):
+        """(score, effect) of the rows (ranked, effects, scores) of a line; one row that is ranked is read as far as it is asked for."""
+        if greedy and len(parts) == 1 and parts[0][0]:
+            return zip(parts[0][2], parts[0][1], strict=True)
+        every = [(s, e) for _, effects, scores in parts for s, e in zip(scores, effects, strict=True) if s is not None and (greedy or s >= floor)]
+        return iter(sorted(every, reverse=True)) if greedy else every
+
+    def groups(batches):
+        """(group, line -> its rows); lines in order."""
+        last, lines = None, {}
         for batch in batches:
-            for *key, effects, scores in zip(*(c.to_pylist() for c in batch.columns[:-2]), *map(_items, batch.columns[-2:]), strict=True):
+            *group, line_no = (c.to_pylist() for c in batch.columns[: width + 1])
+            effects, scores = batch.columns[-2:]
+            for key, line, *row in zip(zip(*group, strict=True), line_no, _ranked(effects, scores), _items(effects), _items(scores), strict=True):
                 if key != last:
                     if last is not None:
-                        yield last[:width], last[width], pairs
-                    last, pairs = key, []
-                pairs += [(s, e) for s, e in zip(scores, effects, strict=True) if s is not None and (s > 0 if greedy else s >= floor)]
+                        yield last, lines
+                    last, lines = key, {}
+                lines.setdefault(line, []).append(row)
         if last is not None:
-            yield last[:width], last[width], pairs
+            yield last, lines
 
     def run(batches):
         found = []
-        for group, members in groupby(lines(batches), key=lambda x: x[0]):
-            taken = _by_best({line: sorted(pairs) for _, line, pairs in members}) if greedy else _in_turn((line, pairs) for _, line, pairs in members)
+        for group, lines in groups(batches):
+            taken = _by_best({line: pairs(parts) for line, parts in lines.items()}) if greedy else _in_turn((line, pairs(parts)) for line, parts in lines.items())
             found += [(*group, *pair) for pair in taken]
             if len(found) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), form, strict=True)], schema=form)

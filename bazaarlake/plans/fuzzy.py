@@ -8,6 +8,7 @@ from bazaarlake.functions.similarity import register_fz_ratio
 from bazaarlake.operators import extract as E
 from bazaarlake.operators import fuzzy as Z
 from bazaarlake.plans.registry import query
+from bazaarlake.sources.scratch import stored
 
 # The longest common subsequence as a recursion over the first text's characters; a cell is the greatest so far in its row.
 _LCS = """lcs(a, b, i, r) AS (SELECT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) FROM pairs
@@ -136,20 +137,21 @@ def fz_effect_scores(t):
     return _scores(t).select("session", "slot", "line_no", "entry", "effect_no", "score")
 
 
-def _assigned(t):
+def _assigned(t, effects):
     by, lines = ["session", "slot", "entry"], _candidates(t)
-    return Z.assign_greedy(Z.contender_lists(lines, Z.text_scores(lines, t.sql(_EFFECTS), ["entry"]), by, ["entry"]), by)
+    return Z.assign_greedy(Z.contender_lists(lines, Z.text_score_lists(lines, effects, ["entry"]), by, ["entry"]), by)
 
 
 @query(f"""WITH RECURSIVE {_MATRIX}, {_GREEDY} SELECT session, slot, line_no, entry, effect_no, score FROM assigned
  UNION ALL SELECT session, slot, line_no, entry, -1, 0 FROM own WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.session = own.session AND a.line_no = own.line_no)""")
 def fz_assign_greedy(t):
-    return Z.with_unmatched(_assigned(t), _candidates(t), ["session", "slot", "entry"]).select("session", "slot", "line_no", "entry", "effect_no", "score")
+    return Z.with_unmatched(_assigned(t, t.sql(_EFFECTS)), _candidates(t), ["session", "slot", "entry"]).select("session", "slot", "line_no", "entry", "effect_no", "score")
 
 
 @query()
 def fz_effect_correct(t):
-    pairs = _assigned(t).join(_lines(t), ["session", "slot", "line_no"]).join(t.sql(_EFFECTS), ["entry", "effect_no"])
+    effects = stored(t.sql(_EFFECTS), "effects")
+    pairs = _assigned(t, effects).join(_lines(t), ["session", "slot", "line_no"]).join(effects, ["entry", "effect_no"])
     return pairs.select("session", "slot", "entry", "line_no", Z.effect_text(F.col("text"), F.col("effect"), F.col("effect").contains("~")).alias("corrected"))
 
 

@@ -198,3 +198,39 @@ def test_labels_of_odd_lines(spark):
     sums = {r["k"]: tuple(r)[1:] for r in item_attributes(spark.createDataFrame(rows, "k int, text string"), "k", {"abcdefgh": "sum"}).collect()}
     assert sums == {7: (3.0, 4.0), 8: (12.0, None), 10: (5.0, 6.0)}
     assert item_attributes(spark.createDataFrame(rows, "k int, text string"), "k", {"abcdefgh": "sum"}).columns == ["k", "abcdefgh", "additional_abcdefgh"]
+
+
+def test_texts_are_compared_in_one_step(spark):
+    """Each text meets its key's effects in one Python step that has several tasks; before, a filter on the score was moved below the step that finds different pairs, so all pairs were scored there and again behind it, and tables of few bytes were scored in one task."""
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([(1, f"name {i}") for i in range(300)], "entry long, text string")
+    effects = spark.createDataFrame([(1, i, f"name {i}", None) for i in range(20)], "entry long, effect_no long, effect string, condition string")
+    scores = Z.text_scores(lines, effects, ["entry"], 50.0)
+    plan = scores._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+    assert scores.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_scores_of_odd_texts(spark):
+    """Texts that are empty, null or longer than a row's bits, effects that are null, come twice, have a condition or fill several blocks: as each pair by itself. Contenders from lists are those from rows."""
+    from bazaarlake.functions.similarity import ratio
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("ab é가😀") for _ in range(rng.choice((0, 1, 3, 8, 20, 64, 65, 130, 256, 257, 300))))
+    texts = [(e, word()) for e in range(3) for _ in range(90)] + [(1, None), (7, "a")]
+    given = [(e, n, rng.choice((word(), word(), None)), rng.choice((None, None, "if", ""))) for e in range(4) for n in (*range(1, 260, 2), 5, 7, -3)]
+    want = {}
+    for e, t in texts:
+        for _, n, effect, condition in (x for x in given if x[0] == e and t is not None):
+            forms = {" ".join(x for x in (condition, effect) if x is not None), effect} - {None}
+            want[e, t, n] = max(want.get((e, t, n), 0.0), *(ratio(t, x) for x in forms), 0.0)
+    lines = spark.createDataFrame([(i % 50, e, i, t) for i, (e, t) in enumerate(texts)], "session long, entry long, line_no long, text string")
+    effects = spark.createDataFrame(given, "entry long, effect_no long, effect string, condition string")
+    for floor in (0.0, 50.0):
+        got = {tuple(r)[:3]: r[3] for r in Z.text_scores(lines, effects, ["entry"], floor).collect()}
+        assert got == {k: v for k, v in want.items() if v >= floor}
+    by = ["session", "entry"]
+    for low_first in (False, True):
+        few = [{tuple(r)[:3]: (r["effects"], r["scores"]) for r in Z.contender_lists(lines, f(lines, effects, ["entry"]), by, ["entry"], low_first).collect()} for f in (Z.text_score_lists, Z.text_scores)]
+        assert few[0] == few[1] and len(few[0]) == 270
